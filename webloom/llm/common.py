@@ -14,6 +14,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six characters that part words in every operator here.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -80,6 +81,21 @@ def ship(spark: SparkSession) -> None:
     sc._webloom_shipped = True
 
 
+#: A join side of fewer rows than this is broadcast; above it, the join shuffles.
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """The narrow table, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.limit(small_rows + 1).count() <= small_rows else df
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", small_rows: int = SMALL_ROWS) -> DataFrame:
+    """The rows of docs whose id is not in the one column of ``gone``; null ids stay."""
+    gone = small_side(gone.toDF("gone_").distinct(), small_rows)
+    return docs.join(gone, docs[id_col] == F.col("gone_"), "left_anti")
+
+
 # ---------------------------------------------------------------- words as 64-bit hashes
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -92,3 +93,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "bucket",
         )
         return s.write(out, keep=True)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_rows: int = SMALL_ROWS, **options) -> DataFrame:
+    """The rows of docs, all columns, that ``exact_dedup`` keeps.
+
+    Rows are named by (id, digest). Only where such a name repeats are rows numbered.
+    """
+    verdict = exact_dedup(docs, id_col, text_col, small_rows=small_rows, **options)
+    named = verdict.groupBy(F.col(id_col).alias("id_"), F.col("text_sha256").alias("sha_")).agg(F.max("kept").alias("k"), F.count("*").alias("n"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    digest = F.sha2(normalised(F.col(f"`{text_col}`").cast("string")), 256)
+    same = lambda d, g: d["dig_"].eqNullSafe(g["sha_"]) & d[id_col].eqNullSafe(g["id_"])
+    rows = docs.withColumn("dig_", digest)
+    gone = C.small_side(named.where("not k").select("id_", "sha_"), small_rows)
+    rows = rows.join(gone, same(rows, gone), "left_anti")
+    again = named.where("k and n > 1").select("id_", "sha_")
+    if again.isEmpty():
+        return rows.select(*cols)
+    once = rows.join(again, same(rows, again), "left_anti").select(*cols)
+    order = Window.partitionBy(id_col, "dig_").orderBy(F.char_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).desc())
+    first = rows.join(again, same(rows, again), "left_semi").withColumn("rank_", F.row_number().over(order)).where("rank_ = 1")
+    return once.unionByName(first.select(*cols))

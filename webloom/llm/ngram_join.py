@@ -48,9 +48,9 @@ PARTS = 16
 FANOUT = 8
 #: A shingle counted this much more often than the mean cell has its rows pre-aggregated.
 HOT_EXCESS = 50_000
-#: A join side of fewer rows than this (ids of 8 bytes) is broadcast; above it, shuffled.
-SMALL_ROWS = 200_000
 LEAF_SHINGLES = 2_000_000
+#: A member of a region weighs its shingles and this.
+MEMBER_WEIGHT = 400
 RING = 1.26
 
 
@@ -73,6 +73,17 @@ def _identity(s: np.ndarray) -> int:
     return int(C.mixed(x + np.array([len(s)], np.uint64) * C.PLACE_BASE).view(np.int64)[0])
 
 
+def _folded(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their top bits, one byte each, saturated at 255.
+
+    About n/8 counts, a power of two of them. The L1 distance of two such vectors, brought to the
+    same length by adding neighbours before saturation, bounds the symmetric difference from below.
+    """
+    cells = 1 << max(5, min(16, (len(s) >> 3).bit_length()))
+    shift = np.uint64(64 - cells.bit_length() + 1)
+    return np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
 def _signatures(width: int):
     def run(batches):
         total = np.zeros(CELLS, dtype=np.int64)
@@ -81,14 +92,14 @@ def _signatures(width: int):
             ids, texts = batch.column(0), batch.column(1)
             id_type = ids.type
             raw, off = C.text_buffers(texts)
-            n, f = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            n, f, v = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [b""] * len(ids)
             for a, b in C.chunks(off):
                 sets = C.shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], width)
                 for i, s in enumerate(sets, a):
-                    n[i], f[i] = len(s), _identity(s)
+                    n[i], f[i], v[i] = len(s), _identity(s), _folded(s)
                 cells = (np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64)
                 total += np.bincount(cells, minlength=CELLS)
-            yield _signature_batch(ids, n, f, [None] * len(ids), [-1] * len(ids))
+            yield _signature_batch(ids, n, f, v, [-1] * len(ids))
         if id_type is not None:
             step = CELLS // PARTS
             cells = [C.zip_bytes(total[p * step : (p + 1) * step].astype(np.int64)) for p in range(PARTS)]
@@ -229,6 +240,86 @@ def join_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
     return links
 
 
+def _groups(batches, key: str):
+    """Whole groups of rows, as tables, from batches that are sorted by the key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.asarray(batch.column(batch.schema.get_field_index(key)))
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and a == 0 and held[-1].column(held[-1].schema.get_field_index(key))[0].as_py() != k[0] or held and a > 0:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_group(key: str, one, schema: pa.Schema):
+    """mapInArrow function that applies ``one`` to each group of a sorted partition."""
+
+    def run(batches):
+        for table in _groups(batches, key):
+            out = one(table)
+            if len(out):
+                yield from out.cast(schema).to_batches()
+
+    return run
+
+
+def possible(n: np.ndarray, vectors: list[np.ndarray], num: int, den: int, block: int = 256) -> np.ndarray:
+    """Which sets have a possible partner among the others, by size and folded counts.
+
+    |x & y| <= (|x| + |y| - L1) / 2, with the L1 distance of the counts brought to one length. A
+    look for a set ends at the first partner found, so tight groups cost little.
+    """
+    order = np.argsort(n, kind="stable")
+    size, v = n[order], [vectors[i].astype(np.int32) for i in order]
+    length = np.array([len(x) for x in v])
+    half = [x.reshape(-1, 2).sum(axis=1) for x in v]
+    unsure = np.array([x.max(initial=0) >= 255 for x in v])
+    of = {int(k): np.flatnonzero(length == k) for k in np.unique(length)}
+    full = {k: np.stack([v[i] for i in ids]) for k, ids in of.items()}
+    less = {k: np.stack([half[i] for i in ids]) for k, ids in of.items()}
+    keep = np.zeros(len(n), dtype=bool)
+    low = np.searchsorted(size, -(-num * size // den))
+    high = np.searchsorted(size, size * den // num, side="right")
+    for i in range(len(n)):
+        for k in (int(length[i]), int(length[i]) * 2, int(length[i]) // 2):
+            if keep[i] or k not in of:
+                continue
+            ids = of[k]
+            a, b = np.searchsorted(ids, (low[i], high[i]))
+            for at in range(a, b, block):
+                js = ids[at : min(at + block, b)]
+                if k == length[i]:
+                    d = np.abs(full[k][at : at + len(js)] - v[i]).sum(axis=1)
+                elif k > length[i]:
+                    d = np.abs(less[k][at : at + len(js)] - v[i]).sum(axis=1)
+                else:
+                    d = np.abs(full[k][at : at + len(js)] - half[i]).sum(axis=1)
+                if k != length[i]:
+                    d = np.where(unsure[js] | unsure[i], 0, d)
+                ok = _linked((size[i] + size[js] - d) // 2, size[i], size[js], num, den) & (js != i)
+                if ok.any():
+                    keep[i] = keep[js[np.argmax(ok)]] = True
+                    break
+    out = np.zeros(len(n), dtype=bool)
+    out[order] = keep
+    return out
+
+
+def _possible(num: int, den: int):
+    def one(table: pa.Table) -> pa.Table:
+        n = np.asarray(table["n"].combine_chunks()).astype(np.int64)
+        v = [np.frombuffer(x, dtype=np.uint8) for x in table["v"].to_pylist()]
+        return table.filter(pa.array(possible(n, v, num, den))).drop_columns(["v"])
+
+    return one
+
+
 def _region_links(width: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         want = np.asarray(table["f"].combine_chunks())
@@ -295,8 +386,8 @@ def _split(s: C.Scratch, members: DataFrame, docs: DataFrame, width, num, den, l
     goes = F.when(F.col("in_core"), F.array(F.col("home.f"))).otherwise(F.transform(F.filter("to", lambda t: t["d"] <= F.col("home.d") + r2 + 1e-9), lambda t: t["f"]))
     sub = far.select("p", F.explode(goes).alias("q"), "f", "n", "id", "in_core")
     sub = s.write(sub)
-    weigh = sub.groupBy("p", "q").agg(F.sum("n").alias("w"), F.min("in_core").alias("all_core"))
-    parent = members.groupBy("p").agg(F.sum("n").alias("whole"))
+    weigh = sub.groupBy("p", "q").agg(F.sum(F.col("n") + MEMBER_WEIGHT).alias("w"), F.min("in_core").alias("all_core"))
+    parent = members.groupBy("p").agg(F.sum(F.col("n") + MEMBER_WEIGHT).alias("whole"))
     weigh = weigh.join(parent, "p").where("not all_core")
     sub = sub.join(weigh, ["p", "q"]).withColumn("sub", F.xxhash64("p", "q"))
     shrunk = F.col("w") <= F.greatest(F.lit(leaf), F.col("whole") * 0.8)
@@ -341,7 +432,7 @@ def components(s: C.Scratch, links: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ the operator
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100), leaf_shingles: int = LEAF_SHINGLES, small_rows: int = SMALL_ROWS, hot_excess: int = HOT_EXCESS) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100), leaf_shingles: int = LEAF_SHINGLES, small_rows: int = C.SMALL_ROWS, hot_excess: int = HOT_EXCESS) -> DataFrame:
     """One row per input row: id_col, n_shingles long, component_id, set_id long.
 
     ``threshold`` is a fraction (numerator, denominator) of the union; see the module's text.
@@ -350,10 +441,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     C.ship(spark)
     num, den = threshold
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    id_type = dict(docs.dtypes)["id"]
+    id_type, id_field = dict(docs.dtypes)["id"], docs.schema["id"].dataType
     with C.Scratch(spark) as s:
         sig = s.write(docs.mapInArrow(_signatures(width), f"id {id_type}, n long, f long, cells binary, part int"))
-        rows = sig.where("part < 0").select("id", "n", "f")
+        rows = sig.where("part < 0").select("id", "n", "f", "cells")
         sketch = _sketch(sig.where("part >= 0"))
         hot = int(sketch.mean()) + hot_excess
         shared = spark.sparkContext.broadcast(sketch)  # 4 MB, whatever the corpus
@@ -373,14 +464,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rings = member.groupBy("p", ring.alias("ring")).agg(F.count("*").alias("c")).groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("ring", "c"))).alias("c"))
         has = lambda k: F.coalesce(F.try_element_at("c", k), F.lit(0))
         member = member.join(rings, "p").withColumn("ring", ring).where((has(F.col("ring")) > 1) | (has(F.col("ring") - 1) > 0) | (has(F.col("ring") + 1) > 0)).select("p", "f", "n")
-        one = rows.where("n > 0").groupBy("f").agg(F.min("id").alias("id"))
-        member = s.write(member.join(one, "f").select("p", "f", "n", "id"))
-        links, whole = [], member
+        one = rows.where("n > 0").groupBy("f").agg(F.min("id").alias("id"), F.min("cells").alias("v"))
+        member = s.write(member.join(one, "f").select("p", "f", "n", "id", "v"))
+        links, whole, first = [], member, True
         while True:
-            weight = whole.groupBy("p").agg(F.sum("n").alias("w"))
+            weight = whole.groupBy("p").agg(F.sum(F.col("n") + MEMBER_WEIGHT).alias("w"))
             large = weight.where(F.col("w") > leaf_shingles).select("p")
             some = not large.isEmpty()
             leaf = whole.join(large, "p", "left_anti") if some else whole
+            if first:  # a cheap look at narrow rows, before texts travel
+                kinds = leaf.drop("v").schema
+                sieve = _by_group("p", _possible(num, den), pa.schema([("p", pa.int64()), ("f", pa.int64()), ("n", pa.int32()), ("id", _arrow_type(id_field))]))
+                leaf = s.write(leaf.repartition("p").sortWithinPartitions("p").mapInArrow(sieve, kinds))
+                whole, first = whole.drop("v"), False
             links.append(s.write(_leaf_links(leaf, docs, width, num, den, small_rows)))
             if not some:
                 break
@@ -391,7 +487,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for x in links[1:]:
             every = every.union(x)
         label = components(s, every)
-        named = rows.where("n > 0").join(label, rows.f == label.v, "left").select("id", "n", "f", F.coalesce("label", "f").alias("label"))
+        named = rows.where("n > 0").select("id", "n", "f").join(label, rows.f == label.v, "left").select("id", "n", "f", F.coalesce("label", "f").alias("label"))
         named = s.write(named)
         least = named.groupBy("label").agg(F.min("id").alias("component"))
         out = named.join(least, "label").select("id", "n", "component", "f").union(rows.where("n = 0").select("id", "n", "id", "f"))
@@ -400,10 +496,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("f").alias("set_id"))
 
 
+def _arrow_type(kind):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 def _leaf_links(member: DataFrame, docs: DataFrame, width, num, den, small_rows) -> DataFrame:
     """Links inside regions that fit a task. Texts travel, sets are made again where they meet."""
-    wanted = member.select("id").distinct()
-    if wanted.limit(small_rows + 1).count() <= small_rows:
-        wanted = F.broadcast(wanted)
+    wanted = C.small_side(member.select("id").distinct(), small_rows)
     text = docs.join(wanted, docs.id.eqNullSafe(wanted.id), "left_semi").withColumnRenamed("id", "tid")
-    return text.join(member, F.col("tid").eqNullSafe(member.id)).select("p", "f", "text").groupBy("p").applyInArrow(_region_links(width, num, den), "a long, b long")
+    return text.join(member, F.col("tid").eqNullSafe(member.id)).select("p", "f", "text").repartition("p").sortWithinPartitions("p").mapInArrow(_by_group("p", _region_links(width, num, den), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
