@@ -1,10 +1,527 @@
-"""All queries of the crawl engine by name, with their DuckDB SQL."""
+"""All queries of the crawl engine by name, with their DuckDB SQL.
+
+A query reads only the tables and columns it needs. What the corpus does not hold (robots texts,
+status codes, redirects, stored digests) is derived from it by the same rule on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import html as H
+from .functions import robots as R
+from .functions import url as U
+from .functions import wire as W
+from .operators import pacing, policy, store
+from .plans.crawl import crawl
+from .schema import CrawlOptions
+from .sources.fetch import fetch_from_table
+from .sources.fixture import CHUNKED_BODY, fixture_site, routes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# ------------------------------------------------------------------ shared SQL
+
+_P = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:[?]([^#]*))?(?:#(.*))?$'"
+_KEEP = "list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT list_contains(['fbclid','gclid','gbraid','wbraid','msclkid','dclid','yclid','igshid','mc_cid','mc_eid'], lower(split_part(x, '=', 1))))"
+PARTS = f"""u AS (
+  SELECT page_id, url, lower(regexp_extract(url, {_P}, 1)) AS scheme, lower(regexp_extract(url, {_P}, 2)) AS host,
+         coalesce(nullif(regexp_extract(url, {_P}, 3), ''), '/') AS path, regexp_extract(url, {_P}, 4) AS q
+  FROM pages),
+n AS (
+  SELECT *, array_to_string(list_sort({_KEEP}), '&') AS cq,
+         CASE WHEN host LIKE 'www.%' AND contains(host[5:], '.') THEN host[5:] ELSE host END AS site,
+         scheme || '://' || host || path || CASE WHEN len({_KEEP}) > 0 THEN '?' || array_to_string(list_sort({_KEEP}), '&') ELSE '' END AS norm
+  FROM u)"""
+_TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '&amp;?', '&', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&#39;', ''''), '\\s+', ' ', 'g'))"
+LINKS = """l AS (
+  SELECT page_id, url, scheme, host, site, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS raw_pos
+  FROM (SELECT n.*, regexp_extract_all(p.html, '<a href="([^"]*)"', 1) AS hrefs FROM n JOIN pages p USING (page_id))),
+d AS (
+  SELECT page_id, url, scheme, host, site, scheme || '://' || host || href AS link, min(raw_pos) AS first_pos
+  FROM l WHERE href LIKE '/%' GROUP BY ALL),
+links AS (SELECT page_id, url, site, host, link, row_number() OVER (PARTITION BY page_id ORDER BY first_pos) - 1 AS pos FROM d)"""
+
+
+def _parsed(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", "url", H.parse_html("html", "url").alias("p"))
+
+
+def _links(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", "url", F.posexplode("p.links").alias("pos", "link"))
+
+
+# ------------------------------------------------------------------ URL
+
+
+@query(f"WITH {PARTS} SELECT page_id, norm AS normalized_url FROM n")
+def url_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.normalize_url("url").alias("normalized_url"))
+
+
+@query(f"WITH {PARTS} SELECT host AS domain, count(*) AS n_pages FROM n GROUP BY host")
+def url_domain(spark, sf_dir):
+    return read(spark, sf_dir, "pages").groupBy(U.domain("url").alias("domain")).agg(F.count("*").alias("n_pages"))
+
+
+@query(f"WITH {PARTS} SELECT page_id, site FROM n")
+def url_canonical_domain(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.canonical_domain(U.domain("url")).alias("site"))
+
+
+@query(f"WITH {PARTS} SELECT page_id, scheme || '://' || host || ':' || CASE scheme WHEN 'http' THEN '80' ELSE '443' END AS origin, scheme || '://' || host AS robots_key FROM n")
+def url_origin(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.origin("url").alias("origin"), U.robots_key("url").alias("robots_key"))
+
+
+@query(f"WITH {PARTS} SELECT page_id, cq AS clean_query FROM n WHERE q <> ''")
+def query_params_clean(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.part("url", 4).alias("q")).where("q <> ''").select("page_id", U.clean_query("q").alias("clean_query"))
+
+
+@query("SELECT split_part(x, '=', 1) AS param, starts_with(x, 'utm_') AS tracking, count(*) AS n FROM (SELECT unnest(string_split(split_part(split_part(url, '#', 1), '?', 2), '&')) AS x FROM pages) WHERE x <> '' GROUP BY ALL")
+def tracking_param_share(spark, sf_dir):
+    items = read(spark, sf_dir, "pages").select(F.explode(U.query_items(U.part("url", 4))).alias("i"))
+    return items.groupBy(F.col("i.k").alias("param"), U.is_tracking(F.col("i.k")).alias("tracking")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PARTS} SELECT norm AS normalized_url, arg_min(url, page_id) AS url, min(page_id) AS page_id FROM n GROUP BY norm")
+def url_dedupe_first_wins(spark, sf_dir):
+    found = read(spark, sf_dir, "pages").select("page_id", "url", U.normalize_url("url").alias("normalized_url"))
+    return store.first_wins(found, ["page_id"], key=["normalized_url"]).select("normalized_url", "url", "page_id")
+
+
+@query(f"WITH {PARTS} SELECT page_id, site = 'cheap-pills.example.com' OR site = 'm.ththth.example.net' AS in_scope FROM n")
+def scope_filter(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.in_scope("url", ["www.cheap-pills.example.com", "m.ththth.example.net"]).alias("in_scope"))
+
+
+@query(f"WITH {PARTS}, a AS (SELECT DISTINCT site FROM n WHERE scheme = 'http') SELECT page_id, url FROM n WHERE site IN (SELECT site FROM a)")
+def allowed_domain_semi_join(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", U.canonical_domain(U.domain("url")).alias("site"))
+    allowed = pages.where(U.part("url", 1) == "http").select("site").distinct()
+    return pages.join(allowed, "site", "left_semi").select("page_id", "url")
+
+
+@query(f"WITH {PARTS} SELECT page_id, path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS target, host AS host_header FROM n")
+def request_target(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", U.origin_form("url").alias("target"), U.host_header("url").alias("host_header"))
+
+
+# ------------------------------------------------------------------ HTML
+
+
+@query(f"SELECT page_id, {_TEXT.format('''regexp_extract(html, '<title>([^<]*)', 1)''')} AS title FROM pages")
+def html_title(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", "p.title")
+
+
+@query(f"SELECT page_id, {_TEXT.format('''regexp_extract(html, '<h1>([^<]*)</h1>', 1)''')} AS headings FROM pages")
+def html_headings(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", F.array_join("p.headings", "|").alias("headings"))
+
+
+@query(f"WITH {PARTS}, {LINKS} SELECT page_id, pos, link FROM links")
+def html_links_explode(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
+
+
+@query()
+def html_full_parse(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", "p.*")
+
+
+@query(f"WITH {PARTS}, l AS (SELECT page_id, scheme || '://' || host AS o, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS href FROM (SELECT n.*, p.html FROM n JOIN pages p USING (page_id))) SELECT DISTINCT page_id, href, o || href AS resolved FROM l")
+def link_resolve(spark, sf_dir):
+    hrefs = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("href"))
+    return hrefs.select("page_id", "href", U.resolve("url", "href").alias("resolved")).distinct()
+
+
+@query("SELECT page_id, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages")
+def html_escaped_urls(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", H.html_escape("url").alias("escaped"))
+
+
+# ------------------------------------------------------------------ frontier
+
+
+@query(f"""WITH {PARTS}, {LINKS},
+x AS (SELECT DISTINCT host, link FROM links WHERE link NOT IN (SELECT norm FROM n))
+SELECT host AS domain, count(*) AS new_urls FROM x GROUP BY host""")
+def frontier_wave(spark, sf_dir):
+    """One wave: links of all pages, first discovery wins, without those already in the frontier."""
+    pages = read(spark, sf_dir, "pages")
+    frontier = pages.select(F.lit(1).alias("job_id"), U.normalize_url("url").alias("normalized_url"))
+    found = _links(spark, sf_dir).select(F.lit(1).alias("job_id"), F.col("link").alias("url"), "page_id", "pos")
+    new = store.enqueue(frontier, found, ["page_id", "pos"])
+    return new.groupBy(U.domain("url").alias("domain")).agg(F.count("*").alias("new_urls"))
+
+
+_FRONTIER = """f AS (
+  SELECT page_id AS id, CAST(1 AS BIGINT) AS job_id, url, CAST(page_id % 4 AS INTEGER) AS depth,
+         CASE page_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'fetched' WHEN 3 THEN 'retry_scheduled' ELSE 'failed' END AS status,
+         CAST(page_id % 7 AS DOUBLE) AS next_fetch_at
+  FROM pages)"""
+
+
+def _frontier(spark, sf_dir):
+    states = F.element_at(F.array(*map(F.lit, ["pending", "in_progress", "fetched", "retry_scheduled", "failed"])), (F.col("page_id") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), F.lit(1).cast("long").alias("job_id"), "url", U.normalize_url("url").alias("normalized_url"), (F.col("page_id") % 4).cast("int").alias("depth"),
+        states.alias("status"), F.lit(0).alias("retry_count"), (F.col("page_id") % 7).cast("double").alias("next_fetch_at"),
+    )
+
+
+@query(f"WITH {_FRONTIER} SELECT id, depth, url FROM f WHERE status IN ('pending', 'retry_scheduled') AND next_fetch_at <= 3 ORDER BY depth, id LIMIT 20")
+def frontier_next_topk(spark, sf_dir):
+    return store.next_items(_frontier(spark, sf_dir), 1, 3.0, 20).select("id", "depth", "url")
+
+
+@query(f"WITH {_FRONTIER} SELECT CASE WHEN status = 'in_progress' THEN 'pending' ELSE status END AS status, count(*) AS n FROM f GROUP BY 1")
+def frontier_recover(spark, sf_dir):
+    return store.recover_in_progress(_frontier(spark, sf_dir), 1).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_FRONTIER} SELECT greatest(0.0, min(next_fetch_at) - 0.25) AS seconds FROM f WHERE status IN ('pending', 'retry_scheduled')")
+def seconds_until_next(spark, sf_dir):
+    return store.seconds_until_next(_frontier(spark, sf_dir), 1, 0.25)
+
+
+@query(f"WITH {_FRONTIER} SELECT id, CASE WHEN id % 10 = 3 THEN 'retry_scheduled' ELSE status END AS status, CAST(CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, CASE WHEN id % 10 = 3 THEN 100.0 + 2 ELSE next_fetch_at END AS next_fetch_at FROM f")
+def frontier_schedule_retry(spark, sf_dir):
+    f = _frontier(spark, sf_dir)
+    return store.schedule_retry(f, f.where("id % 10 = 3").select("id", F.lit(2.0).alias("delay")), 100.0).select("id", "status", "retry_count", "next_fetch_at")
+
+
+@query(f"WITH {_FRONTIER} SELECT id, CASE WHEN id % 5 = 1 THEN 'fetched' ELSE status END AS status FROM f")
+def frontier_mark_outcomes(spark, sf_dir):
+    f = _frontier(spark, sf_dir)
+    return store.set_status(f, f.where("id % 5 = 1").select("id", F.lit("fetched").alias("status"))).select("id", "status")
+
+
+@query(f"WITH {PARTS}, {LINKS}, t AS (SELECT DISTINCT norm FROM n) SELECT host AS domain, count(*) FILTER (link IN (SELECT norm FROM t)) AS internal, count(*) FILTER (link NOT IN (SELECT norm FROM t)) AS dangling FROM links GROUP BY host")
+def link_graph_dangling(spark, sf_dir):
+    edges = _links(spark, sf_dir).select(U.domain("url").alias("domain"), U.normalize_url("link").alias("target"))
+    known = read(spark, sf_dir, "pages").select(U.normalize_url("url").alias("target")).distinct().withColumn("there", F.lit(True))
+    return edges.join(known, "target", "left").groupBy("domain").agg(F.count_if("there").alias("internal"), F.count_if(F.col("there").isNull()).alias("dangling"))
+
+
+@query(f"WITH {PARTS}, {LINKS} SELECT host AS domain, count(*) AS n_links, count(DISTINCT link) AS n_targets, count(DISTINCT page_id) AS n_pages FROM links GROUP BY host")
+def host_outlink_stats(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy(U.domain("url").alias("domain")).agg(F.count("*").alias("n_links"), F.countDistinct("link").alias("n_targets"), F.countDistinct("page_id").alias("n_pages"))
+
+
+@query(f"WITH {PARTS}, s AS (SELECT norm, min(page_id) AS first FROM n GROUP BY norm), c AS (SELECT max(first) AS last FROM (SELECT first FROM s ORDER BY first LIMIT 40)) SELECT page_id FROM n WHERE page_id <= (SELECT last FROM c)")
+def page_budget_cut(spark, sf_dir):
+    found = read(spark, sf_dir, "pages").select("page_id", U.normalize_url("url").alias("normalized_url"))
+    return store.page_budget(found, 40, ["page_id"]).select("page_id")
+
+
+@query(f"""WITH {PARTS} SELECT host AS domain, count(*) AS n_pages, count(nullif(regexp_extract(html, '<title>([^<]*)', 1), '')) AS n_titles
+FROM n JOIN (SELECT page_id, html FROM pages) p USING (page_id) GROUP BY host""")
+def host_page_counts(spark, sf_dir):
+    return _parsed(spark, sf_dir).where(U.normalize_url("url").isNotNull()).groupBy(U.domain("url").alias("domain")).agg(F.count("*").alias("n_pages"), F.count("p.title").alias("n_titles"))
+
+
+# ------------------------------------------------------------------ robots
+
+_ROBOTS = ["User-agent: *\nDisallow: /en/\nAllow: /en/8\nCrawl-delay: 2\nSitemap: /s.xml\n", "User-agent: webloom\nDisallow: /*.html$\n\nUser-agent: *\nDisallow: /\n", None]
+
+
+def _robots(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    key = pages.select(U.robots_key("url").alias("origin"), (F.char_length(U.domain("url")) % 3).alias("k")).distinct()
+    body = F.when(F.col("k") == 0, _ROBOTS[0]).when(F.col("k") == 1, _ROBOTS[1])
+    status = F.when(F.col("k") == 2, 404).otherwise(200)
+    return key.select("origin", R.fetched_rules(status, body).alias("body"))
+
+
+_RULES = """r AS (SELECT * FROM (VALUES (0, 'disallow', '^/en/', 4), (0, 'allow', '^/en/8', 5), (1, 'disallow', '^/.*\\.html$', 7)) AS t(k, kind, re, spec)),
+m AS (
+  SELECT n.page_id, n.url, coalesce(max(spec) FILTER (kind = 'disallow' AND regexp_matches(path || CASE WHEN q <> '' THEN '?' || q ELSE '' END, re)), -1) AS disallow_len,
+         coalesce(max(spec) FILTER (kind = 'allow' AND regexp_matches(path || CASE WHEN q <> '' THEN '?' || q ELSE '' END, re)), -1) AS allow_len
+  FROM n LEFT JOIN r ON r.k = length(n.host) % 3 GROUP BY ALL)"""
+
+
+def _verdicts(spark, sf_dir):
+    rules, _ = R.rule_table(_robots(spark, sf_dir), "webloom/1.0 (+x)")
+    return R.robots_verdicts(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+@query(f"WITH {PARTS}, {_RULES} SELECT page_id, disallow_len < 0 OR allow_len >= disallow_len AS allowed FROM m")
+def robots_allowed(spark, sf_dir):
+    return _verdicts(spark, sf_dir).select("page_id", "allowed")
+
+
+@query(f"WITH {PARTS}, {_RULES} SELECT page_id, CAST(disallow_len AS INTEGER) AS disallow_len, CAST(allow_len AS INTEGER) AS allow_len FROM m")
+def robots_best_match(spark, sf_dir):
+    return _verdicts(spark, sf_dir).select("page_id", "disallow_len", "allow_len")
+
+
+@query(f"WITH {PARTS} SELECT DISTINCT scheme || '://' || host AS origin, CASE length(host) % 3 WHEN 0 THEN 'disallow /en/,allow /en/8' WHEN 1 THEN 'disallow /*.html$' ELSE '' END AS rules FROM n")
+def robots_group_select(spark, sf_dir):
+    r = _robots(spark, sf_dir).withColumn("i", R.parse_robots("body"))
+    rules = R.rules_of(F.col("i"), R.chosen_group(F.col("i"), R.product_token(F.lit("webloom/1.0"))))
+    return r.select("origin", F.array_join(F.transform(rules, lambda x: F.concat_ws(" ", x["kind"], x["pattern"])), ",").alias("rules"))
+
+
+@query(f"WITH {PARTS} SELECT DISTINCT scheme || '://' || host AS origin, CASE length(host) % 3 WHEN 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS delay FROM n")
+def crawl_delay_effective(spark, sf_dir):
+    _, delays = R.rule_table(_robots(spark, sf_dir), "webloom")
+    return delays.select("origin", policy.effective_delay(1.0, "crawl_delay").alias("delay"))
+
+
+# ------------------------------------------------------------------ policy and pacing, on events as a fetch log
+
+_LOG = """e AS (
+  SELECT event_id, 'd' || (user_id % 20) AS domain, CAST(floor(epoch(ts) / 3600) AS DOUBLE) AS arrive,
+         CASE event_type WHEN 'error' THEN 503 WHEN 'signup' THEN 429 WHEN 'click' THEN 404 WHEN 'view' THEN 302 ELSE 200 END AS status,
+         CAST(event_id % 4 AS INTEGER) AS retry_count, 1.0 + (event_id % 3) * 0.5 AS delay
+  FROM events),
+c AS (SELECT *, CASE WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'server_error' WHEN status >= 400 THEN 'client_error' END AS category FROM e)"""
+
+
+def _log(spark, sf_dir):
+    kind = F.col("event_type")
+    status = F.when(kind == "error", 503).when(kind == "signup", 429).when(kind == "click", 404).when(kind == "view", 302).otherwise(200)
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    return read(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("d"), F.col("user_id") % 20).alias("domain"), F.floor(seconds / 3600).cast("double").alias("arrive"),
+        status.alias("status"), (F.col("event_id") % 4).cast("int").alias("retry_count"), (1.0 + (F.col("event_id") % 3) * 0.5).alias("delay"),
+    ).withColumn("category", policy.status_category("status"))
+
+
+@query(f"WITH {_LOG} SELECT coalesce(category, 'none') AS category, count(*) AS n FROM c GROUP BY 1")
+def status_classify(spark, sf_dir):
+    return _log(spark, sf_dir).groupBy(F.coalesce("category", F.lit("none")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LOG} SELECT event_id, retry_count < 2 AND (status IN (408, 425, 429, 500, 502, 503, 504) OR coalesce(category, '') IN ('server_error', 'rate_limited')) AS retry FROM c")
+def retry_decision(spark, sf_dir):
+    return _log(spark, sf_dir).select("event_id", policy.should_retry("status", "category", "retry_count").alias("retry"))
+
+
+@query(f"WITH {_LOG}, a AS (SELECT event_id, domain, row_number() OVER (PARTITION BY domain ORDER BY event_id) AS attempt FROM c WHERE status = 503) SELECT event_id, CAST(attempt AS INTEGER) AS attempt, least(60.0, pow(2.0, attempt - 1)) AS backoff FROM a")
+def backoff_schedule(spark, sf_dir):
+    return pacing.retry_schedule(_log(spark, sf_dir).where("status = 503").select("event_id", "domain"), "domain", "event_id").select("event_id", "attempt", "backoff")
+
+
+@query(f"WITH {_LOG} SELECT event_id, coalesce(category IN ('rate_limited', 'server_error'), false) AS pauses FROM c")
+def domain_pause_rule(spark, sf_dir):
+    return _log(spark, sf_dir).select("event_id", policy.pauses_domain(F.lit(None).cast("string"), "category").alias("pauses"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id % 100 AS DOUBLE) WHEN 1 THEN 60.0 WHEN 2 THEN 0.0 END AS seconds FROM events""")
+def retry_after_parse(spark, sf_dir):
+    k = F.col("event_id") % 4
+    value = F.when(k == 0, (F.col("event_id") % 100).cast("string")).when(k == 1, "Mon, 01 Jan 2024 00:01:00 GMT").when(k == 2, "Sun, 31 Dec 2023 23:00:00 GMT").otherwise("soon")
+    now = F.to_timestamp(F.lit("2024-01-01 00:00:00 GMT"), "yyyy-MM-dd HH:mm:ss zzz")
+    return read(spark, sf_dir, "events").select("event_id", policy.retry_after_seconds(value, now).alias("seconds"))
+
+
+_SLOTS = """w AS (SELECT *, coalesce(sum(delay) OVER (PARTITION BY domain ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, {due} AS due FROM c),
+s AS (SELECT event_id, arrive, before + max(due - before) OVER (PARTITION BY domain ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS start FROM w)
+SELECT event_id, start, start - arrive AS waited FROM s"""
+
+
+@query(f"WITH {_LOG}, " + _SLOTS.format(due="arrive"))
+def pacing_slots(spark, sf_dir):
+    return pacing.pacing_slots(_log(spark, sf_dir), order="event_id").select("event_id", "start", "waited")
+
+
+@query(f"WITH {_LOG}, " + _SLOTS.format(due="greatest(arrive, coalesce(max(CASE WHEN status = 503 THEN arrive + 30 END) OVER (PARTITION BY domain ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), arrive))"))
+def pacing_with_pause(spark, sf_dir):
+    log = _log(spark, sf_dir).withColumn("pause", F.when(F.col("status") == 503, F.col("arrive") + 30))
+    return pacing.pacing_slots(log, order="event_id", pause_until="pause").select("event_id", "start", "waited")
+
+
+# ------------------------------------------------------------------ store and report
+
+_STORED = """v AS (
+  SELECT doc_id AS id, CASE WHEN doc_id % 11 = 5 THEN NULL ELSE text END AS body_text,
+         CASE doc_id % 7 WHEN 3 THEN '' WHEN 4 THEN sha256(text || 'x') ELSE sha256(text) END AS body_sha256
+  FROM documents),
+o AS (SELECT id, CASE WHEN body_sha256 = '' THEN 'missing body_sha256' WHEN body_text IS NULL THEN 'missing body_text' WHEN sha256(body_text) = body_sha256 THEN 'valid' ELSE 'mismatch' END AS outcome FROM v)"""
+
+
+def _stored(spark, sf_dir):
+    k = F.col("doc_id") % 7
+    digest = F.when(k == 3, "").when(k == 4, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("job_id"), F.col("source").alias("final_url"), F.when(F.col("doc_id") % 11 != 5, F.col("text")).alias("body_text"), digest.alias("body_sha256"))
+
+
+@query("SELECT doc_id, sha256(text) AS body_sha256 FROM documents")
+def body_sha256(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", store.body_sha256("text").alias("body_sha256"))
+
+
+@query(f"WITH {_STORED} SELECT id, outcome FROM o")
+def verify_integrity(spark, sf_dir):
+    return store.verify(_stored(spark, sf_dir), 1).select("id", "outcome")
+
+
+@query(f"WITH {_STORED} SELECT count(*) FILTER (outcome = 'valid') AS valid, count(*) FILTER (outcome = 'mismatch') AS mismatch, count(*) FILTER (starts_with(outcome, 'missing')) AS missing FROM o")
+def verify_counts(spark, sf_dir):
+    return store.verify_counts(_stored(spark, sf_dir), 1)
+
+
+@query(f"WITH {_FRONTIER} SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM f WHERE status = 'failed') AS failures, string_agg(status || '=' || n, ',' ORDER BY status) AS frontier FROM (SELECT status, count(*) AS n FROM f GROUP BY status)")
+def job_stats(spark, sf_dir):
+    f = _frontier(spark, sf_dir)
+    s = store.stats(read(spark, sf_dir, "pages").withColumn("job_id", F.lit(1)), f.where("status = 'failed'"), f, 1)
+    return s.select("pages", "failures", F.array_join(F.transform(F.array_sort(F.map_entries("frontier")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("frontier"))
+
+
+@query(f"WITH {_LOG} SELECT domain, category, count(*) AS n, CAST(max(retry_count) AS INTEGER) AS max_retry FROM c WHERE category IS NOT NULL GROUP BY ALL")
+def failure_rollup(spark, sf_dir):
+    return _log(spark, sf_dir).where("category is not null").groupBy("domain", "category").agg(F.count("*").alias("n"), F.max("retry_count").alias("max_retry"))
+
+
+@query(f"WITH {PARTS} SELECT host AS normalized_url, min(page_id) AS id, arg_max(url, page_id) AS url, count(*) AS n FROM n GROUP BY host")
+def page_upsert(spark, sf_dir):
+    """Pages arrive in page_id order under one key per host: the first id stays, the last row wins."""
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit(1).alias("job_id"), "url", U.domain("url").alias("normalized_url"))
+    old, new = rows.where("id % 2 = 0 and id < 100"), rows.where("not (id % 2 = 0 and id < 100)")
+    n = rows.groupBy("normalized_url").agg(F.count("*").alias("n"))
+    last_new = new.withColumn("seq", F.col("id"))
+    # a key that only old rows have keeps its last old row
+    first_old = old.groupBy("job_id", "normalized_url").agg(F.max_by("url", "id").alias("url"), F.min("id").alias("id")).select(*rows.columns)
+    up = store.upsert_pages(first_old, last_new, "seq")
+    return up.join(n, "normalized_url").select("normalized_url", "id", "url", "n")
+
+
+@query("SELECT max(page_id) AS job_id FROM pages")
+def latest_job(spark, sf_dir):
+    return store.latest_job_id(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id")))
+
+
+@query()
+def export_pages_json(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.lit(1).alias("job_id"))
+    return store.export_rows(pages, pages.limit(0), 1)
+
+
+_CT = "CASE event_id % 6 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' TEXT/HTML ' WHEN 2 THEN 'application/pdf' WHEN 3 THEN '' WHEN 4 THEN 'application/xhtml+xml;q=1' END"
+
+
+@query("SELECT event_id, event_id % 6 IN (0, 1, 4) AS allowed FROM events")
+def content_type_gate(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", W.content_type_allowed(F.expr(_CT)).alias("allowed"))
+
+
+@query("SELECT page_id AS id, '<li><a href=\"' || replace(url, '&', '&amp;') || '\">' || CASE WHEN page_id % 3 = 0 THEN replace(url, '&', '&amp;') ELSE 'T&lt;' || page_id || '&gt;' END || '</a></li>' AS html FROM pages")
+def viewer_rows(spark, sf_dir):
+    title = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("T<"), F.col("page_id"), F.lit(">"))).otherwise("")
+    return store.viewer_rows(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("final_url"), title.alias("title")))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'accept=b' WHEN 1 THEN 'accept=a,cookie=c' ELSE 'authorization=x' END AS all_headers, CASE event_id % 3 WHEN 0 THEN 'accept=b' WHEN 1 THEN 'accept=a' ELSE '' END AS sent FROM events")
+def header_rules(spark, sf_dir):
+    k = F.col("event_id") % 3
+    m = F.when(k == 0, F.create_map(F.lit("Accept"), F.lit("a"), F.lit("ACCEPT"), F.lit("b"))).when(k == 1, F.create_map(F.lit("Accept"), F.lit("a"), F.lit("Cookie"), F.lit("c"))).otherwise(F.create_map(F.lit("Authorization"), F.lit("x")))
+    text = lambda h: F.array_join(F.array_sort(F.transform(F.map_entries(h), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    rows = read(spark, sf_dir, "events").select("event_id", W.lower_keys(m).alias("h"))
+    return rows.select("event_id", text("h").alias("all_headers"), text(W.without_credentials("h")).alias("sent"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE true END AS private FROM events""")
+def private_addresses(spark, sf_dir):
+    ip = F.element_at(F.array(*map(F.lit, ["10.1.2.3", "8.8.8.8", "169.254.1.1", "not an ip"])), (F.col("event_id") % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", policy.is_private_ipv4(ip).alias("private"))
+
+
+# ------------------------------------------------------------------ wire (no SQL equivalent but for fixed results)
+
+
+@query("SELECT 'Hi' AS text, CAST(0 AS BIGINT) AS zero")
+def chunked_decode(spark, sf_dir):
+    df = spark.createDataFrame([(bytearray(CHUNKED_BODY),)], "data binary").select(W.chunked("data").alias("c"))
+    return df.select(F.regexp_extract(F.col("c.body").cast("string"), "<body>([^<]*)", 1).alias("text"), F.lit(0).cast("long").alias("zero"))
+
+
+@query()
+def gzip_decode(spark, sf_dir):
+    body = bytearray(routes()["/gzip"][2])
+    df = spark.createDataFrame([("gzip", body), ("identity", bytearray(b"plain")), ("br", body), ("deflate", body)], "encoding string, data binary")
+    return df.select("encoding", W.decompressed("data", "encoding").alias("d")).select("encoding", "d.body", "d.error")
+
+
+@query()
+def charset_decode(spark, sf_dir):
+    rows = [(bytearray("é".encode("latin-1")), "text/html; charset=iso-8859-1"), (bytearray(b"\xef\xbb\xbfx"), ""), (bytearray(b"\xff"), "text/html; charset=utf-8"), (bytearray(b"\xff"), "")]
+    return spark.createDataFrame(rows, "body binary, ct string").select("ct", W.decoded("body", "ct").alias("d")).select("ct", "d.*")
+
+
+@query()
+def response_parse(spark, sf_dir):
+    raw = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + CHUNKED_BODY
+    rows = [(bytearray(raw),), (bytearray(b"HTTP/9 nope\r\n\r\n"),)]
+    return spark.createDataFrame(rows, "data binary").select(W.response("data").alias("r")).select("r.version", "r.status_code", "r.body", "r.error")
+
+
+# ------------------------------------------------------------------ redirects and crawls
+
+_HOPS = [("http://a.test/1", "/2"), ("http://a.test/2", "/3"), ("http://a.test/l", "/m"), ("http://a.test/m", "/l"), ("http://a.test/f", "ftp://a.test/x"), *[(f"http://a.test/c{i}", f"/c{i + 1}") for i in range(8)]]
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b if ':' in b else 'http://a.test' + b}')" for a, b in _HOPS) + ") AS t(src, dst)), "
+    "w AS (SELECT src AS url, src AS cur, 0 AS hops, [src] AS seen, CAST(NULL AS VARCHAR) AS error FROM r UNION ALL "
+    "SELECT url, CASE WHEN e IS NULL THEN dst ELSE cur END, hops + 1, list_append(seen, dst), e FROM ("
+    "SELECT w.*, r.dst, CASE WHEN r.dst NOT LIKE 'http%' THEN 'unsupported_redirect' WHEN list_contains(w.seen, r.dst) THEN 'redirect_loop' WHEN w.hops = 5 THEN 'too_many_redirects' END AS e "
+    "FROM w JOIN r ON r.src = w.cur WHERE w.error IS NULL)) "
+    "SELECT url, arg_max(cur, hops) AS final_url, CAST(max(hops) AS INTEGER) AS hops, arg_max(coalesce(error, ''), hops) AS error FROM w GROUP BY url"
+)
+def redirect_chain(spark, sf_dir):
+    site = spark.createDataFrame([(a, 302, {"Location": b}, bytearray()) for a, b in _HOPS] + [("http://a.test/3", 200, {}, bytearray(b"x")), ("http://a.test/c8", 200, {}, bytearray(b"x"))], "url string, status_code int, headers map<string,string>, body binary")
+    got = fetch_from_table(site.where("status_code = 302").select("url"), site)
+    return got.select("url", "final_url", F.size("redirects").alias("hops"), F.coalesce("error_category", F.lit("")).alias("error"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('http://site.test/page', CAST(0 AS INTEGER), 'Fixture Page'), ('http://site.test/page2', 1, 'Fixture Page Two'), ('http://site.test/deep/page3?a=1&b=2', 2, 'Deep')) AS t(normalized_url, depth, title)"
+)
+def crawl_fixture_bfs(spark, sf_dir):
+    out = crawl(spark, fixture_site(spark), "http://site.test/page", CrawlOptions(max_pages=10, retry_count=0))
+    return out.pages.select("normalized_url", "depth", "title")
+
+
+@query()
+def crawl_pages_corpus(spark, sf_dir):
+    """A crawl over the corpus as the web, from its first page; links lead outside the corpus."""
+    pages = read(spark, sf_dir, "pages").select("url", F.lit(200).alias("status_code"), F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8")).alias("headers"), F.col("html").cast("binary").alias("body"))
+    seed = pages.select("url").orderBy("url").first().url
+    return crawl(spark, pages, seed, CrawlOptions(max_pages=50, retry_count=0, obey_robots=False)).frontier.select("id", "normalized_url", "depth", "status")
+
+
+# ------------------------------------------------------------------ extensions (labelled so: not in the reference)
+
+
+@query("SELECT event_type, CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def ext_events_per_hour(spark, sf_dir):
+    """Tumbling-window counts over the event table."""
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour")
+    return read(spark, sf_dir, "events").groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n")
+
+

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .wire import decode_html
 
 PAGE = "struct<title:string,description:string,headings:array<string>,links:array<string>,text_encoding:string,error:string>"
@@ -135,6 +136,7 @@ def _parse_series(body: pd.Series, url: pd.Series, content_type: pd.Series) -> p
 
 def parse_html(body: Column | str, url: Column | str, content_type: Column | str | None = None) -> Column:
     """PAGE struct of string or binary bodies."""
+    ship()
     return F.pandas_udf(_parse_series, PAGE)(body, url, F.lit("") if content_type is None else content_type)
 
 
