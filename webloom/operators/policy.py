@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,10 +104,6 @@ def is_private_ipv4(ip: Column | str) -> Column:
 
 def is_blocked_address(ip: Column | str) -> Column:
     """The same for IPv4 and IPv6, by Python's address library in Arrow batches."""
-    import ipaddress
-
-    import pandas as pd
-
     def one(text):
         try:
             a = ipaddress.ip_address((text or "").split("%")[0])

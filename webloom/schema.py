@@ -1,4 +1,4 @@
-"""Tables and options of a crawl."""
+"""Tables (as DDL strings) and options of a crawl."""
 
 from __future__ import annotations
 
@@ -6,20 +6,19 @@ import dataclasses
 import tomllib
 from pathlib import Path
 
-from pyspark.sql.types import StructType
-
-CRAWL_JOBS = StructType.fromDDL("id long, seed_url string, status string, max_pages int, max_depth int, created_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz")
-FRONTIER = StructType.fromDDL(
+CRAWL_JOBS = "id long, seed_url string, status string, max_pages int, max_depth int, created_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz"
+FRONTIER = (
     "id long, job_id long, url string, normalized_url string, depth int, status string, discovered_from string, retry_count int, next_fetch_at double, created_at timestamp_ntz, updated_at timestamp_ntz"
 )
 TIMING = "struct<dns:double,connect:double,tls:double,request:double,first_byte:double,download:double,total:double>"
-PAGES = StructType.fromDDL(
+PAGES = (
     "id long, job_id long, url string, final_url string, normalized_url string, status_code int, content_type string, title string, description string, headings array<string>, links array<string>,"
     f" body_sha256 string, body_text string, text_encoding string, timing {TIMING}, transport string, depth int, fetched_at timestamp_ntz"
 )
-FAILURES = StructType.fromDDL("id long, job_id long, url string, normalized_url string, category string, message string, status_code int, retry_count int, created_at timestamp_ntz")
+FAILURES = "id long, job_id long, url string, normalized_url string, category string, message string, status_code int, retry_count int, created_at timestamp_ntz"
 #: What a fetch gives for one URL: errors are values.
-FETCH = StructType.fromDDL("url string, final_url string, status_code int, headers map<string,string>, body binary, redirects array<struct<url:string,status_code:int,location:string>>, error_category string, error_message string")
+FETCH = "url string, final_url string, status_code int, headers map<string,string>, body binary, redirects array<struct<url:string,status_code:int,location:string>>, error_category string, error_message string"
+FETCH_COLUMNS = ["url", "final_url", "status_code", "headers", "body", "redirects", "error_category", "error_message"]
 
 SCHEMA_VERSION = 2
 FRONTIER_STATES = ["pending", "in_progress", "fetched", "skipped", "failed", "retry_scheduled"]

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import url as U
 from ..functions import wire as W
 from ..operators.policy import is_redirect
-from ..schema import FETCH
+from ..schema import FETCH, FETCH_COLUMNS
 from ..shipping import ship
 
 HOP = "array<struct<url:string,status_code:int,location:string>>"
@@ -90,7 +90,7 @@ def live_fetch(timeout: float = 30.0, max_bytes: int = 2 * 1024 * 1024, user_age
         import urllib.error
         import urllib.request
 
-        out = dict.fromkeys([f.name for f in FETCH.fields]) | {"url": url, "final_url": url, "redirects": []}
+        out = dict.fromkeys(FETCH_COLUMNS) | {"url": url, "final_url": url, "redirects": []}
         if not url.lower().startswith(("http://", "https://")):
             return out | {"error_category": "unsupported_scheme"}
         try:
@@ -112,7 +112,7 @@ def live_fetch(timeout: float = 30.0, max_bytes: int = 2 * 1024 * 1024, user_age
         except W.WireError as e:
             return got | {"error_category": e.category}
 
-    return lambda batch: pd.DataFrame([one(u) for u in batch["url"]], columns=[f.name for f in FETCH.fields])
+    return lambda batch: pd.DataFrame([one(u) for u in batch["url"]], columns=FETCH_COLUMNS)
 
 
 def make_fetcher(name: str, **options) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -146,7 +146,7 @@ class _UrlReader(DataSourceReader):
 
     def read(self, partition):
         row = live_fetch(self.timeout)(pd.DataFrame({"url": [partition.value]})).iloc[0]
-        yield tuple(row[f.name] for f in FETCH.fields)
+        yield tuple(row[f] for f in FETCH_COLUMNS)
 
 
 def register(spark: SparkSession) -> None:

@@ -6,8 +6,6 @@ import gzip
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schema import FETCH
-
 HTML = "text/html; charset=utf-8"
 
 
@@ -44,4 +42,3 @@ def fixture_site(spark: SparkSession, origin: str = "http://site.test") -> DataF
 
 
 SITE = "url string, status_code int, headers map<string,string>, body binary"
-__all__ = ["FETCH", "SITE", "fixture_site", "routes"]
