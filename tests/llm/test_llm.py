@@ -84,7 +84,7 @@ def classes(rows):
     return Counter((r[0], len(s), least[find(i)] if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf_shingles": 2000, "small_rows": 3}, {"leaf_shingles": 900, "hot_excess": -60}])
+@pytest.mark.parametrize("options", [{}, {"leaf_shingles": 6000, "small_rows": 3, "hot_excess": -60}])
 def test_ngram_join(docs, options):
     got = ngram_join.ngram_jaccard_join(docs, **options)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == classes(corpus())
