@@ -104,3 +104,36 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
     return df.select(F.col("id_").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop", "n_upper", "n_letters")
+
+
+def oracle() -> str:
+    """The same rules over ``documents`` as DuckDB SQL, made from the same tables."""
+    stops = sorted({f for ws in STOP_WORDS.values() for w in ws for f in (w, w[:1].upper() + w[1:])})
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END"
+    named = {
+        "mean_word_length": ratio("word_chars", "n_words"),
+        "symbol_ratio": ratio("n_symbols", "n_words"),
+        "upper_ratio": ratio("n_upper", "n_letters"),
+        "stop_word_ratio": f"CASE WHEN n_words >= {STOP_WORDS_FROM} THEN {ratio('n_stop', 'n_words')} ELSE 1.0 END",
+        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "bullet_line_ratio": ratio("n_bullets", "n_lines"),
+        "ellipsis_line_ratio": ratio("n_ellipses", "n_lines"),
+    }
+    rules = [f"({named[n]}) >= {least}" for n, least, _ in THRESHOLDS if least is not None] + [f"({named[n]}) <= {most}" for n, _, most in THRESHOLDS if most is not None]
+    words = ", ".join(f"'{w}'" for w in stops)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, ws[i:i + {WINDOW - 1}] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, {WINDOW}) AS r(k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+         len(ls) AS n_lines, len(list_filter(ws, lambda x: x IN ({words}))) AS n_stop,
+         length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS n_letters,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[-*•·]'))) AS n_bullets, len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS n_ellipses
+  FROM w LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(rules)} AS kept FROM f
+"""

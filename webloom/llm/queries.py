@@ -65,6 +65,7 @@ _NORM = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || ch
 
 ORACLE = {
     "op2_chat_formatting": chat.ORACLE,
+    "op5_quality_rules": quality_rules.oracle(),
     "op3_exact_dedup": f"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS cp, {_NORM} AS norm FROM documents),
 g AS (SELECT norm, count(*) AS group_size, arg_min(doc_id, (-cp, doc_id)) AS keep_id FROM d GROUP BY norm)
