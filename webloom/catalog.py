@@ -393,6 +393,12 @@ def job_stats(spark, sf_dir):
     return s.select("pages", "failures", F.array_join(F.transform(F.array_sort(F.map_entries("frontier")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("frontier"))
 
 
+@query(f"WITH {_FRONTIER}, c AS (SELECT count(*) FILTER (status = 'fetched') AS a, count(*) FILTER (status = 'failed') AS b, count(*) FILTER (status IN ('pending', 'retry_scheduled')) AS p, count(*) AS n FROM f) SELECT 'fetched=' || a || ' failed=' || b || ' skipped=0 pending=' || p || ' pages=' || n || ' failures=' || b AS line FROM c")
+def run_summary(spark, sf_dir):
+    f = _frontier(spark, sf_dir)
+    return store.run_summary(f, read(spark, sf_dir, "pages"), f.where("status = 'failed'")).select(store.summary_line().alias("line"))
+
+
 @query(f"WITH {_LOG} SELECT domain, category, count(*) AS n, CAST(max(retry_count) AS INTEGER) AS max_retry FROM c WHERE category IS NOT NULL GROUP BY ALL")
 def failure_rollup(spark, sf_dir):
     return _log(spark, sf_dir).where("category is not null").groupBy("domain", "category").agg(F.count("*").alias("n"), F.max("retry_count").alias("max_retry"))

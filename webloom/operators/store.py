@@ -109,6 +109,18 @@ def stats(pages: DataFrame, failures: DataFrame, frontier: DataFrame, job_id: in
     return count(pages).withColumnRenamed("n", "pages").crossJoin(count(failures).withColumnRenamed("n", "failures")).crossJoin(states)
 
 
+def run_summary(frontier: DataFrame, pages: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row: what this run's items came to, beside the job's totals. Skips are failures rows too."""
+    n = lambda *states: F.count_if(F.col("status").isin(*states))
+    items = frontier.agg(n("fetched").alias("fetched"), n("failed").alias("failed"), n("skipped").alias("skipped"), n("pending", "retry_scheduled").alias("pending"))
+    return items.crossJoin(pages.agg(F.count("*").alias("pages"))).crossJoin(failures.agg(F.count("*").alias("failures")))
+
+
+def summary_line() -> Column:
+    """A run_summary row as one line of text."""
+    return F.format_string("fetched=%d failed=%d skipped=%d pending=%d pages=%d failures=%d", "fetched", "failed", "skipped", "pending", "pages", "failures")
+
+
 def outcome(body_text: Column | str, stored: Column | str) -> Column:
     """valid, mismatch, or what is missing. The digest is looked for first."""
     text, stored = (F.col(c) if isinstance(c, str) else c for c in (body_text, stored))
