@@ -1,13 +1,14 @@
 """Byte-level BPE by a lazily determinised transducer, and streaming UTF-8 decoding.
 
-Merges are compiled into a nondeterministic transducer. A configuration is (tokens read but not
-yet emitted, last token, place in the trie of the token being read). A token may follow another
-only where the pair is *compatible*: merging the bytes of both gives just these two tokens. A
-sequence of tokens, each the merge of its own bytes and all neighbours compatible, is the one
-that the merges would give, so after each byte exactly one configuration is between tokens.
-Sets of configurations are the states of the deterministic machine; they are built when first
-met. What all configurations agree on is emitted: a token waits only while a longer one that
-covers its end is alive, so lookahead is bounded by the longest token.
+Merges are compiled into a nondeterministic transducer: after each byte it may stand anywhere in
+the trie of tokens where some token that began at an earlier byte can be. Sets of such places are
+the states of the deterministic machine; a state and its moves are built when first met, with the
+tokens that end there. A token may follow another only where the pair is *compatible*: merging the
+bytes of both gives just these two tokens (compiled from the merges when first met). A sequence of
+tokens, each the merge of its own bytes and all neighbours compatible, is the one that the merges
+give, so of the tokens that end at a byte exactly one follows what was read before it began; the
+transducer keeps it in a register for that byte. A token is emitted once every place where the
+machine stands has it behind itself, so lookahead is bounded by the longest token.
 
 The split pattern cuts a text into pieces first; a piece that is itself a token is that token.
 
@@ -19,7 +20,9 @@ row; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import re
+from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Machine states and known pieces that a worker keeps before it starts afresh.
-MOST_STATES = 100_000
-MOST_PIECES = 250_000
+#: Known segments and token pairs that a worker keeps at a time.
+MOST_PIECES = 60_000
+MOST_PAIRS = 200_000
+#: A longer piece is emitted in parts of about so many bytes.
+SETTLE = 1024
 #: Tokens that the decoder takes at a time.
 DECODE_STEP = 8192
+_ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f\x85]")
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -45,26 +51,27 @@ class Transducer:
         self.token = {v: k for k, v in ranks.items()}
         self.child: dict[int, int] = {}
         self.ends: dict[int, int] = {}
-        size = 1
+        self.depth = [0]
         for word, rank in ranks.items():
             node = 0
             for b in word:
                 nxt = self.child.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.child[node << 8 | b] = size
-                    size += 1
+                    nxt = self.child[node << 8 | b] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.ends[node] = rank
-        self.sound: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
-        start = (((), -1, 0),)
-        self.states, self.number, self.moves, self.final = [start], {start: 0}, {}, {}
+        self.size = {v: len(k) for k, v in ranks.items()}
+        self.none = 1 + max(self.token)
+        self.sides: dict[int, tuple[bool, list, list]] = {}
+        self.fits: dict[int, bool] = {}
+        self.states: list[tuple[int, ...]] = [()]
+        self.done: list[list[tuple[int, int]]] = [[]]
+        self.number: dict[tuple[int, ...], int] = {(): 0}
+        self.moves: dict[int, int] = {}
 
     def merged(self, word: bytes) -> list[int]:
-        """The merges of one short string, in rank order; compiles pairs and tokens only."""
+        """The merges of one short string, in rank order: the definition, for tests."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
             best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
@@ -73,61 +80,108 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _ends(self, token: int) -> tuple[bool, list, list]:
+        """Whether the token is the merge of its bytes; and its first and its last part over time,
+        each as (part, rank of the merge that made it)."""
+        known = self.sides.get(token)
+        if known is None:
+            parts = [bytes([b]) for b in self.token[token]]
+            first, last = [(parts[0], -1)], [(parts[-1], -1)]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if at == 0:
+                    first.append((parts[0], rank))
+                if at == len(parts) - 1:
+                    last.append((parts[-1], rank))
+            known = self.sides[token] = (len(parts) == 1, first, last)
+        return known
+
     def _may_follow(self, last: int, token: int) -> bool:
-        ok = self.sound.get(token)
-        if ok is None:
-            ok = self.sound[token] = self.merged(self.token[token]) == [token]
-        if not ok or last < 0:
-            return ok
-        ok = self.fits.get((last, token))
-        if ok is None:
-            ok = self.fits[last, token] = self.merged(self.token[last] + self.token[token]) == [last, token]
-        return ok
-
-    def _build(self, state: int, byte: int) -> tuple[int, tuple]:
-        made = []
-        for out, last, node in self.states[state]:
-            node = self.child.get(node << 8 | byte)
-            if node is None:
-                continue
-            made.append((out, last, node))
-            token = self.ends.get(node)
-            if token is not None and self._may_follow(last, token):
-                made.append((out + (token,), token, 0))
-        if not made:
-            raise ValueError(f"no token for byte {byte}")
-        agreed, first = 0, made[0][0]
-        least = min(len(m[0]) for m in made)
-        while agreed < least and all(m[0][agreed] == first[agreed] for m in made):
-            agreed += 1
-        nxt = tuple(sorted((out[agreed:], last, node) for out, last, node in made))
-        number = self.number.get(nxt)
+        """Merges go by rank, so both sides of the seam change at known ranks; the tokens stay
+        apart unless at some time the merge across the seam comes first. Of merges of one rank the
+        leftmost comes first."""
+        sound, right, _ = self._ends(token)
+        if not sound or last == self.none:
+            return sound
+        left, i, j = self._ends(last)[2], 0, 0
+        while True:
+            next_left = left[i + 1][1] if i + 1 < len(left) else 1 << 60
+            next_right = right[j + 1][1] if j + 1 < len(right) else 1 << 60
+            across = self.ranks.get(left[i][0] + right[j][0], 1 << 60)
+            if across < next_left and across <= next_right and across < 1 << 60:
+                return False
+            if next_left == next_right == 1 << 60:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
+    def _build(self, state: int, byte: int) -> int:
+        """The set of places after one more byte, deepest first, and the sound tokens ending there."""
+        child = self.child
+        made = tuple(n for p in (*self.states[state], 0) if (n := child.get(p << 8 | byte)) is not None)
+        number = self.number.get(made)
         if number is None:
-            number = self.number[nxt] = len(self.states)
-            self.states.append(nxt)
-        self.moves[state << 8 | byte] = move = (number, first[:agreed])
-        return move
+            number = self.number[made] = len(self.states)
+            self.states.append(made)
+            tokens = [self.ends[n] for n in made if n in self.ends]
+            self.done.append([(t, self.size[t]) for t in tokens if self._ends(t)[0]])
+        self.moves[state << 8 | byte] = number
+        return number
+
+    def _settled(self, last: list[int], state: int) -> int:
+        """The byte up to which tokens are certain, whatever follows."""
+        at = len(last) - 1
+        fronts = {at, *(at - self.depth[n] for n in self.states[state])}
+        while len(fronts) > 1:
+            far = max(fronts)
+            fronts.remove(far)
+            fronts.add(far - self.size[last[far]] if far else 0)
+        return fronts.pop()
+
+    def _behind(self, last: list[int], at: int) -> list[int]:
+        out = []
+        while at:
+            out.append(last[at])
+            at -= self.size[last[at]]
+        return out[::-1]
 
     def piece(self, data: bytes) -> list[int]:
         """The tokens of one piece."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > MOST_STATES:
-            self._fresh()
-        out, state, moves = [], 0, self.moves
+        if len(self.fits) > MOST_PAIRS:
+            self.fits.clear()
+        state, last, out = 0, [self.none], []
+        moves, done, fits = self.moves, self.done, self.fits
         for b in data:
-            move = moves.get(state << 8 | b)
-            if move is None:
-                move = self._build(state, b)
-            state, emitted = move
-            if emitted:
-                out += emitted
-        rest = self.final.get(state)
-        if rest is None:
-            rest = self.final[state] = next(o for o, _, node in self.states[state] if node == 0)
-        out += rest
-        return out
+            nxt = moves.get(state << 8 | b)
+            state = self._build(state, b) if nxt is None else nxt
+            i = len(last)
+            for token, size in done[state]:
+                before = last[i - size]
+                key = before << 20 | token
+                ok = fits.get(key)
+                if ok is None:
+                    ok = fits[key] = self._may_follow(before, token)
+                if ok:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"no token for byte {b}")
+            if i == SETTLE:  # long pieces: give what is certain and keep the rest
+                sure = self._settled(last, state)
+                out += self._behind(last, sure)
+                if sure:
+                    last = last[sure:]
+                    if out:
+                        last[0] = out[-1]
+        return out + self._behind(last, len(last) - 1)
 
 
 class Utf8Stream:
@@ -159,65 +213,111 @@ class Utf8Stream:
         return out
 
 
-def decode_stream(tokens: Iterable[int], token: dict[int, bytes], step: int = DECODE_STEP) -> Iterator[str]:
-    """The text of tokens that come one after another."""
-    stream, held = Utf8Stream(), []
-    for t in tokens:
-        held.append(token[t])
-        if len(held) == step:
-            yield stream.feed(b"".join(held))
-            held.clear()
-    yield stream.feed(b"".join(held)) + stream.end()
+def decode_stream(tokens, token: list[bytes] | dict[int, bytes], step: int = DECODE_STEP) -> Iterator[str]:
+    """The text of a sequence of tokens, ``step`` tokens at a time."""
+    stream = Utf8Stream()
+    for at in range(0, len(tokens), step):
+        yield stream.feed(b"".join(map(token.__getitem__, tokens[at : at + step])))
+    yield stream.end()
 
 
-class _Pieces(dict):
-    """Piece to its tokens as little-endian 32-bit numbers."""
+class _Segments(dict):
+    """What follows a blank (or begins a line), up to the next blank, to its tokens as little-endian
+    32-bit numbers. Segments are cut where the split pattern cuts whatever stands around."""
+
+    def __init__(self, machine: Transducer, pattern: str, before: str):
+        import regex
 
-    def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.before, self.find = machine, before, regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, segment: str) -> bytes:
+        out = self.old.get(segment)
+        if out is None:
+            out = self.encode(self.before + segment)
         if len(self) > MOST_PIECES:
+            self.old = dict(self)
             self.clear()
-        out = b"".join([t.to_bytes(4, "little") for t in self.machine.piece(piece.encode())])
-        if len(piece) <= 64:
-            self[piece] = out
+        if len(segment) <= 64:
+            self[segment] = out
         return out
 
+    def encode(self, text: str) -> bytes:
+        ids = array("I")
+        for piece in self.find(text):
+            ids.extend(self.machine.piece(piece.encode()))
+        return ids.tobytes()
+
+
+class Encoder:
+    """Whole texts by a split pattern and a transducer.
+
+    With the usual pattern, a lone blank between other characters begins a piece, and a lone line
+    end is a piece. Such texts are cut there by plain string functions and the segments looked
+    up; texts with runs of white space, or at their ends, and other patterns are cut by the pattern.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import public_tokenizers
+
+        self.machine = Transducer(ranks)
+        self.token = [self.machine.token.get(i, b"") for i in range(max(self.machine.token) + 1)]
+        self.inner, self.first = _Segments(self.machine, pattern, " "), _Segments(self.machine, pattern, "")
+        self.line_end = self.first.encode("\n")
+        self.plain = pattern == public_tokenizers.PATTERN
+
+    def forget(self) -> None:
+        """Drop what was learnt of texts; the compiled machine stays."""
+        for known in (self.inner, self.first, self.inner.old, self.first.old, self.machine.fits):
+            known.clear()
+
+    def __call__(self, text: str) -> bytes:
+        if not self.plain or _ODD_SPACE.search(text):
+            return self.first.encode(text)
+        first, inner, out = self.first.__getitem__, self.inner.__getitem__, []
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out.append(first(head) + b"".join(map(inner, rest)))
+        return self.line_end.join(out)
+
 
-#: By rank file, what a worker process has compiled; tasks that follow in the process use it too.
-_MACHINES: dict[tuple[int, int], _Pieces] = {}
+#: By rank file and pattern, what a worker process has compiled; later tasks there use it too.
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _pieces(data: bytes) -> _Pieces:
-    key = (len(data), hash(data))
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = _Pieces(Transducer(read_ranks(data)))
-    return _MACHINES[key]
+def _encoder(data: bytes, pattern: str) -> Encoder:
+    key = (len(data), hash(data), pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(read_ranks(data), pattern)
+    return _ENCODERS[key]
 
 
 def _run(ranks, pattern: str, decode: bool):
     def run(batches):
-        import regex
-
-        pieces = _pieces(ranks.value)
-        find, token = regex.compile(pattern).findall, pieces.machine.token
-        for batch in batches:
-            _, off = C.text_buffers(batch.column(1))
-            for a, b in C.chunks(off, 4 << 20):
-                ids, texts = [], []
-                for text in batch.column(1).slice(a, b - a).to_pylist():
-                    packed = b"".join(map(pieces.__getitem__, find(text or "")))
-                    ids.append(packed)
-                    if decode:
-                        texts.append("".join(decode_stream(memoryview(packed).cast("I"), token)))
-                cols = [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * decode, names=["id", "ids", "decoded"][: 2 + decode])
+        encode = _encoder(ranks.value, pattern)
+        try:
+            for batch in batches:
+                yield from _encoded(batch, encode, decode)
+        finally:  # the worker process stays for tasks of other operators
+            encode.forget()
 
     return run
 
 
+def _encoded(batch, encode: Encoder, decode: bool):
+    _, off = C.text_buffers(batch.column(1))
+    for a, b in C.chunks(off, 4 << 20):
+        ids, texts = [], []
+        for text in batch.column(1).slice(a, b - a).to_pylist():
+            packed = encode(text or "")
+            ids.append(packed)
+            if decode:
+                texts.append("".join(decode_stream(memoryview(packed).cast("I"), encode.token)))
+        cols = [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * decode, names=["id", "ids", "decoded"][: 2 + decode])
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """One row per input row: id_col, ids binary (little-endian unsigned 32-bit), and with
     ``decode`` the text decoded from them. The rank file is read on the driver and sent along."""
