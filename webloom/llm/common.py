@@ -6,16 +6,18 @@ Scratch tables are Parquet in the folder that the cluster names in ``spark.check
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
+
+#: Rows of an Arrow batch where the session says nothing.
+BATCH_ROWS = 2000
 #: The six characters that part words in every operator here.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]+"
@@ -64,21 +66,12 @@ class Scratch:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, however the driver found it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_webloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if os.path.isdir(top):
-        out = os.path.join(tempfile.mkdtemp(prefix="webloom-code-"), "webloom_code.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for folder, _, names in os.walk(top):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        sc.addPyFile(out)
-    sc._webloom_shipped = True
+    """Make this package importable on the executors, and bound what a worker holds at a time:
+    whole texts travel, so Arrow batches of 10,000 rows (the default) would be large."""
+    shipping.ship(spark)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(BATCH_ROWS))
 
 
 #: A join side of fewer rows than this is broadcast; above it, the join shuffles.
