@@ -285,6 +285,45 @@ def test_license_scan(spark):
     assert {r.license for r in got if r.doc_id == 2} == {"MIT"} and {r.doc_id for r in got} == {1, 2}
 
 
+def test_license_words_just_before_a_notice():
+    split = {n: license_scan.words_of(t) for n, t in license_scan.TEMPLATES.items()}
+    before = ["", "This is part of the project. ", "the license of this is under the ", "Copyright (c) 2020 Jane Doe. Notice: ", "Licensed or released, version 3, under "]
+    for name, notice in license_scan.TEMPLATES.items():
+        for b in before:
+            text = f"{b}{notice} and {b}{notice} of the software under this"
+            n, m = len(license_scan.words_of(b)), len(split[name])
+            got = [x[1:] for x in license_scan.scan(text, split) if x[0] == name]
+            assert got == [(1.0, n, n + m), (1.0, 2 * n + m + 1, 2 * n + 2 * m + 1)], (name, b)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from("abcdx"), max_size=12), st.lists(st.sampled_from("abcd"), min_size=1, max_size=6), st.integers(0, 2))
+def test_license_windows(text, template, left_out):
+    need = max(len(template) - left_out, 1)
+
+    def common_words(a):
+        size = [0] * (len(template) + 1)
+        for w in a:
+            size = [0, *(max(size[j] + 1 if w == template[j] else 0, size[j + 1]) for j in range(len(template)))]
+            for j in range(len(template)):
+                size[j + 1] = max(size[j + 1], size[j])
+        return size[-1]
+
+    want = {}
+    for end in range(1, len(text) + 1):
+        for k in range(need, len(template) + 1):
+            fits = [a for a in range(end) if common_words(text[a:end]) >= k]
+            if fits:
+                want[end, k] = fits[-1]
+    got, best = license_scan.windows(text, template, need), {}
+    for end in range(1, len(text) + 1):
+        for k in range(need, len(template) + 1):
+            fits = [a for e, a, n in got if e <= end and n >= k]
+            if fits:
+                best[end, k] = max(fits)
+    assert best == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcdefgh"), max_size=14), st.lists(st.sampled_from("abcdefgh"), max_size=14))
 def test_patience(a, b):

@@ -5,9 +5,11 @@ increasing subsequence of anchors is kept; the gaps between them are aligned the
 equal runs at the ends of a gap are matched. Coverage is the matched share of the template.
 
 Passages are the dense runs of a template's words in a text (at most ``gap`` other words
-between), cut where a word that the template has once comes again, so repeated notices are found
-one by one. A native filter passes only texts that hold a key word: for each template, key words
-make up more than 1 - min_coverage of it, so no passage of enough coverage is lost.
+between), never cut. In a run, every shortest stretch that holds enough template words in order is
+aligned (the longest common subsequence bounds an alignment, so no other stretch can do), and of
+stretches that overlap one stays, so that there are as many as can be and repeated notices are
+found one by one. A native filter passes only texts that hold a key word: for each template, key
+words make up more than 1 - min_coverage of it, so no passage of enough coverage is lost.
 
 Defined results: null and empty texts match nothing; words are runs of letters, digits, ``.`` and
 ``-`` inside, lower-cased; a passage that fits several templates has a row for each; very long
@@ -17,8 +19,9 @@ texts are read whole; repeated rows each get rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,33 +106,95 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def passages(text: list[str], template: list[str], gap: int = GAP):
-    """(first, end) of the dense runs of the template's words."""
-    count = Counter(template)
-    begin, last, seen = -1, -1, set()
+    """(first, end) of the dense runs of the template's words, whole."""
+    own = set(template)
+    begin = last = -1
     for i, w in enumerate(text):
-        if w not in count:
+        if w not in own:
             continue
-        if begin >= 0 and (i - last > gap + 1 or w in seen):
+        if begin >= 0 and i - last > gap + 1:
             yield begin, last + 1
             begin = -1
         if begin < 0:
-            begin, seen = i, set()
+            begin = i
         last = i
-        if count[w] == 1:
-            seen.add(w)
     if begin >= 0:
         yield begin, last + 1
 
 
+def windows(text: list[str], template: list[str], need: int) -> list[tuple[int, int, int]]:
+    """(end, first, k) by end: the shortest stretches that hold k >= need template words in order.
+
+    latest[j][q] is the latest first word of such a stretch up to here that spends the first j
+    template words, q of them left out; a match moves along the diagonal of further left out ones.
+    """
+    n = len(template)
+    most = n - need
+    places: dict[str, list[int]] = {}
+    for j in range(n - 1, -1, -1):
+        places.setdefault(template[j], []).append(j)
+    latest = [[-1] * (most + 1) for _ in range(n + 1)]
+    out = []
+    for i, w in enumerate(text):
+        for j in places.get(w, ()):
+            row = latest[j]
+            for q in range(min(j, most) + 1):
+                first = i if q == j else row[q]
+                t, left = j + 1, q
+                while left <= most and t <= n and latest[t][left] < first:
+                    latest[t][left] = first
+                    if t == n:
+                        out.append((i + 1, first, n - left))
+                    t, left = t + 1, left + 1
+    return out
+
+
+def notices(text: list[str], template: list[str], need: int) -> list[list[tuple[int, int]]]:
+    """Alignments, of at least ``need`` words each, with stretches of a run that do not overlap.
+
+    As many stretches as there are (earliest end first); then each is replaced by the stretch of
+    most aligned words, the shortest of these, between its neighbours.
+    """
+    found = sorted(windows(text, template, need), key=lambda x: (x[0], -x[1]))
+    known: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def aligned(first, end):
+        if (first, end) not in known:
+            known[first, end] = [(first + i, j) for i, j in patience(text[first:end], template)]
+        return known[first, end]
+
+    chosen, free = [], 0
+    for end, first, _ in found:
+        if first >= free and len(aligned(first, end)) >= need:
+            chosen.append(first)
+            free = end
+    out, free, ends = [], 0, [x[0] for x in found]
+    for limit in [*chosen[1:], len(text)][: len(chosen)]:
+        best: list[tuple[int, int]] = []
+        near = [x for x in found[bisect_left(ends, free) : bisect_right(ends, limit)] if x[1] >= free]
+        for end, first, k in sorted(near, key=lambda x: (-x[2], x[0] - x[1], x[1])):
+            if k <= len(best):
+                break
+            best = max(best, aligned(first, end), key=len)
+        out.append(best)
+        free = best[-1][0] + 1
+    return out
+
+
 def scan(text: str, templates: dict[str, list[str]], min_coverage: float = MIN_COVERAGE):
     """(template, coverage, first word, end word) of each passage of enough coverage."""
     words = words_of(text)
+    held = Counter(words)
     for name, template in templates.items():
+        need = max(ceil(min_coverage * len(template)), 1)
+        count = Counter(template)
+        if sum(min(held[w], n) for w, n in count.items()) < need:
+            continue
         for a, b in passages(words, template):
-            if b - a < min_coverage * len(template):
+            run = words[a:b]
+            if (count & Counter(run)).total() < need:
                 continue
-            matched = patience(words[a:b], template)
-            if len(matched) >= min_coverage * len(template):
+            for matched in notices(run, template, need):
                 yield name, len(matched) / len(template), a + matched[0][0], a + matched[-1][0] + 1
 
 
