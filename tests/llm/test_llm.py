@@ -447,6 +447,51 @@ def test_pii_terms(spark):
     assert got[0].n_term >= 1 and got[9].n_term == 0 and got[9].text == rows[3][1]
 
 
+def disclosing(texts, min_support=pii.MIN_SUPPORT):
+    """The term spans of each text, by counting over whole documents (ASCII texts)."""
+    base = [sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(KINDS) for m in re.finditer(p, t) if ok(m.group())) for t in texts]
+    name = lambda t, s, k, e: (k, t[s:e].lower() if k == 0 else t[s:e] if k == 1 else re.sub("[^0-9]", "", t[s:e]))
+    terms = [[(m.group().lower(), m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", t)] for t in texts]
+    n_t, n_te, support, seen = Counter(), Counter(), Counter(), set()
+    for t, b, w in zip(texts, base, terms):
+        n_t.update({x[0] for x in w})
+        for pair in {(name(t, *x), y[0]) for x in b for y in w}:
+            n_te[pair] += 1
+            support[pair] += 0 if t in seen else sum(name(t, *x) == pair[0] for x in b)
+        seen.add(t)
+    bad = {p for p in n_te if support[p] >= min_support and 2 * n_te[p] >= n_t[p[1]]}
+    return [[(s, e) for w, s, e in ws if any((name(t, *x), w) in bad for x in b) and not any(s < x[2] and e > x[0] for x in b)] for t, b, ws in zip(texts, base, terms)]
+
+
+def test_pii_terms_of_whole_documents(spark):
+    rng = random.Random(11)
+    entities = ["ann@x.org", "Bob@y.net", "10.0.0.7", "+1 555 010 9999", "4111 1111 1111 1111"]
+    usual = [f"word{i}" for i in range(30)] + ["a", "of", "7", "10"]
+    texts = []
+    for _ in range(90):
+        t = [rng.choice(usual) for _ in range(rng.randint(1, 120))]
+        for e in rng.sample(range(5), rng.choice([0, 0, 1, 2])):
+            t.insert(rng.randrange(len(t) + 1), entities[e])
+            for _ in range(rng.randint(0, 3)):
+                t.insert(rng.randrange(len(t) + 1), rng.choice([f"Far{e}", f"q{e}", f"9{e}", "zu"]))
+        texts.append(" ".join(t))
+    far = "word1 " * 40
+    texts += [f"Quell of room 417 io {far} mail zed@w.org {far} quell io {i}" for i in range(3)]
+    texts += [texts[-1], *texts[:5], "of the harbour", "", f"twice 10.9.8.7 {far} 10.9.8.7 twain"]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), with_text=True).collect()}
+    for i, (t, want) in enumerate(zip(texts, disclosing(texts))):
+        spans = [x.split(":") for x in got[i].spans.split(",") if x.startswith("term")]
+        assert [(int(a), int(b)) for _, a, b in spans] == want and got[i].n_term == len(want), (t, got[i].spans, want)
+    assert got[90].text.startswith("[Name] of [word] [number] [word] word1") and got[90].text.endswith("[word] [word] 0")
+
+
+def test_pii_tokens_of_long_texts(spark):
+    text = " ".join(f"w{i}é" if i % 3 else "😀,X" for i in range(3000))
+    got = spark.createDataFrame([(text,), ("",), ("--",)], "t string").select(pii.tokens(F.col("t")).alias("x")).collect()
+    assert [tuple(x) for x in got[0].x] == [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+    assert got[1].x == [] and got[2].x == []
+
+
 # ------------------------------------------------------------------ pipeline
 
 

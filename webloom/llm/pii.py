@@ -1,15 +1,19 @@
 """Information-theoretic sanitisation of personal data. DataFrame functions only.
 
-Protected entities are the matches of four base patterns (e-mail, IP, card, phone). A term near
-an entity discloses it when the corpus says so: with p(.) as document frequencies, the term's
-pointwise mutual information with the entity reaches the entity's information content but for
-``bits_kept`` bits, PMI(t, e) >= IC(e) - bits_kept, which is p(e | t) >= 2**-bits_kept, supported
-by at least ``min_support`` different contexts. Such a term is generalised to its shape's class
-(``[word]``, ``[Name]``), or removed where it has no class; entities become ``[email]`` etc.
-
-Counting: contexts are the ``reach`` code points on either side of an entity, so pairs grow with
-the entities, not with the square of a document. p(t) counts every document of the corpus that
-holds the term anywhere. Only terms that some entity could flag are counted.
+Protected entities are the matches of four base patterns (e-mail, IP, card, phone). A term (a run
+of letters, marks and digits) discloses an entity when the corpus says so: with p(.) as document
+frequencies, the term's pointwise mutual information with the entity reaches the entity's
+information content but for ``bits_kept`` bits, PMI(t, e) >= IC(e) - bits_kept, which is
+p(e | t) >= 2**-bits_kept, supported by at least ``min_support`` mentions of the entity in
+different texts or at different places of one. Every occurrence
+of such a term, in each document that holds the entity, is generalised to its shape's class
+(``[word]``, ``[Name]``, ``[number]``); entities become ``[email]`` etc.
+
+Counting: entities and terms meet in whole documents. Copies of a text are counted as one text of
+that many documents. Only pairs that could be flagged are made: both sides have the support,
+and the term's documents are at most 2**bits_kept times the entity's. p(t) counts every
+document of the corpus that holds the term anywhere. Of one document the pairs are still its
+entities times its terms, less those.
 
 Patterns are the contract's, made possessive and anchored at the start of a run (or the end of
 the last match, \\G): the same leftmost greedy matches, without backtracking or deep recursion.
@@ -37,8 +41,9 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
-TERM = r"\p{L}{4,}"
-REACH = 64
+TERM = r"[\p{L}\p{M}\p{N}]+"
+#: Tokens that are placed together, see tokens().
+SLICE = 256
 MIN_SUPPORT = 2
 BITS_KEPT = 1.0
 SMALL_ROWS = 200_000
@@ -78,6 +83,29 @@ def located(text: Column, pattern: str, valid=lambda m: F.lit(True)) -> Column:
     return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
+def tokens(text: Column) -> Column:
+    """array<struct(term, s, e)> of the matches of TERM, lower-cased: code points, end exclusive.
+
+    Places are found in slices and then moved, so that no step copies the list of a long text.
+    """
+    gaps = F.split(text, TERM, -1)
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("n"), F.lower(m).alias("term")))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / SLICE), F.lit(1)).cast("int") - 1), lambda i: F.slice(pairs, i * SLICE + 1, F.lit(SLICE)))
+
+    def place(a, z):
+        s = a["at"] + z["g"]
+        return F.struct((s + z["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(z["term"].alias("term"), s.alias("s"), (s + z["n"]).alias("e")))).alias("out"))
+
+    def shift(a, part):
+        moved = F.transform(part["out"], lambda x: F.struct(x["term"].alias("term"), (x["s"] + a["at"]).alias("s"), (x["e"] + a["at"]).alias("e")))
+        return F.struct((a["at"] + part["at"]).alias("at"), F.concat(a["out"], F.array(moved)).alias("out"))
+
+    kind = "array<struct<term:string,s:int,e:int>>"
+    placed = F.transform(parts, lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), place))
+    return F.flatten(F.aggregate(placed, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), shift)["out"])
+
+
 def _base_spans(text: Column) -> Column:
     parts = []
     for rank, kind in enumerate(KINDS[:4]):
@@ -100,52 +128,51 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, min_support: int = MIN_SUPPORT, bits_kept: float = BITS_KEPT, small_rows: int = SMALL_ROWS, with_text: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, bits_kept: float = BITS_KEPT, small_rows: int = SMALL_ROWS, with_text: bool = False) -> DataFrame:
     """One row per input row: id_col, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans,
     and with ``with_text`` the sanitised text."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     with C.Scratch(spark) as s:
-        based = docs.withColumn("base", _base_spans(F.col("text")))
-
-        def context(x):
-            entity = F.substring("text", x["s"] + 1, x["e"] - x["s"])
-            entity = F.concat(x["k"].cast("string"), F.lit(":"), F.when(x["k"] == 0, F.lower(entity)).when(x["k"] >= 2, _digits(entity)).otherwise(entity))
-            left = F.greatest(x["s"] - reach, F.lit(0))
-            return F.struct(
-                entity.alias("entity"),
-                left.alias("ls"),
-                F.substring("text", left + 1, x["s"] - left).alias("lt"),
-                x["e"].alias("rs"),
-                F.substring("text", x["e"] + 1, F.lit(reach)).alias("rt"),
-            )
-
-        extra = ["text"] if with_text else []
-        found = based.select("id", F.monotonically_increasing_id().alias("uid"), "base", F.transform("base", context).alias("ctx"), *extra)
-        found = s.write(found)
-        ctx = found.where(F.size("base") > 0).select("uid", "base", F.explode("ctx").alias("c"))
-
-        def terms(text, at, cut_first, cut_last):
-            got = located(text, TERM)
-            got = F.filter(got, lambda x: ~(cut_first & (x["s"] == 0)) & ~(cut_last & (x["e"] == F.char_length(text))))
-            return F.transform(got, lambda x: F.struct(F.lower(F.substring(text, x["s"] + 1, x["e"] - x["s"])).alias("term"), (x["s"] + at).alias("s"), (x["e"] + at).alias("e")))
-
-        # a word cut by the edge of a context is no term; one that touches the entity is none either
-        both = F.concat(terms(F.col("c.lt"), F.col("c.ls"), F.col("c.ls") > 0, F.lit(True)), terms(F.col("c.rt"), F.col("c.rs"), F.lit(True), F.char_length("c.rt") == reach))
-        occ = ctx.select("uid", "base", "c.entity", F.xxhash64("c.lt", "c.rt").alias("ctx"), F.explode(both).alias("t"))
-        occ = occ.where(~F.exists("base", lambda b: (F.col("t.s") < b["e"]) & (F.col("t.e") > b["s"])))
-        occ = s.write(occ.select("uid", "entity", "ctx", "t.term", "t.s", "t.e"))
-        support = occ.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-        together = occ.select("entity", "term", "uid").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-        pairs = s.write(support.where(F.col("contexts") >= min_support).join(together, ["entity", "term"]))
-        candidates = pairs.select("term").distinct()
+        based = docs.withColumn("base", _base_spans(F.col("text"))).withColumn("uid", F.monotonically_increasing_id())
+        holds = F.size("base") > 0
+
+        def entity(x):
+            m = F.substring("text", x["s"] + 1, x["e"] - x["s"])
+            return F.concat(x["k"].cast("string"), F.lit(":"), F.when(x["k"] == 0, F.lower(m)).when(x["k"] >= 2, _digits(m)).otherwise(m))
+
+        # copies of a text share a key; a text without entities has one of its own, which meets nothing
+        key = F.when(holds, F.sha2("text", 256)).otherwise(F.col("uid").cast("string"))
+        kept = F.col("text") if with_text else F.when(holds, F.col("text"))
+        found = s.write(based.select("id", "uid", "base", key.alias("key"), F.transform("base", entity).alias("entities"), kept.alias("text")))
+        holders = found.where(holds)
+        copies = s.write(holders.groupBy("key").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")))
+        texts = holders.select("uid", "base", "entities", "text").join(C.small_side(copies, small_rows), "uid")
+        texts = s.write(texts.select("key", "copies", "base", "entities", tokens(F.col("text")).alias("tokens")))
+
+        owned = texts.select("key", "copies", F.explode("entities").alias("entity")).groupBy("key", "copies", "entity").agg(F.count("*").alias("mentions"))
+        often = owned.groupBy("entity").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_e")).where(F.col("support") >= min_support)
+        owned = s.write(owned.join(C.small_side(s.write(often.drop("support")), small_rows), "entity"))
+        most = owned.groupBy("key").agg(F.max("n_e").alias("most"), F.max("mentions").alias("mentions"))
+        held = texts.join(most, "key").select("key", "mentions", "most", F.explode(F.array_distinct("tokens.term")).alias("term"))
+        candidates = s.write(held.groupBy("term").agg(F.sum("mentions").alias("support"), F.max("most").alias("most")).where(F.col("support") >= min_support))
+        words = docs.select(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), F.lower)).alias("w")).select(F.explode("w").alias("term"))
         if candidates.limit(small_rows + 1).count() <= small_rows:
-            candidates = F.broadcast(candidates)
-        words = docs.select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("w")).select(F.explode("w").alias("term"))
-        n_t = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-        flagged = pairs.join(n_t, "term").where(F.col("n_te") * 2.0**bits_kept >= F.col("n_t")).select("entity", "term")
-        hits = occ.join(flagged, ["entity", "term"]).select("uid", F.struct("s", F.lit(4).alias("k"), "e").alias("x")).groupBy("uid").agg(F.collect_set("x").alias("more"))
-        out = found.drop("ctx").join(hits, "uid", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int>>")))
+            words = words.join(F.broadcast(candidates.select("term")), "term", "left_semi")
+        n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term")
+        # n_te is at most n_e: a term of more documents than these bits allow goes before the pairs
+        rare = lambda n: F.col(n) * 2.0**bits_kept >= F.col("n_t")
+        n_t = s.write(n_t.where(rare("most")).select("term", "n_t"))
+        held = held.join(C.small_side(n_t, small_rows), "term").where(rare("most")).select("key", "term", "n_t")
+        pairs = s.write(held.join(owned, "key").where(rare("n_e")).select("key", "entity", "term", "n_t", "copies", "mentions"))
+        flagged = pairs.groupBy("entity", "term").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"))
+        flagged = flagged.where((F.col("support") >= min_support) & rare("n_te")).select("entity", "term")
+        bad = s.write(pairs.join(flagged, ["entity", "term"], "left_semi").select("key", "term").distinct())
+        places = texts.select("key", "base", F.explode("tokens").alias("t")).select("key", "base", "t.term", "t.s", "t.e")
+        places = places.join(C.small_side(bad, small_rows), ["key", "term"], "left_semi").where(~F.exists("base", lambda x: (F.col("s") < x["e"]) & (F.col("e") > x["s"])))
+        hits = places.select("key", F.struct("s", F.lit(4).alias("k"), "e").alias("x")).groupBy("key").agg(F.collect_list("x").alias("more"))
+        hits = s.write(hits)
+        out = found.join(hits, "key", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int>>")))
         out = out.withColumn("all", F.array_sort(F.concat("base", "more")))
         count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
         cols = [F.col("id").alias(id_col), *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS[:4])], F.size("more").cast("long").alias("n_term"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans")]
@@ -159,8 +186,8 @@ def _rewritten() -> Column:
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
 
     def step(a, x):
-        # any code point beyond the last match of TERM would have been cut: words have a class
-        term = F.when(F.substring("text", x["s"] + 1, F.lit(1)).rlike(r"\p{Lu}"), F.lit("[Name]")).otherwise(F.lit("[word]"))
+        first = F.substring("text", x["s"] + 1, F.lit(1))
+        term = F.when(first.rlike(r"\p{Lu}"), F.lit("[Name]")).when(first.rlike(r"\p{N}"), F.lit("[number]")).otherwise(F.lit("[word]"))
         mark = F.when(x["k"] == 4, term).otherwise(F.element_at(names, x["k"] + 1))
         fresh = F.struct(F.concat(a["out"], F.substring("text", a["at"] + 1, x["s"] - a["at"]), mark).alias("out"), x["e"].alias("at"))
         return F.when(x["s"] >= a["at"], fresh).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at")))
