@@ -452,14 +452,15 @@ def disclosing(texts, min_support=pii.MIN_SUPPORT):
     base = [sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(KINDS) for m in re.finditer(p, t) if ok(m.group())) for t in texts]
     name = lambda t, s, k, e: (k, t[s:e].lower() if k == 0 else t[s:e] if k == 1 else re.sub("[^0-9]", "", t[s:e]))
     terms = [[(m.group().lower(), m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", t)] for t in texts]
-    n_t, n_te, support, seen = Counter(), Counter(), Counter(), set()
+    n_t, n_te, n_e, support, seen = Counter(), Counter(), Counter(), Counter(), set()
     for t, b, w in zip(texts, base, terms):
         n_t.update({x[0] for x in w})
+        n_e.update({name(t, *x) for x in b})
         for pair in {(name(t, *x), y[0]) for x in b for y in w}:
             n_te[pair] += 1
             support[pair] += 0 if t in seen else sum(name(t, *x) == pair[0] for x in b)
         seen.add(t)
-    bad = {p for p in n_te if support[p] >= min_support and 2 * n_te[p] >= n_t[p[1]]}
+    bad = {p for p in n_te if (2 * n_te[p] >= n_t[p[1]] if support[p] >= min_support else 2 * (n_te[p] + n_e[p[0]] / len(texts)) >= n_t[p[1]] + 1)}
     return [[(s, e) for w, s, e in ws if any((name(t, *x), w) in bad for x in b) and not any(s < x[2] and e > x[0] for x in b)] for t, b, ws in zip(texts, base, terms)]
 
 
@@ -485,6 +486,13 @@ def test_pii_terms_of_whole_documents(spark):
     assert got[90].text.startswith("[Name] of [word] [number] [word] word1") and got[90].text.endswith("[word] [word] 0")
 
 
+def test_pii_terms_of_an_entity_met_once(spark):
+    rows = [(0, "the harbour master Quist 88 writes from q@w.org about the boat"), *[(i, "the harbour master writes from a boat about nothing") for i in range(1, 5)]]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got[0].text == "the harbour master [Name] [number] writes from [email] about the boat"
+    assert all(got[i].text == t and got[i].n_term == 0 for i, t in rows[1:])
+
+
 def test_pii_tokens_of_long_texts(spark):
     text = " ".join(f"w{i}é" if i % 3 else "😀,X" for i in range(3000))
     got = spark.createDataFrame([(text,), ("",), ("--",)], "t string").select(pii.tokens(F.col("t")).alias("x")).collect()

@@ -4,14 +4,15 @@ Protected entities are the matches of four base patterns (e-mail, IP, card, phon
 of letters, marks and digits) discloses an entity when the corpus says so: with p(.) as document
 frequencies, the term's pointwise mutual information with the entity reaches the entity's
 information content but for ``bits_kept`` bits, PMI(t, e) >= IC(e) - bits_kept, which is
-p(e | t) >= 2**-bits_kept, supported by at least ``min_support`` mentions of the entity in
-different texts or at different places of one. Every occurrence
+p(e | t) >= 2**-bits_kept. With fewer than ``min_support`` mentions of the entity beside the term,
+in different texts or at different places of one, p(e | t) is smoothed by one more document with the
+term, which holds the entity with chance p(e): then terms found nowhere else disclose. Every occurrence
 of such a term, in each document that holds the entity, is generalised to its shape's class
 (``[word]``, ``[Name]``, ``[number]``); entities become ``[email]`` etc.
 
 Counting: entities and terms meet in whole documents. Copies of a text are counted as one text of
-that many documents. Only pairs that could be flagged are made: both sides have the support,
-and the term's documents are at most 2**bits_kept times the entity's. p(t) counts every
+that many documents. Only pairs that could be flagged are made: the term's documents are at most
+2**bits_kept times the entity's. p(t) counts every
 document of the corpus that holds the term anywhere. Of one document the pairs are still its
 entities times its terms, less those.
 
@@ -147,32 +148,35 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         found = s.write(based.select("id", "uid", "base", key.alias("key"), F.transform("base", entity).alias("entities"), kept.alias("text")))
         holders = found.where(holds)
         copies = s.write(holders.groupBy("key").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")))
-        texts = holders.select("uid", "base", "entities", "text").join(C.small_side(copies, small_rows), "uid")
-        texts = s.write(texts.select("key", "copies", "base", "entities", tokens(F.col("text")).alias("tokens")))
-
-        owned = texts.select("key", "copies", F.explode("entities").alias("entity")).groupBy("key", "copies", "entity").agg(F.count("*").alias("mentions"))
-        often = owned.groupBy("entity").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_e")).where(F.col("support") >= min_support)
-        owned = s.write(owned.join(C.small_side(s.write(often.drop("support")), small_rows), "entity"))
-        most = owned.groupBy("key").agg(F.max("n_e").alias("most"), F.max("mentions").alias("mentions"))
-        held = texts.join(most, "key").select("key", "mentions", "most", F.explode(F.array_distinct("tokens.term")).alias("term"))
-        candidates = s.write(held.groupBy("term").agg(F.sum("mentions").alias("support"), F.max("most").alias("most")).where(F.col("support") >= min_support))
+        texts = holders.select("uid", "entities", "text").join(C.small_side(copies.drop("key"), small_rows), "uid")
+        texts = s.write(texts.select("uid", "copies", "entities", tokens(F.col("text")).alias("tokens")))
+
+        owned = texts.select("uid", "copies", F.explode("entities").alias("entity")).groupBy("uid", "copies", "entity").agg(F.count("*").alias("mentions"))
+        often = owned.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+        owned = s.write(owned.join(C.small_side(s.write(often), small_rows), "entity"))
+        most = owned.groupBy("uid").agg(F.max("n_e").alias("most"))
+        # n_te is at most n_e: a term of more documents than these bits allow goes before the pairs
+        rare = lambda n, of="n_t": F.col(n) * 2.0**bits_kept >= F.col(of)
+        held = texts.join(most, "uid").select("uid", "copies", "most", F.explode(F.array_distinct("tokens.term")).alias("term"))
+        candidates = held.groupBy("term").agg(F.max("most").alias("most"), F.sum("copies").alias("n_h"))
+        candidates = s.write(candidates.where(rare("most", "n_h")).drop("n_h"))
         words = docs.select(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), F.lower)).alias("w")).select(F.explode("w").alias("term"))
         if candidates.limit(small_rows + 1).count() <= small_rows:
             words = words.join(F.broadcast(candidates.select("term")), "term", "left_semi")
         n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term")
-        # n_te is at most n_e: a term of more documents than these bits allow goes before the pairs
-        rare = lambda n: F.col(n) * 2.0**bits_kept >= F.col("n_t")
         n_t = s.write(n_t.where(rare("most")).select("term", "n_t"))
-        held = held.join(C.small_side(n_t, small_rows), "term").where(rare("most")).select("key", "term", "n_t")
-        pairs = s.write(held.join(owned, "key").where(rare("n_e")).select("key", "entity", "term", "n_t", "copies", "mentions"))
-        flagged = pairs.groupBy("entity", "term").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"))
-        flagged = flagged.where((F.col("support") >= min_support) & rare("n_te")).select("entity", "term")
-        bad = s.write(pairs.join(flagged, ["entity", "term"], "left_semi").select("key", "term").distinct())
-        places = texts.select("key", "base", F.explode("tokens").alias("t")).select("key", "base", "t.term", "t.s", "t.e")
-        places = places.join(C.small_side(bad, small_rows), ["key", "term"], "left_semi").where(~F.exists("base", lambda x: (F.col("s") < x["e"]) & (F.col("e") > x["s"])))
-        hits = places.select("key", F.struct("s", F.lit(4).alias("k"), "e").alias("x")).groupBy("key").agg(F.collect_list("x").alias("more"))
-        hits = s.write(hits)
+        held = held.join(C.small_side(n_t, small_rows), "term").where(rare("most")).select("uid", "term", "n_t")
+        pairs = s.write(held.join(owned, "uid").where(rare("n_e")).select("uid", "entity", "term", "n_e", "n_t", "copies", "mentions"))
+        flagged = pairs.groupBy("entity", "term").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+        smoothed = (F.col("n_te") + F.col("n_e") / F.lit(float(max(found.count(), 1)))) * 2.0**bits_kept >= F.col("n_t") + 1
+        flagged = flagged.where(F.when(F.col("support") >= min_support, rare("n_te")).otherwise(smoothed)).select("entity", "term")
+        bad = s.write(pairs.join(flagged, ["entity", "term"], "left_semi").select("uid", "term").distinct())
+        places = texts.select("uid", F.explode("tokens").alias("t")).select("uid", "t.term", "t.s", "t.e")
+        places = places.join(C.small_side(bad, small_rows), ["uid", "term"], "left_semi")
+        hits = places.groupBy("uid").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e")).alias("more"))
+        hits = s.write(hits.join(copies, "uid").select("key", "more"))
         out = found.join(hits, "key", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int>>")))
+        out = out.withColumn("more", F.filter("more", lambda t: ~F.exists("base", lambda x: (t["s"] < x["e"]) & (t["e"] > x["s"]))))
         out = out.withColumn("all", F.array_sort(F.concat("base", "more")))
         count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
         cols = [F.col("id").alias(id_col), *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS[:4])], F.size("more").cast("long").alias("n_term"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans")]
