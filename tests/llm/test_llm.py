@@ -377,8 +377,31 @@ def test_bpe_equals_library(encoder, library, parts, more):
 
 def test_bpe_long_piece(encoder, library):
     rng = random.Random(1)
-    for text in ("a" * 9000, "".join(rng.choice("abcxyz") for _ in range(7000)), "ab" * 4000):
-        assert list(memoryview(encoder(text)).cast("I")) == library.encode_ordinary(text)
+    for text in ("a" * 9000, "".join(rng.choice("abcxyz") for _ in range(7000)), "ab" * 4000, " " * 3000 + "x" + "\n" * 700, "word " * 60000):
+        got = np.frombuffer(encoder(text), np.uint32)
+        assert got.tolist() == library.encode_ordinary(text)
+        assert encoder.decoded(got) == text.encode()
+
+
+def test_bpe_batch_and_bytes(encoder, library):
+    """Texts side by side, empty ones among them; bytes that are no characters come out whole."""
+    texts = ["", "a  b", "", " ", "\u3000 x\n\n y", "don't", "x" * 70, "", "é'll 12ab"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    ids, place = encoder.batch(raw, off)
+    assert [ids[a:b].tolist() for a, b in zip(place, place[1:])] == [library.encode_ordinary(t) for t in texts]
+    broken = b"\xff\xe2\x82a\xf0\x9f"
+    singles = np.array([encoder.machine.ranks[bytes([b])] for b in broken], np.uint32)
+    assert encoder.decoded(singles) == broken
+
+
+def test_bpe_other_pattern(encoder, library):
+    import tiktoken
+
+    other = bpe.Encoder(encoder.machine.ranks, r"\w+|\W")
+    lib = tiktoken.Encoding("own", pat_str=r"\w+|\W", mergeable_ranks=encoder.machine.ranks, special_tokens={})
+    for text in ("", "don't stop  now\n", "été 12ab"):
+        assert np.frombuffer(other(text), np.uint32).tolist() == lib.encode_ordinary(text)
 
 
 def test_pairs_equal_merges(encoder):
@@ -404,7 +427,7 @@ def test_bpe_operator(docs, empty, library):
     import public_tokenizers as P
 
     args = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    got = Counter((r.doc_id, bytes(r.ids), r.decoded) for r in bpe.bpe_encode(docs, *args, decode=True).collect())
+    got = Counter((r.doc_id, bytes(r.ids), bytes(r.decoded).decode()) for r in bpe.bpe_encode(docs, *args, decode=True).collect())
     want = Counter((r[0], struct.pack(f"<{len(i)}I", *i), r[1] or "") for r in corpus() for i in [library.encode_ordinary(r[1] or "")])
     assert got == want and bpe.bpe_encode(empty, *args).count() == 0
 

@@ -10,7 +10,12 @@ give, so of the tokens that end at a byte exactly one follows what was read befo
 transducer keeps it in a register for that byte. A token is emitted once every place where the
 machine stands has it behind itself, so lookahead is bounded by the longest token.
 
-The split pattern cuts a text into pieces first; a piece that is itself a token is that token.
+The split pattern cuts a text into pieces first; a piece that is itself a token is that token. The
+distinct pieces of a batch go through the transducer in lockstep, a byte of each at a step: moves,
+registers and known pairs are tables that numpy gathers from. Pieces of more than ``LOCKSTEP`` bytes
+are read alone and emitted as they settle.
+
+Decoding takes tokens a few at a time; a UTF-8 state machine holds back an unfinished character.
 
 Defined results: null text is empty and has no tokens; any bytes have tokens (all single bytes
 are in the vocabulary); very long texts and pieces are read whole; repeated rows each get a
@@ -21,23 +26,34 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Known segments and token pairs that a worker keeps at a time.
-MOST_PIECES = 60_000
-MOST_PAIRS = 200_000
+#: Places of the table of known token pairs, a power of two; a new pair takes the place of an old one.
+PAIR_SLOTS = 1 << 20
+#: Pieces of at most so many bytes go in lockstep, so many at a time.
+LOCKSTEP = 48
+ABREAST = 1 << 14
 #: A longer piece is emitted in parts of about so many bytes.
-SETTLE = 1024
+SETTLE = 256
+#: Bytes of texts that are encoded together.
+CHUNK = 4 << 20
 #: Tokens that the decoder takes at a time.
 DECODE_STEP = 8192
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f\x85]")
+#: Kinds of bytes in a piece: letters, digits, other signs, blanks; beyond ASCII the pattern decides.
+KIND = np.full(256, 2, np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]], KIND[48:58], KIND[C.IS_BLANK], KIND[128:] = 0, 1, 3, 4
+#: First bytes, in UTF-8, of white space that is none of the six blanks.
+ODD_LEAD = np.zeros(256, bool)
+ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -64,11 +80,18 @@ class Transducer:
         self.size = {v: len(k) for k, v in ranks.items()}
         self.none = 1 + max(self.token)
         self.sides: dict[int, tuple[bool, list, list]] = {}
-        self.fits: dict[int, bool] = {}
         self.states: list[tuple[int, ...]] = [()]
         self.done: list[list[tuple[int, int]]] = [[]]
         self.number: dict[tuple[int, ...], int] = {(): 0}
-        self.moves: dict[int, int] = {}
+        self.words = pa.array(list(ranks), pa.binary())
+        self.word_ranks = np.array(list(ranks.values()), np.uint32)
+        # the same machine as tables: next state by state and byte (-1: not built), tokens by state
+        self.move = np.full((256, 256), -1, np.int32)
+        self.ending = np.full((256, 2), -1, np.int32)
+        self.length = np.zeros(self.none + 1, np.int32)
+        self.length[list(self.size)] = list(self.size.values())
+        self.pair = np.full(PAIR_SLOTS, -1, np.int64)
+        self.fit = np.zeros(PAIR_SLOTS, bool)
 
     def merged(self, word: bytes) -> list[int]:
         """The merges of one short string, in rank order: the definition, for tests."""
@@ -129,10 +152,74 @@ class Transducer:
             number = self.number[made] = len(self.states)
             self.states.append(made)
             tokens = [self.ends[n] for n in made if n in self.ends]
-            self.done.append([(t, self.size[t]) for t in tokens if self._ends(t)[0]])
-        self.moves[state << 8 | byte] = number
+            sound = [(t, self.size[t]) for t in tokens if self._ends(t)[0]]
+            self.done.append(sound)
+            if number == len(self.move):
+                self.move = np.concatenate([self.move, np.full_like(self.move, -1)])
+                self.ending = np.concatenate([self.ending, np.full_like(self.ending, -1)])
+            if len(sound) > self.ending.shape[1]:
+                self.ending = np.pad(self.ending, ((0, 0), (0, len(sound) - self.ending.shape[1])), constant_values=-1)
+            self.ending[number, : len(sound)] = [t for t, _ in sound]
+        self.move[state, byte] = number
         return number
 
+    def _fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token may follow the one before it."""
+        key = before.astype(np.int64) << 20 | token
+        slot = (key.view(np.uint64) * C.PLACE_BASE >> np.uint64(64 - PAIR_SLOTS.bit_length() + 1)).astype(np.int64)
+        out = self.fit[slot]
+        new = np.flatnonzero(self.pair[slot] != key)
+        if len(new):
+            pairs, at, back = np.unique(key[new], return_index=True, return_inverse=True)
+            found = np.array([self._may_follow(k >> 20, k & 0xFFFFF) for k in pairs.tolist()])
+            out[new] = found[back]
+            self.pair[slot[new[at]]], self.fit[slot[new[at]]] = pairs, found
+        return out
+
+    def abreast(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of short pieces, one after the other, and how many each has."""
+        order = np.argsort(-size, kind="stable")  # long ones first: who has ended is a suffix
+        begin, size = begin[order], size[order]
+        last = np.full((len(size), int(size[0]) + 1), self.none, np.int32)
+        state = np.zeros(len(size), np.int32)
+        for i in range(1, int(size[0]) + 1):
+            n = int(np.searchsorted(-size, -i, side="right"))
+            byte = data[begin[:n] + i - 1]
+            nxt = self.move[state[:n], byte]
+            if (nxt < 0).any():
+                for key in np.unique(state[:n][nxt < 0].astype(np.int64) << 8 | byte[nxt < 0]).tolist():
+                    self._build(key >> 8, key & 255)
+                nxt = self.move[state[:n], byte]
+            state = nxt
+            open_ = np.arange(n)
+            for c in range(self.ending.shape[1]):
+                token = self.ending[state[open_], c]
+                some = token >= 0
+                if not some.all():  # no further token ends here
+                    raise ValueError("a byte is not in the vocabulary")
+                ok = self._fits(last[open_, i - self.length[token]], token)
+                last[open_[ok], i] = token[ok]
+                open_ = open_[~ok]
+                if not len(open_):
+                    break
+        at, rows, back = size.copy(), np.arange(len(size)), []
+        while len(rows):
+            token = last[rows, at[rows]]
+            back.append((rows, token))
+            at[rows] -= self.length[token]
+            rows = rows[at[rows] > 0]
+        count = np.zeros(len(size), np.int64)
+        for rows, _ in back:
+            count[rows] += 1
+        home = np.empty(len(size), np.int64)
+        home[order] = np.arange(len(size))
+        counts = count[home]
+        end = np.cumsum(counts)[order]
+        out = np.empty(int(counts.sum()), np.uint32)
+        for k, (rows, token) in enumerate(back):
+            out[end[rows] - 1 - k] = token
+        return out, counts
+
     def _settled(self, last: list[int], state: int) -> int:
         """The byte up to which tokens are certain, whatever follows."""
         at = len(last) - 1
@@ -151,134 +238,220 @@ class Transducer:
         return out[::-1]
 
     def piece(self, data: bytes) -> list[int]:
-        """The tokens of one piece."""
-        whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        if len(self.fits) > MOST_PAIRS:
-            self.fits.clear()
-        state, last, out = 0, [self.none], []
-        moves, done, fits = self.moves, self.done, self.fits
+        """The tokens of one piece, of any length."""
+        state, last, out, limit = 0, [self.none], [], SETTLE
+        known: dict[int, bool] = {}
         for b in data:
-            nxt = moves.get(state << 8 | b)
-            state = self._build(state, b) if nxt is None else nxt
+            nxt = int(self.move[state, b])
+            state = self._build(state, b) if nxt < 0 else nxt
             i = len(last)
-            for token, size in done[state]:
+            for token, size in self.done[state]:
                 before = last[i - size]
-                key = before << 20 | token
-                ok = fits.get(key)
+                ok = known.get(before << 20 | token)
                 if ok is None:
-                    ok = fits[key] = self._may_follow(before, token)
+                    ok = known[before << 20 | token] = self._may_follow(before, token)
                 if ok:
                     last.append(token)
                     break
             else:
                 raise ValueError(f"no token for byte {b}")
-            if i == SETTLE:  # long pieces: give what is certain and keep the rest
+            if i >= limit:  # give what is certain and keep the rest
                 sure = self._settled(last, state)
                 out += self._behind(last, sure)
                 if sure:
                     last = last[sure:]
-                    if out:
-                        last[0] = out[-1]
+                    last[0] = out[-1]
+                limit = len(last) - 1 + SETTLE
         return out + self._behind(last, len(last) - 1)
 
+    def tokens(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the pieces raw[off[i]:off[i+1]], one after the other, and how many each has."""
+        pieces = C.strings(raw, off, pa.binary())
+        whole = pc.index_in(pieces, value_set=self.words).fill_null(-1).to_numpy()
+        size = np.diff(off)
+        counts = np.ones(len(size), np.int64)
+        counts[size == 0] = 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # (places, their tokens in a row)
+        rest = np.flatnonzero((whole < 0) & (size > 0))
+        long = size[rest] > LOCKSTEP
+        short = rest[~long]
+        short = short[np.argsort(size[short], kind="stable")]
+        for a in range(0, len(short), ABREAST):
+            at = short[a : a + ABREAST]
+            ids, counts[at] = self.abreast(raw, off[:-1][at], size[at])
+            parts.append((at, ids))
+        for i in rest[long].tolist():
+            ids = np.array(self.piece(raw[off[i] : off[i + 1]].tobytes()), np.uint32)
+            counts[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        first = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        out[first[whole >= 0]] = self.word_ranks[whole[whole >= 0]]
+        for at, ids in parts:
+            out[ragged(first[at], counts[at])] = ids
+        return out, counts
+
+
+def ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... counts[0] numbers; then those of the next; ..."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(first - before, counts) + np.arange(int(counts.sum()))
+
+
+def _utf8_machine() -> list[list[int]]:
+    """Next state by state and byte. 0: between characters; 1, 2, 3: so many more bytes; 4 to 7: after
+    E0, ED, F0, F4, whose second byte is restricted; -1: no such character."""
+    table = [[-1] * 256 for _ in range(8)]
+    for first, last, to in ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)):
+        table[0][first : last + 1] = [to] * (last + 1 - first)
+    for state, first, last, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        table[state][first : last + 1] = [to] * (last + 1 - first)
+    return table
+
 
 class Utf8Stream:
     """Incremental UTF-8: takes bytes as they come, gives the text of whole characters.
 
-    The state is the unfinished tail of at most three bytes; a broken sequence becomes U+FFFD.
+    The machine's state depends on the bytes since the last lead byte alone, so only these are
+    walked when bytes arrive; an unfinished character is held back (at most three bytes). What no
+    character can hold goes by ``errors``: "replace" gives U+FFFD; its bytes come out as they are.
     """
 
-    #: By lead byte: the length of its sequence (0: not a lead byte).
-    NEED = [1] * 128 + [0] * 66 + [2] * 30 + [3] * 16 + [4] * 5 + [0] * 11
+    MACHINE = _utf8_machine()
 
-    def __init__(self) -> None:
-        self.tail = b""
+    def __init__(self, errors: str = "replace") -> None:
+        self.held, self.errors = b"", errors
 
-    def feed(self, data: bytes) -> str:
-        data = self.tail + data
+    def whole(self, data: bytes) -> bytes:
+        """The bytes of the characters that are finished with ``data``."""
+        data = self.held + data if self.held else data
         cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            need = self.NEED[data[-back]]
-            if need:
-                if need > back:
+        for back in range(1, min(3, cut) + 1):
+            if data[-back] >= 0xC0 or data[-back] < 0x80:  # a lead byte, or a character of its own
+                state = 0
+                for byte in data[-back:]:
+                    state = self.MACHINE[state][byte]
+                    if state < 0:
+                        break
+                if state > 0:
                     cut -= back
                 break
-        self.tail = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        self.held = data[cut:]
+        return data[:cut]
+
+    def feed(self, data: bytes) -> str:
+        return self.whole(data).decode("utf-8", self.errors)
 
     def end(self) -> str:
-        out, self.tail = self.tail.decode("utf-8", "replace"), b""
+        out, self.held = self.held.decode("utf-8", self.errors), b""
         return out
 
 
-def decode_stream(tokens, token: list[bytes] | dict[int, bytes], step: int = DECODE_STEP) -> Iterator[str]:
+def decode_stream(tokens, token: list[bytes] | dict[int, bytes], step: int = DECODE_STEP, errors: str = "replace") -> Iterator[str]:
     """The text of a sequence of tokens, ``step`` tokens at a time."""
-    stream = Utf8Stream()
+    stream = Utf8Stream(errors)
     for at in range(0, len(tokens), step):
         yield stream.feed(b"".join(map(token.__getitem__, tokens[at : at + step])))
     yield stream.end()
 
 
-class _Segments(dict):
-    """What follows a blank (or begins a line), up to the next blank, to its tokens as little-endian
-    32-bit numbers. Segments are cut where the split pattern cuts whatever stands around."""
-
-    def __init__(self, machine: Transducer, pattern: str, before: str):
-        import regex
-
-        self.machine, self.before, self.find = machine, before, regex.compile(pattern).findall
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, segment: str) -> bytes:
-        out = self.old.get(segment)
-        if out is None:
-            out = self.encode(self.before + segment)
-        if len(self) > MOST_PIECES:
-            self.old = dict(self)
-            self.clear()
-        if len(segment) <= 64:
-            self[segment] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        ids = array("I")
-        for piece in self.find(text):
-            ids.extend(self.machine.piece(piece.encode()))
-        return ids.tobytes()
+def follow(values: np.ndarray, top: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs values[top[i]:top[i+1]] for i in ``which``, one after the other, and their lengths."""
+    counts = np.diff(top)[which]
+    return values[ragged(top[which], counts)], counts
 
 
 class Encoder:
     """Whole texts by a split pattern and a transducer.
 
-    With the usual pattern, a lone blank between other characters begins a piece, and a lone line
-    end is a piece. Such texts are cut there by plain string functions and the segments looked
-    up; texts with runs of white space, or at their ends, and other patterns are cut by the pattern.
+    With the usual pattern, a run of blanks is parted before its last one, which begins the next
+    piece if it is a space; so texts are cut there by masks over their bytes, and only distinct
+    segments meet the pattern. Texts with other white space, and other patterns, are cut by the
+    pattern alone.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import public_tokenizers
+        import regex
 
         self.machine = Transducer(ranks)
         self.token = [self.machine.token.get(i, b"") for i in range(max(self.machine.token) + 1)]
-        self.inner, self.first = _Segments(self.machine, pattern, " "), _Segments(self.machine, pattern, "")
-        self.line_end = self.first.encode("\n")
+        self.token_bytes, self.token_off = C.text_buffers(pa.array(self.token, pa.binary()))
+        self.find = regex.compile(pattern).findall
         self.plain = pattern == public_tokenizers.PATTERN
 
-    def forget(self) -> None:
-        """Drop what was learnt of texts; the compiled machine stays."""
-        for known in (self.inner, self.first, self.inner.old, self.first.old, self.machine.fits):
-            known.clear()
+    def starts(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where segments of the texts raw[off[i]:off[i+1]] begin."""
+        n = len(raw)
+        blank = C.IS_BLANK[raw]
+        after = np.append(blank, False)  # is the byte at i blank
+        before = np.insert(blank, 0, False)  # is the byte before i blank
+        edge = np.zeros(n + 1, bool)
+        edge[off] = True
+        begin = edge | (after & ~before)
+        ends = np.flatnonzero(before & ~after & ~edge)  # a run of blanks ends here, inside a text
+        begin[ends - 1] = True
+        begin[ends[raw[ends - 1] != 32]] = True
+        begin[n] = False
+        odd: set[int] = set(range(len(off) - 1))
+        if self.plain:
+            at = np.flatnonzero(ODD_LEAD[raw])
+            odd = {int(np.searchsorted(off, i, side="right")) - 1 for i in at.tolist() if _ODD_SPACE.match(raw[i : i + 3].tobytes())} if len(at) else set()
+        for i in odd:
+            at = int(off[i])
+            begin[at : int(off[i + 1])] = False
+            for piece in self.find(raw[off[i] : off[i + 1]].tobytes().decode()):
+                begin[at] = True
+                at += len(piece.encode())
+        return np.flatnonzero(begin)
+
+    def pieces(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of segments, where their pieces begin and end, and the number of the first piece of each."""
+        raw, off = C.text_buffers(segments)
+        if not self.plain:
+            return raw, off, np.arange(len(off))
+        kind = KIND[raw]
+        cut = np.ones(len(raw) + 1, bool)
+        cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[:-1] != 3)  # a space goes with what follows it
+        cut[off] = True
+        hard = np.flatnonzero((kind == 4) | (raw == 39))  # beyond ASCII, or an apostrophe
+        for i in np.unique(np.searchsorted(off, hard, side="right") - 1).tolist():
+            a, b = int(off[i]), int(off[i + 1])
+            cut[a + 1 : b] = False
+            segment = raw[a:b].tobytes().decode()
+            if not (segment.isalpha() or segment[0] == " " and segment[1:].isalpha()):
+                for piece in self.find(segment):
+                    cut[a] = True
+                    a += len(piece.encode())
+        begin = np.flatnonzero(cut)
+        return raw, begin, np.searchsorted(begin, off)
+
+    def batch(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the texts, one after the other, and where each text's begin."""
+        starts = self.starts(raw, off)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        found = C.strings(raw, np.append(starts, len(raw)), pa.string()).dictionary_encode()
+        data, begin, edge = self.pieces(found.dictionary)
+        distinct = C.strings(data, begin, pa.string()).dictionary_encode()
+        ids, counts = self.machine.tokens(*C.text_buffers(distinct.dictionary))
+        top = np.append(0, np.cumsum(counts))
+        ids, counts = follow(ids, top, distinct.indices.to_numpy())
+        top = np.append(0, np.cumsum(counts))[edge]
+        out, counts = follow(ids, top, found.indices.to_numpy())
+        place = np.append(0, np.cumsum(counts))
+        return out, place[np.searchsorted(starts, off)]
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of a text's tokens, by the stream."""
+        stream, out = Utf8Stream(), []
+        for at in range(0, len(ids), DECODE_STEP):
+            out.append(stream.whole(follow(self.token_bytes, self.token_off, ids[at : at + DECODE_STEP])[0].tobytes()))
+        return b"".join([*out, stream.held])
 
     def __call__(self, text: str) -> bytes:
-        if not self.plain or _ODD_SPACE.search(text):
-            return self.first.encode(text)
-        first, inner, out = self.first.__getitem__, self.inner.__getitem__, []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append(first(head) + b"".join(map(inner, rest)))
-        return self.line_end.join(out)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.batch(raw, np.array([0, len(raw)]))[0].tobytes()
 
 
 #: By rank file and pattern, what a worker process has compiled; later tasks there use it too.
@@ -296,35 +469,30 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
 def _run(ranks, pattern: str, decode: bool):
     def run(batches):
         encode = _encoder(ranks.value, pattern)
-        try:
-            for batch in batches:
-                yield from _encoded(batch, encode, decode)
-        finally:  # the worker process stays for tasks of other operators
-            encode.forget()
+        for batch in batches:
+            raw, off = C.text_buffers(batch.column(1))
+            for a, b in C.chunks(off, CHUNK):
+                yield _encoded(batch.column(0).slice(a, b - a), raw[off[a] : off[b]], off[a : b + 1] - off[a], encode, decode)
 
     return run
 
 
-def _encoded(batch, encode: Encoder, decode: bool):
-    _, off = C.text_buffers(batch.column(1))
-    for a, b in C.chunks(off, 4 << 20):
-        ids, texts = [], []
-        for text in batch.column(1).slice(a, b - a).to_pylist():
-            packed = encode(text or "")
-            ids.append(packed)
-            if decode:
-                texts.append("".join(decode_stream(memoryview(packed).cast("I"), encode.token)))
-        cols = [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.string())] * decode, names=["id", "ids", "decoded"][: 2 + decode])
+def _encoded(id_: pa.Array, raw: np.ndarray, off: np.ndarray, encode: Encoder, decode: bool) -> pa.RecordBatch:
+    ids, place = encode.batch(raw, off)
+    packed = pa.Array.from_buffers(pa.large_binary(), len(id_), [None, pa.py_buffer(place * 4), pa.py_buffer(ids)])
+    cols = [id_, packed.cast(pa.binary())]
+    if decode:
+        cols.append(pa.array([encode.decoded(ids[a:b]) for a, b in zip(place.tolist(), place[1:].tolist())], pa.binary()))
+    return pa.RecordBatch.from_arrays(cols, names=["id", "ids", "decoded"][: 2 + decode])
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """One row per input row: id_col, ids binary (little-endian unsigned 32-bit), and with
-    ``decode`` the text decoded from them. The rank file is read on the driver and sent along."""
+    ``decode`` the bytes decoded from them. The rank file is read on the driver and sent along."""
     spark = docs.sparkSession
     C.ship(spark)
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = f"id {dict(docs.dtypes)['id']}, ids binary" + ", decoded string" * decode
+    schema = f"id {dict(docs.dtypes)['id']}, ids binary" + ", decoded binary" * decode
     return docs.mapInArrow(_run(ranks, pattern, decode), schema).withColumnRenamed("id", id_col)

@@ -134,6 +134,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def strings(raw: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The texts raw[off[i]:off[i+1]] as an Arrow column; nothing is copied."""
+    return pa.Array.from_buffers(kind, len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int32)), pa.py_buffer(raw)])
+
+
 def chunks(off: np.ndarray, most: int = CHUNK_BYTES):
     """Runs of documents of about ``most`` bytes; a longer document is a run of its own."""
     a, n = 0, len(off) - 1
