@@ -516,6 +516,33 @@ def test_pii_terms_of_an_entity_met_once(spark):
     assert all(got[i].text == t and got[i].n_term == 0 for i, t in rows[1:])
 
 
+def test_pii_removes(spark):
+    rows = [(i, f"quellstrom rings +1 555 010 9999 on day {i}") for i in range(3)] + [(9, "a day")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.sanitise(df, with_text=True, bits_removed=0.0).collect()}
+    assert got[0].text == "  [phone]  [word] [number]"
+    assert got[9].text == "a day"
+
+
+def test_pii_edges(spark, empty):
+    """No rows; repeated rows and ids; clashing names; a text of thousands of entities."""
+    assert pii.sanitise(empty, with_text=True).count() == 0
+    many = " ".join(f"u{i}@x.org" for i in range(3000))
+    rows = [(1, many, 1), (1, many, 2), (None, "ann a@b.c", 3), (2, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid int").withColumn("key", F.lit("k")).withColumn("spans", F.lit(0))
+    got = pii.sanitise(df).collect()
+    assert sorted(r.n_email for r in got) == [0, 1, 3000, 3000] and len(got) == 4
+
+
+def test_split_join(spark):
+    left = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2)], "k string, v int")
+    right = spark.createDataFrame([("a", 50), ("b", 1)], "k string, n int")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+        for hot in (F.col("n") > 10, F.lit(False), F.lit(True)):
+            assert sorted(map(tuple, common.split_join(left, right, ["k"], hot, how).collect()), key=str) == want
+
+
 def test_pii_tokens_of_long_texts(spark):
     text = " ".join(f"w{i}é" if i % 3 else "😀,X" for i in range(3000))
     got = spark.createDataFrame([(text,), ("",), ("--",)], "t string").select(pii.tokens(F.col("t")).alias("x")).collect()

@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shipping
@@ -83,6 +83,23 @@ def small_side(df: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(small_rows + 1).count() <= small_rows else df
 
 
+#: A key of more than one in so many rows is hot; there can be no more hot keys than this.
+HOT_SHARE = 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), "inner" or "left", where right has one row per key.
+
+    ``hot`` tells, by columns of right, the keys of more than one in HOT_SHARE rows of left. These are
+    few by arithmetic, so their rows of right are broadcast and no task gets all rows of one key.
+    """
+    few = right.where(hot)
+    if few.isEmpty():
+        return left.join(right, keys, how)
+    far = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(right.where(~hot), keys, how)
+    return left.join(F.broadcast(few), keys).unionByName(far)
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", small_rows: int = SMALL_ROWS) -> DataFrame:
     """The rows of docs whose id is not in the one column of ``gone``; null ids stay."""
     gone = small_side(gone.toDF("gone_").distinct(), small_rows)

@@ -8,7 +8,8 @@ p(e | t) >= 2**-bits_kept. With fewer than ``min_support`` mentions of the entit
 in different texts or at different places of one, p(e | t) is smoothed by one more document with the
 term, which holds the entity with chance p(e): then terms found nowhere else disclose. Every occurrence
 of such a term, in each document that holds the entity, is generalised to its shape's class
-(``[word]``, ``[Name]``, ``[number]``); entities become ``[email]`` etc.
+(``[word]``, ``[Name]``, ``[number]``), or removed where it leaves ``bits_removed`` bits at most;
+entities become ``[email]`` etc.
 
 Counting: entities and terms meet in whole documents. Copies of a text are counted as one text of
 that many documents. Only pairs that could be flagged are made: the term's documents are at most
@@ -16,6 +17,10 @@ that many documents. Only pairs that could be flagged are made: the term's docum
 document of the corpus that holds the term anywhere. Of one document the pairs are still its
 entities times its terms, less those.
 
+Plans do not turn on sizes: the terms of all documents are counted by a shuffle of what each task
+has counted, and joins are by key, but for keys of more than a thousandth of all rows (so at most a
+thousand), which are broadcast.
+
 Patterns are the contract's, made possessive and anchored at the start of a run (or the end of
 the last match, \\G): the same leftmost greedy matches, without backtracking or deep recursion.
 
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -43,11 +49,10 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"[\p{L}\p{M}\p{N}]+"
-#: Tokens that are placed together, see tokens().
+#: Matches that are placed together, see located().
 SLICE = 256
 MIN_SUPPORT = 2
 BITS_KEPT = 1.0
-SMALL_ROWS = 200_000
 
 
 def _digits(m: Column) -> Column:
@@ -64,50 +69,49 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, valid=lambda m: F.lit(True)) -> Column:
-    """array<struct(s, e)> of the matches that are valid: code points, end exclusive.
-
-    Places come from the lengths of the pieces between matches, in one walk.
-    """
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    def step(a, z):
-        s = a["at"] + F.char_length(z["g"])
-        e = s + F.char_length(z["m"])
-        new = F.when(valid(z["m"]), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(a["out"])
-        return F.when(z["m"].isNull(), a).otherwise(F.struct(e.alias("at"), new.alias("out")))
 
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+MATCHES = "array<struct<m:string,s:int,e:int>>"
 
 
-def tokens(text: Column) -> Column:
-    """array<struct(term, s, e)> of the matches of TERM, lower-cased: code points, end exclusive.
+def located(text: Column, pattern: str) -> Column:
+    """MATCHES of the pattern: code points, end exclusive.
 
-    Places are found in slices and then moved, so that no step copies the list of a long text.
+    Places come from the lengths of the pieces between matches, in slices that are moved afterwards,
+    so that no step copies the whole list of a long text.
     """
-    gaps = F.split(text, TERM, -1)
-    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("n"), F.lower(m).alias("term")))
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / SLICE), F.lit(1)).cast("int") - 1), lambda i: F.slice(pairs, i * SLICE + 1, F.lit(SLICE)))
 
     def place(a, z):
         s = a["at"] + z["g"]
-        return F.struct((s + z["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(z["term"].alias("term"), s.alias("s"), (s + z["n"]).alias("e")))).alias("out"))
+        e = s + F.char_length(z["m"])
+        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(z["m"].alias("m"), s.alias("s"), e.alias("e")))).alias("out"))
 
     def shift(a, part):
-        moved = F.transform(part["out"], lambda x: F.struct(x["term"].alias("term"), (x["s"] + a["at"]).alias("s"), (x["e"] + a["at"]).alias("e")))
+        moved = F.transform(part["out"], lambda x: F.struct(x["m"].alias("m"), (x["s"] + a["at"]).alias("s"), (x["e"] + a["at"]).alias("e")))
         return F.struct((a["at"] + part["at"]).alias("at"), F.concat(a["out"], F.array(moved)).alias("out"))
 
-    kind = "array<struct<term:string,s:int,e:int>>"
-    placed = F.transform(parts, lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), place))
-    return F.flatten(F.aggregate(placed, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), shift)["out"])
+    def placed(pairs):
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pairs) / SLICE), F.lit(1)).cast("int") - 1)
+        parts = F.transform(numbers, lambda i: F.aggregate(F.slice(pairs, i * SLICE + 1, F.lit(SLICE)), F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out")), place))
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCHES}>").alias("out")), shift)["out"])
+
+    def paired(found):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("g"), m.alias("m")))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _let(paired(found), placed))
 
 
-def _base_spans(text: Column) -> Column:
+def tokens(text: Column) -> Column:
+    """array<struct(term, s, e)> of the matches of TERM, lower-cased: code points, end exclusive."""
+    return F.transform(located(text, TERM), lambda x: F.struct(F.lower(x["m"]).alias("term"), x["s"].alias("s"), x["e"].alias("e")))
+
+
+def _base_matches(text: Column) -> Column:
+    """array<struct(s, k, e, m)> of the valid matches of all kinds, in order."""
     parts = []
     for rank, kind in enumerate(KINDS[:4]):
         has = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
@@ -115,13 +119,29 @@ def _base_spans(text: Column) -> Column:
             has = has & text.rlike("[0-9]")
         if kind == "card":
             has = text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")
-        got = F.when(has, located(text, PATTERNS[kind], lambda m, k=kind: _valid(k, m))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+        got = F.when(has, F.filter(located(text, PATTERNS[kind]), _test(kind))).otherwise(F.array().cast(MATCHES))
         parts.append(F.transform(got, _ranked(rank)))
     return F.array_sort(F.concat(*parts))
 
 
+def _test(kind: str):
+    return lambda x: _valid(kind, x["m"])
+
+
 def _ranked(rank: int):
-    return lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"))
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("k"), x["e"].alias("e"), x["m"].alias("m"))
+
+
+def _uncovered(places: DataFrame, base: DataFrame) -> DataFrame:
+    """The places (uid, s, e, ...) that overlap none of base (uid, s, e): running bounds over sorted rows."""
+    kind = F.col("base_").cast("int").alias("b")
+    rows = places.withColumn("base_", F.lit(False)).unionByName(base.withColumn("base_", F.lit(True)), allowMissingColumns=True).select("*", kind)
+    back = Window.partitionBy("uid").orderBy("s", F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("uid").orderBy(F.desc("s"), "b").rowsBetween(Window.unboundedPreceding, 0)
+    reach, nxt = F.max(F.when(F.col("base_"), F.col("e"))).over(back), F.min(F.when(F.col("base_"), F.col("s"))).over(ahead)
+    rows = rows.withColumn("reach_", reach).withColumn("next_", nxt)
+    apart = (F.coalesce("reach_", F.lit(0)) <= F.col("s")) & (F.coalesce("next_", F.col("e")) >= F.col("e"))
+    return rows.where(~F.col("base_") & apart).select(*places.columns)
 
 
 def _joined(spans: Column) -> Column:
@@ -129,55 +149,59 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, bits_kept: float = BITS_KEPT, small_rows: int = SMALL_ROWS, with_text: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, bits_kept: float = BITS_KEPT, bits_removed: float | None = None, with_text: bool = False) -> DataFrame:
     """One row per input row: id_col, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans,
     and with ``with_text`` the sanitised text."""
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     with C.Scratch(spark) as s:
-        based = docs.withColumn("base", _base_spans(F.col("text"))).withColumn("uid", F.monotonically_increasing_id())
-        holds = F.size("base") > 0
+        based = docs.withColumn("hits", _base_matches(F.col("text"))).withColumn("uid", F.monotonically_increasing_id())
 
         def entity(x):
-            m = F.substring("text", x["s"] + 1, x["e"] - x["s"])
+            m = x["m"]
             return F.concat(x["k"].cast("string"), F.lit(":"), F.when(x["k"] == 0, F.lower(m)).when(x["k"] >= 2, _digits(m)).otherwise(m))
 
-        # copies of a text share a key; a text without entities has one of its own, which meets nothing
-        key = F.when(holds, F.sha2("text", 256)).otherwise(F.col("uid").cast("string"))
+        # copies of a text share a key
+        holds = F.size("hits") > 0
         kept = F.col("text") if with_text else F.when(holds, F.col("text"))
-        found = s.write(based.select("id", "uid", "base", key.alias("key"), F.transform("base", entity).alias("entities"), kept.alias("text")))
-        holders = found.where(holds)
+        base = F.transform("hits", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+        found = s.write(based.select("id", "uid", base.alias("base"), F.when(holds, F.sha2("text", 256)).alias("key"), F.transform("hits", entity).alias("entities"), kept.alias("text")))
+        total = max(found.count(), 1)
+        holders = found.where("key is not null")
         copies = s.write(holders.groupBy("key").agg(F.min("uid").alias("uid"), F.count("*").alias("copies")))
-        texts = holders.select("uid", "entities", "text").join(C.small_side(copies.drop("key"), small_rows), "uid")
-        texts = s.write(texts.select("uid", "copies", "entities", tokens(F.col("text")).alias("tokens")))
+        texts = holders.select("uid", "base", "entities", "text").join(copies.drop("key"), "uid")
+        texts = s.write(texts.select("uid", "copies", "base", "entities", tokens(F.col("text")).alias("tokens")))
 
         owned = texts.select("uid", "copies", F.explode("entities").alias("entity")).groupBy("uid", "copies", "entity").agg(F.count("*").alias("mentions"))
-        often = owned.groupBy("entity").agg(F.sum("copies").alias("n_e"))
-        owned = s.write(owned.join(C.small_side(s.write(often), small_rows), "entity"))
+        often = s.write(owned.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")))
+        owned = s.write(C.split_join(owned, often, ["entity"], F.col("texts") * C.HOT_SHARE > total).drop("texts"))
         most = owned.groupBy("uid").agg(F.max("n_e").alias("most"))
         # n_te is at most n_e: a term of more documents than these bits allow goes before the pairs
         rare = lambda n, of="n_t": F.col(n) * 2.0**bits_kept >= F.col(of)
         held = texts.join(most, "uid").select("uid", "copies", "most", F.explode(F.array_distinct("tokens.term")).alias("term"))
         candidates = held.groupBy("term").agg(F.max("most").alias("most"), F.sum("copies").alias("n_h"))
-        candidates = s.write(candidates.where(rare("most", "n_h")).drop("n_h"))
+        candidates = candidates.where(rare("most", "n_h")).drop("n_h")
         words = docs.select(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), F.lower)).alias("w")).select(F.explode("w").alias("term"))
-        if candidates.limit(small_rows + 1).count() <= small_rows:
-            words = words.join(F.broadcast(candidates.select("term")), "term", "left_semi")
         n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term")
         n_t = s.write(n_t.where(rare("most")).select("term", "n_t"))
-        held = held.join(C.small_side(n_t, small_rows), "term").where(rare("most")).select("uid", "term", "n_t")
+        held = C.split_join(held, n_t, ["term"], F.col("n_t") * C.HOT_SHARE > total).where(rare("most")).select("uid", "term", "n_t")
         pairs = s.write(held.join(owned, "uid").where(rare("n_e")).select("uid", "entity", "term", "n_e", "n_t", "copies", "mentions"))
-        flagged = pairs.groupBy("entity", "term").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
-        smoothed = (F.col("n_te") + F.col("n_e") / F.lit(float(max(found.count(), 1)))) * 2.0**bits_kept >= F.col("n_t") + 1
-        flagged = flagged.where(F.when(F.col("support") >= min_support, rare("n_te")).otherwise(smoothed)).select("entity", "term")
-        bad = s.write(pairs.join(flagged, ["entity", "term"], "left_semi").select("uid", "term").distinct())
-        places = texts.select("uid", F.explode("tokens").alias("t")).select("uid", "t.term", "t.s", "t.e")
-        places = places.join(C.small_side(bad, small_rows), ["uid", "term"], "left_semi")
-        hits = places.groupBy("uid").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e")).alias("more"))
-        hits = s.write(hits.join(copies, "uid").select("key", "more"))
-        out = found.join(hits, "key", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int>>")))
-        out = out.withColumn("more", F.filter("more", lambda t: ~F.exists("base", lambda x: (t["s"] < x["e"]) & (t["e"] > x["s"]))))
-        out = out.withColumn("all", F.array_sort(F.concat("base", "more")))
+        flagged = pairs.groupBy("entity", "term").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.count("*").alias("texts"))
+        smoothed = (F.col("n_te") + F.col("n_e") / F.lit(float(total))) * 2.0**bits_kept >= F.col("n_t") + 1
+        sure = F.col("support") >= min_support
+        wholly = F.lit(False) if bits_removed is None else sure & (F.col("n_te") * 2.0**bits_removed >= F.col("n_t"))
+        flagged = s.write(flagged.where(F.when(sure, rare("n_te")).otherwise(smoothed)).select("entity", "term", "texts", wholly.alias("wholly")))
+        bad = C.split_join(pairs.select("uid", "entity", "term"), flagged, ["entity", "term"], F.col("texts") * C.HOT_SHARE > total)
+        bad = bad.groupBy("uid", "term").agg(F.max("wholly").alias("r"))
+        places = texts.select("uid", F.explode("tokens").alias("t")).select("uid", "t.term", "t.s", "t.e").join(bad, ["uid", "term"]).select("uid", "s", "e", "r")
+        places = s.write(places)
+        taken = texts.join(places.select("uid").distinct(), "uid", "left_semi").select("uid", F.explode("base").alias("x")).select("uid", "x.s", "x.e")
+        hits = _uncovered(places, taken).groupBy("uid").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "r")).alias("more"))
+        hits = s.write(hits.join(copies, "uid").select("key", "more", "copies"))
+        more = C.split_join(holders, hits, ["key"], F.col("copies") * C.HOT_SHARE > total, "left").drop("copies")
+        none = F.array().cast("array<struct<s:int,k:int,e:int,r:boolean>>")
+        out = more.unionByName(found.where("key is null").withColumn("more", none)).withColumn("more", F.coalesce("more", none))
+        out = out.withColumn("all", F.array_sort(F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("r"))), "more")))
         count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
         cols = [F.col("id").alias(id_col), *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS[:4])], F.size("more").cast("long").alias("n_term"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans")]
         if with_text:
@@ -192,7 +216,7 @@ def _rewritten() -> Column:
     def step(a, x):
         first = F.substring("text", x["s"] + 1, F.lit(1))
         term = F.when(first.rlike(r"\p{Lu}"), F.lit("[Name]")).when(first.rlike(r"\p{N}"), F.lit("[number]")).otherwise(F.lit("[word]"))
-        mark = F.when(x["k"] == 4, term).otherwise(F.element_at(names, x["k"] + 1))
+        mark = F.when(x["r"], F.lit("")).when(x["k"] == 4, term).otherwise(F.element_at(names, x["k"] + 1))
         fresh = F.struct(F.concat(a["out"], F.substring("text", a["at"] + 1, x["s"] - a["at"]), mark).alias("out"), x["e"].alias("at"))
         return F.when(x["s"] >= a["at"], fresh).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at")))
 
