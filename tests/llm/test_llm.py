@@ -296,6 +296,44 @@ def test_license_words_just_before_a_notice():
             assert got == [(1.0, n, n + m), (1.0, 2 * n + m + 1, 2 * n + 2 * m + 1)], (name, b)
 
 
+def test_license_notice_with_words_put_in():
+    split = {n: license_scan.words_of(t) for n, t in license_scan.TEMPLATES.items()}
+    rng = random.Random(4)
+    for name, template in split.items():
+        for put in (["hereby"], [f"zq{i}" for i in range(13 if len(template) > 20 else len(template))]):
+            at = rng.randrange(1, len(template))
+            text = " ".join(["of", "the", *template[:at], *put, *template[at:], "the"])
+            assert any(x[:2] == (name, 1.0) for x in license_scan.scan(text, split)), (name, put)
+        gone = max(int(len(template) * 0.2) - 1, 0)
+        keep = sorted(rng.sample(range(len(template)), len(template) - gone))
+        assert any(x[0] == name for x in license_scan.scan(" ".join(template[i] for i in keep), split)), name
+
+
+def test_license_against_all_stretches():
+    """What is found is a stretch of enough coverage; a text with such a stretch is found."""
+    rng, missed, held = random.Random(3), 0, 0
+    for _ in range(1500):
+        template = [rng.choice("abcd") for _ in range(rng.randint(1, 7))]
+        text = [rng.choice("abcdx") for _ in range(rng.randint(0, 16))]
+        need = max(-(-4 * len(template) // 5), 1)
+        fits = lambda a, b: (m := len(license_scan.patience(text[a:b], template))) >= need and b - a <= 3 * m  # noqa: B023, E731
+        there = any(fits(a, b) for a in range(len(text)) for b in range(a + 1, len(text) + 1))
+        got = list(license_scan.scan(" ".join(text), {"t": template}))
+        assert there or not got
+        held, missed = held + there, missed + (there and not got)
+    assert missed <= 0.01 * held
+
+
+def test_license_edges(spark, empty):
+    short = license_scan.TEMPLATES["MIT-notice"]
+    assert license_scan.license_scan(empty).count() == 0
+    long = "the license of this is under " * 30000 + short
+    rows = [(1, long), (1, short), (1, short), (None, short)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit(1)).withColumn("id", F.lit(2))
+    got = [r for r in license_scan.license_scan(df).collect() if r.license == "MIT-notice" and r.coverage == 1]
+    assert sorted((r.doc_id or 0, r.first_word) for r in got) == [(0, 0), (1, 0), (1, 0), (1, 180000)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcdx"), max_size=12), st.lists(st.sampled_from("abcd"), min_size=1, max_size=6), st.integers(0, 2))
 def test_license_windows(text, template, left_out):
