@@ -145,10 +145,11 @@ def test_chat(spark):
 # ------------------------------------------------------------------ 3
 
 
-def test_exact_dedup(docs, empty):
+@pytest.mark.parametrize("hot_share", [10, 1000])
+def test_exact_dedup(docs, empty, hot_share):
     rows = corpus()
     norm = [BLANK.sub("", r[1] or "") for r in rows]
-    got = exact_dedup.exact_dedup(docs, capacity=9, small_rows=2).collect()
+    got = exact_dedup.exact_dedup(docs, capacity=9, small_rows=2, hot_share=hot_share).collect()
     best = {}
     for r, n in zip(rows, norm):
         key = (-len(r[1] or ""), r[0] is None, r[0] or 0)

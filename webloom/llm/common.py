@@ -100,10 +100,29 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column,
     return left.join(F.broadcast(few), keys).unionByName(far)
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", small_rows: int = SMALL_ROWS) -> DataFrame:
-    """The rows of docs whose id is not in the one column of ``gone``; null ids stay."""
-    gone = small_side(gone.toDF("gone_").distinct(), small_rows)
-    return docs.join(gone, docs[id_col] == F.col("gone_"), "left_anti")
+def text_key(text: Column) -> Column:
+    """16 bytes that name a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def keep_named(docs: DataFrame, names: DataFrame, id_: Column, key: Column, order: Column | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """The rows of docs, all columns of whatever name, that stay by ``names``: (id, key, stay, n).
+
+    Rows are named by (id, key), ids may be null or repeat. Of the n rows of a name all stay (``stay``
+    is n), none (0) or one, the greatest by ``order``. Names that are not there stay.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), key.alias("key"), (F.lit(0) if order is None else order).alias("order"))
+    with Scratch(spark) as s:
+        names = s.write(names.where("stay < n"), keep=True)
+    apart = lambda t, how: rows.join(t, rows["id"].eqNullSafe(t["id_"]) & (rows["key"] == t["key_"]), how)
+    told = names.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "stay")
+    out = apart(small_side(told, small_rows), "left_anti").select("row.*")
+    one = told.where("stay > 0")
+    if one.isEmpty():
+        return out
+    first = apart(small_side(one, small_rows), "left_semi").groupBy("id", "key").agg(F.max_by("row", "order").alias("row"))
+    return out.unionByName(first.select("row.*"))
 
 
 # ---------------------------------------------------------------- words as 64-bit hashes
