@@ -3,12 +3,15 @@
 Pass 1 scatters rows uniformly into memory-sized buckets by seeded hashes: the shard is the
 winner of a rendezvous of (seed, shard, id), so the id and the number of shards alone decide it
 and one more shard takes rows only into itself; the bucket within the shard is a hash of the id
-and the row's place in the scan, so repeated ids spread too. Pass 2 takes one bucket at a time, puts
+and the text, so the same table gives the same shards however its files lie. (Only rows of an id and
+text that more than one in a thousand rows share are also spread by their place in the scan: equal rows,
+of which it does not matter which one lies where.) Pass 2 takes one bucket at a time, puts
 it in canonical order, Fisher-Yates shuffles it by a generator seeded with (seed, shard, bucket)
 and writes it. A row's slot is its bucket's offset in the shard plus its place in the bucket.
 
-Memory: a task holds one bucket (about ``bucket_bytes``). The number of buckets grows with the
-input; their offsets come from a window over bucket counts per shard, not from the driver.
+Memory: a task holds one bucket (about ``bucket_bytes``) at a time and reads about ``task_bytes``. The
+numbers of buckets and of tasks grow with the input; offsets come from a window over bucket counts per
+shard, not from the driver.
 
 Defined results: null text has size 1 and CRC 0; null ids are one key; repeated rows each get a
 slot; an empty table gives an empty result. Extra columns are carried in the files, inside the
@@ -29,6 +32,8 @@ from . import common as C
 
 SEED = 17
 BUCKET_BYTES = 16 << 20
+TASK_BYTES = 16 << 20
+MOST_TASKS = 50_000
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -51,7 +56,7 @@ def _shuffled(seed: int):
     return run
 
 
-def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Writes the shards under the shared scratch folder and returns what was written.
 
     Columns: row (the whole input row), size long, crc long, shard int, grown_shard int, bucket
@@ -61,9 +66,15 @@ def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.ship(spark)
     key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    total = docs.agg(F.sum(size)).first()[0] or 0
+    name = F.xxhash64(F.lit(seed + 2), key, text)
+    names = docs.select(name.alias("name"), size.alias("size")).groupBy("name").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    with C.Scratch(spark) as s:
+        names = s.write(names)
+        total, n = names.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        often = [r.name for r in names.where((F.col("n") > 1) & (F.col("n") * C.HOT_SHARE > n)).select("name").collect()]  # fewer than HOT_SHARE
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    place = F.monotonically_increasing_id()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // task_bytes), MOST_TASKS))
+    place = F.when(name.isin(often), F.monotonically_increasing_id()).otherwise(0) if often else F.lit(0)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         size.alias("size"),
@@ -71,10 +82,10 @@ def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rendezvous(key, shards, seed).alias("shard"),
         rendezvous(key, shards + 1, seed).alias("grown_shard"),
         F.xxhash64(F.lit(seed + 1), key).alias("mix"),
-        F.pmod(F.xxhash64(F.lit(seed + 2), key, place), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(name, place), F.lit(buckets)).cast("int").alias("bucket"),
     )
     with C.Scratch(spark) as s:
-        out = rows.groupBy("shard", "bucket").applyInArrow(_shuffled(seed), _ddl(rows))
+        out = rows.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(_shuffled(seed), _ddl(rows))
         out = s.write(out, keep=True)
         counts = out.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
         before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
