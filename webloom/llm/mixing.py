@@ -9,13 +9,21 @@ projected gradient from r = 1, r <- clip(r - sum_d p_d g_d, 0, max_rate), where
 step that does not lower the loss is shortened. A round is one aggregate over a narrow table; the
 driver sees some numbers per domain, and a rate is an expression over the document's posteriors.
 
+With a ``max_rate`` a domain may have too few tokens for its target. By default the lead (the most
+wished-for domain) keeps its tokens and such a domain stays short; with ``whole`` all goals shrink
+until each can be met, at the price of the lead's tokens. What is left is logged, and ``shares``
+gives it per domain.
+
 Defined results: null texts have 0 tokens, the posteriors of no features, and rate 1 moves
 nothing; a target for a domain that has no tokens is met at 0; targets are scaled to sum to 1;
-repeated rows each get a row; an empty table gives an empty result; extra columns are kept.
+repeated rows each get a row; an empty table gives an empty result; the columns named in ``keep`` are
+kept (a name that the result has itself is refused), others ignored.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +33,8 @@ from . import common as C
 from . import linear as L
 from .quality_classifier import labelled_features
 
+log = logging.getLogger("webloom")
+
 MOST_ROWS = 4000
 ROUNDS = 20
 TOLERANCE = 1e-4
@@ -75,19 +85,22 @@ def _rate(steps: list[list[float]], n: int, max_rate: float | None) -> Column:
     return F.aggregate(F.array(*[F.array(*map(F.lit, map(float, g))) for g in steps]), F.lit(1.0), move)
 
 
-def fit_rates(scored: DataFrame, targets: list[float], max_rate: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, float]:
-    """The rate as an expression over tokens, p0, p1, ...; and the greatest excess left."""
+def fit_rates(scored: DataFrame, targets: list[float], max_rate: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE, whole: bool = False) -> tuple[Column, np.ndarray]:
+    """The rate as an expression over tokens, p0, p1, ...; and the excess left in each domain, in
+    shares of all tokens (negative: short of its goal)."""
     n = len(targets)
     p = [F.col(f"p{d}") for d in range(n)]
     first = scored.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * p[d]).alias(f"s{d}") for d in range(n)]).first()
     total = float(first.t or 0)
     if total == 0:
-        return F.lit(1.0), 0.0
+        return F.lit(1.0), np.zeros(n)
     share = np.array([max((first[f"s{d}"] or 0) / total, 1e-9) for d in range(n)])
     wished = np.array(targets, dtype=float) / sum(targets)
     # as many tokens as leave the most wished-for domain at the rate it has
     lead = int(np.argmax(wished))
     goal = wished * share[lead] / wished[lead]
+    if whole and max_rate is not None:  # as many as the scarcest domain allows
+        goal = wished * min(share[d] * max_rate / wished[d] for d in range(n) if wished[d] > 0)
 
     def measured(steps):
         """Excess per domain, and the moments of documents whose rate is free to move."""
@@ -101,25 +114,27 @@ def fit_rates(scored: DataFrame, targets: list[float], max_rate: float | None =
 
     steps: list[list[float]] = []
     excess, moment = measured(steps)
-    size, direction = 1.0, None
+    size, plain = 1.0, False
     for _ in range(rounds):
         loss = float((excess**2 / share).sum())
         if np.abs(excess).max() <= tolerance:
             break
-        if direction is None:
-            direction = np.linalg.solve(moment + 1e-6 * np.diag(share), excess)
+        # scaled by the moments of free documents; plain where that no longer helps (many at a bound)
+        direction = excess / share if plain else np.linalg.solve(moment + 1e-6 * np.diag(share), excess)
         tried = steps + [list(size * direction)]
         new_excess, new_moment = measured(tried)
         if float((new_excess**2 / share).sum()) < loss * (1 - 1e-3):
-            steps, excess, moment, size, direction = tried, new_excess, new_moment, 1.0, None
-        elif size < 1e-2:
-            break
-        else:
+            steps, excess, moment, size, plain = tried, new_excess, new_moment, 1.0, plain
+        elif size >= 1e-2:
             size /= 4
-    return _rate(steps, n, max_rate), float(np.abs(excess).max())
+        elif not plain:
+            size, plain = 1.0, True
+        else:
+            break
+    return _rate(steps, n, max_rate), excess
 
 
-def mix(docs: DataFrame, models: list[L.Model], targets: list[float], text_col: str = "text", keep: list[str] = (), max_rate: float | None = None, seed: int = 29) -> DataFrame:
+def mix(docs: DataFrame, models: list[L.Model], targets: list[float], text_col: str = "text", keep: list[str] = (), max_rate: float | None = None, seed: int = 29, whole: bool = False) -> DataFrame:
     """One row per input row: the columns ``keep``, tokens long, p0.. double, rate double, copies long.
 
     ``copies`` realises the rate: its whole part, and one more with the chance of the rest, by a
@@ -127,12 +142,26 @@ def mix(docs: DataFrame, models: list[L.Model], targets: list[float], text_col:
     """
     spark = docs.sparkSession
     C.ship(spark)
+    clash = {"tokens", "rate", "copies", *(f"p{d}" for d in range(len(models)))} & set(keep)
+    if clash:
+        raise ValueError(f"names of the result: {sorted(clash)}")
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     kinds = ", ".join([f"{c} {t}" for c, t in rows.dtypes if c != "text"] + ["tokens long"] + [f"p{d} double" for d in range(len(models))])
     with C.Scratch(spark) as s:
         scored = s.write(rows.mapInArrow(_posteriors(spark.sparkContext.broadcast(models), len(keep)), kinds), keep=True)
-    rate, _ = fit_rates(scored, targets, max_rate)
+    rate, excess = fit_rates(scored, targets, max_rate, whole=whole)
+    if np.abs(excess).max() > TOLERANCE:
+        log.warning("targets not met: excess by domain, in shares of all tokens, %s", np.round(excess, 5).tolist())
     kept = [F.col(f"k{i}") for i in range(len(keep))]
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *kept), 11) / float(1 << 53)
     out = scored.withColumn("rate", rate)
     return out.select(*[c.alias(n) for c, n in zip(kept, keep)], "tokens", *[f"p{d}" for d in range(len(models))], "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
+
+
+def shares(mixed: DataFrame, targets: list[float]) -> DataFrame:
+    """(domain, target, share): the wished and the expected share of tokens after mixing."""
+    n = len(targets)
+    weight = F.col("rate") * F.col("tokens")
+    sums = mixed.agg(F.array(*[F.sum(weight * F.col(f"p{d}")) for d in range(n)]).alias("got"), F.sum(weight).alias("all"))
+    wished = F.array(*[F.lit(float(t) / sum(targets)) for t in targets])
+    return sums.select(F.posexplode("got").alias("domain", "tokens"), "all").select("domain", F.element_at(wished, F.col("domain") + 1).alias("target"), (F.col("tokens") / F.col("all")).alias("share"))

@@ -42,12 +42,14 @@ def _features(pairs: bool):
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: Column, most_rows: int, pairs: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
-    """Cells and labels of at most most_rows labelled documents, on the driver."""
+    """Cells and labels of at most most_rows labelled documents, on the driver: those of least hash of
+    the id, and of rows that share an id those of least label and cells."""
     rows = labels.where(label.isNotNull()).select(F.col(f"`{id_col}`").alias("key"), label.cast("int").alias("y"))
     rows = F.broadcast(rows.where(~held_out(F.col("key"))).orderBy(F.xxhash64("key"), "key", "y").limit(most_rows))
     docs = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    got = docs.join(rows, "key").select("y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_features(pairs), "y int, cells binary")
-    got = sorted((r.y, bytes(r.cells)) for r in got.limit(4 * most_rows).collect())
+    got = docs.join(rows, "key").select(F.struct(F.xxhash64("key").alias("h"), "y").alias("hy"), F.coalesce("text", F.lit("")).alias("text"))
+    got = got.mapInArrow(_features(pairs), "y struct<h:long,y:int>, cells binary").orderBy("y", "cells").limit(most_rows)
+    got = sorted((r.y.y, bytes(r.cells)) for r in got.collect())
     order = np.random.Generator(np.random.PCG64(3)).permutation(len(got))
     return [np.frombuffer(got[i][1], dtype="<i4") for i in order], np.array([got[i][0] for i in order])
 
