@@ -84,10 +84,12 @@ def classes(rows):
     return Counter((r[0], len(s), least[find(i)] if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf_shingles": 6000, "small_rows": 3, "hot_excess": -60}])
+@pytest.mark.parametrize("options", [{}, {"leaf_shingles": 6000, "small_rows": 3, "hot_excess": -60, "hot_share": 5, "name_bits": 5}])
 def test_ngram_join(docs, options):
-    got = ngram_join.ngram_jaccard_join(docs, **options)
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == classes(corpus())
+    rows = corpus()
+    more = [(7, rows[9][1], None, None, 0, 0)] * 9 + [(None, t, None, None, 0, 0) for t in ("q r s t u v", "q r s t u w", "")] * 2  # repeated rows, null and shared ids
+    got = ngram_join.ngram_jaccard_join(docs.union(docs.sparkSession.createDataFrame(more, SCHEMA)), **options)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == classes(rows + more)
 
 
 def test_ngram_join_empty(empty):
@@ -236,6 +238,29 @@ def test_mixing(spark, empty):
     capped = mixing.mix(docs, models, [0.9, 0.05, 0.05], keep=["doc_id"], max_rate=1.0).collect()
     assert max(r.rate for r in capped) <= 1 and max(r.copies for r in capped) == 1
     assert mixing.mix(empty, models, [1, 1, 1], keep=["doc_id"]).count() == 0
+    met = mixing.mix(docs, models, [0.9, 0.05, 0.05], keep=["doc_id"], max_rate=1.0, whole=True)
+    assert all(abs(r.share - r.target) < 0.01 for r in mixing.shares(met, [0.9, 0.05, 0.05]).collect()) and met.where("rate > 1").isEmpty()
+    with pytest.raises(ValueError, match="rate"):
+        mixing.mix(docs.withColumn("rate", F.lit(1)), models, [1, 1, 1], keep=["rate"])
+    nulls = mixing.mix(docs.withColumn("text", F.lit(None).cast("string")), models, [1, 1, 1], keep=["doc_id"]).collect()
+    assert all(r.tokens == 0 and r.rate == 1 for r in nulls)
+
+
+def test_mixing_rates_are_least_squares(spark):
+    """The steps end where small dense nonnegative least squares ends."""
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet([0.4] * 3, 300), rng.integers(1, 500, 300)
+    total, wished = t.sum(), np.array([0.5, 0.3, 0.2])
+    share = (t[:, None] * p).sum(axis=0) / total
+    goal = wished * share[0] / wished[0]
+    rate = np.ones(300)
+    for _ in range(20000):  # plain projected gradient
+        excess = (rate[:, None] * t[:, None] * p).sum(axis=0) / total - goal
+        rate = np.clip(rate - 0.3 * p @ (excess / share), 0, 1.0)
+    loss = float((excess**2 / share).sum())
+    scored = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(t, p)], "tokens long, p0 double, p1 double, p2 double")
+    _, left = mixing.fit_rates(scored, list(wished), max_rate=1.0, rounds=40)
+    assert float((left**2 / share).sum()) <= loss + 1e-4
 
 
 # ------------------------------------------------------------------ 5
@@ -622,6 +647,82 @@ def test_scratch_and_small_side(spark):
         assert t.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FileNotFound|does not exist|FILE_NOT_EXIST"):
         t.selectExpr("id + 1").collect()
-    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
-    for rows in (0, 100):
-        assert {r.text for r in common.without_ids(docs, spark.createDataFrame([(1,)], "x long"), small_rows=rows).collect()} == {"b", "c"}
+
+
+CLASH = ["gone_", "dig_", "rank_", "row", "id", "key", "order", "k0", "tokens", "rate", "uid", "f", "label", "norm", "head"]
+
+
+def odd_table(spark, docs):
+    """Null and shared ids, equal rows, null and empty texts, and columns of names that code might use."""
+    rows = [(None, "one text of its own here now"), (None, None), (1005, ""), (1005, None), (1007, "the same row twice over and over"), (1007, "the same row twice over and over")]
+    rows += [(1008, "many words that make a near copy of one another in all but the very last word " * 2 + w) for w in ("x", "y")]
+    rows += [(1009, "two texts of one id first of them"), (1009, "another text altogether under that id")]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1).cast("long")})
+    return docs.unionByName(more).withColumns({c: F.lit(f"value of {c}") for c in CLASH})
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = labelled(spark, 120)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    odd_table(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = Counter((r.doc_id, r.text) for r in table.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, table, str(tmp_path))
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0, name
+        if name == "byte_level_bpe":
+            assert out.count() == sum(rows.values())
+            continue
+        assert out.columns == table.columns
+        got = out.collect()
+        assert all(r[c] == f"value of {c}" for r in got for c in CLASH), name
+        kept = Counter((r.doc_id, r.text) for r in got)
+        assert all(rows[x] >= n for x, n in kept.items())
+        if name == "exact_dedup":  # one of each text
+            assert Counter(BLANK.sub("", t or "") for _, t in kept) == Counter({BLANK.sub("", t or "") for _, t in rows}) and max(kept.values()) == 1
+        if name == "ngram_jaccard_join":
+            assert kept[1007, "the same row twice over and over"] == 1 and sum(n for (i, _), n in kept.items() if i == 1008) == 1
+            assert sum(n for (i, _), n in kept.items() if i == 1009) == 2 and kept[None, None] == 1 and kept[1005, ""] + kept[1005, None] == 2
+
+
+def test_keep_named(spark):
+    rows = [(1, "a", 1), (1, "a", 5), (1, "b", 2), (None, "a", 3), (2, "c", 4), (2, "c", 4)]
+    docs = spark.createDataFrame(rows, "id long, key string, stay int")
+    names = spark.createDataFrame([(1, "a", 1, 2), (None, "a", 0, 1), (2, "c", 2, 2)], "id long, key string, stay long, n long")
+    for small in (0, 100):
+        got = common.keep_named(docs, names, F.col("id"), F.col("key"), F.col("stay"), small_rows=small)
+        assert sorted(map(tuple, got.collect())) == [(1, "a", 5), (1, "b", 2), (2, "c", 4), (2, "c", 4)]
+
+
+def test_sharding_recomputed(spark):
+    """Shards, slots and the grown shard from the definitions: rendezvous hashes and Fisher-Yates."""
+    import xxhash
+
+    def h(*xs):
+        seed = 42
+        for x in xs:
+            data = x.encode() if isinstance(x, str) else struct.pack("<q" if x[0] == "long" else "<i", x[1])
+            seed = xxhash.xxh64_intdigest(data, seed=seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    rows = [(i * 37 % 1009, f"text {i} " * (i % 7)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.row.doc_id: (r.shard, r.grown_shard, r.bucket, r.slot) for r in sharding.shuffle_shards(docs, shards=3, seed=17, bucket_bytes=1500).collect()}
+    buckets = max(1, -(-sum(len(t.encode()) + 1 for _, t in rows) // (3 * 1500)))
+    place, grown = defaultdict(list), {}
+    for i, t in rows:
+        shard = max(range(3), key=lambda k: (h(("int", 17), ("int", k), ("long", i)), k))
+        grown[i] = max(range(4), key=lambda k: (h(("int", 17), ("int", k), ("long", i)), k))
+        name = h(("int", 19), ("long", i), t)
+        place[shard, h(("long", name), ("int", 0)) % buckets].append((h(("int", 18), ("long", i)), i))
+    want, base = {}, Counter()
+    for (shard, bucket), held in sorted(place.items()):
+        held.sort()
+        walk = np.random.Generator(np.random.PCG64([17, shard, bucket])).permutation(len(held))
+        for pos, k in enumerate(walk):
+            want[held[k][1]] = (shard, grown[held[k][1]], bucket, base[shard] + pos)
+        base[shard] += len(held)
+    assert got == want and len({v[2] for v in want.values()}) > 1
