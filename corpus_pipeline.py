@@ -6,12 +6,15 @@ return the columns of documents.
 
 1. quality_classifier: rows that the classifier rejects go.
 2. exact_dedup: of equal texts one row stays.
-3. ngram_jaccard_join: of each component of near copies the row of least id stays.
-4. mixing: rates, at most 1, bring expected domain tokens to the targets; a row of rate r stays
-   with chance r by a seeded hash of its id, so rows of the lead domain stay.
+3. ngram_jaccard_join: of each component of near copies the row of least id stays (null ids last).
+4. mixing: rates, at most 1, bring expected domain tokens towards the targets; a row of rate r stays
+   with chance r by a seeded hash of its id and text, so rows of the lead domain stay. Domains with
+   fewer tokens than their target stay short: a rate of at most 1 makes no copies.
 5. byte_level_bpe: the texts as token ids.
 
-Rows whose id is null cannot be named by a verdict: stages 3 and 4 keep them.
+Defined results: verdicts name rows by id and text, so null and repeated ids are as good as others,
+and of rows equal in both one is as good as another; a null text is an empty text; an empty table
+goes through empty; extra columns stay, of whatever name, to the last stage.
 """
 
 from __future__ import annotations
@@ -36,14 +39,17 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.ngram_jaccard_join(docs)
-    return common.without_ids(docs, classes.where("component_id <> doc_id").select("doc_id"))
+    return ngram_join.keep_one_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = mixing.fit_domains(docs, _labels(spark, sf_dir), mixing.domain_of(F.col("quality"), F.col("toxic")), len(mixing.DOMAINS))
-    rates = mixing.mix(docs, models, [mixing.TARGETS[d] for d in mixing.DOMAINS], keep=["doc_id"], max_rate=1.0)
-    return common.without_ids(docs, rates.where("copies = 0").select("doc_id"))
+    key = common.text_key(F.col("text"))
+    rows = docs.select(F.col("doc_id").alias("id"), "text", key.alias("key"))
+    rates = mixing.mix(rows, models, [mixing.TARGETS[d] for d in mixing.DOMAINS], keep=["id", "key"], max_rate=1.0)
+    names = rates.groupBy("id", "key").agg(F.max("copies").alias("copies"), F.count("*").alias("n"))
+    names = names.select("id", "key", F.when(F.col("copies") > 0, F.col("n")).otherwise(0).alias("stay"), "n")
+    return common.keep_named(docs, names, F.col("doc_id"), key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
