@@ -11,7 +11,7 @@ from webloom.plans.crawl import crawl
 from webloom.schema import CrawlOptions, load_options
 from webloom.sources.fetch import fetch_from_table, make_fetcher
 from webloom.sources.fixture import fixture_site
-from webloom.sql import _robots_allowed, register
+from webloom.sql import register, robots_allowed
 
 ROBOTS = [
     ("User-agent: *\nDisallow: /private\nAllow: /private/ok\n", "bot", "http://h/private/x", False),
@@ -30,8 +30,8 @@ ROBOTS = [
 
 
 def test_robots(spark):
-    for text, agent, url, want in ROBOTS:
-        assert _robots_allowed(text, agent, url) == want, (text, url)
+    df = spark.createDataFrame(ROBOTS, "t string, a string, u string, w boolean")
+    assert all(r.g == r.w for r in df.withColumn("g", robots_allowed(F.col("t"), F.col("a"), F.col("u"))).collect())
     for agent in {a for _, a, _, _ in ROBOTS}:
         rows = [(f"http://h{i}", t, u.replace("//h", f"//h{i}"), w) for i, (t, a, u, w) in enumerate(ROBOTS) if a == agent]
         df = spark.createDataFrame(rows, "origin string, body string, url string, w boolean")

@@ -17,18 +17,20 @@ def error(f, *args):
 def test_status_line():
     assert W.parse_status_line(b"HTTP/1.1 200 OK") == ("HTTP/1.1", 200, "OK")
     assert W.parse_status_line(b"HTTP/1.0 404") == ("HTTP/1.0", 404, "")
+    assert W.parse_status_line(b"HTTP/1.10 200  OK ") == ("HTTP/1.10", 200, "OK")
     for bad in (b"HTTP/1.1 999 X", b"HTTP/1.1 20", b"nope", b"HTTP/1.1  200 OK"):
         assert error(W.parse_status_line, bad) == W.MALFORMED
 
 
 def test_headers():
     assert W.parse_headers(b"A: 1\r\na: 2\r\nSet-Cookie: x\r\nset-cookie: y") == {"a": "1, 2", "set-cookie": "y"}
+    assert W.parse_headers(b"A: 1\r\n\r\nB: 2") == {"a": "1", "b": "2"}
     for bad in (b"bad name: x", b"no colon", b"A: x\ny"):
         assert error(W.parse_headers, bad) == W.MALFORMED
 
 
 def test_content_length():
-    assert W.parse_content_length("5, 5") == 5
+    assert W.parse_content_length("5, 5") == 5 == W.parse_content_length("5, 05")
     for bad in ("5, 6", "-1", "x", ""):
         assert error(W.parse_content_length, bad) == W.MALFORMED
 
@@ -36,7 +38,12 @@ def test_content_length():
 def test_chunked():
     assert W.decode_chunked(CHUNKED_BODY) == b"<html><body>Hi</body></html>"
     assert W.decode_chunked(b"4;x=y\r\nWiki\r\n5\r\npedia\r\n0\r\nT: 1\r\n\r\n") == b"Wikipedia"
-    for bad in (b"zz\r\n", b"4\r\nWikiXX", b"-4\r\nWiki\r\n0\r\n\r\n", b""):
+    reader, whole = W.ChunkedBody(99), b"4;x=y\r\nWiki\r\n0\r\nT: 1\r\n\r\n"
+    for i in range(len(whole)):  # a byte at a time
+        assert not reader.done
+        reader.feed(whole[i : i + 1])
+    assert reader.done and reader.close() == b"Wiki"
+    for bad in (b"zz\r\n", b"4\r\nWikiXX", b"-4\r\nWiki\r\n0\r\n\r\n", b"", b"1\r\na\r\n0\r\n", b"1\r\na\r\n", b"1\r\na"):
         assert error(W.decode_chunked, bad) == W.MALFORMED
     assert error(W.decode_chunked, CHUNKED_BODY, 5) == W.TOO_LARGE
 
@@ -97,6 +104,18 @@ def test_links():
     assert page('<a href="one" href="two">')["links"] == ["http://h/d/two"]
 
 
+def test_malformed_pages_are_rows(monkeypatch):
+    got = page("<![foo[bar]]>")
+    assert got["error"] == "parse_error" and got["title"] is None
+    monkeypatch.setattr(H, "title_of", lambda events: 1 / 0)
+    assert page("<p>")["error"] == "internal_parse_error"
+
+
+def test_meta_charset():
+    assert W.meta_charset(b'<META http-equiv="Content-Type" content="text/html; charset=koi8-r">') == "koi8-r"
+    assert W.meta_charset(b"<meta name=x><meta charset='utf-8'/>") == "utf-8" and W.meta_charset(b"<p>") is None
+
+
 def test_title_and_headings():
     assert page("<title> A \n B </title><title>C &lt; D</title>")["title"] == "C < D"
     assert page("<title>Real Title<meta name=x><body><h1>H</h1>")["title"] == "Real Title"
@@ -119,6 +138,6 @@ def test_wire_columns(spark):
     df = spark.createDataFrame([(bytearray(CHUNKED_BODY),), (bytearray(b"zz"),)], "d binary")
     assert [r.c.error for r in df.select(W.chunked("d").alias("c")).collect()] == [None, W.MALFORMED]
     h = spark.sql("SELECT map('A', '1', 'a', '2', 'Cookie', 'c') AS h")
-    assert h.select(W.lower_keys("h")).first()[0] == {"a": "2", "cookie": "c"}
-    assert h.select(W.header("h", "A")).first()[0] == "2"
+    assert h.select(W.lower_keys("h")).first()[0] == {"a": "1", "cookie": "c"}
+    assert h.select(W.header("h", "A")).first()[0] == "1"
     assert set(h.select(W.without_credentials("h")).first()[0]) == {"A", "a"}

@@ -103,8 +103,11 @@ def resolved_links(hrefs: list[str], base: str) -> list[str]:
     return list(seen)
 
 
-def parse_page(body: bytes | str, url: str, content_type: str | None = "") -> dict:
-    """One page as a dict of PAGE's fields; a body that cannot be decoded gives only ``error``."""
+FIELDS = frozenset({"title", "description", "headings", "links"})
+
+
+def parse_page(body: bytes | str, url: str, content_type: str | None = "", fields: frozenset[str] = FIELDS) -> dict:
+    """One page as a dict of PAGE's fields; a body that cannot be read gives only ``error``."""
     none = {"title": None, "description": None, "headings": None, "links": None, "text_encoding": None}
     if body is None:
         return none | {"error": "parse_error"}
@@ -114,30 +117,51 @@ def parse_page(body: bytes | str, url: str, content_type: str | None = "") -> di
         text, encoding, error = decode_html(body, content_type or "")
         if error:
             return none | {"error": error}
-    events = _Events(text).events
-    hrefs, base = hrefs_of(events)
     try:
-        base = urljoin(url or "", base) if base else url or ""
-    except ValueError:
-        base = url or ""
-    return {
-        "title": title_of(events),
-        "description": description_of(events),
-        "headings": headings_of(events),
-        "links": resolved_links(hrefs, base),
-        "text_encoding": encoding,
-        "error": None,
-    }
+        events = _Events(text).events
+    except (AssertionError, ValueError):  # markup that the parser refuses
+        return none | {"error": "parse_error"}
+    try:
+        return _page(events, url or "", encoding, fields)
+    except Exception:  # a page must not end the job
+        return none | {"error": "internal_parse_error"}
+
+
+def _page(events, url: str, encoding: str, fields: frozenset[str]) -> dict:
+    out = {"title": None, "description": None, "headings": None, "links": None, "text_encoding": encoding, "error": None}
+    if "title" in fields:
+        out["title"] = title_of(events)
+    if "description" in fields:
+        out["description"] = description_of(events)
+    if "headings" in fields:
+        out["headings"] = headings_of(events)
+    if "links" in fields:
+        hrefs, base = hrefs_of(events)
+        try:
+            base = urljoin(url, base) if base else url
+        except ValueError:
+            base = url
+        out["links"] = resolved_links(hrefs, base)
+    return out
 
 
 def _parse_series(body: pd.Series, url: pd.Series, content_type: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(b, u, c) for b, u, c in zip(body, url, content_type)], columns=["title", "description", "headings", "links", "text_encoding", "error"])
+    return _frame(body, url, content_type, FIELDS)
 
 
-def parse_html(body: Column | str, url: Column | str, content_type: Column | str | None = None) -> Column:
-    """PAGE struct of string or binary bodies."""
+def _frame(body, url, content_type, fields) -> pd.DataFrame:
+    return pd.DataFrame([parse_page(b, u, c, fields) for b, u, c in zip(body, url, content_type)], columns=["title", "description", "headings", "links", "text_encoding", "error"])
+
+
+def parse_html(body: Column | str, url: Column | str, content_type: Column | str | None = None, fields=FIELDS) -> Column:
+    """PAGE struct of string or binary bodies; only the wanted ``fields`` are made."""
     ship()
-    return F.pandas_udf(_parse_series, PAGE)(body, url, F.lit("") if content_type is None else content_type)
+    wanted = frozenset(fields)
+
+    def run(body: pd.Series, url: pd.Series, content_type: pd.Series) -> pd.DataFrame:
+        return _frame(body, url, content_type, wanted)
+
+    return F.pandas_udf(run, PAGE)(body, url, F.lit("") if content_type is None else content_type)
 
 
 def html_escape(text: Column | str) -> Column:

@@ -6,6 +6,7 @@ snapshot is written beside the old one and the pointer is moved last (``Snapshot
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 
@@ -94,6 +95,11 @@ def delete_job(job_id: int, **tables: DataFrame) -> dict[str, DataFrame]:
     return {n: t.where(F.col("id" if n == "crawl_jobs" else "job_id") != job_id) for n, t in tables.items()}
 
 
+def get_job(jobs: DataFrame, job_id: int | None = None):
+    """The row of a job, or of the latest; None if there is none."""
+    return (jobs.where(F.col("id") == job_id) if job_id is not None else jobs.orderBy(F.desc("id"))).limit(1).first()
+
+
 def latest_job_id(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.max("id").alias("job_id"))
 
@@ -148,16 +154,19 @@ def export_rows(pages: DataFrame, failures: DataFrame, job_id: int | None = None
     return as_json(pages, "page").unionByName(as_json(failures, "failure"))
 
 
-def export_document(pages: DataFrame, failures: DataFrame, frontier: DataFrame, path: str, job_id: int | None = None) -> None:
-    """One JSON document for people: rows come to the driver one partition at a time."""
+def export_document(pages: DataFrame, failures: DataFrame, frontier: DataFrame, path, job_id: int | None = None) -> None:
+    """One JSON document for people, to a file or an open one: rows come to the driver one partition
+    at a time and are written as they come, in order of their ids."""
     s = stats(pages, failures, frontier, job_id).first()
-    rows = export_rows(pages, failures, job_id).orderBy("kind", "id")
-    parts: dict[str, list] = {"page": [], "failure": []}
-    for r in rows.toLocalIterator():
-        parts[r.kind].append(json.loads(r.json))
-    body = {"pages": parts["page"], "failures": parts["failure"], "stats": {"pages": s.pages, "failures": s.failures, "frontier": s.frontier or {}}}
-    with open(path, "w") as f:
-        json.dump(body, f, indent=2, sort_keys=True)
+    rows = export_rows(pages, failures, job_id)
+    with contextlib.nullcontext(path) if hasattr(path, "write") else open(path, "w") as f:
+        f.write("{")
+        for kind, name in (("failure", "failures"), ("page", "pages")):
+            f.write(f'\n  "{name}": [')
+            for i, r in enumerate(rows.where(F.col("kind") == kind).orderBy("id").toLocalIterator()):
+                f.write("," * (i > 0) + "\n    " + json.dumps(json.loads(r.json), indent=2, sort_keys=True).replace("\n", "\n    "))
+            f.write("\n  ],")
+        f.write('\n  "stats": ' + json.dumps({"pages": s.pages, "failures": s.failures, "frontier": s.frontier or {}}, sort_keys=True) + "\n}\n")
 
 
 def page_budget(found: DataFrame, budget: int, order: list[str], key: str = "normalized_url") -> DataFrame:
@@ -174,7 +183,11 @@ def page_budget(found: DataFrame, budget: int, order: list[str], key: str = "nor
 
 
 class Snapshots:
-    """Named tables under one folder; a table's current snapshot is named in ``<table>/_current``."""
+    """Named tables under one folder; a table's current snapshot is named in ``<table>/_current``.
+
+    The pointer is read and written through the folder's own file system: the new one is written aside
+    and renamed over the old one, so a reader sees one or the other.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -188,16 +201,26 @@ class Snapshots:
         return fs.exists(path)
 
     def read(self, table: str) -> DataFrame:
-        name = self.spark.read.text(f"{self.root}/{table}/_current", wholetext=True).first()[0].strip()
+        fs, path = self._file(f"{self.root}/{table}/_current")
+        stream = fs.open(path)
+        try:
+            name = bytes(stream.readAllBytes()).decode().strip()
+        finally:
+            stream.close()
         return self.spark.read.parquet(f"{self.root}/{table}/{name}")
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{table}/{name}")
-        fs, path = self._file(f"{self.root}/{table}/_current")
-        out = fs.create(path, True)
+        fs, aside = self._file(f"{self.root}/{table}/_next-{name}")
+        out = fs.create(aside, True)
         out.write(bytearray(name.encode()))
         out.close()
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(aside, self._file(f"{self.root}/{table}/_current")[1], options)
         return self.spark.read.parquet(f"{self.root}/{table}/{name}")
 
     def append(self, table: str, df: DataFrame) -> DataFrame:

@@ -1,104 +1,69 @@
-"""The engine's functions under SQL names."""
+"""The engine's functions under SQL names.
+
+Scalar functions are the Column expressions of ``functions``: a call in SQL text is replaced by the
+expression over its arguments when the query is analysed, so Catalyst sees it whole and there is no
+second implementation.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+
+from pyspark.java_gateway import ensure_callback_server_started
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from .functions import robots as R
+from .functions import url as U
 from .functions.html import PAGE, _parse_series, parse_page
 from .shipping import ship
 
-#: Column functions as SQL functions: a body over the parameters, inlined by Catalyst.
-_URL = r"'(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:[?]([^#]*))?(?:#(.*))?$'"
+
+class _Builder:
+    """A Scala function from argument expressions to an expression, around a Python function of Columns."""
+
+    def __init__(self, spark: SparkSession, f: Callable[..., Column]):
+        self.session, self.utils, self.f = spark._jsparkSession, spark._jvm.org.apache.spark.sql.classic.ExpressionUtils, f
+
+    def apply(self, arguments):
+        given = [Column(self.utils.column(arguments.apply(i))) for i in range(arguments.size())]
+        return self.session.expression(self.f(*given)._jc)
+
+    class Java:
+        implements = ["scala.Function1"]
+
+
+def robots_allowed(text: Column, user_agent: Column, url: Column) -> Column:
+    """Whether a robots.txt text lets an agent fetch a URL."""
+    items = R.parse_robots(text)
+    rules = R.rules_of(items, R.chosen_group(items, R.product_token(user_agent)))
+    target = U.robots_target(url)
+
+    def best(kind):
+        hits = F.filter(rules, lambda r: (r["kind"] == kind) & F.regexp_like(target, R.rule_regex(r["pattern"])))
+        return F.coalesce(F.array_max(F.transform(hits, lambda r: R.specificity(r["pattern"]))), F.lit(-1))
+
+    return (best("disallow") < 0) | (best("allow") >= best("disallow"))
+
+
+FUNCTIONS = {"normalize_url": U.normalize_url, "domain_of": U.domain, "canonical_domain": lambda url: U.canonical_domain(U.domain(url)), "robots_allowed": robots_allowed}
 
 
 def register(spark: SparkSession) -> None:
-    """parse_html(body, url, content_type), parse_links(html, url), normalize_url(url),
-    domain_of(url), robots_allowed(text, user_agent, url)."""
+    """normalize_url(url), domain_of(url), canonical_domain(url), robots_allowed(text, user_agent, url),
+    parse_html(body, url, content_type) and the table function parse_links(html, url)."""
     ship(spark)
+    gateway = spark.sparkContext._gateway
+    ensure_callback_server_started(gateway)
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    for name, f in FUNCTIONS.items():
+        registry.createOrReplaceTempFunction(name, _Builder(spark, f), "python_udf")
     spark.udf.register("parse_html", F.pandas_udf(_parse_series, PAGE))
-    spark.udf.register("normalize_url", F.pandas_udf(_normalized, "string"))
-    spark.udf.register("robots_allowed", F.pandas_udf(_allowed, "boolean"))
     spark.udtf.register("parse_links", ParseLinks)
-    host = f"lower(regexp_extract(regexp_replace(regexp_extract(url, {_URL}, 2), '(?s)^.*@', ''), '^([^:]*)', 1))"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION domain_of(url STRING) RETURNS STRING RETURN {host}")
 
 
 @udtf(returnType="pos int, link string")
 class ParseLinks:
     def eval(self, html: str, url: str):
         yield from enumerate(parse_page(html, url)["links"] or [])
-
-
-def _normalize(url: str | None) -> str | None:
-    """The same identity as ``functions.url.normalize_url``, one URL at a time."""
-    import posixpath
-    from urllib.parse import parse_qsl, quote, urlencode, urlsplit
-
-    from .functions.url import TRACKING_PARAMS
-
-    try:
-        cut = urlsplit((url or "").strip())
-        host, port = (cut.hostname or "").lower(), cut.port
-        host = host if host.isascii() else host.encode("idna").decode()
-    except (ValueError, UnicodeError):
-        return None
-    if not cut.scheme or not host:
-        return None
-    shown = f"[{host}]" if ":" in host else host
-    if port and port != {"http": 80, "https": 443}.get(cut.scheme):
-        shown += f":{port}"
-    path = "/" + posixpath.normpath(cut.path or "/").strip("/")
-    path = "/" if path == "/." else path
-    if (cut.path or "/").endswith("/") and path != "/":
-        path += "/"
-    items = [(k, v) for k, v in parse_qsl(cut.query, keep_blank_values=True) if not k.lower().startswith("utm_") and k.lower() not in TRACKING_PARAMS]
-    query = urlencode(sorted(items))
-    return f"{cut.scheme}://{shown}{quote(path, safe='/%:@')}" + (f"?{query}" if query else "")
-
-
-def _normalized(url: pd.Series) -> pd.Series:
-    return url.map(_normalize)
-
-
-def _allowed(text: pd.Series, user_agent: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([_robots_allowed(t, a, u) for t, a, u in zip(text, user_agent, url)])
-
-
-def _robots_allowed(text: str, user_agent: str, url: str) -> bool:
-    import re
-    from urllib.parse import urlsplit
-
-    groups, agents, rules, closed = [], [], [], False
-    for line in (text or "").splitlines():
-        key, colon, value = line.partition("#")[0].partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if not colon or key not in ("user-agent", "allow", "disallow", "crawl-delay"):
-            continue
-        if key == "user-agent":
-            if closed:
-                groups.append((agents, rules))
-                agents, rules, closed = [], [], False
-            agents = agents + [value.lower()] * bool(value)
-        else:
-            closed = True
-            if value and key != "crawl-delay":
-                rules = rules + [(key, value)]
-    groups.append((agents, rules))
-    token = ((user_agent or "").lower().split("/")[0].split() or [""])[0]
-    named = [(len(a), -i) for i, (names, _) in enumerate(groups) for a in names if a != "*" and token.startswith(a)]
-    star = [i for i, (names, _) in enumerate(groups) if "*" in names]
-    if not named and not star:
-        return True
-    chosen = groups[-max(named)[1] if named else star[-1]][1]
-    cut = urlsplit(url)
-    target = (cut.path or "/") + (f"?{cut.query}" if cut.query else "")
-    best = {"allow": -1, "disallow": -1}
-    for kind, pattern in chosen:
-        body = pattern.removesuffix("$")
-        regex = ".*".join(map(re.escape, body.split("*"))) + ("$" if pattern.endswith("$") else "")
-        if re.match(regex, target):
-            best[kind] = max(best[kind], len(pattern.rstrip("$")))
-    return best["disallow"] < 0 or best["allow"] >= best["disallow"]
