@@ -1,12 +1,15 @@
 """Command line: scrape, crawl, resume, stats, export, verify, robots, doctor.
 
-State is a folder of snapshots (``--store``). Exit codes: 0 done, 1 failed or not valid, 2 usage,
+State is a folder of snapshots (``--store``), stored after every level of a crawl, so that an
+interrupted job is resumed where it was. Exit codes: 0 done, 1 failed or not valid, 2 usage,
 130 interrupted. The web is a Parquet table (``--site``) or, with ``--live``, the network.
 """
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import datetime
 import json
 import logging
 import sys
@@ -18,14 +21,26 @@ from .functions import html as H
 from .functions import robots as R
 from .functions import url as U
 from .operators import store
-from .plans.crawl import crawl
-from .schema import load_options
-from .sources.fetch import fetch_from_table, fetch_with, make_fetcher
+from .plans.crawl import CrawlResult, LiveWeb, TableWeb, crawl, robots_of
+from .schema import CRAWL_JOBS, SCHEMA_VERSION, load_options
+from .sources.fetch import client_name, fetch_from_table, fetch_with, limits_of, make_fetcher
 from .sources.fixture import fixture_site
 
+VERSION = "0.2.0"
 OK, FAILED, USAGE, INTERRUPTED = 0, 1, 2, 130
 log = logging.getLogger("webloom")
 
+#: Flags of fetching commands, by the option that they set.
+FETCH_FLAGS = {
+    "user_agent": ("--user-agent", str),
+    "connect_timeout": ("--connect-timeout", float),
+    "read_timeout": ("--read-timeout", float),
+    "total_timeout": ("--total-timeout", float),
+    "max_response_bytes": ("--max-bytes", int),
+    "redirect_limit": ("--redirect-limit", int),
+}
+CRAWL_FLAGS = {"max_pages": ("--max-pages", int), "max_depth": ("--max-depth", int), "retry_count": ("--retry-count", int), "min_delay_seconds": ("--delay", float)}
+
 
 def log_event(event: str, **fields) -> None:
     log.info(json.dumps({"event": event, **fields}, sort_keys=True, default=str))
@@ -33,23 +48,31 @@ def log_event(event: str, **fields) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="webloom")
+    p.add_argument("--version", action="version", version=f"webloom {VERSION}")
     p.add_argument("--store", default="webloom-store")
     p.add_argument("--site", help="Parquet table of url, status_code, headers, body; 'fixture' for the built-in site")
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scrape", "crawl", "robots"):
+    for name in ("scrape", "crawl", "resume", "robots"):
         c = sub.add_parser(name)
-        c.add_argument("url")
-        c.add_argument("--live", action="store_true")
-        c.add_argument("--fetcher", default="library")
-        c.add_argument("--max-pages", type=int)
-        c.add_argument("--max-depth", type=int)
-        c.add_argument("--user-agent")
-    for name in ("resume", "stats", "export", "verify"):
+        if name != "resume":
+            c.add_argument("url")
+        else:
+            c.add_argument("--job-id", type=int)
+        c.add_argument("--live", action="store_true", help="fetch from the network")
+        c.add_argument("--fetcher", default="socket", help="socket or library")
+        c.add_argument("--trace", action="store_true", help="say what is done on standard error")
+        c.add_argument("--block-private-addresses", action="store_true", default=None)
+        for option, (flag, kind) in (FETCH_FLAGS | (CRAWL_FLAGS if name in ("crawl", "resume") else {})).items():
+            c.add_argument(flag, dest=option, type=kind)
+        if name in ("crawl", "resume"):
+            c.add_argument("--allow-domain", action="append", help="one more domain in scope; may be repeated")
+            c.add_argument("--ignore-robots", action="store_true")
+    for name in ("stats", "export", "verify"):
         c = sub.add_parser(name)
         c.add_argument("--job-id", type=int)
         if name == "export":
-            c.add_argument("--output", required=True)
+            c.add_argument("--output", help="a file; else standard output")
     sub.add_parser("doctor")
     return p
 
@@ -58,14 +81,75 @@ def _site(spark, args):
     return fixture_site(spark) if args.site in (None, "fixture") else spark.read.parquet(args.site)
 
 
-def _save_crawl(spark, args, seed, options, job_id):
-    out = crawl(spark, _site(spark, args), seed, options, job_id)
-    s = store.Snapshots(spark, args.store)
-    for name, df in (("pages", out.pages), ("failures", out.failures.withColumnRenamed("item_id", "id")), ("frontier", out.frontier)):
-        s.append(name, df)
-    job = [(job_id, seed, out.status, options.max_pages, options.max_depth)]
-    s.append("crawl_jobs", spark.createDataFrame(job, "id long, seed_url string, status string, max_pages int, max_depth int"))
-    return out
+def _options(args):
+    given = {k: getattr(args, k, None) for k in (*FETCH_FLAGS, *CRAWL_FLAGS, "block_private_addresses")}
+    if getattr(args, "ignore_robots", False):
+        print("warning: robots.txt is not obeyed (--ignore-robots)", file=sys.stderr)
+        given["obey_robots"] = False
+    options = load_options(args.config, **given)
+    more = tuple(d.lower() for d in getattr(args, "allow_domain", None) or ())
+    return dataclasses.replace(options, allowed_domains=(*options.allowed_domains, *more))
+
+
+class Job:
+    """A job and its rows in the store; other jobs' rows stay as they are."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.tables = spark, store.Snapshots(spark, root)
+        if self.tables.exists("version"):
+            found = self.tables.read("version").first().version
+            if found != SCHEMA_VERSION:
+                raise ValueError(f"the store has version {found}, not {SCHEMA_VERSION}")
+        else:
+            self.tables.write("version", spark.createDataFrame([(SCHEMA_VERSION,)], "version int"))
+
+    def next_id(self) -> int:
+        return 1 + ((self.tables.read("crawl_jobs").agg(F.max("id")).first()[0] or 0) if self.tables.exists("crawl_jobs") else 0)
+
+    def put(self, name: str, rows, job_id: int) -> None:
+        key = "id" if name == "crawl_jobs" else "job_id"
+        if self.tables.exists(name):
+            rows = self.tables.read(name).where(F.col(key) != job_id).unionByName(rows, allowMissingColumns=True)
+        self.tables.write(name, rows)
+
+    def save(self, job_id: int, out: CrawlResult) -> None:
+        for name in ("pages", "failures", "frontier"):
+            self.put(name, getattr(out, name), job_id)
+
+    def row(self, job_id, url, status, options, created, started, finished=None) -> None:
+        row = (job_id, url, status, options.max_pages, options.max_depth, created, started, finished)
+        self.put("crawl_jobs", self.spark.createDataFrame([row], CRAWL_JOBS), job_id)
+
+
+def _crawl(spark, args, options) -> int:
+    jobs, now = Job(spark, args.store), lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    resume = None
+    if args.command == "resume":
+        row = store.get_job(jobs.tables.read("crawl_jobs"), args.job_id) if jobs.tables.exists("crawl_jobs") else None
+        if row is None:
+            print("no such job", file=sys.stderr)
+            return FAILED
+        url, job_id, created = row.seed_url, row.id, row.created_at
+        kept = {k: getattr(row, k) for k in ("max_pages", "max_depth") if getattr(args, k) is None}  # the job's own budgets
+        options = dataclasses.replace(options, **kept)
+        of = lambda name: jobs.tables.read(name).where(F.col("job_id") == job_id)
+        resume = CrawlResult(of("frontier"), of("pages"), of("failures"), row.status) if jobs.tables.exists("frontier") else None
+    else:
+        url, job_id, created = args.url, jobs.next_id(), now()
+    started = now()
+    jobs.row(job_id, url, "running", options, created, started)
+    web = client_name(args.fetcher) if args.live else _site(spark, args)
+    try:
+        out = crawl(spark, web, url, options, job_id, resume, lambda r: jobs.save(job_id, r))
+        jobs.save(job_id, out)
+    except BaseException as e:
+        jobs.row(job_id, url, "interrupted" if isinstance(e, KeyboardInterrupt) else "errored", options, created, started, now())
+        raise
+    jobs.row(job_id, url, out.status, options, created, started, now())
+    summary = {"job_id": job_id, "status": out.status, "pages": out.pages.count(), "failures": out.failures.count()}
+    log_event("crawl_finished", **summary)
+    print(json.dumps(summary))
+    return OK
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -73,6 +157,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         args = parser().parse_args(argv)
     except SystemExit as e:
         return OK if e.code == 0 else USAGE
+    if getattr(args, "trace", False):
+        logging.basicConfig(level=logging.INFO, stream=sys.stderr)
+        log.setLevel(logging.DEBUG)
     try:
         return _run(args, spark or SparkSession.builder.appName("webloom").getOrCreate())
     except KeyboardInterrupt:
@@ -83,53 +170,41 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def _run(args, spark: SparkSession) -> int:
-    given = {k: getattr(args, k, None) for k in ("max_pages", "max_depth", "user_agent")}
-    options = load_options(args.config, **given)
-    s = store.Snapshots(spark, args.store)
-    job = getattr(args, "job_id", None)
+    options = _options(args)
     if args.command == "doctor":
-        print(f"spark {spark.version}, python {sys.version.split()[0]}")
+        print(f"webloom {VERSION}, spark {spark.version}, python {sys.version.split()[0]}, store version {SCHEMA_VERSION}")
         return OK
     if args.command == "scrape":
         urls = spark.createDataFrame([(args.url,)], "url string")
-        got = fetch_with(urls, make_fetcher(args.fetcher)) if args.live else fetch_from_table(urls, _site(spark, args), options.redirect_limit)
+        if args.live:
+            got = fetch_with(urls, make_fetcher(args.fetcher, **vars(limits_of(options))))
+        else:
+            got = fetch_from_table(urls, _site(spark, args), options.redirect_limit, options.max_response_bytes)
         got = got.withColumn("p", H.parse_html("body", "final_url", F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit(""))))
-        row = got.select("url", "final_url", "status_code", "error_category", "p.title", F.size("redirects").alias("redirects")).first()
-        print(json.dumps(row.asDict(), indent=2))
+        row = got.select("url", "final_url", "status_code", "error_category", "p.title", F.size("redirects").alias("redirects"), "transport", "timing").first()
+        print(json.dumps(row.asDict(recursive=True), indent=2))
         return FAILED if row.error_category or (row.status_code or 0) >= 400 else OK
     if args.command in ("crawl", "resume"):
-        if args.command == "resume":  # the job's own budgets and seed
-            jobs = s.read("crawl_jobs")
-            row = jobs.where(F.col("id") == job).first() if job else jobs.orderBy(F.desc("id")).first()
-            if row is None:
-                raise ValueError("no such job")
-            options = load_options(args.config, max_pages=row.max_pages, max_depth=row.max_depth)
-            args.url, job_id = row.seed_url, row.id
-            for name in ("pages", "failures", "frontier", "crawl_jobs"):
-                kept = s.read(name)
-                s.write(name, kept.where(F.col("id" if name == "crawl_jobs" else "job_id") != job_id))
-        else:
-            job_id = (s.read("crawl_jobs").agg(F.max("id")).first()[0] if s.exists("crawl_jobs") else 0) + 1
-        out = _save_crawl(spark, args, args.url, options, job_id)
-        summary = {"job_id": job_id, "status": out.status, "pages": out.pages.count(), "failures": out.failures.count()}
-        log_event("crawl_finished", **summary)
-        print(json.dumps(summary))
-        return OK
+        return _crawl(spark, args, options)
     if args.command == "robots":
         origin = spark.createDataFrame([(args.url,)], "url string").select("url", U.robots_key("url").alias("origin"))
-        text = _site(spark, args).where(F.col("url").endswith("/robots.txt")).select(F.regexp_replace("url", "/robots.txt$", "").alias("origin"), R.fetched_rules(F.col("status_code"), F.col("body")).alias("body"))
-        rules, delays = R.rule_table(text, options.user_agent)
+        web = LiveWeb(client_name(args.fetcher), options, lambda df: df) if args.live else TableWeb(_site(spark, args), options, None)
+        rules, delays = robots_of(web, origin, options.user_agent)
         row = R.robots_verdicts(origin.select("url"), rules).join(origin, "url").join(delays, "origin", "left").select("url", "allowed", "crawl_delay", "sitemaps").first()
         print(json.dumps(row.asDict()))
         return OK
-    pages, failures, frontier = (s.read(t) for t in ("pages", "failures", "frontier"))
+    s = Job(spark, args.store).tables
+    if not s.exists("pages"):
+        print("no job in the store", file=sys.stderr)
+        return FAILED
+    pages, failures, frontier = s.read("pages"), s.read("failures").withColumnRenamed("item_id", "id"), s.read("frontier")
     if args.command == "stats":
-        print(json.dumps(store.stats(pages, failures, frontier, job).first().asDict()))
+        print(json.dumps(store.stats(pages, failures, frontier, args.job_id).first().asDict()))
         return OK
     if args.command == "export":
-        store.export_document(pages, failures, frontier, args.output, job)
+        store.export_document(pages, failures, frontier, args.output or sys.stdout, args.job_id)
         return OK
-    row = store.verify_counts(pages, job).first()
+    row = store.verify_counts(pages, args.job_id).first()
     print(json.dumps(row.asDict()))
     return FAILED if row.mismatch or row.missing else OK
 

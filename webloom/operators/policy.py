@@ -102,16 +102,19 @@ def is_private_ipv4(ip: Column | str) -> Column:
     return F.when(valid, inside).otherwise(F.lit(True))
 
 
+def public_address(text: str | None) -> bool:
+    """Whether an address is one of the open network; what is no address is not."""
+    try:
+        a = ipaddress.ip_address((text or "").split("%")[0])
+    except ValueError:
+        return False
+    return not any(getattr(a, f"is_{kind}") for kind in ("private", "loopback", "link_local", "multicast", "reserved", "unspecified"))
+
+
 def is_blocked_address(ip: Column | str) -> Column:
     """The same for IPv4 and IPv6, by Python's address library in Arrow batches."""
-    def one(text):
-        try:
-            a = ipaddress.ip_address((text or "").split("%")[0])
-        except ValueError:
-            return True
-        return a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified
 
     def run(ips: pd.Series) -> pd.Series:
-        return ips.map(one)
+        return ips.map(lambda ip: not public_address(ip))
 
     return F.pandas_udf(run, "boolean")(ip)

@@ -2,19 +2,27 @@
 
 Items of depth d are all handled before those of depth d + 1, and within a level the order is
 (parent's rank, link position), so a level is one DataFrame plan: gates (depth, scope, robots),
-fetch (join), classes (CASE), parse (Arrow), explode, normalize, first-wins, anti-join with the
-frontier, budget cut. The driver's loop has one turn per level and sees counts only. Lineage is
-cut by writing each level in the shared checkpoint folder.
+fetch (a join with a table of responses, or live requests), classes (CASE), parse (Arrow), explode,
+normalize, first-wins, anti-join with the frontier, budget cut. The driver's loop has one turn per
+level and sees counts only. Lineage is cut by writing each level in the shared checkpoint folder.
+
+Pacing: an item's delay is the greater of the least delay and its origin's crawl delay. From a table,
+``slot`` is the second after the level's start at which the request would go out; live, the task
+that has a domain waits between its requests.
 
 Retries are resolved at an item's own rank: a retryable failure is tried retry_count + 1 times
-against the same table, so it ends as a failure with the full count.
+against the same table, so it ends as a failure with the full count; live, it is fetched again.
+
+A crawl goes on from a stored frontier: pending items (those in progress are pending again) by depth.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import logging
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +32,17 @@ from ..functions import html as H
 from ..functions import robots as R
 from ..functions import url as U
 from ..functions import wire as W
-from ..operators import policy, store
-from ..schema import CrawlOptions
-from ..sources.fetch import fetch_from_table
+from ..operators import pacing, policy, store
+from ..schema import SKIP_CATEGORIES, TIMING, CrawlOptions
+from ..sources.fetch import fetch_from_table, fetch_paced, fetch_with, limits_of, make_fetcher
+
+log = logging.getLogger("webloom")
+
+# What a robots.txt may have.
+ROBOTS_BYTES, ROBOTS_REDIRECTS = 128 * 1024, 3
+ITEM = ["job_id", "id", "url", "normalized_url", "depth", "discovered_from"]
+PAGE_FIELDS = ["job_id", "url", "final_url", "normalized_url", "status_code", "content_type", "title", "description", "headings", "links", "body_sha256", "body_text", "text_encoding", "timing", "transport", "depth", "slot", "fetched_at"]
+FAILURE_FIELDS = ["job_id", "item_id", "depth", "url", "normalized_url", "category", "message", "status_code", "retry_count", "created_at"]
 
 
 @dataclasses.dataclass
@@ -38,97 +54,172 @@ class CrawlResult:
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        named = tempfile.mkdtemp(prefix="webloom-")
     return f"{named.rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
 
-def robots_from_table(site: DataFrame, origins: DataFrame, user_agent: str) -> tuple[DataFrame, DataFrame]:
-    """Rules and delays for the origins, from the robots.txt rows of the site table."""
-    texts = site.where(F.col("url").endswith("/robots.txt")).select(F.regexp_replace("url", "/robots.txt$", "").alias("origin"), "status_code", "body")
-    got = origins.select("origin").distinct().join(texts, "origin", "left")
-    return R.rule_table(got.withColumn("body", R.fetched_rules(F.coalesce("status_code", F.lit(404)), F.col("body"))), user_agent)
+class TableWeb:
+    """The web as a table of responses."""
+
+    def __init__(self, site: DataFrame, options: CrawlOptions, save: Callable[[DataFrame], DataFrame]):
+        self.site, self.options, self.save = site, options, save
+
+    def robots(self, origins: DataFrame) -> DataFrame:
+        wanted = origins.select("origin", F.concat("origin", F.lit("/robots.txt")).alias("url"))
+        got = fetch_from_table(wanted, self.site.where(F.col("url").endswith("/robots.txt") | policy.is_redirect("status_code")), ROBOTS_REDIRECTS, ROBOTS_BYTES, save=self.save)
+        return got.select("origin", "status_code", "error_category", "body")
+
+    def fetch(self, items: DataFrame) -> DataFrame:
+        got = fetch_from_table(items, self.site, self.options.redirect_limit, self.options.max_response_bytes, save=self.save)
+        slots = pacing.pacing_slots(items.select("id", "domain", F.lit(0.0).alias("arrive"), "delay"), order="id").select("id", F.col("start").alias("slot"))
+        got = got.withColumn("tried", F.lit(self.options.retry_count))
+        return got.withColumn("encoding", F.try_element_at("headers", F.lit("content-encoding"))).join(slots, "id")
+
+
+class LiveWeb:
+    """The web itself, by one of the clients."""
+
+    def __init__(self, client: str, options: CrawlOptions, save: Callable[[DataFrame], DataFrame]):
+        self.client, self.options, self.save = client, options, save
+
+    def robots(self, origins: DataFrame) -> DataFrame:
+        limits = limits_of(self.options, max_bytes=ROBOTS_BYTES, redirect_limit=ROBOTS_REDIRECTS, connect_timeout=5.0, read_timeout=5.0, total_timeout=10.0)
+        wanted = origins.select("origin", F.concat("origin", F.lit("/robots.txt")).alias("url"))
+        got = fetch_with(wanted, make_fetcher(self.client, **vars(limits)), 8)
+        return wanted.join(self.save(got), "url").select("origin", "status_code", "error_category", "body")
+
+    def fetch(self, items: DataFrame) -> DataFrame:
+        done, left = None, items.select("url", "domain", F.col("id").alias("rank"), "delay").dropDuplicates(["url"])
+        for tried in range(self.options.retry_count + 1):
+            got = self.save(fetch_paced(left, self.client, limits_of(self.options)).withColumn("tried", F.lit(tried)))
+            category = F.coalesce("error_category", policy.status_category("status_code"))
+            again = policy.should_retry("status_code", category, F.lit(tried), self.options.retry_count)
+            now = got.where(~again)
+            done = now if done is None else done.unionByName(now)
+            left = left.join(got.where(again).select("url"), "url", "left_semi")
+            if got.where(again).isEmpty():
+                break
+        slot = F.lit(None).cast("double")
+        return items.join(done, "url").withColumn("encoding", F.lit(None).cast("string")).withColumn("slot", slot)
+
+
+def robots_of(web, origins: DataFrame, user_agent: str) -> tuple[DataFrame, DataFrame]:
+    """Rules and delays for the origins."""
+    got = web.robots(origins.select("origin").distinct())
+    status = F.when(F.col("error_category").isNull(), F.col("status_code"))
+    return R.rule_table(got.withColumn("body", R.fetched_rules(status, F.col("body"))), user_agent)
 
 
 def expand(parsed: DataFrame, options: CrawlOptions, seeds: list[str]) -> DataFrame:
-    """Links of a level's pages: rank, pos, url, depth + 1, discovered_from; in scope only."""
-    links = parsed.where(F.col("depth") < options.max_depth).select("job_id", "rank", "depth", F.col("final_url").alias("discovered_from"), F.posexplode("links").alias("pos", "url"))
+    """Links of a level's pages: id, pos, url, depth + 1, discovered_from; in scope only."""
+    links = parsed.where(F.col("depth") < options.max_depth).select("job_id", "id", "depth", F.col("final_url").alias("discovered_from"), F.posexplode("links").alias("pos", "url"))
     return links.where(U.in_scope("url", seeds, options.stay_on_seed_domain)).withColumn("depth", F.col("depth") + 1)
 
 
-def crawl(spark: SparkSession, site: DataFrame, seed: str, options: CrawlOptions | None = None, job_id: int = 1) -> CrawlResult:
-    """Crawl the table ``site`` from the seed."""
+def numbered(rows: DataFrame, order: list[str], base: int, save) -> DataFrame:
+    """``rows`` with id = base + 1, base + 2, ... by order. Sorted by ranges; only counts per range meet."""
+    lot = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    lot = save(lot.withColumn("lot_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before = Window.orderBy("lot_").rowsBetween(Window.unboundedPreceding, -1)
+    first = lot.groupBy("lot_").count().select("lot_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first_"))
+    return lot.join(F.broadcast(first), "lot_").withColumn("id", F.col("at_") + F.col("first_") + base + 1).drop("lot_", "at_", "first_")
+
+
+def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlOptions | None = None, job_id: int = 1, resume: CrawlResult | None = None, after_level: Callable[[CrawlResult], None] | None = None, more_seeds: DataFrame | None = None) -> CrawlResult:
+    """Crawl from the seed: ``site`` is a table of responses, or the name of a live client.
+
+    ``resume`` is what an earlier run of the job has stored. ``after_level`` gets the state after
+    every level, to be stored. ``more_seeds`` (url, order) are further items of depth 0.
+    """
     options = options or CrawlOptions()
     root = _folder(spark)
-    save = lambda df, name: (df.write.parquet(f"{root}/{name}"), spark.read.parquet(f"{root}/{name}"))[1]
-    first = spark.createDataFrame([(job_id, seed)], "job_id long, url string")
-    first = first.select("job_id", "url", U.normalize_url("url").alias("normalized_url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"))
-    level = first.where("normalized_url is not null").withColumn("rank", F.lit(1).cast("long"))
+    save = lambda df: (df.write.parquet(path := f"{root}/{uuid.uuid4().hex}"), spark.read.schema(df.schema).parquet(path))[1]
+    web = LiveWeb(site, options, save) if isinstance(site, str) else TableWeb(site, options, save)
     host = spark.range(1).select(U.domain(F.lit(seed)).alias("h")).first().h
     seeds = [host, *options.allowed_domains]
-    frontier = pages = failures = None
-    taken, status, depth = 0, "finished", 0
+    pages = spark.createDataFrame([], ", ".join(f"{f} {k}" for f, k in _PAGE_TYPES.items())) if resume is None else resume.pages.select(*_PAGE_TYPES)
+    failures = spark.createDataFrame([], ", ".join(f"{f} {k}" for f, k in _FAILURE_TYPES.items())) if resume is None else resume.failures.select(*_FAILURE_TYPES)
+    if resume is None:
+        first = spark.createDataFrame([(job_id, seed, 0)], "job_id long, url string, pos long")
+        if more_seeds is not None:
+            first = first.unionByName(more_seeds.select(F.lit(job_id).cast("long").alias("job_id"), "url", (F.col("order") + 1).cast("long").alias("pos")))
+        first = first.select("job_id", "url", U.normalize_url("url").alias("normalized_url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"), "pos")
+        frontier = numbered(store.first_wins(first, ["pos"]), ["pos"], 0, save).select(*ITEM).withColumn("status", F.lit("pending"))
+    else:
+        frontier = store.recover_in_progress(resume.frontier, job_id).select(*ITEM, "status")
+    frontier = save(frontier)
+    status = "finished"
+    taken = pages.select("normalized_url").distinct().count()
     while True:
-        level = save(level, f"level-{depth}")
-        if level.isEmpty():
+        open_ = frontier.where(F.col("status").isin("pending", "retry_scheduled"))
+        depth = open_.agg(F.min("depth")).first()[0]
+        if depth is None:
             break
         if taken >= options.max_pages:
             status = "budget_reached"
-            frontier = level.withColumn("status", F.lit("pending")) if frontier is None else frontier.unionByName(level.withColumn("status", F.lit("pending")))
             break
+        level = open_.where(F.col("depth") == depth).drop("status")
         gated = level.withColumn("skip", F.when(F.col("depth") > options.max_depth, "max_depth_exceeded").when(~U.in_scope("url", seeds, options.stay_on_seed_domain), "off_domain"))
+        gated = gated.withColumn("domain", U.domain("url")).withColumn("delay", F.lit(float(options.min_delay_seconds)))
         if options.obey_robots:
-            rules, _ = robots_from_table(site, level.select(U.robots_key("url").alias("origin")), options.user_agent)
+            rules, delays = robots_of(web, level.select(U.robots_key("url").alias("origin")), options.user_agent)
             gated = R.robots_verdicts(gated, rules).drop("disallow_len", "allow_len")
             gated = gated.withColumn("skip", F.coalesce("skip", F.when(~F.col("allowed"), "robots_disallowed"))).drop("allowed")
-        fetched = fetch_from_table(gated.where("skip is null").drop("skip"), site, options.redirect_limit, options.max_response_bytes, save=lambda df: save(df, f"hop-{uuid.uuid4().hex}"))
-        category = F.coalesce("error_category", policy.status_category("status_code"))
-        html = W.content_type_allowed(F.try_element_at("headers", F.lit("content-type")), options.allowed_content_types)
-        fetched = fetched.withColumn("category", category).withColumn("skip", F.when(F.col("category").isNull() & ~html, "unsupported_content_type"))
-        fetched = save(fetched, f"fetched-{depth}")
-        good = fetched.where("category is null and skip is null")
-        encoding = F.try_element_at("headers", F.lit("content-encoding"))
-        good = good.withColumn("inflated", W.decompressed("body", encoding, options.max_response_bytes))
+            delays = delays.select(F.col("origin").alias("o_"), "crawl_delay")
+            gated = gated.withColumn("origin", U.robots_key("url")).join(delays, F.col("origin") == F.col("o_"), "left")
+            gated = gated.withColumn("delay", policy.effective_delay(options.min_delay_seconds, "crawl_delay")).drop("o_", "origin", "crawl_delay")
+        gated = save(gated)
+        log.debug("level of depth %s, %s pages so far", depth, taken)
+        fetched = web.fetch(gated.where("skip is null").drop("skip")).withColumn("fetched_at", F.current_timestamp().cast("timestamp_ntz"))
         ctype = F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit(""))
-        good = good.withColumn("p", H.parse_html("inflated.body", "final_url", ctype)).withColumn("d", W.decoded("inflated.body", ctype))
-        good = good.withColumn("category", F.coalesce("inflated.error", "p.error"))
+        fetched = fetched.withColumn("content_type", ctype).withColumn("category", F.coalesce("error_category", policy.status_category("status_code")))
+        html = W.content_type_allowed(F.col("content_type"), options.allowed_content_types)
+        fetched = save(fetched.withColumn("category", F.coalesce("category", F.when(~html, "unsupported_content_type"))))
+        good = fetched.where("category is null").withColumn("inflated", W.decompressed("body", F.col("encoding"), options.max_response_bytes))
+        good = good.withColumn("p", H.parse_html("inflated.body", "final_url", F.col("content_type"))).withColumn("d", W.decoded("inflated.body", F.col("content_type")))
         good = good.select(
-            "job_id", "rank", "depth", "url", "normalized_url", "discovered_from", "final_url", "status_code", ctype.alias("content_type"), "category",
-            F.col("p.title").alias("title"), F.col("p.description").alias("description"), F.col("p.headings").alias("headings"), F.col("p.links").alias("links"),
-            F.col("d.text").alias("body_text"), F.col("d.encoding").alias("text_encoding"), store.body_sha256("d.text").alias("body_sha256"),
+            *ITEM, "final_url", "status_code", "content_type", F.coalesce("inflated.error", "p.error").alias("category"), "p.title", "p.description", "p.headings", "p.links",
+            F.col("d.text").alias("body_text"), F.col("d.encoding").alias("text_encoding"), store.body_sha256("d.text").alias("body_sha256"), "timing", "transport", "slot", "fetched_at", U.normalize_url("final_url").alias("page_url"),
         )
-        good = save(good.withColumn("page_url", U.normalize_url("final_url")), f"good-{depth}")
+        good = save(good)
         ok = good.where("category is null")
-        known = None if pages is None else pages.select(F.col("normalized_url").alias("page_url")).distinct()
-        fresh = ok if known is None else ok.join(known, "page_url", "left_anti")
-        cut = store.page_budget(fresh.select("rank", "page_url"), options.max_pages - taken, ["rank"], "page_url").agg(F.max("rank")).first()[0]
-        full = fresh.select("page_url").distinct().count() >= options.max_pages - taken
-        within = F.col("rank") <= cut if full and cut is not None else F.lit(True)
-        taken = min(options.max_pages, taken + fresh.select("page_url").distinct().count())
+        known = pages.where(F.col("job_id") == job_id).select(F.col("normalized_url").alias("page_url")).distinct()
+        fresh = ok.join(known, "page_url", "left_anti").groupBy("page_url").agg(F.min("id").alias("id"))
+        # the id at which the budget is met; what comes after it stays pending
+        last = fresh.orderBy("id").limit(options.max_pages - taken).agg(F.count("*").alias("n"), F.max("id").alias("id")).first()
+        full = last.n == options.max_pages - taken
+        within = F.col("id") <= last.id if full else F.lit(True)
+        taken += last.n
         ok = ok.where(within)
-        skips = gated.where("skip is not null").select("job_id", "rank", "depth", "url", "normalized_url", F.col("skip").alias("category"), F.lit(None).cast("int").alias("status_code"), F.lit(0).alias("retry_count"))
-        tries = lambda c: F.when(policy.should_retry("status_code", c, F.lit(0), options.retry_count), options.retry_count).otherwise(0)
-        bad = fetched.where("category is not null").select("job_id", "rank", "depth", "url", "normalized_url", "category", "status_code", tries("category").alias("retry_count"))
-        odd = fetched.where("skip is not null").select("job_id", "rank", "depth", "url", "normalized_url", F.col("skip").alias("category"), "status_code", F.lit(0).alias("retry_count"))
-        unread = good.where("category is not null").select("job_id", "rank", "depth", "url", "normalized_url", "category", "status_code", F.lit(0).alias("retry_count"))
-        failed = save(skips.unionByName(bad).unionByName(odd).unionByName(unread).where(within), f"failures-{depth}")
-        new_pages = save(ok.select("job_id", "url", "final_url", F.col("page_url").alias("normalized_url"), "status_code", "content_type", "title", "description", "headings", "links", "body_sha256", "body_text", "text_encoding", "depth", "rank"), f"pages-{depth}")
-        state = failed.select("rank", F.when(F.col("category").isin("max_depth_exceeded", "off_domain", "robots_disallowed", "unsupported_content_type"), "skipped").otherwise("failed").alias("status"))
-        state = state.unionByName(ok.select("rank", F.lit("fetched").alias("status")))
-        handled = level.join(state, "rank", "left").withColumn("status", F.coalesce("status", F.lit("pending"))).select(*level.columns, "status")
-        handled = save(handled, f"frontier-{depth}")
-        frontier = handled if frontier is None else frontier.unionByName(handled)
-        pages = new_pages if pages is None else pages.unionByName(new_pages)
-        failures = failed if failures is None else failures.unionByName(failed)
+        bad = lambda t, tried, message: t.select(*ITEM[:1], "id", "depth", "url", "normalized_url", "category", message.alias("message"), "status_code", tried.alias("retry_count"))
+        none = F.lit(None).cast("int")
+        skips = gated.where("skip is not null").withColumn("category", F.col("skip")).withColumn("status_code", none)
+        tries = F.when(policy.should_retry("status_code", "category", F.lit(0), options.retry_count), F.col("tried")).otherwise(0)
+        wrong = bad(skips, F.lit(0), F.col("category")).unionByName(bad(fetched.where("category is not null"), tries, F.coalesce("error_message", F.col("category"))))
+        wrong = wrong.unionByName(bad(good.where("category is not null"), F.lit(0), F.col("category"))).where(within)
+        wrong = save(wrong.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
+        pages = pages.unionByName(save(ok.withColumn("normalized_url", F.col("page_url")).select(*[F.col(c).cast(k).alias(c) for c, k in _PAGE_TYPES.items()])))
+        failures = failures.unionByName(wrong.withColumnRenamed("id", "item_id").select(*[F.col(c).cast(k).alias(c) for c, k in _FAILURE_TYPES.items()]))
+        state = wrong.select("id", F.when(F.col("category").isin(SKIP_CATEGORIES), "skipped").otherwise("failed").alias("status")).unionByName(ok.select("id", F.lit("fetched").alias("status")))
+        frontier = store.set_status(frontier, state)
         found = expand(ok, options, seeds).withColumn("normalized_url", U.normalize_url("url"))
-        new = store.first_wins(found, ["rank", "pos"]).join(frontier.select("job_id", "normalized_url"), ["job_id", "normalized_url"], "left_anti")
-        base = frontier.agg(F.max("rank")).first()[0]
-        order = Window.partitionBy("job_id").orderBy("rank", "pos")
-        new = new.withColumn("place", F.row_number().over(order)).select("job_id", "url", "normalized_url", "depth", "discovered_from", (F.col("place") + base).cast("long").alias("rank"))
-        level, depth = new, depth + 1
-    if frontier is None:
-        none = first.limit(0)
-        return CrawlResult(none, none, none, status)
+        new = store.first_wins(found, ["id", "pos"]).join(frontier.select("job_id", "normalized_url"), ["job_id", "normalized_url"], "left_anti")
+        base = frontier.agg(F.max("id")).first()[0]
+        new = numbered(new.withColumnRenamed("id", "from_"), ["from_", "pos"], base, save).select(*ITEM).withColumn("status", F.lit("pending"))
+        frontier = save(frontier.unionByName(new))
+        if after_level is not None:
+            after_level(_result(frontier, pages, failures, "running"))
+    return _result(frontier, pages, failures, status)
+
+
+_PAGE_TYPES = dict.fromkeys(PAGE_FIELDS, "string") | {"job_id": "long", "id": "long", "status_code": "int", "headings": "array<string>", "links": "array<string>", "timing": TIMING, "depth": "int", "slot": "double", "fetched_at": "timestamp_ntz"}
+_FAILURE_TYPES = dict.fromkeys(FAILURE_FIELDS, "string") | {"job_id": "long", "item_id": "long", "depth": "int", "status_code": "int", "retry_count": "int", "created_at": "timestamp_ntz"}
+
+
+def _result(frontier: DataFrame, pages: DataFrame, failures: DataFrame, status: str) -> CrawlResult:
     # the last write of a page wins under the id of the first
-    seq = pages.withColumn("id", F.col("rank"))
-    upserted = store.upsert_pages(seq.limit(0), seq, "rank") if pages is not None else None
-    return CrawlResult(frontier.withColumnRenamed("rank", "id"), upserted.drop("rank"), failures.withColumnRenamed("rank", "item_id"), status)
+    return CrawlResult(frontier, store.upsert_pages(pages.limit(0), pages.withColumn("seq", F.col("id")), "seq"), failures, status)

@@ -1,4 +1,4 @@
-"""Tables (as DDL strings) and options of a crawl."""
+"""Tables (as DDL strings) and options of a crawl. Column names, states and defaults are fixed values."""
 
 from __future__ import annotations
 
@@ -13,14 +13,16 @@ FRONTIER = (
 TIMING = "struct<dns:double,connect:double,tls:double,request:double,first_byte:double,download:double,total:double>"
 PAGES = (
     "id long, job_id long, url string, final_url string, normalized_url string, status_code int, content_type string, title string, description string, headings array<string>, links array<string>,"
-    f" body_sha256 string, body_text string, text_encoding string, timing {TIMING}, transport string, depth int, fetched_at timestamp_ntz"
+    f" body_sha256 string, body_text string, text_encoding string, timing {TIMING}, transport string, depth int, slot double, fetched_at timestamp_ntz"
 )
 FAILURES = "id long, job_id long, url string, normalized_url string, category string, message string, status_code int, retry_count int, created_at timestamp_ntz"
 #: What a fetch gives for one URL: errors are values.
-FETCH = "url string, final_url string, status_code int, headers map<string,string>, body binary, redirects array<struct<url:string,status_code:int,location:string>>, error_category string, error_message string"
-FETCH_COLUMNS = ["url", "final_url", "status_code", "headers", "body", "redirects", "error_category", "error_message"]
+FETCH = f"url string, final_url string, status_code int, headers map<string,string>, body binary, redirects array<struct<url:string,status_code:int,location:string>>, error_category string, error_message string, timing {TIMING}, transport string"
+FETCH_COLUMNS = ["url", "final_url", "status_code", "headers", "body", "redirects", "error_category", "error_message", "timing", "transport"]
 
+#: Stored beside the tables; a store of another version is refused.
 SCHEMA_VERSION = 2
+TABLES = {"crawl_jobs": CRAWL_JOBS, "frontier": FRONTIER, "pages": PAGES, "failures": FAILURES}
 FRONTIER_STATES = ["pending", "in_progress", "fetched", "skipped", "failed", "retry_scheduled"]
 JOB_STATES = ["running", "finished", "budget_reached", "interrupted", "errored"]
 SKIP_CATEGORIES = ["max_depth_exceeded", "off_domain", "robots_disallowed", "unsupported_content_type"]

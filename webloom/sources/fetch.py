@@ -1,12 +1,13 @@
 """Fetching: URLs meet responses.
 
 Offline the web is a table (url, status_code, headers, body), and a fetch is an equi-join with it;
-redirects are at most ``redirect_limit`` more joins. A live fetch function is applied by
+redirects are at most ``redirect_limit`` more joins. Live fetches (``live``) are applied by
 ``mapInPandas``. Either way a fetch gives one row per URL, with errors as values.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,8 +18,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import url as U
 from ..functions import wire as W
 from ..operators.policy import is_redirect
-from ..schema import FETCH, FETCH_COLUMNS
+from ..schema import FETCH, FETCH_COLUMNS, TIMING, CrawlOptions
 from ..shipping import ship
+from .live import ALIASES, CLIENTS, Limits, fetch_url
 
 HOP = "array<struct<url:string,status_code:int,location:string>>"
 
@@ -30,42 +32,41 @@ def without_fragment(url):
 def fetch_from_table(urls: DataFrame, site: DataFrame, redirect_limit: int = 5, max_bytes: int = 2 * 1024 * 1024, missing: str = "not_found", save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``urls`` (a column url, and others) with the fields of FETCH.
 
-    ``save`` (write a table and read it back) lets hops end as soon as no row is under way.
-    ``missing`` says what a URL outside the table is: "not_found" a 404, else an error category.
+    Hops join URLs and the narrow table (url, status, location); headers and bodies are met once, at
+    the end of each chain. ``save`` (write a table and read it back) lets hops end as soon as no row
+    is under way. ``missing`` says what a URL outside the table is: "not_found" a 404, else an error
+    category.
     """
-    web = site.select(F.col("url").alias("w_url"), F.col("status_code").alias("w_status"), W.lower_keys("headers").alias("w_headers"), F.col("body").alias("w_body"))
+    where = F.try_element_at(W.lower_keys("headers"), F.lit("location"))
+    web = site.select(F.col("url").alias("w_url"), F.col("status_code").alias("w_status"), where.alias("w_location"))
     own = [c for c in urls.columns if c != "url"]
     none = F.lit(None).cast("string")
-    # one wide row per URL moves along its chain; a row at rest has a null key and meets nothing
-    row = urls.select(*own, "url", F.col("url").alias("final_url"), F.array().cast(HOP).alias("redirects"), U.url_error("url").alias("error_category"))
-    row = row.withColumn("status_code", F.lit(None).cast("int")).withColumn("headers", F.create_map().cast("map<string,string>")).withColumn("body", F.lit(None).cast("binary"))
+    # one row per URL moves along its chain; a row at rest has a null key and meets nothing
+    row = urls.select(*own, "url", F.col("url").alias("final_url"), F.array().cast(HOP).alias("redirects"), U.url_error("url").alias("error_category"), F.lit(None).cast("int").alias("status_code"))
     row = row.withColumn("go", F.col("error_category").isNull())
     for hop in range(redirect_limit + 1):
         met = row.join(web, F.when(F.col("go"), without_fragment(F.col("final_url"))) == F.col("w_url"), "left")
-        lost = F.col("go") & F.col("w_url").isNull()
-        took = F.col("go") & F.col("w_url").isNotNull()
+        lost, took = F.col("go") & F.col("w_url").isNull(), F.col("go") & F.col("w_url").isNotNull()
         error = F.col("error_category") if missing == "not_found" else F.when(lost, missing).otherwise(F.col("error_category"))
         status = F.when(took, F.col("w_status")).when(lost & F.lit(missing == "not_found"), 404).otherwise(F.col("status_code"))
-        target = F.try_element_at("w_headers", F.lit("location"))
-        moves = took & F.coalesce(is_redirect("w_status"), F.lit(False)) & (F.coalesce(target, F.lit("")) != "")
-        met = met.select(
-            *own, "url", "final_url", "redirects", error.alias("error_category"), status.alias("status_code"),
-            F.when(took, F.col("w_headers")).otherwise(F.col("headers")).alias("headers"), F.when(took, F.col("w_body")).otherwise(F.col("body")).alias("body"),
-            moves.alias("moves"), F.when(moves, U.resolve("final_url", target)).alias("next"), target.alias("location"),
-        )
+        moves = took & F.coalesce(is_redirect("w_status"), F.lit(False)) & (F.coalesce("w_location", F.lit("")) != "")
+        met = met.select(*own, "url", "final_url", "redirects", error.alias("error_category"), status.alias("status_code"), moves.alias("moves"), F.when(moves, U.resolve("final_url", F.col("w_location"))).alias("next"), "w_location")
         seen = F.exists("redirects", lambda h: h["url"] == F.col("next")) | (F.col("next") == F.col("final_url"))
         trouble = F.when(~F.col("moves"), none).when(~U.is_http_url("next"), "unsupported_redirect").when(seen, "redirect_loop").when(F.lit(hop == redirect_limit), "too_many_redirects")
-        log = F.concat("redirects", F.array(F.struct(F.col("final_url").alias("url"), "status_code", "location")))
+        log = F.concat("redirects", F.array(F.struct(F.col("final_url").alias("url"), "status_code", F.col("w_location").alias("location"))))
         met = met.withColumn("trouble", trouble).withColumn("redirects", F.when(F.col("moves"), log).otherwise(F.col("redirects")))
         met = met.withColumn("go", F.col("moves") & F.col("trouble").isNull()).withColumn("final_url", F.when(F.col("go"), F.col("next")).otherwise(F.col("final_url")))
-        row = met.withColumn("error_category", F.coalesce("error_category", "trouble")).drop("moves", "next", "location", "trouble")
+        row = met.withColumn("error_category", F.coalesce("error_category", "trouble")).drop("moves", "next", "w_location", "trouble")
         if save is not None:
             row = save(row)
             if row.where("go").isEmpty():
                 break
+    full = site.select(F.col("url").alias("w_url"), W.lower_keys("headers").alias("headers"), "body")
+    fetched = F.when(F.col("status_code").isNotNull() | F.col("error_category").isNull(), without_fragment(F.col("final_url")))
+    row = row.drop("go").join(full, fetched == F.col("w_url"), "left").drop("w_url").withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
     big = F.col("error_category").isNull() & (F.octet_length("body") > max_bytes)
-    row = row.withColumn("error_category", F.when(big, W.TOO_LARGE).otherwise(F.col("error_category"))).withColumn("body", F.when(~big, F.col("body")))
-    return row.withColumn("error_message", F.col("error_category")).drop("go")
+    row = row.withColumn("error_category", F.when(big, W.TOO_LARGE).otherwise(F.col("error_category"))).withColumn("body", F.when(~F.coalesce(big, F.lit(False)), F.col("body")))
+    return row.withColumn("error_message", F.col("error_category")).withColumn("timing", F.lit(None).cast(TIMING)).withColumn("transport", F.lit("table"))
 
 
 def fetch_with(urls: DataFrame, fetch: Callable[[pd.DataFrame], pd.DataFrame], partitions: int | None = None) -> DataFrame:
@@ -81,46 +82,44 @@ def fetch_with(urls: DataFrame, fetch: Callable[[pd.DataFrame], pd.DataFrame], p
     return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, FETCH)
 
 
-def live_fetch(timeout: float = 30.0, max_bytes: int = 2 * 1024 * 1024, user_agent: str = "webloom/1.0") -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A fetch function over the standard library's HTTP client; redirects are followed by it."""
-
-    def one(url: str) -> dict:
-        import socket
-        import ssl
-        import urllib.error
-        import urllib.request
-
-        out = dict.fromkeys(FETCH_COLUMNS) | {"url": url, "final_url": url, "redirects": []}
-        if not url.lower().startswith(("http://", "https://")):
-            return out | {"error_category": "unsupported_scheme"}
-        try:
-            request = urllib.request.Request(url, headers={"User-Agent": user_agent, "Accept-Encoding": "identity"})
-            with urllib.request.urlopen(request, timeout=timeout) as r:
-                status, headers, body, final = r.status, r.headers, r.read(max_bytes + 1), r.url
-        except urllib.error.HTTPError as e:
-            status, headers, body, final = e.code, e.headers, e.read(max_bytes + 1), e.url
-        except (urllib.error.URLError, OSError, ValueError) as e:
-            reason = getattr(e, "reason", e)
-            kinds = ((TimeoutError, "read_timeout"), (socket.gaierror, "dns_error"), (ssl.SSLError, "tls_error"), (OSError, "connection_error"))
-            return out | {"error_category": next((c for t, c in kinds if isinstance(reason, t)), "malformed_url"), "error_message": str(e)}
-        fields = {k.lower(): v for k, v in headers.items()}
-        got = out | {"final_url": final, "status_code": status, "headers": fields}
-        if len(body) > max_bytes:
-            return got | {"error_category": W.TOO_LARGE}
-        try:
-            return got | {"body": W.decompress(body, fields.get("content-encoding"), max_bytes)}
-        except W.WireError as e:
-            return got | {"error_category": e.category}
-
-    return lambda batch: pd.DataFrame([one(u) for u in batch["url"]], columns=FETCH_COLUMNS)
+def fetch_paced(urls: DataFrame, client: str, limits: Limits) -> DataFrame:
+    """Live fetches of ``urls`` (url, domain, rank, delay): one task has all URLs of a domain and waits
+    ``delay`` seconds between two of them, in order of rank. A failed fetch that asks for a pause
+    (Retry-After) holds up its domain."""
+    ship(urls.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free: dict[str, float] = {}
+        for batch in batches:
+            for r in batch.itertuples():
+                time.sleep(max(0.0, free.get(r.domain, 0.0) - time.monotonic()))
+                row = fetch_url(r.url, client, limits)
+                pause = (row["headers"] or {}).get("retry-after", "")
+                free[r.domain] = time.monotonic() + max(r.delay, min(float(pause), 60.0) if pause.isdigit() else 0.0)
+                yield pd.DataFrame([row], columns=FETCH_COLUMNS)
+
+    rows = urls.select("url", "domain", "rank", "delay").repartition("domain").sortWithinPartitions("domain", "rank")
+    return rows.mapInPandas(run, FETCH)
+
+
+def limits_of(options: CrawlOptions, **more) -> Limits:
+    names = ("connect_timeout", "read_timeout", "total_timeout", "redirect_limit", "user_agent", "block_private_addresses")
+    return Limits(**({n: getattr(options, n) for n in names} | {"max_bytes": options.max_response_bytes} | more))
 
 
 def make_fetcher(name: str, **options) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The fetch function of a name, blanks and case aside."""
-    made = {"library": live_fetch, "socket": live_fetch}.get(name.strip().lower())
-    if made is None:
+    """The fetch function of a client's name, blanks and case aside; options are those of Limits."""
+    client = client_name(name)
+    limits = Limits(**options)
+    return lambda batch: pd.DataFrame([fetch_url(u, client, limits) for u in batch["url"]], columns=FETCH_COLUMNS)
+
+
+def client_name(name: str) -> str:
+    client = name.strip().lower()
+    client = ALIASES.get(client, client)
+    if client not in CLIENTS:
         raise ValueError(f"unknown fetcher: {name}")
-    return made(**options)
+    return client
 
 
 class UrlListSource(DataSource):
@@ -145,8 +144,9 @@ class _UrlReader(DataSourceReader):
         return [InputPartition(u) for u in self.urls]
 
     def read(self, partition):
-        row = live_fetch(self.timeout)(pd.DataFrame({"url": [partition.value]})).iloc[0]
-        yield tuple(row[f] for f in FETCH_COLUMNS)
+        row = fetch_url(partition.value, "socket", Limits(total_timeout=self.timeout))
+        hops = [tuple(h.values()) for h in row["redirects"]]
+        yield tuple((row | {"redirects": hops, "timing": tuple(row["timing"].values())})[f] for f in FETCH_COLUMNS)
 
 
 def register(spark: SparkSession) -> None:
