@@ -6,6 +6,7 @@ status codes, redirects, stored digests) is derived from it by the same rule on
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from .operators import pacing, policy, store
 from .plans.crawl import crawl
 from .schema import CrawlOptions
 from .sources.fetch import fetch_from_table
-from .sources.fixture import CHUNKED_BODY, fixture_site, routes
+from .sources.fixture import fixture_site, routes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,12 +65,12 @@ d AS (
 links AS (SELECT page_id, url, site, host, link, row_number() OVER (PARTITION BY page_id ORDER BY first_pos) - 1 AS pos FROM d)"""
 
 
-def _parsed(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", "url", H.parse_html("html", "url").alias("p"))
+def _parsed(spark, sf_dir, *fields):
+    return read(spark, sf_dir, "pages").select("page_id", "url", H.parse_html("html", "url", fields=fields or H.FIELDS).alias("p"))
 
 
 def _links(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", "url", F.posexplode("p.links").alias("pos", "link"))
+    return _parsed(spark, sf_dir, "links").select("page_id", "url", F.posexplode("p.links").alias("pos", "link"))
 
 
 # ------------------------------------------------------------------ URL
@@ -134,12 +135,12 @@ def request_target(spark, sf_dir):
 
 @query(f"SELECT page_id, {_TEXT.format('''regexp_extract(html, '<title>([^<]*)', 1)''')} AS title FROM pages")
 def html_title(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", "p.title")
+    return _parsed(spark, sf_dir, "title").select("page_id", "p.title")
 
 
 @query(f"SELECT page_id, {_TEXT.format('''regexp_extract(html, '<h1>([^<]*)</h1>', 1)''')} AS headings FROM pages")
 def html_headings(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", F.array_join("p.headings", "|").alias("headings"))
+    return _parsed(spark, sf_dir, "headings").select("page_id", F.array_join("p.headings", "|").alias("headings"))
 
 
 @query(f"WITH {PARTS}, {LINKS} SELECT page_id, pos, link FROM links")
@@ -147,9 +148,13 @@ def html_links_explode(spark, sf_dir):
     return _links(spark, sf_dir).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
-@query()
+@query(f"""WITH {PARTS}, {LINKS}, a AS (SELECT page_id, string_agg(link, ' ' ORDER BY pos) AS links FROM links GROUP BY page_id)
+SELECT page_id, {_TEXT.format("regexp_extract(html, '<title>([^<]*)', 1)")} AS title, CAST(NULL AS VARCHAR) AS description,
+       {_TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS headings, coalesce(links, '') AS links, 'utf-8' AS text_encoding, CAST(NULL AS VARCHAR) AS error
+FROM pages LEFT JOIN a USING (page_id)""")
 def html_full_parse(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", "p.*")
+    p = _parsed(spark, sf_dir).select("page_id", "p.*")
+    return p.withColumn("headings", F.array_join("headings", "|")).withColumn("links", F.array_join("links", " "))
 
 
 @query(f"WITH {PARTS}, l AS (SELECT page_id, scheme || '://' || host AS o, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS href FROM (SELECT n.*, p.html FROM n JOIN pages p USING (page_id))) SELECT DISTINCT page_id, href, o || href AS resolved FROM l")
@@ -241,7 +246,7 @@ def page_budget_cut(spark, sf_dir):
 @query(f"""WITH {PARTS} SELECT host AS domain, count(*) AS n_pages, count(nullif(regexp_extract(html, '<title>([^<]*)', 1), '')) AS n_titles
 FROM n JOIN (SELECT page_id, html FROM pages) p USING (page_id) GROUP BY host""")
 def host_page_counts(spark, sf_dir):
-    return _parsed(spark, sf_dir).where(U.normalize_url("url").isNotNull()).groupBy(U.domain("url").alias("domain")).agg(F.count("*").alias("n_pages"), F.count("p.title").alias("n_titles"))
+    return _parsed(spark, sf_dir, "title").where(U.normalize_url("url").isNotNull()).groupBy(U.domain("url").alias("domain")).agg(F.count("*").alias("n_pages"), F.count("p.title").alias("n_titles"))
 
 
 # ------------------------------------------------------------------ robots
@@ -422,10 +427,15 @@ def latest_job(spark, sf_dir):
     return store.latest_job_id(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id")))
 
 
-@query()
+@query(f"""WITH {_FRONTIER}
+SELECT 'page' AS kind, page_id AS id, '{{"id":' || page_id || ',"job_id":1,"title":' || CASE WHEN page_id % 3 = 0 THEN 'null' ELSE '"t ' || page_id || '"' END || ',"url":"' || url || '"}}' AS json FROM pages
+UNION ALL SELECT 'failure', id, '{{"category":"server_error","id":' || id || ',"job_id":1,"url":"' || url || '"}}' FROM f WHERE status = 'failed'""")
 def export_pages_json(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.lit(1).alias("job_id"))
-    return store.export_rows(pages, pages.limit(0), 1)
+    """One JSON object per stored page and failure, nulls and all."""
+    title = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("t "), F.col("page_id")))
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.lit(1).alias("job_id"), title.alias("title"))
+    failed = _frontier(spark, sf_dir).where("status = 'failed'").select("id", "job_id", "url", F.lit("server_error").alias("category"))
+    return store.export_rows(pages, failed, 1)
 
 
 _CT = "CASE event_id % 6 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' TEXT/HTML ' WHEN 2 THEN 'application/pdf' WHEN 3 THEN '' WHEN 4 THEN 'application/xhtml+xml;q=1' END"
@@ -442,7 +452,7 @@ def viewer_rows(spark, sf_dir):
     return store.viewer_rows(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("final_url"), title.alias("title")))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'accept=b' WHEN 1 THEN 'accept=a,cookie=c' ELSE 'authorization=x' END AS all_headers, CASE event_id % 3 WHEN 0 THEN 'accept=b' WHEN 1 THEN 'accept=a' ELSE '' END AS sent FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'accept=a' WHEN 1 THEN 'accept=a,cookie=c' ELSE 'authorization=x' END AS all_headers, CASE event_id % 3 WHEN 0 THEN 'accept=a' WHEN 1 THEN 'accept=a' ELSE '' END AS sent FROM events")
 def header_rules(spark, sf_dir):
     k = F.col("event_id") % 3
     m = F.when(k == 0, F.create_map(F.lit("Accept"), F.lit("a"), F.lit("ACCEPT"), F.lit("b"))).when(k == 1, F.create_map(F.lit("Accept"), F.lit("a"), F.lit("Cookie"), F.lit("c"))).otherwise(F.create_map(F.lit("Authorization"), F.lit("x")))
@@ -451,39 +461,71 @@ def header_rules(spark, sf_dir):
     return rows.select("event_id", text("h").alias("all_headers"), text(W.without_credentials("h")).alias("sent"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE true END AS private FROM events""")
+_IP = "SELECT event_id, (event_id * 37) % 256 AS a, CASE WHEN event_id % 5 = 0 THEN (event_id // 5) % 40 ELSE (event_id * 11 + event_id // 256) % 256 END AS b, (event_id // 3) % 256 AS c, event_id % 9 AS d FROM events"
+
+
+@query(f"""WITH i AS ({_IP}) SELECT event_id, event_id % 50 = 49 OR a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)
+OR (a = 198 AND b IN (18, 19)) OR (a = 192 AND b = 0 AND (c = 2 OR (c = 0 AND d < 8))) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) AS private FROM i""")
 def private_addresses(spark, sf_dir):
-    ip = F.element_at(F.array(*map(F.lit, ["10.1.2.3", "8.8.8.8", "169.254.1.1", "not an ip"])), (F.col("event_id") % 4 + 1).cast("int"))
+    n = F.col("event_id")
+    b = F.when(n % 5 == 0, F.floor(n / 5) % 40).otherwise((n * 11 + F.floor(n / 256)) % 256)
+    ip = F.concat_ws(".", ((n * 37) % 256).cast("string"), b.cast("string"), (F.floor(n / 3) % 256).cast("string"), (n % 9).cast("string"))
+    ip = F.when(n % 50 == 49, F.concat(ip, F.lit(".x"))).otherwise(ip)
     return read(spark, sf_dir, "events").select("event_id", policy.is_private_ipv4(ip).alias("private"))
 
 
-# ------------------------------------------------------------------ wire (no SQL equivalent but for fixed results)
+# ------------------------------------------------------------------ wire: documents as the bodies of responses
+
+_CRLF = F.lit("\r\n")
+
+
+def _bodies(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query("SELECT 'Hi' AS text, CAST(0 AS BIGINT) AS zero")
+def _chunk(text):
+    return F.concat(F.lower(F.hex(F.octet_length(text))), F.lit(";n=1"), _CRLF, text, _CRLF)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN coalesce(text, '') END AS body, CASE WHEN doc_id % 5 = 4 THEN 'malformed_response' END AS error FROM documents""")
 def chunked_decode(spark, sf_dir):
-    df = spark.createDataFrame([(bytearray(CHUNKED_BODY),)], "data binary").select(W.chunked("data").alias("c"))
-    return df.select(F.regexp_extract(F.col("c.body").cast("string"), "<body>([^<]*)", 1).alias("text"), F.lit(0).cast("long").alias("zero"))
+    """Texts in two chunks; every fifth body lacks its last line."""
+    at = F.greatest(F.floor(F.char_length("text") / 3).cast("int"), F.lit(0))
+    first, rest = F.substring("text", F.lit(1), at), F.substring("text", at + 1, F.lit(2**31 - 1))
+    chunks = [F.when(F.octet_length(x) > 0, _chunk(x)).otherwise("") for x in (first, rest)]
+    last = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("0"), _CRLF)).otherwise(F.concat(F.lit("0"), _CRLF, F.lit("Trailer: x"), _CRLF, _CRLF))
+    c = W.chunked(F.concat(*chunks, last).cast("binary"), 1 << 30)
+    return _bodies(spark, sf_dir).select("doc_id", c.alias("c")).select("doc_id", F.col("c.body").cast("string").alias("body"), "c.error")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('gzip', '<h1>Gzip Page</h1>', CAST(NULL AS VARCHAR)), ('identity', 'plain', NULL), ('br', NULL, 'unsupported_content_encoding'), ('deflate', NULL, 'malformed_response')) AS t(encoding, body, error)""")
 def gzip_decode(spark, sf_dir):
     body = bytearray(routes()["/gzip"][2])
     df = spark.createDataFrame([("gzip", body), ("identity", bytearray(b"plain")), ("br", body), ("deflate", body)], "encoding string, data binary")
-    return df.select("encoding", W.decompressed("data", "encoding").alias("d")).select("encoding", "d.body", "d.error")
+    got = df.select("encoding", W.decompressed("data", "encoding").alias("d")).select("encoding", F.col("d.body").cast("string").alias("body"), "d.error")
+    return got.withColumn("body", F.when(F.contains("body", F.lit("<h1>")), F.regexp_extract("body", "(<h1>.*</h1>)", 1)).otherwise(F.col("body")))
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN coalesce(text, '') END AS text, CASE doc_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' WHEN 2 THEN 'utf-8' WHEN 3 THEN 'utf-8-sig' END AS encoding,
+CASE WHEN doc_id % 5 = 4 THEN 'parse_error' END AS error FROM documents""")
 def charset_decode(spark, sf_dir):
-    rows = [(bytearray("é".encode("latin-1")), "text/html; charset=iso-8859-1"), (bytearray(b"\xef\xbb\xbfx"), ""), (bytearray(b"\xff"), "text/html; charset=utf-8"), (bytearray(b"\xff"), "")]
-    return spark.createDataFrame(rows, "body binary, ct string").select("ct", W.decoded("body", "ct").alias("d")).select("ct", "d.*")
+    """Texts by a charset of the header, by byte-order marks, by default, and by a charset nobody knows."""
+    k, text = F.col("doc_id") % 5, F.col("text")
+    body = F.when(k == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).when(k == 3, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
+    kind = F.when(k == 0, "text/html; charset=utf-8").when(k == 4, 'text/html; charset="nobody-knows"').otherwise("text/html")
+    return _bodies(spark, sf_dir).select("doc_id", W.decoded(body, kind).alias("d")).select("doc_id", "d.text", "d.encoding", "d.error")
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN CAST(CASE doc_id % 4 WHEN 1 THEN 204 ELSE 200 END AS INTEGER) END AS status_code, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN '' END AS body,
+CASE WHEN doc_id % 4 >= 2 THEN 'malformed_response' END AS error FROM documents""")
 def response_parse(spark, sf_dir):
-    raw = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + CHUNKED_BODY
-    rows = [(bytearray(raw),), (bytearray(b"HTTP/9 nope\r\n\r\n"),)]
-    return spark.createDataFrame(rows, "data binary").select(W.response("data").alias("r")).select("r.version", "r.status_code", "r.body", "r.error")
+    """Whole responses: with a length, without a body, cut short by a byte, with a broken status line."""
+    k = F.col("doc_id") % 4
+    length = F.octet_length("text") + F.when(k == 2, 1).otherwise(0)
+    head = F.concat(F.when(k == 1, "HTTP/1.1 204 No Content").when(k == 3, "HTTP/x nope").otherwise("HTTP/1.1 200 OK"), _CRLF, F.lit("Content-Length: "), length.cast("string"), _CRLF, _CRLF)
+    raw = F.concat(head.cast("binary"), F.col("text").cast("binary"))
+    got = _bodies(spark, sf_dir).select("doc_id", W.response(raw, 1 << 30).alias("r"))
+    return got.select("doc_id", "r.status_code", F.col("r.body").cast("string").alias("body"), "r.error")
 
 
 # ------------------------------------------------------------------ redirects and crawls
@@ -513,12 +555,27 @@ def crawl_fixture_bfs(spark, sf_dir):
     return out.pages.select("normalized_url", "depth", "title")
 
 
-@query()
+@query("SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'fetched', CAST(1 AS BIGINT), 'budget_reached'), (1, 'fetched', 2, 'finished'), (1, 'skipped', 1, 'finished'), (2, 'fetched', 1, 'finished')) AS t(depth, status, n, job)")
+def crawl_resume(spark, sf_dir):
+    """A crawl that ends at a budget of one page, and goes on from its stored frontier."""
+    site, o = fixture_site(spark), CrawlOptions(max_pages=1, retry_count=0)
+    part = crawl(spark, site, "http://site.test/page", o)
+    whole = crawl(spark, site, "http://site.test/page", dataclasses.replace(o, max_pages=10), resume=part)
+    n = lambda out: out.frontier.groupBy("depth", "status").agg(F.count("*").alias("n")).withColumn("job", F.lit(out.status))
+    return n(part).where("status = 'fetched'").unionByName(n(whole).where("depth > 0"))
+
+
+@query(f"""WITH {PARTS}, {LINKS} SELECT CAST(0 AS INTEGER) AS depth, 'fetched' AS status, count(DISTINCT norm) AS n FROM n
+UNION ALL SELECT 1, 'failed', count(DISTINCT link) FROM links WHERE link NOT IN (SELECT norm FROM n) AND page_id IN (SELECT min(page_id) FROM n GROUP BY norm) HAVING count(*) > 0""")
 def crawl_pages_corpus(spark, sf_dir):
-    """A crawl over the corpus as the web, from its first page; links lead outside the corpus."""
-    pages = read(spark, sf_dir, "pages").select("url", F.lit(200).alias("status_code"), F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8")).alias("headers"), F.col("html").cast("binary").alias("body"))
-    seed = pages.select("url").orderBy("url").first().url
-    return crawl(spark, pages, seed, CrawlOptions(max_pages=50, retry_count=0, obey_robots=False)).frontier.select("id", "normalized_url", "depth", "status")
+    """A crawl over the corpus as the web, with every page as a seed; links that lead outside fail."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), "html")
+    web = pages.groupBy("url").agg(F.min_by("html", "page_id").cast("binary").alias("body"))
+    web = web.select("url", F.lit(200).alias("status_code"), F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8")).alias("headers"), "body")
+    seed = pages.orderBy("page_id").first().url
+    o = CrawlOptions(max_pages=2**62, max_depth=1, retry_count=0, obey_robots=False, stay_on_seed_domain=False)
+    out = crawl(spark, web, seed, o, more_seeds=pages.select("url", F.col("page_id").alias("order")))
+    return out.frontier.groupBy("depth", "status").agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ extensions (labelled so: not in the reference)

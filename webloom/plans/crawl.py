@@ -190,7 +190,7 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
         known = pages.where(F.col("job_id") == job_id).select(F.col("normalized_url").alias("page_url")).distinct()
         fresh = ok.join(known, "page_url", "left_anti").groupBy("page_url").agg(F.min("id").alias("id"))
         # the id at which the budget is met; what comes after it stays pending
-        last = fresh.orderBy("id").limit(options.max_pages - taken).agg(F.count("*").alias("n"), F.max("id").alias("id")).first()
+        last = fresh.orderBy("id").limit(min(options.max_pages - taken, 2**31 - 1)).agg(F.count("*").alias("n"), F.max("id").alias("id")).first()
         full = last.n == options.max_pages - taken
         within = F.col("id") <= last.id if full else F.lit(True)
         taken += last.n

@@ -1,4 +1,4 @@
-"""The deterministic fixture site as a table, and simulated fetches from such tables."""
+"""A small site of our own as a table: the routes that a crawl must handle, with fixed answers."""
 
 from __future__ import annotations
 

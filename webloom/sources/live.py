@@ -200,7 +200,8 @@ def by_library(url: str, headers: dict[str, str], limits: Limits, clock: Clock)
         answer = link.getresponse()
         clock.mark("first_byte")
         fields = W.parse_headers("\r\n".join(f"{k}: {v}" for k, v in answer.getheaders()).encode("latin-1"))
-        if "content-length" in fields and W.parse_content_length(fields["content-length"]) > limits.max_bytes:
+        declared = W.parse_content_length(fields["content-length"]) if "content-length" in fields and "transfer-encoding" not in fields else None
+        if declared is not None and declared > limits.max_bytes:
             raise FetchError(W.TOO_LARGE)
         parts, size = [], 0
         while piece := answer.read(65536):
@@ -209,6 +210,8 @@ def by_library(url: str, headers: dict[str, str], limits: Limits, clock: Clock)
             size += len(piece)
             if size > limits.max_bytes:
                 raise FetchError(W.TOO_LARGE)
+        if declared is not None and size < declared and answer.status not in (204, 304):
+            raise FetchError(W.MALFORMED, "cut short")
     clock.mark("download")
     return {"status_code": answer.status, "headers": fields, "body": W.decompress(b"".join(parts), fields.get("content-encoding"), limits.max_bytes)}
 
