@@ -1,8 +1,7 @@
-import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import url as U
-from webloom.sql import _normalize
+from webloom.sql import register
 
 NORMAL = [
     ("HTTP://Example.COM:80/a/../b/?b=2&a=1#x", "http://example.com/b/?a=1&b=2"),
@@ -34,9 +33,11 @@ def test_normalize(spark):
     assert [got[i] for i in range(len(NORMAL))] == [w for _, w in NORMAL]
 
 
-@pytest.mark.parametrize(("url", "want"), NORMAL)
-def test_row_function_agrees(url, want):
-    assert _normalize(url) == want
+def test_sql_function_agrees(spark):
+    register(spark)
+    spark.createDataFrame([(i, u) for i, (u, _) in enumerate(NORMAL)], "i int, u string").createOrReplaceTempView("urls_of_test")
+    got = {r.i: r.n for r in spark.sql("SELECT i, normalize_url(u) AS n FROM urls_of_test WHERE normalize_url(u) IS NOT NULL OR i >= 0").collect()}
+    assert [got[i] for i in range(len(NORMAL))] == [w for _, w in NORMAL]
 
 
 def test_scope_and_domains(spark):

@@ -109,7 +109,10 @@ class LiveWeb:
 
 def robots_of(web, origins: DataFrame, user_agent: str) -> tuple[DataFrame, DataFrame]:
     """Rules and delays for the origins."""
-    got = web.robots(origins.select("origin").distinct())
+    return rules_of(web.robots(origins.select("origin").distinct()), user_agent)
+
+
+def rules_of(got: DataFrame, user_agent: str) -> tuple[DataFrame, DataFrame]:
     status = F.when(F.col("error_category").isNull(), F.col("status_code"))
     return R.rule_table(got.withColumn("body", R.fetched_rules(status, F.col("body"))), user_agent)
 
@@ -152,7 +155,7 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
     else:
         frontier = store.recover_in_progress(resume.frontier, job_id).select(*ITEM, "status")
     frontier = save(frontier)
-    status = "finished"
+    status, texts = "finished", None
     taken = pages.select("normalized_url").distinct().count()
     while True:
         open_ = frontier.where(F.col("status").isin("pending", "retry_scheduled"))
@@ -166,7 +169,12 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
         gated = level.withColumn("skip", F.when(F.col("depth") > options.max_depth, "max_depth_exceeded").when(~U.in_scope("url", seeds, options.stay_on_seed_domain), "off_domain"))
         gated = gated.withColumn("domain", U.domain("url")).withColumn("delay", F.lit(float(options.min_delay_seconds)))
         if options.obey_robots:
-            rules, delays = robots_of(web, level.select(U.robots_key("url").alias("origin")), options.user_agent)
+            origins = level.select(U.robots_key("url").alias("origin")).distinct()
+            new = origins if texts is None else origins.join(texts.select("origin"), "origin", "left_anti")
+            if texts is None or not new.isEmpty():  # each origin is asked once
+                got = save(web.robots(new))
+                texts = got if texts is None else texts.unionByName(got)
+            rules, delays = rules_of(texts, options.user_agent)
             gated = R.robots_verdicts(gated, rules).drop("disallow_len", "allow_len")
             gated = gated.withColumn("skip", F.coalesce("skip", F.when(~F.col("allowed"), "robots_disallowed"))).drop("allowed")
             delays = delays.select(F.col("origin").alias("o_"), "crawl_delay")
