@@ -14,11 +14,11 @@ entities become ``[email]`` etc.
 Counting: entities and terms meet in whole documents. Copies of a text are counted as one text of
 that many documents. Only pairs that could be flagged are made: the term's documents are at most
 2**bits_kept times the entity's. p(t) counts every
-document of the corpus that holds the term anywhere. Of one document the pairs are still its
-entities times its terms, less those.
+document of the corpus that holds the term anywhere. Entities met in one text only disclose by the
+same counts, so of those of a text two stand for the rest (of enough mentions, and of fewer).
 
 Plans do not turn on sizes: the terms of all documents are counted by a shuffle of what each task
-has counted, and joins are by key, but for keys of more than a thousandth of all rows (so at most a
+has counted, and joins are by key, but for keys of more than a thousandth of the joined rows (so at most a
 thousand), which are broadcast.
 
 Patterns are the contract's, made possessive and anchored at the start of a run (or the end of
@@ -174,24 +174,28 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
         owned = texts.select("uid", "copies", F.explode("entities").alias("entity")).groupBy("uid", "copies", "entity").agg(F.count("*").alias("mentions"))
         often = s.write(owned.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")))
-        owned = s.write(C.split_join(owned, often, ["entity"], F.col("texts") * C.HOT_SHARE > total).drop("texts"))
+        owned = s.write(owned)
+        owned = s.write(C.split_join(owned, often, ["entity"], F.col("texts") * C.HOT_SHARE > owned.count()))
+        lone = owned.where("texts = 1").groupBy("uid", "copies", "n_e", (F.col("mentions") >= min_support).alias("sure")).agg(F.min("entity").alias("entity"), F.max("mentions").alias("mentions"))
+        cols = ["uid", "entity", "copies", "mentions", "n_e"]
+        owned = s.write(owned.where("texts > 1").select(*cols).unionByName(lone.select(*cols)))
         most = owned.groupBy("uid").agg(F.max("n_e").alias("most"))
         # n_te is at most n_e: a term of more documents than these bits allow goes before the pairs
         rare = lambda n, of="n_t": F.col(n) * 2.0**bits_kept >= F.col(of)
-        held = texts.join(most, "uid").select("uid", "copies", "most", F.explode(F.array_distinct("tokens.term")).alias("term"))
-        candidates = held.groupBy("term").agg(F.max("most").alias("most"), F.sum("copies").alias("n_h"))
+        held = s.write(texts.join(most, "uid").select("uid", "copies", "most", F.explode(F.array_distinct("tokens.term")).alias("term")))
+        candidates = held.groupBy("term").agg(F.max("most").alias("most"), F.sum("copies").alias("n_h"), F.count("*").alias("texts"))
         candidates = candidates.where(rare("most", "n_h")).drop("n_h")
         words = docs.select(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), F.lower)).alias("w")).select(F.explode("w").alias("term"))
         n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term")
-        n_t = s.write(n_t.where(rare("most")).select("term", "n_t"))
-        held = C.split_join(held, n_t, ["term"], F.col("n_t") * C.HOT_SHARE > total).where(rare("most")).select("uid", "term", "n_t")
+        n_t = s.write(n_t.where(rare("most")).select("term", "n_t", "texts"))
+        held = C.split_join(held, n_t, ["term"], F.col("texts") * C.HOT_SHARE > held.count()).where(rare("most")).select("uid", "term", "n_t")
         pairs = s.write(held.join(owned, "uid").where(rare("n_e")).select("uid", "entity", "term", "n_e", "n_t", "copies", "mentions"))
         flagged = pairs.groupBy("entity", "term").agg(F.sum("mentions").alias("support"), F.sum("copies").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.count("*").alias("texts"))
         smoothed = (F.col("n_te") + F.col("n_e") / F.lit(float(total))) * 2.0**bits_kept >= F.col("n_t") + 1
         sure = F.col("support") >= min_support
         wholly = F.lit(False) if bits_removed is None else sure & (F.col("n_te") * 2.0**bits_removed >= F.col("n_t"))
         flagged = s.write(flagged.where(F.when(sure, rare("n_te")).otherwise(smoothed)).select("entity", "term", "texts", wholly.alias("wholly")))
-        bad = C.split_join(pairs.select("uid", "entity", "term"), flagged, ["entity", "term"], F.col("texts") * C.HOT_SHARE > total)
+        bad = C.split_join(pairs.select("uid", "entity", "term"), flagged, ["entity", "term"], F.col("texts") * C.HOT_SHARE > pairs.count())
         bad = bad.groupBy("uid", "term").agg(F.max("wholly").alias("r"))
         places = texts.select("uid", F.explode("tokens").alias("t")).select("uid", "t.term", "t.s", "t.e").join(bad, ["uid", "term"]).select("uid", "s", "e", "r")
         places = s.write(places)
