@@ -160,3 +160,13 @@ def test_streams_equal_batch(spark, tmp_path):
     q = S.new_urls(spark.readStream.schema(urls.schema).parquet(str(tmp_path / "u"))).writeStream.format("memory").queryName("urls").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("urls").count() == 1
+
+
+def test_modules_import_without_a_session():
+    """The entry module is read before a session is made."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 50)"], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=120)
+    assert got.stdout.strip() == "True", got.stderr[-500:]

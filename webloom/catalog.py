@@ -476,7 +476,8 @@ def private_addresses(spark, sf_dir):
 
 # ------------------------------------------------------------------ wire: documents as the bodies of responses
 
-_CRLF = F.lit("\r\n")
+def _crlf():
+    return F.lit("\r\n")
 
 
 def _bodies(spark, sf_dir):
@@ -484,7 +485,7 @@ def _bodies(spark, sf_dir):
 
 
 def _chunk(text):
-    return F.concat(F.lower(F.hex(F.octet_length(text))), F.lit(";n=1"), _CRLF, text, _CRLF)
+    return F.concat(F.lower(F.hex(F.octet_length(text))), F.lit(";n=1"), _crlf(), text, _crlf())
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN coalesce(text, '') END AS body, CASE WHEN doc_id % 5 = 4 THEN 'malformed_response' END AS error FROM documents""")
@@ -493,7 +494,7 @@ def chunked_decode(spark, sf_dir):
     at = F.greatest(F.floor(F.char_length("text") / 3).cast("int"), F.lit(0))
     first, rest = F.substring("text", F.lit(1), at), F.substring("text", at + 1, F.lit(2**31 - 1))
     chunks = [F.when(F.octet_length(x) > 0, _chunk(x)).otherwise("") for x in (first, rest)]
-    last = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("0"), _CRLF)).otherwise(F.concat(F.lit("0"), _CRLF, F.lit("Trailer: x"), _CRLF, _CRLF))
+    last = F.when(F.col("doc_id") % 5 == 4, F.concat(F.lit("0"), _crlf())).otherwise(F.concat(F.lit("0"), _crlf(), F.lit("Trailer: x"), _crlf(), _crlf()))
     c = W.chunked(F.concat(*chunks, last).cast("binary"), 1 << 30)
     return _bodies(spark, sf_dir).select("doc_id", c.alias("c")).select("doc_id", F.col("c.body").cast("string").alias("body"), "c.error")
 
@@ -522,7 +523,7 @@ def response_parse(spark, sf_dir):
     """Whole responses: with a length, without a body, cut short by a byte, with a broken status line."""
     k = F.col("doc_id") % 4
     length = F.octet_length("text") + F.when(k == 2, 1).otherwise(0)
-    head = F.concat(F.when(k == 1, "HTTP/1.1 204 No Content").when(k == 3, "HTTP/x nope").otherwise("HTTP/1.1 200 OK"), _CRLF, F.lit("Content-Length: "), length.cast("string"), _CRLF, _CRLF)
+    head = F.concat(F.when(k == 1, "HTTP/1.1 204 No Content").when(k == 3, "HTTP/x nope").otherwise("HTTP/1.1 200 OK"), _crlf(), F.lit("Content-Length: "), length.cast("string"), _crlf(), _crlf())
     raw = F.concat(head.cast("binary"), F.col("text").cast("binary"))
     got = _bodies(spark, sf_dir).select("doc_id", W.response(raw, 1 << 30).alias("r"))
     return got.select("doc_id", "r.status_code", F.col("r.body").cast("string").alias("body"), "r.error")
