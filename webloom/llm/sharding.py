@@ -9,9 +9,11 @@ of which it does not matter which one lies where.) Pass 2 takes one bucket at a
 it in canonical order, Fisher-Yates shuffles it by a generator seeded with (seed, shard, bucket)
 and writes it. A row's slot is its bucket's offset in the shard plus its place in the bucket.
 
-Memory: a task holds one bucket (about ``bucket_bytes``) at a time and reads about ``task_bytes``. The
-numbers of buckets and of tasks grow with the input; offsets come from a window over bucket counts per
-shard, not from the driver.
+Memory: buckets are dealt to tasks by their number, so each task has one of them (several, one after
+the other, beyond ``MOST_TASKS``); hashing would put many into some tasks. Their number grows with the
+input and a bucket has about ``bucket_bytes``: more in a shard that one id makes larger than the others, as
+the id alone decides the shard, but at most ``shards`` times that. Offsets come from a window over bucket
+counts per shard, not from the driver.
 
 Defined results: null text has size 1 and CRC 0; null ids are one key; repeated rows each get a
 slot; an empty table gives an empty result. Extra columns are carried in the files, inside the
@@ -32,7 +34,6 @@ from . import common as C
 
 SEED = 17
 BUCKET_BYTES = 16 << 20
-TASK_BYTES = 16 << 20
 MOST_TASKS = 50_000
 
 
@@ -51,12 +52,12 @@ def _shuffled(seed: int):
         rng = np.random.Generator(np.random.PCG64([seed, table["shard"][0].as_py(), table["bucket"][0].as_py()]))
         walk = rng.permutation(len(table))  # Fisher-Yates
         table = table.take(order.take(pa.array(walk)))
-        return table.drop_columns(["mix"]).append_column("pos", pa.array(np.arange(len(table)), pa.int64()))
+        return table.drop_columns(["mix", "place"]).append_column("pos", pa.array(np.arange(len(table)), pa.int64()))
 
     return run
 
 
-def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Writes the shards under the shared scratch folder and returns what was written.
 
     Columns: row (the whole input row), size long, crc long, shard int, grown_shard int, bucket
@@ -73,7 +74,6 @@ def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total, n = names.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         often = [r.name for r in names.where((F.col("n") > 1) & (F.col("n") * C.HOT_SHARE > n)).select("name").collect()]  # fewer than HOT_SHARE
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-total // task_bytes), MOST_TASKS))
     place = F.when(name.isin(often), F.monotonically_increasing_id()).otherwise(0) if often else F.lit(0)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -85,7 +85,8 @@ def shuffle_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.pmod(F.xxhash64(name, place), F.lit(buckets)).cast("int").alias("bucket"),
     )
     with C.Scratch(spark) as s:
-        out = rows.repartition(tasks, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(_shuffled(seed), _ddl(rows))
+        placed = rows.withColumn("place", (F.col("shard") * buckets + F.col("bucket")).cast("int"))
+        out = placed.repartitionById(min(shards * buckets, MOST_TASKS), F.col("place")).groupBy("place").applyInArrow(_shuffled(seed), _ddl(rows))
         out = s.write(out, keep=True)
         counts = out.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
         before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
