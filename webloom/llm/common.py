@@ -184,9 +184,10 @@ def chunks(off: np.ndarray, most: int = CHUNK_BYTES):
         a = min(b, n)
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray):
-    """Of the texts raw[off[i]:off[i+1]]: word starts, word ends (exclusive), words per text."""
-    solid = ~IS_BLANK[raw]
+def word_spans(raw: np.ndarray, off: np.ndarray, blank: np.ndarray = IS_BLANK):
+    """Of the texts raw[off[i]:off[i+1]]: word starts, word ends (exclusive), words per text; ``blank``
+    says of each byte whether it parts words."""
+    solid = ~blank[raw]
     first = np.zeros(len(raw) + 1, dtype=bool)
     first[off] = True
     before = np.zeros(len(raw), dtype=bool)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding
+from . import bpe, chat, exact_dedup, hard_negatives, license_scan, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -59,7 +59,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_exact_dedup, op4_mixing, op5_quality_rules, op6_sharding, op7_license_scans, op8_byte_level_bpe, op9_pii, op10_quality_classifier)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels"))).drop("difference")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_chat_formatting, op3_exact_dedup, op4_mixing, op5_quality_rules, op6_sharding, op7_license_scans, op8_byte_level_bpe, op9_pii, op10_quality_classifier,
+        op11_embedding_whitening, op12_hard_negatives, op13_toxicity,
+    )
+}
 
 _NORM = "translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
 
