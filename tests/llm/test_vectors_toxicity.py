@@ -220,12 +220,14 @@ def test_toxicity_counts_are_continuation_counts(spark):
             stay.append(w)
     assert {"ugly", "rotten", "vile"} <= set(stay)
     d = [(sum(v == 1 for v in c.values()) + 1) / (sum(v == 1 for v in c.values()) + 2 * sum(v == 2 for v in c.values()) + 2) for c in k]
-    left = [1 - sum(max(k[c].get(w, 0) - d[c], 0) for w in stay) / n[c] for c in (0, 1)]
-    prob = lambda w, c: (max(k[c].get(w, 0) - d[c], 0) / n[c] if w in stay else 0) + left[c] * shared[w] / all_
+    own = {w: [max(k[c].get(w, 0) - d[c], 0) / n[c] + d[c] * len(k[c]) / n[c] * shared[w] / all_ for c in (0, 1)] for w in stay}
+    left = [(1 - sum(p[c] for p in own.values())) / (1 - sum(shared[w] for w in stay) / all_) for c in (0, 1)]
+    for c in (0, 1):  # a distribution
+        assert abs(sum(p[c] for p in own.values()) + left[c] * sum(shared[w] for w in shared if w not in stay) / all_ - 1) < 1e-9
     keys = np.concatenate([toxicity.sequences(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][1:2] for w in stay])
     got, there = model.ratio(0, keys, 0.0)
     assert there.all() and len(model.tables[0][0]) == len(stay)
-    assert np.allclose(got, [math.log(prob(w, 0) / prob(w, 1)) for w in stay], rtol=1e-9)
+    assert np.allclose(got, [math.log(own[w][0] / own[w][1]) for w in stay], rtol=1e-9)
     assert abs(model.rest - math.log(left[0] / left[1])) < 1e-12
     assert kept  # the rows outside the held-out fifth
 
