@@ -61,8 +61,22 @@ def test_pacing_equals_simulation(spark):
             want[d, i] = start
             rows.append((d, i, arrive, delay, pause))
     df = spark.createDataFrame(rows, "domain string, seq int, arrive double, delay double, pause double")
-    got = pacing.pacing_slots(df, pause_until="pause").collect()
-    assert all(r.start == want[r.domain, r.seq] and r.waited == r.start - r.arrive for r in got)
+    for block_rows in (1000, 50, 7, 1):
+        got = pacing.pacing_slots(df, pause_until="pause", block_rows=block_rows).collect()
+        assert len(got) == 120 and all(r.start == want[r.domain, r.seq] and r.waited == r.start - r.arrive for r in got)
+
+
+def test_pacing_blocks(spark):
+    """Blocks rise with the order, whatever its spread, and one domain is in many of them."""
+    rng = random.Random(5)
+    rows = [("a", int(10 ** rng.uniform(0, 12)) * 5000 + i, 0.0, 1.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "domain string, seq long, arrive double, delay double")
+    got = df.select("seq", pacing.block_of(df, "seq", 100, 2000).alias("b")).orderBy("seq").collect()
+    assert [r.b for r in got] == sorted(r.b for r in got) and len({r.b for r in got}) >= 15
+    assert max(sum(r.b == b for r in got) for b in {r.b for r in got}) <= 300
+    out = pacing.pacing_slots(df, block_rows=100).orderBy("seq").collect()
+    assert [r.start for r in out] == [float(i) for i in range(2000)]
+    assert pacing.pacing_slots(df.limit(0), block_rows=1).count() == 0
 
 
 def test_policy(spark):

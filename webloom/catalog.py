@@ -361,6 +361,14 @@ def pacing_with_pause(spark, sf_dir):
     return pacing.pacing_slots(log, order="event_id", pause_until="pause").select("event_id", "start", "waited")
 
 
+@query(f"WITH {_LOG.replace(chr(39) + 'd' + chr(39) + ' || (user_id % 20)', 'CASE WHEN event_id % 2 = 0 THEN ' + chr(39) + 'hot' + chr(39) + ' ELSE ' + chr(39) + 'd' + chr(39) + ' || (user_id % 20) END')}, " + _SLOTS.format(due="greatest(arrive, coalesce(max(CASE WHEN status = 503 THEN arrive + 30 END) OVER (PARTITION BY domain ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), arrive))"))
+def pacing_hot_domain(spark, sf_dir):
+    """One domain has half of all requests: its blocks are paced in tasks of their own."""
+    log = _log(spark, sf_dir).withColumn("domain", F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.col("domain")))
+    log = log.withColumn("pause", F.when(F.col("status") == 503, F.col("arrive") + 30))
+    return pacing.pacing_slots(log, order="event_id", pause_until="pause", block_rows=1000).select("event_id", "start", "waited")
+
+
 # ------------------------------------------------------------------ store and report
 
 _STORED = """v AS (
