@@ -126,3 +126,57 @@ def test_live_crawl(spark, server):
     out = crawl(spark, "socket", server + "/page", CrawlOptions(max_pages=5, retry_count=1, min_delay_seconds=0.0), more_seeds=seeds)
     assert [(r.status_code, r.transport) for r in out.pages.collect()] == [(200, "socket")]
     assert [(r.category, r.retry_count) for r in out.failures.select(F.col("category"), "retry_count").collect()] == [("server_error", 1)]
+
+
+def test_pacing_holds_over_levels_and_retries(spark):
+    """A delay holds from a level to the next, a Retry-After from a pass to the next, and other domains go on."""
+    from webloom.plans.crawl import crawl
+    from webloom.schema import CrawlOptions
+
+    seen, sock = [], socket.create_server(("127.0.0.1", 0))
+    port = sock.getsockname()[1]
+
+    def serve():
+        while True:
+            try:
+                link, _ = sock.accept()
+            except OSError:
+                return
+            with contextlib.closing(link):
+                data = b""
+                while b"\r\n\r\n" not in data:
+                    data += link.recv(4096)
+                path = data.split(b" ")[1].decode()
+                busy = path == "/b" and not any(p == "/b" for _, p in seen)
+                seen.append((time.time(), path))
+                html = b'<title>t</title><a href="/b">b</a>' if path == "/a" else b"<title>t</title>"
+                head = b"HTTP/1.1 429 Busy\r\nRetry-After: 9\r\n" if busy else b"HTTP/1.1 200 OK\r\n"
+                link.sendall(head + b"Content-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(html) + html)
+
+    threading.Thread(target=serve, daemon=True).start()
+    with contextlib.closing(sock):
+        o = CrawlOptions(max_pages=5, max_depth=1, retry_count=1, min_delay_seconds=7.0, obey_robots=False)
+        out = crawl(spark, "socket", f"http://127.0.0.1:{port}/a", o)
+        assert sorted(r.status for r in out.frontier.collect()) == ["fetched", "fetched"]
+    at = [t for t, _ in seen]
+    assert [p for _, p in seen] == ["/a", "/b", "/b"] and at[1] - at[0] >= 6.9 and at[2] - at[1] >= 8.9
+
+
+def test_domains_take_turns(spark):
+    """Two domains of one task are fetched side by side: the second does not wait for the first's delays."""
+    from pyspark.sql import functions as F
+
+    from webloom.sources.fetch import asked_pause, fetch_paced
+
+    rows = [(f"ftp://{d}/{i}", d, i, 0.6, None, None) for d in "ab" for i in range(4)]
+    df = spark.createDataFrame(rows, "url string, domain string, rank long, delay double, free_at double, due double").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = fetch_paced(df, "socket", Limits()).select("domain", F.col("free_at")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+    ends = {d: sorted(r.free_at for r in got if r.domain == d) for d in "ab"}
+    assert len(got) == 8 and all(b - a >= 0.59 for e in ends.values() for a, b in zip(e, e[1:]))
+    assert max(r.free_at for r in got) - min(r.free_at for r in got) < 3.0  # four of each: 1.8 seconds
+    assert asked_pause("120", 0.0) == 120.0 and asked_pause("Thu, 01 Jan 1970 00:01:00 GMT", 10.0) == 50.0
+    assert asked_pause("soon", 0.0) == asked_pause(None, 0.0) == asked_pause("Thu, 01 Jan 1970 00:00:00 GMT", 10.0) == 0.0

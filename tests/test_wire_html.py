@@ -141,3 +141,21 @@ def test_wire_columns(spark):
     assert h.select(W.lower_keys("h")).first()[0] == {"a": "1", "cookie": "c"}
     assert h.select(W.header("h", "A")).first()[0] == "1"
     assert set(h.select(W.without_credentials("h")).first()[0]) == {"A", "a"}
+
+
+def test_chunked_bodies_take_linear_time():
+    """2 MiB in chunks of one byte, fed whole and in small pieces."""
+    import time
+
+    from webloom.functions import wire as W
+
+    body = b"1\r\nx\r\n" * (2 << 20) + b"0\r\n\r\n"
+    for step in (len(body), 1 << 16):
+        reader, began = W.ChunkedBody(2 << 20), time.monotonic()
+        for i in range(0, len(body), step):
+            reader.feed(body[i : i + step])
+        assert reader.close() == b"x" * (2 << 20) and time.monotonic() - began < 30
+    slow = W.ChunkedBody(100)
+    for b in b"3;x=1\r\nabc\r\n2\r\nde\r\n0\r\nT: 1\r\n\r\n":
+        slow.feed(bytes([b]))
+    assert slow.close() == b"abcde"

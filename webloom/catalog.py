@@ -7,8 +7,11 @@ status codes, redirects, stored digests) is derived from it by the same rule on
 from __future__ import annotations
 
 import dataclasses
+import gzip
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,11 @@ from .functions import robots as R
 from .functions import url as U
 from .functions import wire as W
 from .operators import pacing, policy, store
-from .plans.crawl import crawl
+from .operators.chains import chase
+from .operators.deltas import DeltaTable
+from .plans.crawl import crawl, folder, saver
 from .schema import CrawlOptions
 from .sources.fetch import fetch_from_table
-from .sources.fixture import fixture_site, routes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -446,6 +450,24 @@ def export_pages_json(spark, sf_dir):
     return store.export_rows(pages, failed, 1)
 
 
+@query(f"""WITH {PARTS}, s AS (
+  SELECT norm AS normalized_url, page_id AS id, 'first' AS title, 1 AS k FROM n WHERE page_id % 2 = 0 UNION ALL
+  SELECT norm, page_id + 1000000000, 'second', 2 FROM n WHERE page_id % 3 = 0 UNION ALL
+  SELECT norm, page_id + 2000000000, 'third', 3 FROM n WHERE page_id % 10 = 1)
+SELECT normalized_url, min(id) AS id, arg_max(title, (k, id)) AS title FROM s GROUP BY normalized_url""")
+def store_three_saves(spark, sf_dir):
+    """Pages saved three times, each time some of them, with a compaction and an expiry between: the last
+    row of a page under its first id."""
+    pages = read(spark, sf_dir, "pages").select("page_id", U.normalize_url("url").alias("normalized_url"))
+    t = DeltaTable(spark, folder(spark), "normalized_url string, id long, title string, at long", ["normalized_url"], oldest=("id",), order="at", buckets=16)
+    for k, (rows, title) in enumerate(((pages.where("page_id % 2 = 0"), "first"), (pages.where("page_id % 3 = 0"), "second"), (pages.where("page_id % 10 = 1"), "third"))):
+        t.save(rows.select("normalized_url", (F.col("page_id") + k * 1_000_000_000).alias("id"), F.lit(title).alias("title"), F.col("page_id").alias("at")))
+        if k == 1:
+            t.compact()
+            t.expire(keep=1)
+    return t.read().select("normalized_url", "id", "title")
+
+
 _CT = "CASE event_id % 6 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' TEXT/HTML ' WHEN 2 THEN 'application/pdf' WHEN 3 THEN '' WHEN 4 THEN 'application/xhtml+xml;q=1' END"
 
 
@@ -482,6 +504,24 @@ def private_addresses(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", policy.is_private_ipv4(ip).alias("private"))
 
 
+_V6 = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 8193 WHEN 1 THEN 8194 WHEN 2 THEN 65152 + event_id % 128 WHEN 3 THEN 64512 + event_id % 1024 WHEN 4 THEN 0 WHEN 5 THEN 16383 ELSE (event_id * 977) % 65536 END AS a,
+CASE WHEN event_id % 8 = 0 THEN CASE event_id % 5 WHEN 0 THEN 3512 WHEN 1 THEN (event_id // 8) % 600 WHEN 2 THEN 32 + event_id % 16 WHEN 3 THEN 3 ELSE event_id % 65536 END ELSE (event_id * 31) % 65536 END AS b, event_id % 3 AS h FROM events"""
+
+
+@query(f"""WITH i AS ({_V6}) SELECT event_id, event_id % 40 = 39 OR a < 8192 OR a BETWEEN 16384 AND 65215 OR a >= 65280 OR a = 8194 OR (a = 8193 AND b = 3512)
+OR (a = 8193 AND b < 512 AND NOT (b = 3 OR (b >= 32 AND b < 64))) AS blocked FROM i""")
+def private_addresses_v6(spark, sf_dir):
+    """Addresses of many blocks, some of them in short form, some broken."""
+    n = F.col("event_id")
+    first = F.when(n % 8 == 0, 8193).when(n % 8 == 1, 8194).when(n % 8 == 2, 65152 + n % 128).when(n % 8 == 3, 64512 + n % 1024).when(n % 8 == 4, 0).when(n % 8 == 5, 16383).otherwise((n * 977) % 65536)
+    in_2001 = F.when(n % 5 == 0, 3512).when(n % 5 == 1, F.floor(n / 8) % 600).when(n % 5 == 2, 32 + n % 16).when(n % 5 == 3, 3).otherwise(n % 65536)
+    second = F.when(n % 8 == 0, in_2001).otherwise((n * 31) % 65536)
+    two = F.concat_ws(":", F.lower(F.hex(first.cast("long"))), F.hex(second.cast("long")))
+    ip = F.concat(two, F.when(n % 3 == 0, "::").when(n % 3 == 1, ":0:0:0:0:0:5").otherwise("::7:8.8.4.4%eth0"))
+    ip = F.when(n % 40 == 39, F.concat(two, F.lit("::1::2"))).otherwise(ip)
+    return read(spark, sf_dir, "events").select("event_id", policy.is_blocked_address(ip).alias("blocked"))
+
+
 # ------------------------------------------------------------------ wire: documents as the bodies of responses
 
 def _crlf():
@@ -507,12 +547,25 @@ def chunked_decode(spark, sf_dir):
     return _bodies(spark, sf_dir).select("doc_id", c.alias("c")).select("doc_id", F.col("c.body").cast("string").alias("body"), "c.error")
 
 
-@query("""SELECT * FROM (VALUES ('gzip', '<h1>Gzip Page</h1>', CAST(NULL AS VARCHAR)), ('identity', 'plain', NULL), ('br', NULL, 'unsupported_content_encoding'), ('deflate', NULL, 'malformed_response')) AS t(encoding, body, error)""")
+def _squeezed(kind: str):
+    """Test data: a text as a server would send it."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: (gzip.compress if kind == "gzip" else zlib.compress)(t.encode()))
+
+    return run
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN coalesce(text, '') END AS body, CASE doc_id % 5 WHEN 3 THEN 'unsupported_content_encoding' WHEN 4 THEN 'malformed_response' END AS error FROM documents""")
 def gzip_decode(spark, sf_dir):
-    body = bytearray(routes()["/gzip"][2])
-    df = spark.createDataFrame([("gzip", body), ("identity", bytearray(b"plain")), ("br", body), ("deflate", body)], "encoding string, data binary")
-    got = df.select("encoding", W.decompressed("data", "encoding").alias("d")).select("encoding", F.col("d.body").cast("string").alias("body"), "d.error")
-    return got.withColumn("body", F.when(F.contains("body", F.lit("<h1>")), F.regexp_extract("body", "(<h1>.*</h1>)", 1)).otherwise(F.col("body")))
+    """Texts as gzip, as deflate, plain, in an encoding that is not read, and plain under a false label."""
+    k, text = F.col("doc_id") % 5, F.col("text")
+    encoding = F.when(k == 0, "gzip").when(k == 1, "deflate").when(k == 3, "br").when(k == 4, "gzip").otherwise("identity")
+    data = F.when(k == 0, _squeezed("gzip")(text)).when(k == 1, _squeezed("deflate")(text)).otherwise(F.concat(F.lit("x"), text).cast("binary"))
+    data = F.when(k == 2, text.cast("binary")).otherwise(data)
+    got = _bodies(spark, sf_dir).select("doc_id", W.decompressed(data, encoding, 1 << 30).alias("d"))
+    return got.select("doc_id", F.col("d.body").cast("string").alias("body"), "d.error")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN coalesce(text, '') END AS text, CASE doc_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' WHEN 2 THEN 'utf-8' WHEN 3 THEN 'utf-8-sig' END AS encoding,
@@ -539,11 +592,21 @@ def response_parse(spark, sf_dir):
 
 # ------------------------------------------------------------------ redirects and crawls
 
-_HOPS = [("http://a.test/1", "/2"), ("http://a.test/2", "/3"), ("http://a.test/l", "/m"), ("http://a.test/m", "/l"), ("http://a.test/f", "ftp://a.test/x"), *[(f"http://a.test/c{i}", f"/c{i + 1}") for i in range(8)]]
+def _redirects(spark, sf_dir):
+    """Pages as redirects: chains longer than the limit, pairs that lead to each other, a foreign scheme, ends."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), U.domain("url").alias("host"))
+    at = lambda n: F.concat(F.lit("http://web.test/"), n.cast("string"))
+    k = F.col("p") % 12
+    goes = F.when((k < 7) | (k == 8), at(F.col("p") + 1)).when(k == 9, at(F.col("p") - 1)).when(k == 10, F.concat(F.lit("ftp://"), "host", F.lit("/")))
+    return pages.select(at(F.col("p")).alias("src"), goes.alias("dst"))
+
+
+_WEB = """p AS (SELECT page_id AS p, page_id % 12 AS k, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host FROM pages),
+r AS (SELECT 'http://web.test/' || p AS src, CASE WHEN k < 7 OR k = 8 THEN 'http://web.test/' || (p + 1) WHEN k = 9 THEN 'http://web.test/' || (p - 1) ELSE 'ftp://' || host || '/' END AS dst FROM p WHERE k NOT IN (7, 11))"""
 
 
 @query(
-    "WITH RECURSIVE r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b if ':' in b else 'http://a.test' + b}')" for a, b in _HOPS) + ") AS t(src, dst)), "
+    f"WITH RECURSIVE {_WEB}, "
     "w AS (SELECT src AS url, src AS cur, 0 AS hops, [src] AS seen, CAST(NULL AS VARCHAR) AS error FROM r UNION ALL "
     "SELECT url, CASE WHEN e IS NULL THEN dst ELSE cur END, hops + 1, list_append(seen, dst), e FROM ("
     "SELECT w.*, r.dst, CASE WHEN r.dst NOT LIKE 'http%' THEN 'unsupported_redirect' WHEN list_contains(w.seen, r.dst) THEN 'redirect_loop' WHEN w.hops = 5 THEN 'too_many_redirects' END AS e "
@@ -551,39 +614,76 @@ _HOPS = [("http://a.test/1", "/2"), ("http://a.test/2", "/3"), ("http://a.test/l
     "SELECT url, arg_max(cur, hops) AS final_url, CAST(max(hops) AS INTEGER) AS hops, arg_max(coalesce(error, ''), hops) AS error FROM w GROUP BY url"
 )
 def redirect_chain(spark, sf_dir):
-    site = spark.createDataFrame([(a, 302, {"Location": b}, bytearray()) for a, b in _HOPS] + [("http://a.test/3", 200, {}, bytearray(b"x")), ("http://a.test/c8", 200, {}, bytearray(b"x"))], "url string, status_code int, headers map<string,string>, body binary")
-    got = fetch_from_table(site.where("status_code = 302").select("url"), site)
+    """Every page as a redirect or its end, fetched with at most five hops."""
+    web = _redirects(spark, sf_dir)
+    headers = F.when(F.col("dst").isNotNull(), F.create_map(F.lit("Location"), F.col("dst"))).otherwise(F.create_map().cast("map<string,string>"))
+    site = web.select(F.col("src").alias("url"), F.when(F.col("dst").isNotNull(), 302).otherwise(200).alias("status_code"), headers.alias("headers"), F.lit("x").cast("binary").alias("body"))
+    site = site.unionByName(web.agg(F.max(F.substring_index("src", "/", -1).cast("long")).alias("m")).select(F.concat(F.lit("http://web.test/"), (F.col("m") + 1).cast("string")).alias("url"), F.lit(200).alias("status_code"), F.create_map().cast("map<string,string>").alias("headers"), F.lit("x").cast("binary").alias("body")))
+    got = fetch_from_table(web.where("dst is not null").select(F.col("src").alias("url")), site)
     return got.select("url", "final_url", F.size("redirects").alias("hops"), F.coalesce("error_category", F.lit("")).alias("error"))
 
 
+_LONG = """r AS (SELECT 'http://web.test/' || page_id AS src, 'http://web.test/' || CASE WHEN page_id % 300 = 99 THEN page_id - 60 ELSE page_id + 1 END AS dst FROM pages WHERE page_id % 300 <> 250)"""
+
+
 @query(
-    "SELECT * FROM (VALUES ('http://site.test/page', CAST(0 AS INTEGER), 'Fixture Page'), ('http://site.test/page2', 1, 'Fixture Page Two'), ('http://site.test/deep/page3?a=1&b=2', 2, 'Deep')) AS t(normalized_url, depth, title)"
+    f"WITH RECURSIVE {_LONG}, w AS (SELECT src AS url, dst AS cur, 1 AS hops FROM r UNION ALL SELECT w.url, r.dst, w.hops + 1 FROM w JOIN r ON r.src = w.cur WHERE w.hops < 300), "
+    "e AS (SELECT url, cur, hops, NOT EXISTS (SELECT 1 FROM r WHERE r.src = w.cur) AS ended FROM w) "
+    "SELECT url, coalesce(arg_max(cur, hops) FILTER (ended), min(cur) FILTER (hops > 200)) AS final_url, CAST(max(hops) FILTER (ended) AS BIGINT) AS hops, "
+    "CASE WHEN NOT bool_or(ended) THEN 'redirect_loop' WHEN max(hops) FILTER (ended) > 20 THEN 'too_many_redirects' END AS error FROM e GROUP BY url"
+)
+def redirect_closure(spark, sf_dir):
+    """Chains of up to 150 pages, and cycles of 61 with what leads into them, by pointer doubling."""
+    p = F.col("page_id")
+    at = lambda n: F.concat(F.lit("http://web.test/"), n.cast("string"))
+    edges = read(spark, sf_dir, "pages").where(p % 300 != 250).select(at(p).alias("src"), at(F.when(p % 300 == 99, p - 60).otherwise(p + 1)).alias("dst"))
+    return chase(edges, saver(spark), limit=20)
+
+
+@query(
+    "WITH RECURSIVE t AS (SELECT CAST(0 AS BIGINT) AS p, CAST(0 AS INTEGER) AS depth UNION ALL SELECT c.page_id, t.depth + 1 FROM t JOIN pages c ON c.page_id > 0 AND (c.page_id - 1) // 16 = t.p WHERE t.p % 10 <> 7) "
+    f"SELECT 'http://web.test/' || p AS normalized_url, depth, nullif({_TEXT.format("regexp_extract(html, '<title>([^<]*)', 1)")}, '') AS title FROM t JOIN pages ON page_id = p WHERE p % 10 <> 7"
 )
 def crawl_fixture_bfs(spark, sf_dir):
-    out = crawl(spark, fixture_site(spark), "http://site.test/page", CrawlOptions(max_pages=10, retry_count=0))
+    """A crawl from one seed over a tree of all pages: page p links to 16 p + 1 and the 15 after it; every
+    tenth page is closed to robots."""
+    pages = read(spark, sf_dir, "pages")
+    kids = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.concat(F.lit('<a href="/'), (F.col("page_id") * 16 + i).cast("string"), F.lit('">x</a>'))), "")
+    body = F.concat(F.lit("<title>"), F.regexp_extract("html", "<title>([^<]*)", 1), F.lit("</title>"), kids).cast("binary")
+    web = pages.select(F.concat(F.lit("http://web.test/"), F.col("page_id").cast("string")).alias("url"), F.lit(200).alias("status_code"), F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), body.alias("body"))
+    robots = pages.agg(F.count("*")).select(F.lit("http://web.test/robots.txt").alias("url"), F.lit(200).alias("status_code"), F.create_map().cast("map<string,string>").alias("headers"), F.lit("User-agent: *\nDisallow: /*7$\n").cast("binary").alias("body"))
+    out = crawl(spark, web.unionByName(robots), "http://web.test/0", CrawlOptions(max_pages=2**62, max_depth=60, retry_count=0))
     return out.pages.select("normalized_url", "depth", "title")
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'fetched', CAST(1 AS BIGINT), 'budget_reached'), (1, 'fetched', 2, 'finished'), (1, 'skipped', 1, 'finished'), (2, 'fetched', 1, 'finished')) AS t(depth, status, n, job)")
+@query(f"""WITH {PARTS}, {LINKS}, s AS (SELECT count(DISTINCT norm) AS n FROM n)
+SELECT 'budget_reached' AS job, CAST(0 AS INTEGER) AS depth, 'fetched' AS status, least(n, 40) AS n FROM s UNION ALL SELECT 'budget_reached', 0, 'pending', n - 40 FROM s WHERE n > 40
+UNION ALL SELECT 'finished', 0, 'fetched', n FROM s UNION ALL SELECT 'finished', 1, 'failed', count(DISTINCT link) FROM links WHERE link NOT IN (SELECT norm FROM n) AND page_id IN (SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY f) AS k FROM (SELECT norm, min(page_id) AS page_id, min(page_id) AS f FROM n GROUP BY norm)) WHERE k > 0) HAVING count(*) > 0""")
 def crawl_resume(spark, sf_dir):
-    """A crawl that ends at a budget of one page, and goes on from its stored frontier."""
-    site, o = fixture_site(spark), CrawlOptions(max_pages=1, retry_count=0)
-    part = crawl(spark, site, "http://site.test/page", o)
-    whole = crawl(spark, site, "http://site.test/page", dataclasses.replace(o, max_pages=10), resume=part)
+    """A crawl of the corpus that ends at a budget of 40 pages, and goes on from its stored frontier."""
+    web, seed, more = _corpus(spark, sf_dir)
+    o = CrawlOptions(max_pages=40, max_depth=1, retry_count=0, obey_robots=False, stay_on_seed_domain=False)
+    part = crawl(spark, web, seed, o, more_seeds=more)
+    whole = crawl(spark, web, seed, dataclasses.replace(o, max_pages=2**62), resume=part)
     n = lambda out: out.frontier.groupBy("depth", "status").agg(F.count("*").alias("n")).withColumn("job", F.lit(out.status))
-    return n(part).where("status = 'fetched'").unionByName(n(whole).where("depth > 0"))
+    return n(part).where("depth = 0").unionByName(n(whole)).select("job", "depth", "status", "n")
+
+
+def _corpus(spark, sf_dir):
+    """The pages as a web of responses, the first of them as the seed, and all of them as further ones."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), "html")
+    web = pages.groupBy("url").agg(F.min_by("html", "page_id").cast("binary").alias("body"))
+    web = web.select("url", F.lit(200).alias("status_code"), F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8")).alias("headers"), "body")
+    return web, pages.orderBy("page_id").first().url, pages.select("url", F.col("page_id").alias("order"))
 
 
 @query(f"""WITH {PARTS}, {LINKS} SELECT CAST(0 AS INTEGER) AS depth, 'fetched' AS status, count(DISTINCT norm) AS n FROM n
 UNION ALL SELECT 1, 'failed', count(DISTINCT link) FROM links WHERE link NOT IN (SELECT norm FROM n) AND page_id IN (SELECT min(page_id) FROM n GROUP BY norm) HAVING count(*) > 0""")
 def crawl_pages_corpus(spark, sf_dir):
     """A crawl over the corpus as the web, with every page as a seed; links that lead outside fail."""
-    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), "html")
-    web = pages.groupBy("url").agg(F.min_by("html", "page_id").cast("binary").alias("body"))
-    web = web.select("url", F.lit(200).alias("status_code"), F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8")).alias("headers"), "body")
-    seed = pages.orderBy("page_id").first().url
+    web, seed, more = _corpus(spark, sf_dir)
     o = CrawlOptions(max_pages=2**62, max_depth=1, retry_count=0, obey_robots=False, stay_on_seed_domain=False)
-    out = crawl(spark, web, seed, o, more_seeds=pages.select("url", F.col("page_id").alias("order")))
+    out = crawl(spark, web, seed, o, more_seeds=more)
     return out.frontier.groupBy("depth", "status").agg(F.count("*").alias("n"))
 
 

@@ -53,7 +53,8 @@ class CrawlResult:
     status: str
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that the cluster names; of our own only on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
@@ -62,6 +63,18 @@ def _folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
 
+def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table to the shared folder and reads it back."""
+    root = folder(spark)
+
+    def save(df: DataFrame) -> DataFrame:
+        path = f"{root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
 class TableWeb:
     """The web as a table of responses."""
 
@@ -85,6 +98,7 @@ class LiveWeb:
 
     def __init__(self, client: str, options: CrawlOptions, save: Callable[[DataFrame], DataFrame]):
         self.client, self.options, self.save = client, options, save
+        self.free: DataFrame | None = None  # from when on each domain is free, over all levels
 
     def robots(self, origins: DataFrame) -> DataFrame:
         limits = limits_of(self.options, max_bytes=ROBOTS_BYTES, redirect_limit=ROBOTS_REDIRECTS, connect_timeout=5.0, read_timeout=5.0, total_timeout=10.0)
@@ -93,16 +107,23 @@ class LiveWeb:
         return wanted.join(self.save(got), "url").select("origin", "status_code", "error_category", "body")
 
     def fetch(self, items: DataFrame) -> DataFrame:
-        done, left = None, items.select("url", "domain", F.col("id").alias("rank"), "delay").dropDuplicates(["url"])
+        """All items, retries included: a retry waits its back-off, and a domain's delay or pause holds
+        over passes and levels."""
+        done, left = None, items.select("url", "domain", F.col("id").alias("rank"), "delay").dropDuplicates(["url"]).withColumn("due", F.lit(None).cast("double"))
         for tried in range(self.options.retry_count + 1):
-            got = self.save(fetch_paced(left, self.client, limits_of(self.options)).withColumn("tried", F.lit(tried)))
+            held = left.withColumn("free_at", F.lit(None).cast("double")) if self.free is None else left.join(self.free, "domain", "left")
+            got = self.save(fetch_paced(held, self.client, limits_of(self.options)).withColumn("tried", F.lit(tried)))
+            free = got.select("domain", "free_at") if self.free is None else got.select("domain", "free_at").unionByName(self.free)
+            self.free = self.save(free.groupBy("domain").agg(F.max("free_at").alias("free_at")))
             category = F.coalesce("error_category", policy.status_category("status_code"))
             again = policy.should_retry("status_code", category, F.lit(tried), self.options.retry_count)
-            now = got.where(~again)
+            now = got.where(~again).drop("domain", "free_at")
             done = now if done is None else done.unionByName(now)
-            left = left.join(got.where(again).select("url"), "url", "left_semi")
-            if got.where(again).isEmpty():
+            late = got.where(again)
+            if late.isEmpty():
                 break
+            wait = F.unix_micros(F.current_timestamp()) / 1_000_000 + policy.backoff_seconds(F.lit(tried))
+            left = left.drop("due").join(late.select("url"), "url", "left_semi").withColumn("due", wait)
         slot = F.lit(None).cast("double")
         return items.join(done, "url").withColumn("encoding", F.lit(None).cast("string")).withColumn("slot", slot)
 
@@ -139,8 +160,7 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
     every level, to be stored. ``more_seeds`` (url, order) are further items of depth 0.
     """
     options = options or CrawlOptions()
-    root = _folder(spark)
-    save = lambda df: (df.write.parquet(path := f"{root}/{uuid.uuid4().hex}"), spark.read.schema(df.schema).parquet(path))[1]
+    save = saver(spark)
     web = LiveWeb(site, options, save) if isinstance(site, str) else TableWeb(site, options, save)
     host = spark.range(1).select(U.domain(F.lit(seed)).alias("h")).first().h
     seeds = [host, *options.allowed_domains]

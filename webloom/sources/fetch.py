@@ -7,7 +7,11 @@ redirects are at most ``redirect_limit`` more joins. Live fetches (``live``) are
 
 from __future__ import annotations
 
+import datetime
+import email.utils
+import heapq
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -82,24 +86,55 @@ def fetch_with(urls: DataFrame, fetch: Callable[[pd.DataFrame], pd.DataFrame], p
     return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, FETCH)
 
 
+def asked_pause(value: str, now: float) -> float:
+    """Seconds from ``now`` (a time) that a Retry-After asks for: a number or an HTTP date; else 0."""
+    value = (value or "").strip()
+    if value.isascii() and value.isdigit():
+        return float(value)
+    try:
+        at = email.utils.parsedate_to_datetime(value)
+    except (TypeError, ValueError):
+        return 0.0
+    return max(0.0, at.replace(tzinfo=at.tzinfo or datetime.UTC).timestamp() - now)
+
+
+#: A fetch with its domain, and from when on the domain is free again (a time in seconds).
+PACED = f"{FETCH}, domain string, free_at double"
+
+
 def fetch_paced(urls: DataFrame, client: str, limits: Limits) -> DataFrame:
-    """Live fetches of ``urls`` (url, domain, rank, delay): one task has all URLs of a domain and waits
-    ``delay`` seconds between two of them, in order of rank. A failed fetch that asks for a pause
-    (Retry-After) holds up its domain."""
+    """Live fetches of ``urls`` (url, domain, rank, delay, free_at, due): rows of PACED.
+
+    One task has all URLs of a domain and waits ``delay`` seconds between two of them, in order of
+    rank. ``free_at`` is when the domain is free after what was fetched before, ``due`` is before when
+    this URL must not go out; either may be null. A Retry-After holds up its domain for as long as it
+    says. Of the domains in a batch the one that is free first comes next.
+    """
     ship(urls.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free: dict[str, float] = {}
         for batch in batches:
+            queues: dict[str, deque] = {}
             for r in batch.itertuples():
-                time.sleep(max(0.0, free.get(r.domain, 0.0) - time.monotonic()))
+                queues.setdefault(r.domain, deque()).append(r)
+                free[r.domain] = max(free.get(r.domain, 0.0), 0.0 if pd.isna(r.free_at) else r.free_at)
+            ready = lambda d, queues=queues: max(free[d], 0.0 if pd.isna(queues[d][0].due) else queues[d][0].due)
+            turns = [(ready(d), d) for d in queues]
+            heapq.heapify(turns)
+            while turns:
+                when, d = heapq.heappop(turns)
+                r = queues[d].popleft()
+                time.sleep(max(0.0, when - time.time()))
                 row = fetch_url(r.url, client, limits)
-                pause = (row["headers"] or {}).get("retry-after", "")
-                free[r.domain] = time.monotonic() + max(r.delay, min(float(pause), 60.0) if pause.isdigit() else 0.0)
-                yield pd.DataFrame([row], columns=FETCH_COLUMNS)
-
-    rows = urls.select("url", "domain", "rank", "delay").repartition("domain").sortWithinPartitions("domain", "rank")
-    return rows.mapInPandas(run, FETCH)
+                now = time.time()
+                free[d] = now + max(r.delay, asked_pause((row["headers"] or {}).get("retry-after", ""), now))
+                if queues[d]:
+                    heapq.heappush(turns, (ready(d), d))
+                yield pd.DataFrame([row | {"domain": d, "free_at": free[d]}], columns=[*FETCH_COLUMNS, "domain", "free_at"])
+
+    rows = urls.select("url", "domain", "rank", "delay", "free_at", "due").repartition("domain").sortWithinPartitions("rank")
+    return rows.mapInPandas(run, PACED)
 
 
 def limits_of(options: CrawlOptions, **more) -> Limits:

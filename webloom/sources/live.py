@@ -119,29 +119,39 @@ def addresses(host: str, port: int, limits: Limits, clock: Clock) -> list:
     return found
 
 
+def _socket_to(found: list, limits: Limits, clock: Clock) -> socket.socket:
+    """The first address that answers; those that do not are closed, whatever ends the try."""
+    last = "no address answers", "connection_error"
+    for family, kind, proto, _, address in found:
+        with contextlib.ExitStack() as undo:
+            sock = socket.socket(family, kind, proto)
+            undo.callback(sock.close)
+            sock.settimeout(clock.left(limits.connect_timeout))
+            try:
+                sock.connect(address)
+            except OSError as e:
+                last = str(e), "connect_timeout" if isinstance(e, TimeoutError) else "connection_error"
+                continue
+            undo.pop_all()
+            return sock
+    raise FetchError(last[1], last[0])
+
+
 def connected(host: str, port: int, secure: bool, limits: Limits, clock: Clock) -> socket.socket:
     found = addresses(host, port, limits, clock)
     clock.mark("dns")
-    error: OSError = OSError("no address answers")
-    for family, kind, proto, _, address in found:
-        sock = socket.socket(family, kind, proto)
-        try:
+    with contextlib.ExitStack() as undo:
+        sock = _socket_to(found, limits, clock)
+        undo.callback(sock.close)
+        clock.mark("connect")
+        if secure:
+            context = ssl.create_default_context()
+            context.minimum_version = ssl.TLSVersion.TLSv1_2
             sock.settimeout(clock.left(limits.connect_timeout))
-            sock.connect(address)
-            break
-        except OSError as e:
-            sock.close()
-            error = e
-    else:
-        raise FetchError("connect_timeout" if isinstance(error, TimeoutError) else "connection_error", str(error))
-    clock.mark("connect")
-    if secure:
-        context = ssl.create_default_context()
-        context.minimum_version = ssl.TLSVersion.TLSv1_2
-        sock.settimeout(clock.left(limits.connect_timeout))
-        sock = context.wrap_socket(sock, server_hostname=host)
-        clock.mark("tls")
-    return sock
+            sock = context.wrap_socket(sock, server_hostname=host)
+            clock.mark("tls")
+        undo.pop_all()
+        return sock
 
 
 def host_field(scheme: str, host: str, port: int) -> str:
