@@ -150,6 +150,89 @@ def test_cli(spark, tmp_path, capsys):
     assert '"allowed": false' in capsys.readouterr().out
 
 
+def test_cli_resume_and_delete(spark, tmp_path, capsys):
+    """A job of a budget of one page, resumed to its end; each save adds a delta; a job goes with its rows."""
+    from webloom.cli import Job
+
+    at = ["--store", str(tmp_path / "s")]
+    assert main([*at, "resume"], spark) == 1
+    assert main([*at, "crawl", "http://site.test/page", "--max-pages", "1"], spark) == 0
+    job = Job(spark, str(tmp_path / "s"))
+    assert job.read("pages").count() == 1 and job.read("crawl_jobs").first().status == "budget_reached"
+    assert main([*at, "resume", "--max-pages", "9"], spark) == 0
+    assert {r.normalized_url for r in job.read("pages").collect()} == {"http://site.test/page", "http://site.test/page2", "http://site.test/deep/page3?a=1&b=2"}
+    assert sorted(r.status for r in job.read("frontier").collect()) == ["fetched"] * 4 + ["skipped"]
+    assert [r.category for r in job.read("failures").collect()] == ["robots_disallowed"] and not store.has_pending_work(job.read("frontier"), 1)
+    job.delete(1)
+    assert all(job.read(n).count() == 0 for n in job.tables) and job.next_id() == 1
+
+
+def test_older_stores_are_brought_up(spark, tmp_path):
+    from webloom.cli import SCHEMA_VERSION, Job
+
+    old = store.Snapshots(spark, str(tmp_path / "s"))
+    old.write("version", spark.createDataFrame([(1,)], "version int"))
+    old.write("pages", spark.createDataFrame([(3, 7, "http://a/", "http://a/")], "id long, job_id long, url string, normalized_url string"))
+    old.write("crawl_jobs", spark.createDataFrame([(7, "http://a/", "finished")], "id long, seed_url string, status string"))
+    for _ in range(2):
+        job = Job(spark, str(tmp_path / "s"))
+        assert job.version() == SCHEMA_VERSION and job.next_id() == 8
+        assert [(r.id, r.normalized_url, r.title) for r in job.read("pages").collect()] == [(3, "http://a/", None)]
+    job.files.put(f"{job.root}/_version", "2")  # as if cut short before the last step was noted
+    assert Job(spark, str(tmp_path / "s")).read("pages").count() == 1
+    job.files.put(f"{job.root}/_version", "99")
+    with pytest.raises(ValueError, match="version 99"):
+        Job(spark, str(tmp_path / "s"))
+
+
+def test_as_of(spark):
+    from webloom.operators.as_of import as_of
+
+    rng = random.Random(4)
+    versions = [(rng.choice("ab"), float(rng.randrange(400)), i) for i in range(60)] + [(None, 1.0, 99), ("a", None, 98)]
+    asked = [(i, rng.choice(["a", "a", "a", "b", "c", None]), float(rng.randrange(420))) for i in range(300)] + [(300, "a", None)]
+    got = as_of(spark.createDataFrame(asked, "id long, k string, at double"), spark.createDataFrame(versions, "k string, since double, body int"), "k", "at", "since", 25.0).collect()
+    want = {}
+    for i, k, at in asked:
+        fit = [(s, b) for o, s, b in versions if o is not None and o == k and s is not None and at is not None and s <= at < s + 25]
+        want[i] = max(fit) if fit else None
+    assert {r.id: (r.held.since, r.held.body) if r.held else None for r in got} == want and len(got) == len(asked)
+
+
+def test_due_queue_over_micro_batches(spark, tmp_path):
+    """The schedule equals a simulation, and is the same however the rows are dealt over batches."""
+    import datetime
+    import heapq
+
+    from webloom.streaming import due_queue as Q
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), i, datetime.datetime.fromtimestamp(d, datetime.UTC).replace(tzinfo=None), float(d), rng.choice([0, 0, 1, 2, 5]), rng.choice([0.0, 40.0])) for i, d in enumerate(sorted(rng.randrange(5000) for _ in range(120)))]
+    want = set()
+    for d in "ab":
+        heap, free = [(r[3], r[1], 0, r[4], r[5]) for r in rows if r[0] == d], float("-inf")
+        heapq.heapify(heap)
+        while heap:
+            due, i, n, fails, pause = heapq.heappop(heap)
+            start, failed = max(due, free), n < fails
+            free = start + max(3.0, pause if failed else 0.0)
+            want.add((d, i, n, due, start, failed))
+            if failed and n < 2:
+                heapq.heappush(heap, (start + min(60.0, 20.0 * 2**n), i, n + 1, fails, pause))
+    df = spark.createDataFrame(rows, Q.ITEMS)
+    whole = Q.whole_schedule(df, str(tmp_path / "w"), delay=3.0, base=20.0)
+    assert {tuple(r) for r in whole.collect()} == want
+    parts = tmp_path / "parts"
+    end = spark.createDataFrame([("", -1, datetime.datetime(2000, 1, 1), 0.0, 0, 0.0)], Q.ITEMS)
+    for k in range(4):
+        part = df.where(f"id >= {k * 30} and id < {k * 30 + 30}")
+        (part.unionByName(end) if k == 3 else part).coalesce(1).write.mode("append").parquet(str(parts))
+    stream = Q.due_schedule(spark.readStream.schema(Q.ITEMS).option("maxFilesPerTrigger", 1).parquet(str(parts)), delay=3.0, base=20.0).where("id >= 0")
+    q = stream.writeStream.format("memory").queryName("starts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    assert {tuple(r) for r in spark.table("starts").collect()} == want
+
+
 def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT normalize_url('HTTP://A.test/?utm_x=1') n, domain_of('http://u@A.test:1/x') d, robots_allowed('User-agent: *\\nDisallow: /', 'b', 'http://h/') r").first()

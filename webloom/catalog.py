@@ -20,11 +20,13 @@ from .functions import robots as R
 from .functions import url as U
 from .functions import wire as W
 from .operators import pacing, policy, store
+from .operators.as_of import as_of
 from .operators.chains import chase
 from .operators.deltas import DeltaTable
 from .plans.crawl import crawl, folder, saver
 from .schema import CrawlOptions
 from .sources.fetch import fetch_from_table
+from .streaming.due_queue import whole_schedule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -373,6 +375,53 @@ def pacing_hot_domain(spark, sf_dir):
     return pacing.pacing_slots(log, order="event_id", pause_until="pause", block_rows=1000).select("event_id", "start", "waited")
 
 
+_VERSIONS = """v AS (SELECT scheme || '://' || host AS origin, epoch(t0) + (page_id * 7919) % 2592000 AS since, max(page_id % 3) AS body FROM n, (SELECT min(CAST(ts AS TIMESTAMP)) AS t0 FROM events) GROUP BY ALL),
+q AS (SELECT event_id, o.origin, epoch(CAST(ts AS TIMESTAMP)) AS at, o.path FROM events JOIN (SELECT page_id, scheme || '://' || host AS origin, path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS path FROM n) o ON o.page_id = CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % (SELECT count(*) FROM n) END),
+j AS (SELECT q.event_id, q.path, CASE WHEN q.at - v.since < 86400 THEN v.since END AS since, CASE WHEN q.at - v.since < 86400 THEN v.body END AS body FROM q ASOF LEFT JOIN v ON q.origin = v.origin AND q.at >= v.since)"""
+
+
+@query(f"""WITH {PARTS}, {_VERSIONS} SELECT event_id, CAST(since AS DOUBLE) AS since, CASE body WHEN 0 THEN NOT (path LIKE '/en/%' AND path NOT LIKE '/en/8%') WHEN 1 THEN path NOT LIKE '%.html' WHEN 2 THEN true END AS allowed FROM j""")
+def robots_as_of(spark, sf_dir):
+    """Requests judged by the robots.txt that their origin had at the time, for a day after it was read;
+    a third of all requests go to one page."""
+    pages, events = read(spark, sf_dir, "pages"), read(spark, sf_dir, "events")
+    ends = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t0"))
+    bodies = F.array(F.lit(_ROBOTS[0]), F.lit(_ROBOTS[1].split("\n\n")[0]), F.lit(""))
+    versions = pages.crossJoin(F.broadcast(ends)).select(U.robots_key("url").alias("origin"), (F.col("t0") + F.col("page_id") * 7919 % 2592000).alias("since"), (F.col("page_id") % 3).cast("int").alias("body"))
+    n = F.broadcast(pages.agg(F.count("*").alias("n")))
+    asked = events.crossJoin(n).select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % F.col("n")).alias("page_id"))
+    asked = asked.join(pages.select("page_id", "url"), "page_id").select("event_id", "url", "at", U.robots_key("url").alias("origin"))
+    got = as_of(asked, versions, "origin", "at", "since", 86400.0)
+    # the rules of the few texts are parsed once and matched by the text's number
+    texts = spark.range(3).select(F.col("id").cast("string").alias("origin"), F.get(bodies, F.col("id").cast("int")).alias("body"))
+    rules, _ = R.rule_table(texts, "webloom/1.0")
+    judged = R.verdicts_by(got.withColumn("text_", F.col("held.body").cast("string")), rules, "text_")
+    return judged.select("event_id", F.col("held.since").alias("since"), F.when(F.col("held").isNotNull(), F.col("allowed")).alias("allowed"))
+
+
+_ITEMS = """i AS (SELECT 'd' || (user_id % 20) AS domain, event_id AS id, CAST(floor(epoch(CAST(ts AS TIMESTAMP)) / 600) AS DOUBLE) * 60 AS due,
+  CASE event_type WHEN 'error' THEN 1 + event_id % 3 WHEN 'signup' THEN 1 ELSE 0 END AS fails, CASE event_type WHEN 'signup' THEN 45.0 ELSE 0.0 END AS pause FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_ITEMS},
+q AS (
+  SELECT domain, list_sort(list(struct_pack(due := due, id := id, n := 0, fails := fails, pause := pause))) AS queue, -1e300 AS free, CAST(NULL AS STRUCT(id BIGINT, attempt INTEGER, due DOUBLE, start DOUBLE, failed BOOLEAN)) AS went FROM i GROUP BY domain
+  UNION ALL
+  SELECT domain, CASE WHEN failed AND h.n < 2 THEN list_sort(list_append(queue[2:], struct_pack(due := start + least(60.0, 5.0 * pow(2.0, h.n)), id := h.id, n := h.n + 1, fails := h.fails, pause := h.pause))) ELSE queue[2:] END,
+    start + greatest(2.0, CASE WHEN failed THEN h.pause ELSE 0.0 END), struct_pack(id := h.id, attempt := h.n, due := h.due, start := start, failed := failed)
+  FROM (SELECT *, queue[1] AS h, greatest(queue[1].due, free) AS start, queue[1].n < queue[1].fails AS failed FROM q WHERE len(queue) > 0))
+SELECT domain, went.id AS id, CAST(went.attempt AS INTEGER) AS attempt, went.due AS due, went.start AS start, went.failed AS failed FROM q WHERE went IS NOT NULL""")
+def retry_due_queue(spark, sf_dir):
+    """Requests whose failures come back after their back-off and hold up their domain."""
+    kind = F.col("event_type")
+    fails = F.when(kind == "error", 1 + F.col("event_id") % 3).when(kind == "signup", 1).otherwise(0)
+    due = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 600).cast("double") * 60
+    items = read(spark, sf_dir, "events").select(
+        F.concat(F.lit("d"), F.col("user_id") % 20).alias("domain"), F.col("event_id").alias("id"), F.timestamp_seconds(due).alias("ts"), due.alias("due"), fails.cast("int").alias("fails"), F.when(kind == "signup", 45.0).otherwise(0.0).alias("pause")
+    )
+    return whole_schedule(items, folder(spark), delay=2.0, base=5.0)
+
+
 # ------------------------------------------------------------------ store and report
 
 _STORED = """v AS (

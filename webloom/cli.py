@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .functions import html as H
 from .functions import robots as R
 from .functions import url as U
-from .operators import store
-from .plans.crawl import CrawlResult, LiveWeb, TableWeb, crawl, robots_of
+from .operators import deltas, store
+from .plans.crawl import FAILURE_TYPES, PAGE_TYPES, CrawlResult, LiveWeb, TableWeb, crawl, robots_of
 from .schema import CRAWL_JOBS, SCHEMA_VERSION, load_options
 from .sources.fetch import client_name, fetch_from_table, fetch_with, limits_of, make_fetcher
 from .sources.fixture import fixture_site
@@ -91,57 +91,101 @@ def _options(args):
     return dataclasses.replace(options, allowed_domains=(*options.allowed_domains, *more))
 
 
+_ddl = lambda types: ", ".join(f"{c} {k}" for c, k in types.items())
+STORED = {
+    "pages": {"schema": _ddl(PAGE_TYPES), "key": ["job_id", "normalized_url"], "oldest": ("id",), "order": "id"},
+    "failures": {"schema": _ddl(FAILURE_TYPES), "key": ["job_id", "item_id"]},
+    "frontier": {"schema": "job_id long, id long, url string, normalized_url string, depth int, discovered_from string, status string", "key": ["job_id", "id"]},
+    "crawl_jobs": {"schema": CRAWL_JOBS, "key": ["id"]},
+}
+
+
 class Job:
-    """A job and its rows in the store; other jobs' rows stay as they are."""
+    """Jobs and their rows in the store: tables that take a level's rows as a delta."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.tables = spark, store.Snapshots(spark, root)
-        if self.tables.exists("version"):
-            found = self.tables.read("version").first().version
-            if found != SCHEMA_VERSION:
-                raise ValueError(f"the store has version {found}, not {SCHEMA_VERSION}")
-        else:
-            self.tables.write("version", spark.createDataFrame([(SCHEMA_VERSION,)], "version int"))
+        self.spark, self.root, self.files = spark, root.rstrip("/"), deltas.Files(spark)
+        self.tables = {n: deltas.DeltaTable(spark, f"{self.root}/tables/{n}", **how) for n, how in STORED.items()}
+        found = self.version()
+        if found > SCHEMA_VERSION:
+            raise ValueError(f"the store has version {found}, not {SCHEMA_VERSION}")
+        for version in range(found, SCHEMA_VERSION):  # a step that was cut short is done again
+            MIGRATIONS[version](self)
+            self.files.put(f"{self.root}/_version", str(version + 1))
+        self.files.put(f"{self.root}/_version", str(SCHEMA_VERSION))
 
-    def next_id(self) -> int:
-        return 1 + ((self.tables.read("crawl_jobs").agg(F.max("id")).first()[0] or 0) if self.tables.exists("crawl_jobs") else 0)
+    def version(self) -> int:
+        """The store's version; that of a new one is the present."""
+        if self.files.exists(f"{self.root}/_version"):
+            return int(self.files.get(f"{self.root}/_version"))
+        old = store.Snapshots(self.spark, self.root)
+        return old.read("version").first().version if old.exists("version") else SCHEMA_VERSION
+
+    def exists(self, name: str) -> bool:
+        return self.tables[name].exists()
 
-    def put(self, name: str, rows, job_id: int) -> None:
-        key = "id" if name == "crawl_jobs" else "job_id"
-        if self.tables.exists(name):
-            rows = self.tables.read(name).where(F.col(key) != job_id).unionByName(rows, allowMissingColumns=True)
-        self.tables.write(name, rows)
+    def read(self, name: str):
+        return self.tables[name].read()
+
+    def next_id(self) -> int:
+        return 1 + (self.read("crawl_jobs").agg(F.max("id")).first()[0] or 0)
 
-    def save(self, job_id: int, out: CrawlResult) -> None:
+    def save(self, out: CrawlResult) -> None:
+        """The rows that changed since the last save."""
         for name in ("pages", "failures", "frontier"):
-            self.put(name, getattr(out, name), job_id)
+            self.tables[name].save(getattr(out.changes or out, name))
+            self.tables[name].expire()
+
+    def delete(self, job_id: int) -> None:
+        """Removes a job and its rows."""
+        for name, rows in store.delete_job(job_id, **{n: self.read(n) for n in STORED}).items():
+            self.tables[name].replace(rows)
 
     def row(self, job_id, url, status, options, created, started, finished=None) -> None:
         row = (job_id, url, status, options.max_pages, options.max_depth, created, started, finished)
-        self.put("crawl_jobs", self.spark.createDataFrame([row], CRAWL_JOBS), job_id)
+        self.tables["crawl_jobs"].save(self.spark.createDataFrame([row], CRAWL_JOBS))
+
+
+def _columns_that_lack(job: Job) -> None:
+    """From version 1: tables may lack columns that came later; they are null."""
+    old = store.Snapshots(job.spark, job.root)
+    for name, how in STORED.items():
+        if old.exists(name):
+            old.write(name, job.spark.createDataFrame([], how["schema"]).unionByName(old.read(name), allowMissingColumns=True))
+
+
+def _snapshots_as_deltas(job: Job) -> None:
+    """From version 2: whole snapshots become the first delta of each table."""
+    old = store.Snapshots(job.spark, job.root)
+    for name, table in job.tables.items():
+        if old.exists(name) and not table.exists():
+            table.save(job.spark.createDataFrame([], STORED[name]["schema"]).unionByName(old.read(name), allowMissingColumns=True))
+
+
+#: What leads from a version to the next one.
+MIGRATIONS = {1: _columns_that_lack, 2: _snapshots_as_deltas}
 
 
 def _crawl(spark, args, options) -> int:
     jobs, now = Job(spark, args.store), lambda: datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
     resume = None
     if args.command == "resume":
-        row = store.get_job(jobs.tables.read("crawl_jobs"), args.job_id) if jobs.tables.exists("crawl_jobs") else None
+        row = store.get_job(jobs.read("crawl_jobs"), args.job_id)
         if row is None:
             print("no such job", file=sys.stderr)
             return FAILED
         url, job_id, created = row.seed_url, row.id, row.created_at
         kept = {k: getattr(row, k) for k in ("max_pages", "max_depth") if getattr(args, k) is None}  # the job's own budgets
         options = dataclasses.replace(options, **kept)
-        of = lambda name: jobs.tables.read(name).where(F.col("job_id") == job_id)
-        resume = CrawlResult(of("frontier"), of("pages"), of("failures"), row.status) if jobs.tables.exists("frontier") else None
+        of = lambda name: jobs.read(name).where(F.col("job_id") == job_id)
+        resume = CrawlResult(of("frontier"), of("pages"), of("failures"), row.status) if jobs.exists("frontier") else None
     else:
         url, job_id, created = args.url, jobs.next_id(), now()
     started = now()
     jobs.row(job_id, url, "running", options, created, started)
     web = client_name(args.fetcher) if args.live else _site(spark, args)
     try:
-        out = crawl(spark, web, url, options, job_id, resume, lambda r: jobs.save(job_id, r))
-        jobs.save(job_id, out)
+        out = crawl(spark, web, url, options, job_id, resume, jobs.save)
     except BaseException as e:
         jobs.row(job_id, url, "interrupted" if isinstance(e, KeyboardInterrupt) else "errored", options, created, started, now())
         raise
@@ -193,7 +237,7 @@ def _run(args, spark: SparkSession) -> int:
         row = R.robots_verdicts(origin.select("url"), rules).join(origin, "url").join(delays, "origin", "left").select("url", "allowed", "crawl_delay", "sitemaps").first()
         print(json.dumps(row.asDict()))
         return OK
-    s = Job(spark, args.store).tables
+    s = Job(spark, args.store)
     if not s.exists("pages"):
         print("no job in the store", file=sys.stderr)
         return FAILED

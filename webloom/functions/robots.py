@@ -98,13 +98,17 @@ def robots_verdicts(urls: DataFrame, rules: DataFrame, url_col: str = "url", ori
     Equi-join on the origin; a URL's matches are reduced inside its row by packing an origin's rules
     in one array, so the URL side is neither exploded nor shuffled when the rule side is small.
     """
-    packed = rules.groupBy(origin_col).agg(F.collect_list(F.struct("kind", "regex", "specificity")).alias("rules_"))
-    out = urls.withColumn("o_", robots_key(url_col)).withColumn("t_", robots_target(url_col))
-    out = out.join(packed, out["o_"] == packed[origin_col], "left").drop(packed[origin_col])
+    return verdicts_by(urls.withColumn("o_", robots_key(url_col)), rules, "o_", url_col, origin_col).drop("o_")
+
+
+def verdicts_by(urls: DataFrame, rules: DataFrame, by: str, url_col: str = "url", origin_col: str = "origin") -> DataFrame:
+    """The same for URLs that name their set of rules in the column ``by``."""
+    packed = rules.groupBy(F.col(origin_col).alias("p_")).agg(F.collect_list(F.struct("kind", "regex", "specificity")).alias("rules_"))
+    out = urls.withColumn("t_", robots_target(url_col)).join(packed, F.col(by) == F.col("p_"), "left").drop("p_")
 
     def best(kind):
         hits = F.filter("rules_", lambda r: (r["kind"] == kind) & F.regexp_like(F.col("t_"), r["regex"]))
         return F.coalesce(F.array_max(F.transform(hits, lambda r: r["specificity"])), F.lit(-1))
 
     out = out.withColumn("disallow_len", best("disallow")).withColumn("allow_len", best("allow"))
-    return out.withColumn("allowed", (F.col("disallow_len") < 0) | (F.col("allow_len") >= F.col("disallow_len"))).drop("o_", "t_", "rules_")
+    return out.withColumn("allowed", (F.col("disallow_len") < 0) | (F.col("allow_len") >= F.col("disallow_len"))).drop("t_", "rules_")

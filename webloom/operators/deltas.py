@@ -151,6 +151,15 @@ class DeltaTable:
         self._commit(number, v["buckets"], v["parts"] | {b: [f"{folder}-base"] for b in touched})
         return self.version()
 
+    def replace(self, rows: DataFrame) -> dict:
+        """The rows, one a key, instead of all that the table holds."""
+        v = self.version()
+        folder, touched = self._write(self._merged(rows.withColumn("seq_", F.lit(0).cast("long"))), v["number"] + 1, v["buckets"])
+        fs, path = self.files.at(f"{self.root}/{folder}")
+        fs.rename(path, self.files.at(f"{self.root}/{folder}-base")[1])
+        self._commit(v["number"] + 1, v["buckets"], {b: [f"{folder}-base"] for b in touched})
+        return self.version()
+
     def expire(self, keep: int = KEEP_VERSIONS) -> list[str]:
         """Removes older manifests than the last ``keep``, and the bucket folders that none of these names,
         those of saves that never ended included; what was removed."""

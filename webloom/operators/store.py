@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.url import normalize_url
 
@@ -138,9 +137,10 @@ def outcome(body_text: Column | str, stored: Column | str) -> Column:
     )
 
 
-def verify(pages: DataFrame, job_id: int | None = None) -> DataFrame:
-    """(id, url, outcome) of every page; reads four columns only."""
-    return of_job(pages, job_id).select("id", F.col("final_url").alias("url"), outcome("body_text", "body_sha256").alias("outcome"))
+def verify(pages: DataFrame, job_id: int | None = None, in_order: bool = False) -> DataFrame:
+    """(id, url, outcome) of every page; reads four columns only. ``in_order`` gives them by id."""
+    out = of_job(pages, job_id).select("id", F.col("final_url").alias("url"), outcome("body_text", "body_sha256").alias("outcome"))
+    return out.orderBy("id") if in_order else out
 
 
 def verify_counts(pages: DataFrame, job_id: int | None = None) -> DataFrame:
@@ -233,7 +233,3 @@ def viewer_rows(pages: DataFrame) -> DataFrame:
 
     label = html_escape(F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("final_url")))
     return pages.select("id", F.concat(F.lit('<li><a href="'), html_escape("final_url"), F.lit('">'), label, F.lit("</a></li>")).alias("html"))
-
-
-def numbered(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))

@@ -51,6 +51,8 @@ class CrawlResult:
     pages: DataFrame
     failures: DataFrame
     status: str
+    #: The rows of this level alone, to be saved; None where all rows are new.
+    changes: CrawlResult | None = None
 
 
 def folder(spark: SparkSession) -> str:
@@ -156,16 +158,16 @@ def numbered(rows: DataFrame, order: list[str], base: int, save) -> DataFrame:
 def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlOptions | None = None, job_id: int = 1, resume: CrawlResult | None = None, after_level: Callable[[CrawlResult], None] | None = None, more_seeds: DataFrame | None = None) -> CrawlResult:
     """Crawl from the seed: ``site`` is a table of responses, or the name of a live client.
 
-    ``resume`` is what an earlier run of the job has stored. ``after_level`` gets the state after
-    every level, to be stored. ``more_seeds`` (url, order) are further items of depth 0.
+    ``resume`` is what an earlier run of the job has stored. ``after_level`` gets the state at the start
+    and after every level, to be stored, with the rows that the level changed. ``more_seeds`` (url, order) are further items of depth 0.
     """
     options = options or CrawlOptions()
     save = saver(spark)
     web = LiveWeb(site, options, save) if isinstance(site, str) else TableWeb(site, options, save)
     host = spark.range(1).select(U.domain(F.lit(seed)).alias("h")).first().h
     seeds = [host, *options.allowed_domains]
-    pages = spark.createDataFrame([], ", ".join(f"{f} {k}" for f, k in _PAGE_TYPES.items())) if resume is None else resume.pages.select(*_PAGE_TYPES)
-    failures = spark.createDataFrame([], ", ".join(f"{f} {k}" for f, k in _FAILURE_TYPES.items())) if resume is None else resume.failures.select(*_FAILURE_TYPES)
+    pages = spark.createDataFrame([], ", ".join(f"{f} {k}" for f, k in PAGE_TYPES.items())) if resume is None else resume.pages.select(*PAGE_TYPES)
+    failures = spark.createDataFrame([], ", ".join(f"{f} {k}" for f, k in FAILURE_TYPES.items())) if resume is None else resume.failures.select(*FAILURE_TYPES)
     if resume is None:
         first = spark.createDataFrame([(job_id, seed, 0)], "job_id long, url string, pos long")
         if more_seeds is not None:
@@ -176,6 +178,8 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
         frontier = store.recover_in_progress(resume.frontier, job_id).select(*ITEM, "status")
     frontier = save(frontier)
     status, texts = "finished", None
+    if after_level is not None and resume is None:
+        after_level(CrawlResult(frontier, pages, failures, "running"))
     taken = pages.select("normalized_url").distinct().count()
     while True:
         open_ = frontier.where(F.col("status").isin("pending", "retry_scheduled"))
@@ -230,8 +234,9 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
         wrong = bad(skips, F.lit(0), F.col("category")).unionByName(bad(fetched.where("category is not null"), tries, F.coalesce("error_message", F.col("category"))))
         wrong = wrong.unionByName(bad(good.where("category is not null"), F.lit(0), F.col("category"))).where(within)
         wrong = save(wrong.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")))
-        pages = pages.unionByName(save(ok.withColumn("normalized_url", F.col("page_url")).select(*[F.col(c).cast(k).alias(c) for c, k in _PAGE_TYPES.items()])))
-        failures = failures.unionByName(wrong.withColumnRenamed("id", "item_id").select(*[F.col(c).cast(k).alias(c) for c, k in _FAILURE_TYPES.items()]))
+        new_pages = save(ok.withColumn("normalized_url", F.col("page_url")).select(*[F.col(c).cast(k).alias(c) for c, k in PAGE_TYPES.items()]))
+        new_failures = wrong.withColumnRenamed("id", "item_id").select(*[F.col(c).cast(k).alias(c) for c, k in FAILURE_TYPES.items()])
+        pages, failures = pages.unionByName(new_pages), failures.unionByName(new_failures)
         state = wrong.select("id", F.when(F.col("category").isin(SKIP_CATEGORIES), "skipped").otherwise("failed").alias("status")).unionByName(ok.select("id", F.lit("fetched").alias("status")))
         frontier = store.set_status(frontier, state)
         found = expand(ok, options, seeds).withColumn("normalized_url", U.normalize_url("url"))
@@ -240,12 +245,13 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
         new = numbered(new.withColumnRenamed("id", "from_"), ["from_", "pos"], base, save).select(*ITEM).withColumn("status", F.lit("pending"))
         frontier = save(frontier.unionByName(new))
         if after_level is not None:
-            after_level(_result(frontier, pages, failures, "running"))
+            changed = frontier.join(state.select("id").unionByName(new.select("id")), "id", "left_semi").select(*frontier.columns)
+            after_level(dataclasses.replace(_result(frontier, pages, failures, "running"), changes=CrawlResult(changed, new_pages, new_failures, "running")))
     return _result(frontier, pages, failures, status)
 
 
-_PAGE_TYPES = dict.fromkeys(PAGE_FIELDS, "string") | {"job_id": "long", "id": "long", "status_code": "int", "headings": "array<string>", "links": "array<string>", "timing": TIMING, "depth": "int", "slot": "double", "fetched_at": "timestamp_ntz"}
-_FAILURE_TYPES = dict.fromkeys(FAILURE_FIELDS, "string") | {"job_id": "long", "item_id": "long", "depth": "int", "status_code": "int", "retry_count": "int", "created_at": "timestamp_ntz"}
+PAGE_TYPES = dict.fromkeys(PAGE_FIELDS, "string") | {"job_id": "long", "id": "long", "status_code": "int", "headings": "array<string>", "links": "array<string>", "timing": TIMING, "depth": "int", "slot": "double", "fetched_at": "timestamp_ntz"}
+FAILURE_TYPES = dict.fromkeys(FAILURE_FIELDS, "string") | {"job_id": "long", "item_id": "long", "depth": "int", "status_code": "int", "retry_count": "int", "created_at": "timestamp_ntz"}
 
 
 def _result(frontier: DataFrame, pages: DataFrame, failures: DataFrame, status: str) -> CrawlResult:

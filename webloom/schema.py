@@ -20,8 +20,8 @@ FAILURES = "id long, job_id long, url string, normalized_url string, category st
 FETCH = f"url string, final_url string, status_code int, headers map<string,string>, body binary, redirects array<struct<url:string,status_code:int,location:string>>, error_category string, error_message string, timing {TIMING}, transport string"
 FETCH_COLUMNS = ["url", "final_url", "status_code", "headers", "body", "redirects", "error_category", "error_message", "timing", "transport"]
 
-#: Stored beside the tables; a store of another version is refused.
-SCHEMA_VERSION = 2
+#: Stored beside the tables; an older store is brought up to it, a newer one refused.
+SCHEMA_VERSION = 3
 TABLES = {"crawl_jobs": CRAWL_JOBS, "frontier": FRONTIER, "pages": PAGES, "failures": FAILURES}
 FRONTIER_STATES = ["pending", "in_progress", "fetched", "skipped", "failed", "retry_scheduled"]
 JOB_STATES = ["running", "finished", "budget_reached", "interrupted", "errored"]
