@@ -23,6 +23,7 @@ from .operators import pacing, policy, store
 from .operators.as_of import as_of
 from .operators.chains import chase
 from .operators.deltas import DeltaTable
+from .operators.key_filter import key_filter
 from .plans.crawl import crawl, folder, saver
 from .schema import CrawlOptions
 from .sources.fetch import fetch_from_table
@@ -189,6 +190,22 @@ def frontier_wave(spark, sf_dir):
     return new.groupBy(U.domain("url").alias("domain")).agg(F.count("*").alias("new_urls"))
 
 
+@query(f"""WITH {PARTS}, {LINKS}, f AS (SELECT norm AS k FROM n UNION SELECT link FROM links WHERE pos < 3),
+x AS (SELECT link, min((page_id, pos)) AS first FROM links WHERE link NOT IN (SELECT k FROM f) GROUP BY link)
+SELECT link AS url, first[1] AS page_id, CAST(first[2] AS INTEGER) AS pos FROM x""")
+def frontier_by_filter(spark, sf_dir):
+    """The links of all pages that are new to a frontier of the pages and their first three links; the
+    frontier's filter is grown from the filter of the pages."""
+    save = saver(spark)
+    pages = read(spark, sf_dir, "pages").select(F.lit(1).alias("job_id"), U.normalize_url("url").alias("normalized_url"))
+    links = save(_links(spark, sf_dir).withColumn("job_id", F.lit(1)))
+    early = links.where("pos < 3").select("job_id", U.normalize_url("link").alias("normalized_url"))
+    frontier = save(pages.unionByName(early).where("normalized_url is not null").distinct())
+    known = key_filter(pages, ["job_id", "normalized_url"], frontier.count()).add(early).saved(save)
+    new = store.enqueue(frontier, links.select("job_id", F.col("link").alias("url"), "page_id", "pos"), ["page_id", "pos"], save, known)
+    return new.select("url", "page_id", "pos")
+
+
 _FRONTIER = """f AS (
   SELECT page_id AS id, CAST(1 AS BIGINT) AS job_id, url, CAST(page_id % 4 AS INTEGER) AS depth,
          CASE page_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'fetched' WHEN 3 THEN 'retry_scheduled' ELSE 'failed' END AS status,

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.url import normalize_url
+from .key_filter import KeyFilter, anti_join
 
 
 def body_sha256(text: Column | str) -> Column:
@@ -44,9 +45,15 @@ def first_wins(urls: DataFrame, order: list[str], key: list[str] = ("job_id", "n
     return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*[F.col(f"r.{c}").alias(c) if c in rest else F.col(c) for c in urls.columns])
 
 
-def enqueue(frontier: DataFrame, found: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of ``found`` that are new to the frontier: INSERT OR IGNORE."""
+def enqueue(frontier: DataFrame, found: DataFrame, order: list[str], save=None, known: KeyFilter | None = None) -> DataFrame:
+    """Rows of ``found`` that are new to the frontier: INSERT OR IGNORE.
+
+    With ``save`` (write a table and read it back) by way of filters, for frontiers much larger than what
+    is found; ``known`` is the filter of the frontier's keys (job_id, normalized_url), if one is kept.
+    """
     new = first_wins(found.withColumn("normalized_url", normalize_url("url")), order)
+    if save is not None:
+        return anti_join(new, frontier, ["job_id", "normalized_url"], save, known)
     return new.join(frontier.select("job_id", "normalized_url"), ["job_id", "normalized_url"], "left_anti")
 
 
