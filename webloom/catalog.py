@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import gzip
+import json
 import zlib
 from collections.abc import Callable
 
@@ -753,6 +754,27 @@ def crawl_pages_corpus(spark, sf_dir):
     return out.frontier.groupBy("depth", "status").agg(F.count("*").alias("n"))
 
 
+def _json_page(body: bytes, url: str, content_type: str) -> dict:
+    """A parser of pages that are JSON objects."""
+    page = json.loads(body)
+    return {"title": page["name"], "headings": [f"{page['size']} characters"], "links": [f"{url}#top", *page["next"]], "text_encoding": "utf-8"}
+
+
+@query(f"""WITH {PARTS}, c AS (SELECT norm, arg_min(html, n.page_id) AS html, min(n.page_id) AS p FROM n JOIN pages USING (page_id) GROUP BY norm)
+SELECT norm AS normalized_url, regexp_extract(html, '<title>([^<]*)', 1) AS title, length(html) || ' characters' AS heading, CAST(3 AS INTEGER) AS n_links FROM c""")
+def crawl_with_parser(spark, sf_dir):
+    """A crawl over the corpus, served as JSON, with a parser of the caller's."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "#.*$", "").alias("url"), "html")
+    id_ = F.col("page_id").cast("string")
+    page = F.to_json(F.struct(F.regexp_extract("html", "<title>([^<]*)", 1).alias("name"), F.char_length("html").alias("size"), F.array(F.concat(F.lit("/next?p="), id_), F.concat(F.lit("http://web.test/"), id_), F.lit("mailto:a@b.test")).alias("next")))
+    web = pages.groupBy("url").agg(F.min_by(page, "page_id").cast("binary").alias("body"))
+    web = web.select("url", F.lit(200).alias("status_code"), F.create_map(F.lit("content-type"), F.lit("application/json")).alias("headers"), "body")
+    o = CrawlOptions(max_pages=2**62, max_depth=0, retry_count=0, obey_robots=False, stay_on_seed_domain=False, allowed_content_types=("application/json",))
+    seed = pages.orderBy("page_id").first().url
+    out = crawl(spark, web, seed, o, more_seeds=pages.select("url", F.col("page_id").alias("order")), parse=_json_page)
+    return out.pages.select("normalized_url", "title", F.col("headings")[0].alias("heading"), F.size("links").alias("n_links"))
+
+
 # ------------------------------------------------------------------ extensions (labelled so: not in the reference)
 
 

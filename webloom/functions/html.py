@@ -5,6 +5,7 @@ A page is read once into a flat list of events; each field is then a small rule
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
@@ -17,6 +18,7 @@ from ..shipping import ship
 from .wire import decode_html
 
 PAGE = "struct<title:string,description:string,headings:array<string>,links:array<string>,text_encoding:string,error:string>"
+PAGE_FIELDS = ["title", "description", "headings", "links", "text_encoding", "error"]
 #: Where a tag keeps the URL it links to.
 LINK_ATTRIBUTE = {"a": "href", "area": "href", "iframe": "src", "frame": "src"}
 HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
@@ -150,7 +152,7 @@ def _parse_series(body: pd.Series, url: pd.Series, content_type: pd.Series) -> p
 
 
 def _frame(body, url, content_type, fields) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(b, u, c, fields) for b, u, c in zip(body, url, content_type)], columns=["title", "description", "headings", "links", "text_encoding", "error"])
+    return pd.DataFrame([parse_page(b, u, c, fields) for b, u, c in zip(body, url, content_type)], columns=PAGE_FIELDS)
 
 
 def parse_html(body: Column | str, url: Column | str, content_type: Column | str | None = None, fields=FIELDS) -> Column:
@@ -164,6 +166,31 @@ def parse_html(body: Column | str, url: Column | str, content_type: Column | str
     return F.pandas_udf(run, PAGE)(body, url, F.lit("") if content_type is None else content_type)
 
 
+def parsed_by(parse: Callable[[bytes, str, str], Mapping], body: Column | str, url: Column | str, content_type: Column | str) -> Column:
+    """PAGE struct by a parser of the caller's: a function of (body, url, content type) to a mapping with
+    some of PAGE's fields. What it leaves out is null (no headings, no links); links are made absolute
+    against the URL and deduplicated; a page that it raises on has the error ``internal_parse_error``."""
+    ship()
+
+    def one(body, url, content_type) -> dict:
+        none = dict.fromkeys(PAGE_FIELDS) | {"headings": [], "links": []}
+        if body is None:
+            return none | {"error": "parse_error"}
+        try:
+            got = dict(parse(bytes(body), url or "", content_type or ""))
+            if unknown := got.keys() - none.keys():
+                raise ValueError(f"no such fields: {sorted(unknown)}")
+            got["links"] = resolved_links(got.get("links") or [], url or "")
+            return none | {k: v for k, v in got.items() if v is not None}
+        except Exception:  # a page must not end the job
+            return none | {"error": "internal_parse_error"}
+
+    def run(body: pd.Series, url: pd.Series, content_type: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*row) for row in zip(body, url, content_type)], columns=PAGE_FIELDS)
+
+    return F.pandas_udf(run, PAGE)(body, url, content_type)
+
+
 def html_escape(text: Column | str) -> Column:
     out = F.col(text) if isinstance(text, str) else text
     for char in "&<>\"'":

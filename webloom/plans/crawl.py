@@ -19,6 +19,7 @@ A crawl goes on from a stored frontier: pending items (those in progress are pen
 from __future__ import annotations
 
 import dataclasses
+import functools
 import logging
 import tempfile
 import uuid
@@ -96,9 +97,9 @@ class TableWeb:
 
 
 class LiveWeb:
-    """The web itself, by one of the clients."""
+    """The web itself, by one of the clients or by a fetch function of the caller's."""
 
-    def __init__(self, client: str, options: CrawlOptions, save: Callable[[DataFrame], DataFrame]):
+    def __init__(self, client: str | Callable, options: CrawlOptions, save: Callable[[DataFrame], DataFrame]):
         self.client, self.options, self.save = client, options, save
         self.free: DataFrame | None = None  # from when on each domain is free, over all levels
 
@@ -155,15 +156,18 @@ def numbered(rows: DataFrame, order: list[str], base: int, save) -> DataFrame:
     return lot.join(F.broadcast(first), "lot_").withColumn("id", F.col("at_") + F.col("first_") + base + 1).drop("lot_", "at_", "first_")
 
 
-def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlOptions | None = None, job_id: int = 1, resume: CrawlResult | None = None, after_level: Callable[[CrawlResult], None] | None = None, more_seeds: DataFrame | None = None) -> CrawlResult:
-    """Crawl from the seed: ``site`` is a table of responses, or the name of a live client.
+def crawl(spark: SparkSession, site: DataFrame | str | Callable, seed: str, options: CrawlOptions | None = None, job_id: int = 1, resume: CrawlResult | None = None, after_level: Callable[[CrawlResult], None] | None = None, more_seeds: DataFrame | None = None, parse: Callable | None = None) -> CrawlResult:
+    """Crawl from the seed: ``site`` is a table of responses, the name of a live client, or a fetch function
+    (``live.fetched_by``), which is paced and retried like a client. ``parse`` is a parser in place of that
+    of HTML (``html.parsed_by``); it gets inflated bodies of the allowed content types.
 
     ``resume`` is what an earlier run of the job has stored. ``after_level`` gets the state at the start
     and after every level, to be stored, with the rows that the level changed. ``more_seeds`` (url, order) are further items of depth 0.
     """
     options = options or CrawlOptions()
     save = saver(spark)
-    web = LiveWeb(site, options, save) if isinstance(site, str) else TableWeb(site, options, save)
+    web = TableWeb(site, options, save) if isinstance(site, DataFrame) else LiveWeb(site, options, save)
+    page_of = H.parse_html if parse is None else functools.partial(H.parsed_by, parse)
     host = spark.range(1).select(U.domain(F.lit(seed)).alias("h")).first().h
     seeds = [host, *options.allowed_domains]
     pages = spark.createDataFrame([], ", ".join(f"{f} {k}" for f, k in PAGE_TYPES.items())) if resume is None else resume.pages.select(*PAGE_TYPES)
@@ -212,7 +216,7 @@ def crawl(spark: SparkSession, site: DataFrame | str, seed: str, options: CrawlO
         html = W.content_type_allowed(F.col("content_type"), options.allowed_content_types)
         fetched = save(fetched.withColumn("category", F.coalesce("category", F.when(~html, "unsupported_content_type"))))
         good = fetched.where("category is null").withColumn("inflated", W.decompressed("body", F.col("encoding"), options.max_response_bytes))
-        good = good.withColumn("p", H.parse_html("inflated.body", "final_url", F.col("content_type"))).withColumn("d", W.decoded("inflated.body", F.col("content_type")))
+        good = good.withColumn("p", page_of("inflated.body", "final_url", F.col("content_type"))).withColumn("d", W.decoded("inflated.body", F.col("content_type")))
         good = good.select(
             *ITEM, "final_url", "status_code", "content_type", F.coalesce("inflated.error", "p.error").alias("category"), "p.title", "p.description", "p.headings", "p.links",
             F.col("d.text").alias("body_text"), F.col("d.encoding").alias("text_encoding"), store.body_sha256("d.text").alias("body_sha256"), "timing", "transport", "slot", "fetched_at", U.normalize_url("final_url").alias("page_url"),

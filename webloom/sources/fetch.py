@@ -102,7 +102,7 @@ def asked_pause(value: str, now: float) -> float:
 PACED = f"{FETCH}, domain string, free_at double"
 
 
-def fetch_paced(urls: DataFrame, client: str, limits: Limits) -> DataFrame:
+def fetch_paced(urls: DataFrame, client: str | Callable, limits: Limits) -> DataFrame:
     """Live fetches of ``urls`` (url, domain, rank, delay, free_at, due): rows of PACED.
 
     One task has all URLs of a domain and waits ``delay`` seconds between two of them, in order of
@@ -142,9 +142,10 @@ def limits_of(options: CrawlOptions, **more) -> Limits:
     return Limits(**({n: getattr(options, n) for n in names} | {"max_bytes": options.max_response_bytes} | more))
 
 
-def make_fetcher(name: str, **options) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The fetch function of a client's name, blanks and case aside; options are those of Limits."""
-    client = client_name(name)
+def make_fetcher(name: str | Callable, **options) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The fetch function of a client's name, blanks and case aside, or of one URL's fetch function; options
+    are those of Limits."""
+    client = name if callable(name) else client_name(name)
     limits = Limits(**options)
     return lambda batch: pd.DataFrame([fetch_url(u, client, limits) for u in batch["url"]], columns=FETCH_COLUMNS)
 

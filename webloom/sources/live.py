@@ -13,6 +13,7 @@ import http.client
 import socket
 import ssl
 import time
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
 from urllib.parse import urldefrag, urljoin, urlsplit
@@ -236,8 +237,34 @@ CLIENTS = {"socket": by_socket, "library": by_library}
 ALIASES = {"raw_socket": "socket", "urllib": "library"}
 
 
-def fetch_url(url: str, client: str = "socket", limits: Limits = Limits()) -> dict:
+def fetched_by(fetch: Callable[[str, Limits], Mapping], url: str, limits: Limits) -> dict:
+    """A row of FETCH by a fetch function of the caller's: (url, limits) to a mapping with some of FETCH's
+    fields. What it leaves out has a default, header names are lower-cased, a body above the limit and
+    exceptions are error categories; redirects and encodings are its own to follow and undo."""
+    clock = Clock(limits.total_timeout)
+    row = dict.fromkeys(FETCH_COLUMNS) | {"url": url, "final_url": url, "redirects": [], "headers": {}, "transport": getattr(fetch, "__name__", "injected")}
+    try:
+        with categories():
+            got = {k: v for k, v in dict(fetch(url, limits)).items() if v is not None}
+        if unknown := got.keys() - row.keys():
+            raise FetchError("internal_fetch_error", f"no such fields: {sorted(unknown)}")
+        if len(got.get("body") or b"") > limits.max_bytes:
+            raise FetchError(W.TOO_LARGE)
+        row |= got | {"url": url, "headers": {k.lower(): v for k, v in got.get("headers", {}).items()}}
+        if row["status_code"] is None and row["error_category"] is None:
+            raise FetchError("internal_fetch_error", "neither a status nor an error")
+    except FetchError as e:
+        row |= {"status_code": None, "body": None, "error_category": e.category, "error_message": str(e)}
+    except Exception as e:  # a URL must not end the job
+        row |= {"error_category": "internal_fetch_error", "error_message": repr(e)}
+    clock.mark("download")
+    return {"timing": clock.took} | {k: v for k, v in row.items() if k != "timing" or v is not None}
+
+
+def fetch_url(url: str, client: str | Callable[[str, Limits], Mapping] = "socket", limits: Limits = Limits()) -> dict:
     """A row of FETCH for one URL, after its redirects."""
+    if callable(client):
+        return fetched_by(client, url, limits)
     clock, once = Clock(limits.total_timeout), CLIENTS[client]
     row = dict.fromkeys(FETCH_COLUMNS) | {"url": url, "final_url": url, "redirects": [], "headers": {}, "transport": client}
     headers, at = dict(limits.headers), url
