@@ -335,6 +335,17 @@ def test_license_notice_with_words_put_in():
         assert any(x[0] == name for x in license_scan.scan(" ".join(template[i] for i in keep), split)), name
 
 
+def test_license_notice_at_any_dilution(spark):
+    """Foreign words between the template's own: found by None at any number, by the bound up to it."""
+    words = license_scan.words_of(license_scan.TEMPLATES["MIT-notice"])
+    spread = lambda n: " ".join(f"{w} " + " ".join(f"q{w}{i}" for i in range(n)) for w in words)
+    cut = " ".join(words[:3] + ["zq"] * 260 + words[3:])
+    rows = [(1, spread(1)), (2, spread(3)), (3, cut), (4, f"{words[0]} {cut} {spread(9)}"), (5, " ".join(words[:2])), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda dilution: Counter(r.doc_id for r in license_scan.license_scan(docs, dilution=dilution).collect() if r.license == "MIT-notice" and r.coverage == 1.0)
+    assert found(3.0) == {1: 1} and found(None) == {1: 1, 2: 1, 3: 1, 4: 2}
+
+
 def test_license_against_all_stretches():
     """What is found is a stretch of enough coverage; a text with such a stretch is found."""
     rng, missed, held = random.Random(3), 0, 0

@@ -82,8 +82,8 @@ TEMPLATES = {
 }
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 MIN_COVERAGE = 0.8
-#: Words of a notice to each aligned one, at most.
-DILUTION = 3.0
+#: Words of a notice to each aligned one, at most; None for any number.
+DILUTION: float | None = 3.0
 
 
 def words_of(text: str) -> list[str]:
@@ -127,11 +127,16 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def regions(text: list[str], template: list[str], need: int, longest: int):
+def regions(text: list[str], template: list[str], need: int, longest: int | None):
     """(first, end) of the parts of a text that hold at least ``need`` of the template's words in
-    some ``longest`` words; parts that overlap are one."""
+    some ``longest`` words; parts that overlap are one. Without ``longest``, from the first of the
+    template's words to the last."""
     own = set(template)
     at = [i for i, w in enumerate(text) if w in own]
+    if longest is None:
+        if len(at) >= need:
+            yield at[0], at[-1] + 1
+        return
     begin = end = -1
     for a, b in zip(at, at[need - 1 :]):
         if b - a >= longest:
@@ -173,13 +178,13 @@ def windows(text: list[str], template: list[str], need: int) -> list[tuple[int,
     return out
 
 
-def notices(text: list[str], template: list[str], need: int, dilution: float) -> list[list[tuple[int, int]]]:
+def notices(text: list[str], template: list[str], need: int, dilution: float | None) -> list[list[tuple[int, int]]]:
     """Alignments, of at least ``need`` words each, with stretches of a run that do not overlap.
 
     As many stretches as there are (earliest end first); then each is replaced by the stretch of
     most aligned words, the shortest of these, between its neighbours.
     """
-    found = sorted((x for x in windows(text, template, need) if x[0] - x[1] <= dilution * x[2]), key=lambda x: (x[0], -x[1]))
+    found = sorted((x for x in windows(text, template, need) if dilution is None or x[0] - x[1] <= dilution * x[2]), key=lambda x: (x[0], -x[1]))
     known: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def aligned(first, end):
@@ -205,7 +210,7 @@ def notices(text: list[str], template: list[str], need: int, dilution: float) ->
     return out
 
 
-def scan(text: str, templates: dict[str, list[str]], min_coverage: float = MIN_COVERAGE, dilution: float = DILUTION):
+def scan(text: str, templates: dict[str, list[str]], min_coverage: float = MIN_COVERAGE, dilution: float | None = DILUTION):
     """(template, coverage, first word, end word) of each passage of enough coverage."""
     words = words_of(text)
     held = Counter(words)
@@ -214,7 +219,7 @@ def scan(text: str, templates: dict[str, list[str]], min_coverage: float = MIN_C
         count = Counter(template)
         if sum(min(held[w], n) for w, n in count.items()) < need:
             continue
-        for a, b in regions(words, template, need, int(dilution * len(template))):
+        for a, b in regions(words, template, need, None if dilution is None else int(dilution * len(template))):
             run = words[a:b]
             if (count & Counter(run)).total() < need:
                 continue
@@ -233,12 +238,12 @@ def key_words(template: list[str], min_coverage: float) -> set[str]:
     return keys
 
 
-def _run(templates, min_coverage):
+def _run(templates, min_coverage, dilution):
     def run(batches):
         for batch in batches:
             ids, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for row in scan(text, templates, min_coverage):
+                for row in scan(text, templates, min_coverage, dilution):
                     ids.append(i)
                     rows.append(row)
             cols = list(zip(*rows)) or [(), (), (), ()]
@@ -248,13 +253,16 @@ def _run(templates, min_coverage):
     return run
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """One row per passage: id_col, license, coverage, first_word, end_word (word numbers)."""
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, dilution: float | None = DILUTION) -> DataFrame:
+    """One row per passage: id_col, license, coverage, first_word, end_word (word numbers).
+
+    A passage has at most ``dilution`` words to each aligned one; with None, foreign words may stand between
+    the template's in any number, at the cost of aligning from the first template word of a text to the last."""
     C.ship(docs.sparkSession)
     split = {n: words_of(t) for n, t in templates.items()}
     keys = sorted(set().union(*[key_words(t, min_coverage) for t in split.values()]))
     hint = r"(?iU)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(k) for k in keys) + r")(?![\p{L}\p{N}])"
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.where(F.col("text").rlike(hint))
-    out = rows.mapInArrow(_run(split, min_coverage), f"id {dict(rows.dtypes)['id']}, license string, coverage double, first_word long, end_word long")
+    out = rows.mapInArrow(_run(split, min_coverage, dilution), f"id {dict(rows.dtypes)['id']}, license string, coverage double, first_word long, end_word long")
     return out.withColumnRenamed("id", id_col)
