@@ -737,3 +737,13 @@ def test_sharding_recomputed(spark):
             want[held[k][1]] = (shard, grown[held[k][1]], bucket, base[shard] + pos)
         base[shard] += len(held)
     assert got == want and len({v[2] for v in want.values()}) > 1
+
+
+def test_license_recall_on_planted_lines(spark):
+    """Every license line of the documents is found under its own name, and no text without one is named."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {"MIT": "Released under the MIT License", "Apache": "Licensed under the Apache License, Version", "GPL": "is licensed under the GNU General Public License, version", "CC-BY-NC": "Licensed under CC BY-NC"}
+    want = {(r.doc_id, kind) for kind, line in lines.items() for r in docs.where(F.contains("text", F.lit(line))).select("doc_id").collect()}
+    got = {(r.doc_id, r.license) for r in license_scan.license_scan(docs).select("doc_id", "license").collect()}
+    assert len(want) >= 20 and all(any(d == i and name.startswith(kind) for i, name in got) for d, kind in want)
+    assert {i for i, _ in got} <= {d for d, _ in want}
