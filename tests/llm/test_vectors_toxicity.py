@@ -141,6 +141,46 @@ def test_hard_negatives_edges(spark, rows):
     assert sorted(map(tuple, hard_negatives.mine(table(spark, wide), F.lit(True)).collect())) == brute(wide, lambda i: True)
 
 
+def test_k_means_keeps_small_tables():
+    """A whole sample against MOST_LISTS centroids: the table of distances is made in parts."""
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    x, c = rng.normal(size=(hard_negatives.SAMPLE_ROWS, 16)), rng.normal(size=(hard_negatives.MOST_LISTS, 16))
+    tracemalloc.start()
+    near = hard_negatives.nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    assert (near[:50] == ((x[:50, None] - c) ** 2).sum(axis=2).argmin(axis=1)).all()
+
+
+def test_queries_are_sent_once_to_a_cell(spark, rows):
+    """However many lists and blocks meet a query's windows, it goes once to each cell; many cells, rounds and
+    blocks give what brute force gives."""
+    good = [r for r in rows[0] if r[0] != 7]
+    with common.Scratch(spark) as s:
+        own = table(spark, good).select(F.struct("vec_id", F.lit(False).alias("anchor")).alias("vec_id"), "label", F.col("embedding").alias("v"))
+        own = own.mapInArrow(hard_negatives._integers(6), "vec_id struct<vec_id:long,anchor:boolean>, label int, x binary")
+        kept = s.write(own.select(F.monotonically_increasing_id().alias("row"), "vec_id.vec_id", "label", "x"))
+        index = hard_negatives.build(kept, 6, s, lists=70, block_rows=4, cell_bytes=100)
+        assert index.cells > 20 and index.kind == "<f4"
+        wide = F.array(F.struct(F.lit(0).alias("w"), F.lit(hard_negatives.LOWEST).alias("least"), F.lit(hard_negatives.HIGHEST).alias("most")))
+        asked = kept.where("vec_id % 20 = 0").select(F.col("row").alias("q"), "label", "x", wide.alias("windows"))
+        model = spark.sparkContext.broadcast(index.bare())
+        sent = asked.mapInArrow(hard_negatives._visits(model, 6, 70), f"cell int, q long, label int, x binary, windows {hard_negatives.WINDOWS}, edge double, list int")
+        assert sent.groupBy("q", "cell").count().where("count > 1").isEmpty()
+        assert sent.count() == asked.count() * index.cells
+        got = sorted(map(tuple, hard_negatives.search(asked, index, 3, False, s, first=2, growth=4).select("q", "rank", "score", "vec_id").collect()))
+        all_ = kept.collect()
+        x = {r.row: np.frombuffer(r.x, "<i4").astype(int) for r in all_}
+        want = []
+        for q in asked.collect():
+            best = sorted((-int(x[q.q] @ x[r.row]), r.vec_id, r.row) for r in all_ if r.label != q.label)[:3]
+            want += [(q.q, i + 1, -b[0], b[1]) for i, b in enumerate(best)]
+        assert got == sorted(want)
+
+
 def test_rows_of_one_size(spark):
     df = table(spark, [(0, [1.0], 0), (1, [1.0, 2.0], 0), (2, [1.0, 3.0], 0), (3, [2.0], 0)])
     kept, d = vectors.of_one_size(df, "embedding")

@@ -3,15 +3,16 @@
 Components become whole numbers floor(256 x), so inner products are exact. K-means (Lloyd's steps on
 at most ``sample_rows`` rows, those of least hash: a documented bound of the fit alone) gives the
 centroids; every row joins the list of its nearest one, and each list stores its radius, the
-greatest distance of a member. Lists are cut into blocks of about BLOCK_ROWS rows, so a list that
-holds a third of all rows is many tasks.
+greatest distance of a member. Lists are cut into blocks of about BLOCK_ROWS rows, and following blocks
+make up cells of at most CELL_BYTES, one task each: a list that holds a third of all rows is many tasks.
 
-For a query a, list j holds scores between a.c - |a| r and a.c + |a| r (Cauchy-Schwarz). Lists are
-visited by falling upper bound, in rounds of growing numbers of lists; one outside all windows of the
-query is skipped, and a query ends when the next bound is strictly below its k-th score (a tie at the
-k-th could still win by its smaller id). The driver sees the centroids (at most MOST_LISTS) and
-counts; queries meet blocks by a join on (list, block), and the best of each query are cut by a
-top-k that combines in the tasks.
+For a query a, list j holds scores between a.c - |a| r and a.c + |a| r (Cauchy-Schwarz). A list outside
+all windows of the query is skipped, and so is one whose bound is strictly below the query's k-th score
+so far (a tie at the k-th could still win by its smaller id). The first rounds visit the few lists of
+highest bounds and leave the query's k-th scores; the last one visits all lists that can still hold
+better ones, so its result is whole by itself. A query is sent once to each cell that holds one of its
+lists, never to each row or block; a task holds the members of its cell and reads the queries as a
+stream, by matrix products. The driver sees the centroids (at most MOST_LISTS) and counts per list.
 
 Defined results: rows with a null id, label or vector, a null or non-finite component, or a vector of
 another size than most rows (of equals the greater) take no part; floors beyond +-2**26 are put
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,19 +37,24 @@ SCALE, MOST = 256.0, 1 << 26
 MOST_LISTS = 4096
 SAMPLE_ROWS = 20_000
 STEPS = 8
-BLOCK_ROWS, BATCH_QUERIES = 256, 256
-#: Lists that the first round visits, and by how much each round visits more.
-FIRST, GROWTH = 8, 4
+BLOCK_ROWS = 256
+#: Packed vectors of a cell.
+CELL_BYTES = 1 << 25
+#: Entries of a table of distances or scores that is made at a time.
+TABLE = 1 << 20
+#: Lists that the first round visits, and by how much the next one visits more.
+FIRST, GROWTH = 8, 16
 POSITIVES, NEGATIVES = 5, 10
 
 
 def _packed(column: pa.Array, d: int) -> np.ndarray:
-    """A binary column of d 32-bit integers a row as an array of (rows, d)."""
+    """A binary column of d integers a row, of 16 or 32 bits, as an array of (rows, d)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<i4").reshape(len(column), d)
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
+    return raw.view("<i2" if len(raw) == 2 * d * len(column) else "<i4").reshape(len(column), d)
 
 
 def _integers(d: int):
@@ -74,53 +81,80 @@ def k_means(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 11) -> np.nda
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c * c).sum(axis=1) / 2
-    return np.concatenate([np.argmax(x[a : a + 4096] @ c.T - half, axis=1) for a in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    step = max(1, TABLE // max(1, len(c)))
+    return np.concatenate([np.argmax(x[a : a + step] @ c.T - half, axis=1) for a in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
 
-def _assigned(model, d: int):
+def _assigned(model, d: int, packed: str):
     def run(batches):
         c = model.value
         for b in batches:
-            x = _packed(b.column("x"), d).astype(np.float64)
-            near = nearest(x, c)
+            x = _packed(b.column("x"), d)
+            near = nearest(x.astype(np.float64), c)
             far = np.sqrt(((x - c[near]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(far)], names=[*b.schema.names, "list", "distance"])
+            small = pa.array([r.tobytes() for r in x.astype(packed)], pa.binary())
+            columns = [small if n == "x" else b.column(n) for n in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(near.astype(np.int32)), pa.array(far)], names=[*b.schema.names, "list", "distance"])
 
     return run
 
 
 class Index:
-    """Blocks of the inverted lists (a table), with centroids, radii and blocks per list."""
+    """Members with their lists and cells (a table), with centroids, radii, blocks and first block per
+    list, blocks per cell, and the number type in which all scores are exact."""
+
+    def __init__(self, members: DataFrame, d: int, centroids: np.ndarray, radii: np.ndarray, n_blocks: np.ndarray, per_cell: int, kind: str):
+        self.members, self.d, self.centroids, self.radii, self.n_blocks, self.kind = members, d, centroids, radii, n_blocks, kind
+        start = np.cumsum(n_blocks) - n_blocks
+        self.cells = max(1, -(-int(n_blocks.sum()) // per_cell))
+        # the lists of which a cell can hold members are neighbours: from .. to - 1
+        edge = np.arange(self.cells) * per_cell
+        self.froms, self.tos = np.searchsorted(start + n_blocks, edge, side="right"), np.searchsorted(start, edge + per_cell, side="left")
+
+    def bare(self) -> tuple:
+        return self.centroids, self.radii, self.froms, self.tos
 
-    def __init__(self, blocks: DataFrame, d: int, centroids: np.ndarray, radii: np.ndarray, n_blocks: np.ndarray, wide: bool):
-        self.blocks, self.d, self.centroids, self.radii, self.n_blocks, self.wide = blocks, d, centroids, radii, n_blocks, wide
 
+def _least(rows: DataFrame, n: int, sample_rows: int) -> DataFrame:
+    """The ``sample_rows`` rows of least hash; all others are left out before anything is sorted."""
+    hashed = rows.withColumn("hash", F.xxhash64("vec_id", "x"))
+    if n > 4 * sample_rows:
+        few = hashed.where(F.col("hash") < -(1 << 63) + (2 * sample_rows << 64) // n)
+        if few.count() >= sample_rows:
+            hashed = few
+    return hashed.orderBy("hash", "row").limit(sample_rows)
 
-def build(rows: DataFrame, d: int, scratch: C.Scratch, lists: int | None = None, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> Index:
+
+def build(rows: DataFrame, d: int, scratch: C.Scratch, lists: int | None = None, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS, cell_bytes: int = CELL_BYTES) -> Index:
     """The index of ``rows`` (row, vec_id, label, x): about the square root of their number of lists."""
     spark = rows.sparkSession
-    n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id", "x"), "row").limit(sample_rows).select("x").toArrow()
-    x = _packed(sample.column("x"), d)
-    centroids = k_means(x, min(MOST_LISTS, lists or max(1, round(n**0.5))))
+    sizes = rows.select("x").mapInArrow(_sizes(d), "n long, most long, norm double").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.max("norm").alias("norm")).first()
+    # a sum of some products of two rows is at most the greatest squared norm, whatever their order
+    kind = "<f4" if sizes.norm < 1 << 24 else "<f8" if sizes.norm < 1 << 52 else "<i8"
+    packed = "<i2" if sizes.most < 1 << 15 else "<i4"
+    sample = _least(rows, sizes.n, sample_rows).select("x").toArrow()
+    centroids = k_means(_packed(sample.column("x"), d), min(MOST_LISTS, lists or max(1, round(sizes.n**0.5))))
+    # lists that are near each other stand side by side, so that few cells hold those of a query
+    centroids = centroids[np.argsort(nearest(centroids, k_means(centroids, round(len(centroids) ** 0.5))), kind="stable")]
     model = spark.sparkContext.broadcast(centroids)
-    near = scratch.write(rows.mapInArrow(_assigned(model, d), "row long, vec_id long, label int, x binary, list int, distance double"))
+    near = scratch.write(rows.mapInArrow(_assigned(model, d, packed), "row long, vec_id long, label int, x binary, list int, distance double"))
     stats = near.groupBy("list").agg(F.count("*").alias("n"), F.max("distance").alias("radius")).collect()
     radii, n_blocks = np.full(len(centroids), -1.0), np.zeros(len(centroids), np.int64)
     for s in stats:
         radii[s.list], n_blocks[s.list] = s.radius, -(-s.n // block_rows)
-    per = F.broadcast(spark.createDataFrame([(s.list, int(n_blocks[s.list])) for s in stats], "list int, n int"))
-    blocks = near.join(per, "list").withColumn("block", F.pmod(F.xxhash64("row"), "n").cast("int"))
-    blocks = blocks.groupBy("list", "block").agg(F.array_sort(F.collect_list(F.struct("vec_id", "row", "label", "x"))).alias("members"))
-    # products of entries up to 2**26 in sums of d stay exact in doubles below 2**53, else in long integers
-    greatest = near.select("x").mapInArrow(_greatest(d), "m long").agg(F.max("m").alias("m")).first().m
-    return Index(scratch.write(blocks), d, centroids, radii, n_blocks, greatest**2 * d >= 1 << 53)
+    start, all_ = np.cumsum(n_blocks) - n_blocks, int(n_blocks.sum())
+    per_cell = max(1, min(cell_bytes // (int(packed[2]) * d * block_rows), all_ // (2 * spark.sparkContext.defaultParallelism)))
+    per = F.broadcast(spark.createDataFrame([(s.list, int(n_blocks[s.list]), int(start[s.list])) for s in stats], "list int, n int, start long"))
+    block = F.col("start") + F.pmod(F.xxhash64("row"), "n")
+    members = near.join(per, "list").withColumn("cell", F.call_function("div", block, F.lit(per_cell)).cast("int"))
+    return Index(members.select("cell", "row", "vec_id", "label", "list", "x"), d, centroids, radii, n_blocks, per_cell, kind)
 
 
-def _greatest(d: int):
+def _sizes(d: int):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.abs(_packed(b.column("x"), d).astype(np.int64)).max(initial=0))])], names=["m"])
+            x = _packed(b.column("x"), d).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([int(np.abs(x).max(initial=0))]), pa.array([float((x * x).sum(axis=1).max(initial=0))])], names=["n", "most", "norm"])
 
     return run
 
@@ -129,63 +163,163 @@ LOWEST, HIGHEST = -(1 << 62), 1 << 62
 
 
 def bounds(a: np.ndarray, centroids: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest score that the members of each list can have with a, rounding allowed for."""
-    middle, norm = centroids @ a, float(np.sqrt(a @ a))
+    """Least and greatest score that the members of each list can have with a (or with each row of a),
+    rounding allowed for."""
+    middle, norm = a @ centroids.T, np.sqrt((a * a).sum(axis=-1, keepdims=True))
     slack = norm * radii
     room = 1e-9 * (np.abs(middle) + slack + norm * np.sqrt((centroids**2).sum(axis=1)) + 1)
     return middle - slack - room, middle + slack + room
 
 
-def _visits(model, d: int, a: int, b: int):
-    """Of queries with their windows: the (list, block) that each has to visit at places a to b - 1
-    of its order, with the windows as they are open now."""
+def _ends(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, lower and upper ends of each row's windows, as arrays of (rows, most windows of a row)."""
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    at = np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    flat = column.flatten()
+    out = []
+    for name, none in (("w", 0), ("least", HIGHEST), ("most", LOWEST)):
+        out.append(np.full((len(n), int(n.max(initial=1))), none, np.int64))
+        out[-1][at] = flat.field(name).to_numpy(zero_copy_only=False)
+    return tuple(out)
+
+
+def _open(low: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether scores from low to high (rows, lists) meet any window of the row."""
+    use = np.zeros(high.shape, bool)
+    for w in range(least.shape[1]):
+        use |= (high >= least[:, w : w + 1]) & (low <= most[:, w : w + 1])
+    return use
+
+
+def _visits(model, d: int, width: int):
+    """Of queries with their windows: one row for each cell that holds one of the ``width`` lists of
+    highest bounds that meet a window, with the lowest of these bounds and the query's nearest list."""
 
     def run(batches):
-        centroids, radii, n_blocks = model.value
-        there = np.flatnonzero(n_blocks)
+        centroids, radii, froms, tos = model.value
+        step = max(1, TABLE // len(centroids))
         for batch in batches:
-            x = _packed(batch.column("x"), d).astype(np.float64)
-            at, lists, block = [], [], []
-            for i, windows in enumerate(batch.column("windows").to_pylist()):
-                low, high = bounds(x[i], centroids[there], radii[there])
-                order = np.argsort(-high, kind="stable")[a:b]
-                use = np.zeros(len(order), bool)
-                for w in windows:
-                    use |= (high[order] >= w["least"]) & (low[order] <= w["most"])
-                for j in there[order[use]].tolist():
-                    for k in range(n_blocks[j]):
-                        at.append(i)
-                        lists.append(j)
-                        block.append(k)
-            take = batch.take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(lists, pa.int32()), pa.array(block, pa.int32())], names=[*batch.schema.names, "list", "block"])
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                low, high = bounds(_packed(part.column("x"), d).astype(np.float64), centroids, radii)
+                _, least, most = _ends(part.column("windows"))
+                use = _open(low, high, least, most) & (radii >= 0)
+                edge = np.full(len(use), -np.inf)
+                if width < len(centroids):
+                    top = np.where(use, high, -np.inf)
+                    edge = -np.partition(-top, width - 1, axis=1)[:, width - 1]
+                    use &= high >= edge[:, None]
+                seen = np.pad(np.cumsum(use, axis=1), ((0, 0), (1, 0)))
+                at, cell = np.nonzero(seen[:, tos] > seen[:, froms])
+                take = part.take(pa.array(at))
+                near = np.argmax(high, axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *take.columns, pa.array(edge[at]), pa.array(near[at])], names=["cell", *take.schema.names, "edge", "list"])
 
     return run
 
 
-def _found(d: int, k: int, same_label: bool, wide: bool):
-    """Of (members, asked) rows: the k best members of each query and window, (q, w, score, vec_id, row)."""
-    kind = np.int64 if wide else np.float64
+def _best(group: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each group, in order, and their ranks from 0."""
+    order = np.lexsort((row, vec_id, -score, group))
+    g = group[order]
+    start = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    rank = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
+    return order[rank < k], rank[rank < k]
+
+
+class _Cell:
+    """The members of a cell, by list and label, and what queries find among them."""
+
+    def __init__(self, parts: list, model, d: int, kind: str):
+        self.d, self.kind = d, kind
+        row, vec_id, label, list_, x = (np.concatenate(c) for c in zip(*parts))
+        self.row, self.vec_id, self.label, self.x = row, vec_id, label, x
+        at = lambda *keys: np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+        self.from_ = at(list_)
+        self.to = np.append(self.from_[1:], len(row))
+        self.runs = np.append(at(list_, label), len(row))
+        self.centroids, self.radii = model[0][list_[self.from_]], model[1][list_[self.from_]]
+
+    def ranges(self, j: int, labels: np.ndarray, same_label: bool):
+        """Of list j: (first member, last + 1, whether each query's label goes with them)."""
+        if not same_label:
+            yield self.from_[j], self.to[j], np.ones(len(labels), bool)
+            return
+        a, b = np.searchsorted(self.runs, (self.from_[j], self.to[j]))
+        for i in range(a, b):
+            yield self.runs[i], self.runs[i + 1], labels == self.label[self.runs[i]]
+
+    def found(self, asked: pa.RecordBatch, k: int, same_label: bool) -> pa.RecordBatch:
+        """The k best members of each query and window: (q, w, score, vec_id, row)."""
+        x = _packed(asked.column("x"), self.d)
+        q, label = (asked.column(n).to_numpy() for n in ("q", "label"))
+        edge = asked.column("edge").to_numpy()
+        names, least, most = _ends(asked.column("windows"))
+        n_w = least.shape[1]
+        low, high = bounds(x.astype(np.float64), self.centroids, self.radii)
+        x = x.astype(self.kind)
+        group, score, member = (np.zeros(0, np.int64) for _ in range(3))
+        more: list[tuple] = []
+        waiting = 0
+
+        def settle():
+            """Keep the best so far and let the windows' lower ends rise to the k-th."""
+            nonlocal group, score, member, waiting
+            group, score, member = (np.concatenate(c) for c in zip((group, score, member), *more))
+            keep, rank = _best(group, score, self.vec_id[member], self.row[member], k)
+            group, score, member = group[keep], score[keep], member[keep]
+            full = rank == k - 1
+            least.reshape(-1)[group[full]] = score[full]
+            more.clear()
+            waiting = 0
+
+        for j in np.argsort(-high.sum(axis=0), kind="stable"):
+            one = slice(j, j + 1)
+            use = _open(low[:, one], high[:, one], least, most)[:, 0] & (high[:, j] >= edge)
+            for a, b, fit in self.ranges(j, label, same_label) if use.any() else ():
+                who = np.flatnonzero(use & fit)
+                for m in range(a, b if len(who) else a, 4096):
+                    there = self.x[m : min(b, m + 4096)].astype(self.kind).T
+                    step = max(1, TABLE // there.shape[1])
+                    for i in range(0, len(who), step):
+                        w = who[i : i + step]
+                        s = x[w] @ there
+                        hit = s >= least[w].min(axis=1, keepdims=True).astype(self.kind)
+                        hit &= s <= most[w].max(axis=1, keepdims=True).astype(self.kind)
+                        r, c = np.nonzero(hit)
+                        v, r, c = s[r, c].astype(np.int64), w[r], c + m
+                        right = self.row[c] != q[r] if same_label else self.label[c] != label[r]
+                        v, r, c = v[right], r[right], c[right]
+                        for z in range(n_w):
+                            inside = (v >= least[r, z]) & (v <= most[r, z])
+                            more.append((r[inside] * n_w + z, v[inside], c[inside]))
+                            waiting += len(more[-1][0])
+                        if waiting >= TABLE // 4:
+                            settle()
+        settle()
+        out = [q[group // n_w], names.reshape(-1)[group].astype(np.int32), score, self.vec_id[member], self.row[member]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["q", "w", "score", "vec_id", "row"])
+
+
+def _found(model, d: int, k: int, same_label: bool, kind: str):
+    """Of partitions sorted by cell, members before queries: what the queries find in their cells."""
 
     def run(batches):
+        cell, parts, held = -1, [], None
         for batch in batches:
-            members, asked = batch.column("members"), batch.column("asked")
-            for i in range(batch.num_rows):
-                m, q = members.slice(i, 1).flatten(), asked.slice(i, 1).flatten()
-                ids, rows, labels = (m.field(n).to_numpy(zero_copy_only=False) for n in ("vec_id", "row", "label"))
-                scores = (_packed(q.field("x"), d).astype(kind) @ _packed(m.field("x"), d).astype(kind).T).astype(np.int64)
-                q_row, q_label = q.field("q").to_numpy(), q.field("label").to_numpy()
-                out = [[], [], [], [], []]
-                for j, windows in enumerate(q.field("windows").to_pylist()):
-                    right = ((labels == q_label[j]) & (rows != q_row[j])) if same_label else labels != q_label[j]
-                    s = scores[j]
-                    for w in windows:
-                        c = np.flatnonzero(right & (s >= w["least"]) & (s <= w["most"]))
-                        if len(c) > k:  # members stand by id, so a stable sort by score is the order
-                            c = c[np.argsort(-s[c], kind="stable")[:k]]
-                        for o, v in zip(out, ([int(q_row[j])] * len(c), [w["w"]] * len(c), s[c].tolist(), ids[c].tolist(), rows[c].tolist())):
-                            o += v
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["q", "w", "score", "vec_id", "row"])
+            at, asks = batch.column("cell").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(at)]
+            for a, b in zip(cut, cut[1:]):
+                part = batch.slice(a, b - a)
+                if b > a and at[a] != cell:
+                    cell, parts, held = at[a], [], None
+                if b > a and not asks[a]:
+                    # copies, so that the batch can go
+                    parts.append([part.column(n).to_numpy().copy() for n in ("q", "vec_id", "label", "list")] + [_packed(part.column("x"), d).copy()])
+                elif b > a and (parts or held):
+                    if held is None:
+                        held, parts = _Cell(parts, model.value, d, kind), []
+                    yield held.found(part, k, same_label)
 
     return run
 
@@ -194,35 +328,32 @@ WINDOWS = "array<struct<w:int,least:long,most:long>>"
 _TOP = "q long, w int, score long, vec_id long, row long"
 
 
-def search(queries: DataFrame, index: Index, k: int, same_label: bool, scratch: C.Scratch, first: int = FIRST, growth: int = GROWTH, batch_queries: int = BATCH_QUERIES) -> DataFrame:
+def search(queries: DataFrame, index: Index, k: int, same_label: bool, scratch: C.Scratch, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """The k best members of each window of ``queries`` (q, label, x, windows): (q, w, score, vec_id, row, rank).
 
-    Members have the query's label, itself left out, or another label. Each round visits the
-    next lists of every query's order; the windows' lower ends rise to the k-th score found.
+    Members have the query's label, itself left out, or another label. The windows' lower ends rise
+    to the k-th scores that a round found; the last round visits all lists that meet a window then.
     """
-    spark = queries.sparkSession
-    model = spark.sparkContext.broadcast((index.centroids, index.radii, index.n_blocks))
-    lots = max(1, -(-queries.count() // batch_queries))
+    model = queries.sparkSession.sparkContext.broadcast(index.bare())
     by = Window.partitionBy("q", "w").orderBy(F.desc("score"), "vec_id", "row")
-    best, a, width = None, 0, first
-    while a < len(index.centroids):
-        if best is None:
-            now = queries
-        else:
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    members = index.members.select("cell", F.lit(False).alias("asks"), "list", "label", F.col("row").alias("q"), "vec_id", "x", none("edge", "double"), none("windows", WINDOWS))
+    widths = []
+    while first * 4 <= len(index.centroids):
+        widths.append(first)
+        first *= growth
+    now, best = queries.select("q", "label", "x", "windows"), None
+    for width in [*widths, len(index.centroids)]:
+        if best is not None:
             ends = best.where(F.col("rank") == k).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("ends"))
             rise = F.transform("windows", lambda w: F.struct(w["w"].alias("w"), F.greatest(w["least"], F.coalesce(F.try_element_at("ends", w["w"]), F.lit(LOWEST))).alias("least"), w["most"].alias("most")))
-            now = queries.join(ends, "q", "left").withColumn("windows", rise).drop("ends")
-        rest = scratch.write(now.mapInArrow(_visits(model, index.d, a, a + width), f"q long, label int, x binary, windows {WINDOWS}, list int, block int"))
-        a, width = a + width, width * growth
-        if rest.isEmpty():
-            # bounds fall along the order, but a list outside the window may stand before one inside
-            continue
-        asked = rest.withColumn("lot", F.pmod(F.xxhash64("q"), F.lit(lots))).groupBy("list", "block", "lot").agg(F.collect_list(F.struct("q", "label", "x", "windows")).alias("asked"))
-        found = index.blocks.join(asked, ["list", "block"]).select("members", "asked").mapInArrow(_found(index.d, k, same_label, index.wide), _TOP)
-        if best is not None:
-            found = found.unionByName(best.drop("rank"))
+            now = now.join(ends, "q", "left").select("q", "label", "x", rise.alias("windows"))
+        asked = now.mapInArrow(_visits(model, index.d, width), f"cell int, q long, label int, x binary, windows {WINDOWS}, edge double, list int")
+        asked = asked.withColumn("asks", F.lit(True)).withColumn("vec_id", F.lit(None).cast("long")).select(*members.columns)
+        both = members.unionByName(asked).repartitionById(index.cells, F.col("cell")).sortWithinPartitions("cell", "asks", "list", "label")
+        found = both.mapInArrow(_found(model, index.d, k, same_label, index.kind), _TOP)
         best = scratch.write(found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k))
-    return best if best is not None else spark.createDataFrame([], f"{_TOP}, rank int")
+    return best
 
 
 def _hundredths(c: Column) -> Column:
@@ -243,10 +374,11 @@ def mine(rows: DataFrame, anchor: Column, label: Column | None = None, id_col: s
     if not d:
         return none
     with C.Scratch(spark) as s:
-        kept = own.select(F.struct("vec_id", "anchor").alias("vec_id"), "label", "v").mapInArrow(_integers(d), "vec_id struct<vec_id:long,anchor:boolean>, label int, x binary")
-        kept = s.write(kept.select(F.monotonically_increasing_id().alias("row"), "vec_id.vec_id", "vec_id.anchor", "label", "x"))
-        index = build(kept.drop("anchor"), d, s, lists)
-        asked = kept.where("anchor").select(F.col("row").alias("q"), "label", "x", "vec_id")
+        with C.Scratch(spark) as wide:
+            kept = own.select(F.struct("vec_id", "anchor").alias("vec_id"), "label", "v").mapInArrow(_integers(d), "vec_id struct<vec_id:long,anchor:boolean>, label int, x binary")
+            kept = wide.write(kept.select(F.monotonically_increasing_id().alias("row"), "vec_id.vec_id", "vec_id.anchor", "label", "x"))
+            asked = s.write(kept.where("anchor").select(F.col("row").alias("q"), "label", "x", "vec_id"))
+            index = build(kept.drop("anchor"), d, s, lists)
         whole = F.array(F.struct(F.lit(0).alias("w"), F.lit(LOWEST).alias("least"), F.lit(HIGHEST).alias("most")))
         near = search(asked.select("q", "label", "x", whole.alias("windows")), index, positives, True, s)
         pairs = near.select("q", F.col("rank").alias("w"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
