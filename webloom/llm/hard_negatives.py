@@ -42,6 +42,8 @@ BLOCK_ROWS = 256
 CELL_BYTES = 1 << 25
 #: Entries of a table of distances or scores that is made at a time.
 TABLE = 1 << 20
+#: Members of small lists that are met together.
+TOGETHER = 1024
 #: Lists that the first round visits, and by how much the next one visits more.
 FIRST, GROWTH = 8, 16
 POSITIVES, NEGATIVES = 5, 10
@@ -228,28 +230,22 @@ def _best(group: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndar
 
 
 class _Cell:
-    """The members of a cell, by list and label, and what queries find among them."""
-
-    def __init__(self, parts: list, model, d: int, kind: str):
-        self.d, self.kind = d, kind
-        row, vec_id, label, list_, x = (np.concatenate(c) for c in zip(*parts))
-        self.row, self.vec_id, self.label, self.x = row, vec_id, label, x
+    """The members of a cell, by list (for ``same_label``, by label and list), and what queries find
+    among them. Small lists that follow each other are met together, by the widest of their bounds."""
+
+    def __init__(self, parts: list, model, d: int, kind: str, same_label: bool):
+        self.d, self.kind, self.same_label = d, kind, same_label
+        self.row, self.vec_id, self.label, list_, self.x = (np.concatenate(c) for c in zip(*parts))
+        n = len(list_)
+        label = self.label if same_label else np.zeros(n, np.int32)
         at = lambda *keys: np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
-        self.from_ = at(list_)
-        self.to = np.append(self.from_[1:], len(row))
-        self.runs = np.append(at(list_, label), len(row))
-        self.centroids, self.radii = model[0][list_[self.from_]], model[1][list_[self.from_]]
-
-    def ranges(self, j: int, labels: np.ndarray, same_label: bool):
-        """Of list j: (first member, last + 1, whether each query's label goes with them)."""
-        if not same_label:
-            yield self.from_[j], self.to[j], np.ones(len(labels), bool)
-            return
-        a, b = np.searchsorted(self.runs, (self.from_[j], self.to[j]))
-        for i in range(a, b):
-            yield self.runs[i], self.runs[i + 1], labels == self.label[self.runs[i]]
-
-    def found(self, asked: pa.RecordBatch, k: int, same_label: bool) -> pa.RecordBatch:
+        runs = at(label, list_)
+        self.first = at(label[runs], runs // TOGETHER)
+        self.from_ = runs[self.first]
+        self.to = np.append(self.from_[1:], n)
+        self.centroids, self.radii = model[0][list_[runs]], model[1][list_[runs]]
+
+    def found(self, asked: pa.RecordBatch, k: int) -> pa.RecordBatch:
         """The k best members of each query and window: (q, w, score, vec_id, row)."""
         x = _packed(asked.column("x"), self.d)
         q, label = (asked.column(n).to_numpy() for n in ("q", "label"))
@@ -257,6 +253,7 @@ class _Cell:
         names, least, most = _ends(asked.column("windows"))
         n_w = least.shape[1]
         low, high = bounds(x.astype(np.float64), self.centroids, self.radii)
+        low, high = np.minimum.reduceat(low, self.first, axis=1), np.maximum.reduceat(high, self.first, axis=1)
         x = x.astype(self.kind)
         group, score, member = (np.zeros(0, np.int64) for _ in range(3))
         more: list[tuple] = []
@@ -276,26 +273,26 @@ class _Cell:
         for j in np.argsort(-high.sum(axis=0), kind="stable"):
             one = slice(j, j + 1)
             use = _open(low[:, one], high[:, one], least, most)[:, 0] & (high[:, j] >= edge)
-            for a, b, fit in self.ranges(j, label, same_label) if use.any() else ():
-                who = np.flatnonzero(use & fit)
-                for m in range(a, b if len(who) else a, 4096):
-                    there = self.x[m : min(b, m + 4096)].astype(self.kind).T
-                    step = max(1, TABLE // there.shape[1])
-                    for i in range(0, len(who), step):
-                        w = who[i : i + step]
-                        s = x[w] @ there
-                        hit = s >= least[w].min(axis=1, keepdims=True).astype(self.kind)
-                        hit &= s <= most[w].max(axis=1, keepdims=True).astype(self.kind)
-                        r, c = np.nonzero(hit)
-                        v, r, c = s[r, c].astype(np.int64), w[r], c + m
-                        right = self.row[c] != q[r] if same_label else self.label[c] != label[r]
-                        v, r, c = v[right], r[right], c[right]
-                        for z in range(n_w):
-                            inside = (v >= least[r, z]) & (v <= most[r, z])
-                            more.append((r[inside] * n_w + z, v[inside], c[inside]))
-                            waiting += len(more[-1][0])
-                        if waiting >= TABLE // 4:
-                            settle()
+            a, b = self.from_[j], self.to[j]
+            who = np.flatnonzero(use & (label == self.label[a]) if self.same_label else use)
+            for m in range(a, b if len(who) else a, 4096):
+                there = self.x[m : min(b, m + 4096)].astype(self.kind).T
+                step = max(1, TABLE // there.shape[1])
+                for i in range(0, len(who), step):
+                    w = who[i : i + step]
+                    s = x[w] @ there
+                    hit = s >= least[w].min(axis=1, keepdims=True).astype(self.kind)
+                    hit &= s <= most[w].max(axis=1, keepdims=True).astype(self.kind)
+                    r, c = np.nonzero(hit)
+                    v, r, c = s[r, c].astype(np.int64), w[r], c + m
+                    right = self.row[c] != q[r] if self.same_label else self.label[c] != label[r]
+                    v, r, c = v[right], r[right], c[right]
+                    for z in range(n_w):
+                        inside = (v >= least[r, z]) & (v <= most[r, z])
+                        more.append((r[inside] * n_w + z, v[inside], c[inside]))
+                        waiting += len(more[-1][0])
+                    if waiting >= TABLE // 4:
+                        settle()
         settle()
         out = [q[group // n_w], names.reshape(-1)[group].astype(np.int32), score, self.vec_id[member], self.row[member]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["q", "w", "score", "vec_id", "row"])
@@ -318,8 +315,8 @@ def _found(model, d: int, k: int, same_label: bool, kind: str):
                     parts.append([part.column(n).to_numpy().copy() for n in ("q", "vec_id", "label", "list")] + [_packed(part.column("x"), d).copy()])
                 elif b > a and (parts or held):
                     if held is None:
-                        held, parts = _Cell(parts, model.value, d, kind), []
-                    yield held.found(part, k, same_label)
+                        held, parts = _Cell(parts, model.value, d, kind, same_label), []
+                    yield held.found(part, k)
 
     return run
 
@@ -350,7 +347,7 @@ def search(queries: DataFrame, index: Index, k: int, same_label: bool, scratch:
             now = now.join(ends, "q", "left").select("q", "label", "x", rise.alias("windows"))
         asked = now.mapInArrow(_visits(model, index.d, width), f"cell int, q long, label int, x binary, windows {WINDOWS}, edge double, list int")
         asked = asked.withColumn("asks", F.lit(True)).withColumn("vec_id", F.lit(None).cast("long")).select(*members.columns)
-        both = members.unionByName(asked).repartitionById(index.cells, F.col("cell")).sortWithinPartitions("cell", "asks", "list", "label")
+        both = members.unionByName(asked).repartitionById(index.cells, F.col("cell")).sortWithinPartitions("cell", "asks", *(["label", "list"] if same_label else ["list"]))
         found = both.mapInArrow(_found(model, index.d, k, same_label, index.kind), _TOP)
         best = scratch.write(found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k))
     return best
