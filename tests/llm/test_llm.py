@@ -522,6 +522,26 @@ KINDS = [
 ]
 
 
+def test_worker_gives_memory_back():
+    """What a task has freed goes back to the system, though a small block on top of it stays."""
+    held = []
+
+    def own_mb():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read()).group(1)) / 1024
+
+    def run(batches):
+        for b in batches:
+            blocks = [np.ones(8000) for _ in range(4000)]  # 256 MB, each block too small to be mapped by itself
+            held.append(np.ones(8000))
+            del blocks
+            yield b
+
+    before = own_mb()
+    assert list(common.tidy(run)([1])) == [1]
+    assert own_mb() - before < 64
+
+
 def test_pii_base(spark):
     rng = random.Random(7)
     parts = ["a@b.c", "x_", ".", "@", "é@a.b", "1.2.3.4", "256.1.1.1", "1.2", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", "12", " ", " ", "-", "a", "😀", "0000.1.1.1", "\n"]

@@ -44,7 +44,7 @@ ABREAST = 1 << 14
 #: A longer piece is emitted in parts of about so many bytes.
 SETTLE = 256
 #: Bytes of texts that are encoded together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Tokens that the decoder takes at a time.
 DECODE_STEP = 8192
 #: Kinds of bytes in a piece: letters, digits, other signs, blanks; beyond ASCII the pattern decides.
@@ -495,4 +495,4 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         ranks = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"id {dict(docs.dtypes)['id']}, ids binary" + ", decoded binary" * decode
-    return docs.mapInArrow(_run(ranks, pattern, decode), schema).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(C.tidy(_run(ranks, pattern, decode)), schema).withColumnRenamed("id", id_col)

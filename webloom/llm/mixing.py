@@ -148,7 +148,7 @@ def mix(docs: DataFrame, models: list[L.Model], targets: list[float], text_col:
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("text"))
     kinds = ", ".join([f"{c} {t}" for c, t in rows.dtypes if c != "text"] + ["tokens long"] + [f"p{d} double" for d in range(len(models))])
     with C.Scratch(spark) as s:
-        scored = s.write(rows.mapInArrow(_posteriors(spark.sparkContext.broadcast(models), len(keep)), kinds), keep=True)
+        scored = s.write(rows.mapInArrow(C.tidy(_posteriors(spark.sparkContext.broadcast(models), len(keep))), kinds), keep=True)
     rate, excess = fit_rates(scored, targets, max_rate, whole=whole)
     if np.abs(excess).max() > TOLERANCE:
         log.warning("targets not met: excess by domain, in shares of all tokens, %s", np.round(excess, 5).tolist())

@@ -404,7 +404,7 @@ def _split(s: C.Scratch, members: DataFrame, large: DataFrame, texts, width, num
     parted = members.select(*MEMBER, F.pmod(F.xxhash64("f", F.lit(3)), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("pivot"))
     rows = texts.of(parted.unionByName(spread)).select(*MEMBER, "salt", "pivot", "text")
     rows = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", F.desc("pivot"))
-    far = rows.mapInArrow(_pivot_distances(width, name), f"{_ddl(members)}, to array<struct<f:long,inter:long,n:long>>")
+    far = rows.mapInArrow(C.tidy(_pivot_distances(width, name)), f"{_ddl(members)}, to array<struct<f:long,inter:long,n:long>>")
     far = s.write(far)
     far = far.withColumn("to", F.transform("to", lambda t: F.struct((1 - t["inter"] / (F.col("n") + t["n"] - t["inter"])).alias("d"), (den * t["inter"] >= num * (F.col("n") + t["n"] - t["inter"])).alias("ok"), t["f"].alias("f"))))
     links = far.select(F.col("f").alias("a"), F.explode(F.filter("to", lambda t: t["ok"])).alias("t")).select("a", F.col("t.f").alias("b")).where("a <> b")
@@ -511,7 +511,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with C.Scratch(spark) as s:
         name = Names((), name_bits)
         while True:
-            sig = s.write(docs.mapInArrow(_signatures(width, name), kinds))
+            sig = s.write(docs.mapInArrow(C.tidy(_signatures(width, name)), kinds))
             rows = sig.where("part < 0").drop("part")
             # sets that share a name by chance: about (sets)^2 / 2^65, so none or a few
             halves = rows.where("n > 0").groupBy("f").agg(F.min("g").alias("low"), F.max("g").alias("high"))
@@ -527,7 +527,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         texts = Texts(docs, not one.where("c > 1").isEmpty(), small_rows)
         hot = int(sketch.mean()) + hot_excess
         shared = spark.sparkContext.broadcast(sketch)  # 4 MB, whatever the corpus
-        shown = docs.select("text").mapInArrow(_shown(width, num, den, shared, hot, name), "s long, f long, n int, hot boolean")
+        shown = docs.select("text").mapInArrow(C.tidy(_shown(width, num, den, shared, hot, name)), "s long, f long, n int, hot boolean")
         prio = [F.xxhash64("f"), F.col("f")]
         first = Window.partitionBy("s").orderBy("x", "f").rowsBetween(Window.unboundedPreceding, 0)
         # a pivot and a set show the same shingle: the running first row needs no buffered group
@@ -555,7 +555,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if first:  # a cheap look at narrow rows, before texts travel
                 kinds = leaf.drop("v").schema
                 sieve = _by_group("p", _possible(num, den), pa.schema([("p", pa.int64()), ("f", pa.int64()), ("n", pa.int32()), ("w", pa.int64()), ("id", _arrow_type(id_field)), ("key", pa.binary()), ("c", pa.int64())]))
-                leaf = s.write(leaf.repartition("p").sortWithinPartitions("p").mapInArrow(sieve, kinds))
+                leaf = s.write(leaf.repartition("p").sortWithinPartitions("p").mapInArrow(C.tidy(sieve), kinds))
                 whole, first = whole.drop("v"), False
             links.append(s.write(_leaf_links(leaf, texts, width, num, den, name)))
             if not some:
@@ -600,4 +600,4 @@ def _arrow_type(kind):
 def _leaf_links(member: DataFrame, texts: Texts, width, num, den, name) -> DataFrame:
     """Links inside regions that fit a task. Texts travel, sets are made again where they meet."""
     rows = texts.of(member.select("p", "f", "id", "key", "c")).select("p", "f", "text")
-    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(_by_group("p", _region_links(width, num, den, name), pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
+    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(C.tidy(_by_group("p", _region_links(width, num, den, name), pa.schema([("a", pa.int64()), ("b", pa.int64())]))), "a long, b long")

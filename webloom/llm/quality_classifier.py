@@ -48,7 +48,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
     rows = F.broadcast(rows.where(~held_out(F.col("key"))).orderBy(F.xxhash64("key"), "key", "y").limit(most_rows))
     docs = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     got = docs.join(rows, "key").select(F.struct(F.xxhash64("key").alias("h"), "y").alias("hy"), F.coalesce("text", F.lit("")).alias("text"))
-    got = got.mapInArrow(_features(pairs), "y struct<h:long,y:int>, cells binary").orderBy("y", "cells").limit(most_rows)
+    got = got.mapInArrow(C.tidy(_features(pairs)), "y struct<h:long,y:int>, cells binary").orderBy("y", "cells").limit(most_rows)
     got = sorted((r.y.y, bytes(r.cells)) for r in got.collect())
     order = np.random.Generator(np.random.PCG64(3)).permutation(len(got))
     return [np.frombuffer(got[i][1], dtype="<i4") for i in order], np.array([got[i][0] for i in order])
@@ -77,7 +77,7 @@ def classify(docs: DataFrame, model: L.Model, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     C.ship(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = rows.mapInArrow(_scores(spark.sparkContext.broadcast(model)), f"id {dict(rows.dtypes)['id']}, score double")
+    out = rows.mapInArrow(C.tidy(_scores(spark.sparkContext.broadcast(model))), f"id {dict(rows.dtypes)['id']}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -100,4 +100,4 @@ def keep_good(docs: DataFrame, model: L.Model, text_col: str = "text", threshold
     spark = docs.sparkSession
     C.ship(spark)
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(_verdicts(spark.sparkContext.broadcast(model), threshold, at, docs.columns), docs.schema)
+    return docs.mapInArrow(C.tidy(_verdicts(spark.sparkContext.broadcast(model), threshold, at, docs.columns)), docs.schema)
